@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses, secrets
 from .common import table
 from .pack import pack_documents, with_checksum
+from .quality import quality_report
 from .shards import shard_documents
 from .tokens import token_counts
 from .urls import judge_urls
@@ -39,18 +41,33 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
         "op3_url_filters": op3_url_filters,
+        "op5_secret_scans": op5_secret_scans,
+        "op7_license_scans": op7_license_scans,
         "op8_sharding": op8_sharding,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import licenses, secrets
 from .common import table
+from .ngram import near_duplicates
 from .pack import pack_documents, with_checksum
 from .quality import quality_report
 from .shards import shard_documents
@@ -41,6 +42,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
         "op3_url_filters": op3_url_filters,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_secret_scans": op5_secret_scans,
         "op7_license_scans": op7_license_scans,
         "op8_sharding": op8_sharding,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, secrets
+from . import decontaminate, licenses, secrets
 from .common import table
 from .ngram import near_duplicates
 from .pack import pack_documents, with_checksum
@@ -50,6 +50,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": op3_url_filters,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_secret_scans": op5_secret_scans,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_license_scans": op7_license_scans,
         "op8_sharding": op8_sharding,
         "op10_quality_rules": op10_quality_rules,

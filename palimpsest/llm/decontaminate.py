@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, slices
 
-ERROR_PER_MILLE = 60
+ERROR_PER_MILLE = 80
 #: Items with fewer characters after normalising say too little to accuse a text.
 MIN_ITEM_CHARS = 20
 BLOCK_BYTES = 4_000_000

@@ -7,9 +7,8 @@ import xxhash
 
 #: Entries after which a worker's table of word hashes is emptied.
 MEMO_ENTRIES = 1_000_000
-#: Odd multipliers by place in a sequence, from the golden ratio: k-th = (2k + 1) * step, made odd.
-STEP = 0x9E3779B97F4A7C15
-PLACES = np.array([((2 * k + 1) * STEP % 2**64) | 1 for k in range(64)], np.uint64)
+#: The odd multiplier of the polynomial over a sequence.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
@@ -40,9 +39,10 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive entries of h."""
     if len(h) < n:
         return h[:0]
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out += mix(h[k : len(h) - n + 1 + k] + PLACES[k])
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out *= STEP
+        out += h[k : len(h) - n + 1 + k]
     return mix(out)
 
 

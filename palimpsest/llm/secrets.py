@@ -63,6 +63,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _statuses(base: DataFrame, max_live_owners: int) -> DataFrame:
+    """row_no and, for each span of it in order, how far its value is spread; base: row_no, owner, spans."""
+    found = base.where(F.size("spans") > 0).select("row_no", "owner", F.posexplode("spans").alias("k", "span")).withColumn("hash", F.sha2(F.col("span.value"), 256))
+    by_repository = found.groupBy("hash", "owner", "row_no").agg(F.count("*").alias("n"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    corpus = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    status = F.struct("k", "n_owners", "n_repositories", (F.col("n_owners") <= max_live_owners).alias("live"))
+    return found.select("row_no", "k", "hash").join(corpus, "hash").groupBy("row_no").agg(F.array_sort(F.collect_list(status)).alias("statuses"))
+
+
+def _owner(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("\x00")).alias("owner")
+
+
 def scan_secrets(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS) -> DataFrame:
     """One row per row of docs (doc_id, text, an owner): row_no, doc_id, spans and statuses.
 
@@ -73,21 +87,40 @@ def scan_secrets(docs: DataFrame, owner: str = "source", max_live_owners: int =
     row_no numbers the rows of this scan, so null and repeated doc_ids stay apart.
     """
     base = saved(
-        docs.select(
-            F.monotonically_increasing_id().alias("row_no"),
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce(F.col(owner).cast("string"), F.lit("\x00")).alias("owner"),
-            all_spans(text_or_empty()).alias("spans"),
-        )
+        docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), _owner(owner), all_spans(text_or_empty()).alias("spans"))
     )
-    found = base.where(F.size("spans") > 0).select("row_no", "doc_id", "owner", F.posexplode("spans").alias("k", "span")).withColumn("hash", F.sha2(F.col("span.value"), 256))
-    by_repository = found.groupBy("hash", "owner", "row_no").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    corpus = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    status = F.struct("k", "n_owners", "n_repositories", (F.col("n_owners") <= max_live_owners).alias("live"))
-    judged = found.select("row_no", "k", "hash").join(corpus, "hash").groupBy("row_no").agg(F.array_sort(F.collect_list(status)).alias("statuses"))
     none = F.expr("cast(array() as array<struct<k:int,n_owners:bigint,n_repositories:bigint,live:boolean>>)")
-    return base.join(judged, "row_no", "left").select("row_no", "doc_id", "spans", F.coalesce("statuses", none).alias("statuses"))
+    return base.join(_statuses(base, max_live_owners), "row_no", "left").select("row_no", "doc_id", "spans", F.coalesce("statuses", none).alias("statuses"))
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span's value replaced; values that overlap are replaced together."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin, end, pos = s["value_start"], s["end"], acc["pos"]
+        ahead = F.concat(acc["out"], F.substring(text, pos + 1, begin - pos), F.lit(mask))
+        return F.struct(F.greatest(pos, end).alias("pos"), F.when(begin >= pos, ahead).otherwise(acc["out"]).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["value_start"].alias("value_start"), s["end"].alias("end"))))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+
+
+def mask_live(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+    """docs, all rows and columns, with the values that look live replaced by ``mask``; n_chars, if there, follows.
+
+    Rows without a span pass unchanged (a null text stays null) and are never shuffled.  The
+    cases are those of scan_secrets.
+    """
+    columns = docs.columns
+    spotted = docs.withColumn("_spans", all_spans(text_or_empty()))
+    hit = saved(spotted.where(F.size("_spans") > 0).withColumn("_row_no", F.monotonically_increasing_id()))
+    judged = _statuses(hit.select(F.col("_row_no").alias("row_no"), _owner(owner), F.col("_spans").alias("spans")), max_live_owners)
+    both = hit.join(judged.select(F.col("row_no").alias("_row_no"), F.col("statuses").alias("_statuses")), "_row_no")
+    live = F.filter("_spans", lambda s, k: F.get(F.col("_statuses"), k)["live"])
+    masked = both.withColumn("text", F.when(F.size(live) > 0, _masked(F.col("text"), live, mask)).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return spotted.where(F.size("_spans") == 0).select(*columns).unionByName(masked.select(*columns))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -1,19 +1,43 @@
-"""All registered queries of the engine itself, with the SQL they are checked against."""
+"""Registry of the engine's queries and of the SQL that each is checked against."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+PLANS = ("relational", "retrieval", "evaluation", "skillbank")
+
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under a name, with its SQL if it has one."""
+
+    def register(fn: Query) -> Query:
+        _queries[name] = fn
+        if sql is not None:
+            _oracles[name] = sql
+        return fn
+
+    return register
+
+
+def _load() -> None:
+    for plan in PLANS:
+        importlib.import_module(f"palimpsest.plans.{plan}")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    _load()
+    return dict(_oracles)

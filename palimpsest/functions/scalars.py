@@ -41,7 +41,8 @@ def conversation_of(qa: Column) -> Column:
 
 
 def bounded(value: Column, default: float, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.coalesce(F.least(F.lit(high), F.greatest(F.lit(low), value.try_cast("double"))), F.lit(default))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), number)))
 
 
 def optional_text(value: Column) -> Column:
@@ -67,7 +68,7 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
 
 def clean_list(values: Column, limit: int) -> Column:
     """Trimmed, without empty ones, first occurrences, at most ``limit``."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")), 1, limit)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")), 1, limit)
 
 
 def score_label(score: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import porter
 
@@ -39,7 +40,7 @@ def set_tokens(text: Column) -> Column:
     return F.array_distinct(_found(F.lower(text), ALNUM))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Each plain English token's stem; tokens with digits, joins or other scripts stay."""
     for batch in tokens:
@@ -90,7 +91,7 @@ def answer_f1(prediction: Column, reference: Column, category: Column | None = N
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _stemmed_parts(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     """Mean over the reference's parts of the best stemmed F1; normalised parts arrive joined by a unit separator."""
     from collections import Counter

@@ -36,7 +36,11 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         return None
-    return int(spark.read.text(f"{path}/_current").first()[0])
+    held = fs.open(fs_path)
+    try:
+        return int(spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8"))
+    finally:
+        held.close()
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:

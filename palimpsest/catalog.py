@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "bm25_topk"
-PLANS = ("relational", "retrieval", "evaluation", "skillbank")
+PLANS = ("relational", "provenance", "retrieval", "evaluation", "skillbank")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

@@ -8,11 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, secrets, substrings
+from . import decontaminate, licenses, quality, secrets, substrings
 from .common import table
 from .ngram import near_duplicates
 from .pack import pack_documents, with_checksum
-from .quality import quality_report
 from .shards import shard_documents
 from .tokens import token_counts
 from .urls import judge_urls
@@ -69,7 +68,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,5 +86,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+OP3_SQL = rf"""WITH r AS (SELECT * FROM (VALUES {_URL_RULES_SQL}) t(h, p, v)),
+s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+f AS (SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) AS n
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND n = 1"""
+
+_GAP = r"[ \t\n\x0B\f\r]"
+OP10_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_GAP}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_GAP[1:-1]}]')) AS l,
+  length(regexp_replace(t, '{_GAP}+', '', 'g')) AS chars, length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')) AS symbols,
+  length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper FROM d),
+g AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m) x),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) x WHERE c > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) x GROUP BY doc_id),
+f AS (SELECT m.doc_id, len(w) AS n_words, chars AS word_chars, symbols AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS lines, letters, upper FROM m LEFT JOIN p USING (doc_id)),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_SHARE} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > {quality.MAX_SYMBOLS_SHARE} * n_words OR 100 * n_dup_lines > {quality.MAX_DUP_LINES_SHARE} * lines OR 100 * upper > {quality.MAX_UPPER_SHARE} * letters
+    OR word_chars < {quality.MIN_WORD_CHARS} * n_words OR word_chars > {quality.MAX_WORD_CHARS} * n_words OR 100 * letters < {quality.MIN_LETTER_SHARE} * word_chars) AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": OP3_SQL, "op10_quality_rules": OP10_SQL}

@@ -1,31 +1,13 @@
-"""Hashes of words and of word sequences, alike in every process, and packed columns of them."""
+"""Hashes of words and of word sequences, alike in every process, and packed columns of them.
+
+Words are hashed straight from an Arrow column's bytes, all texts of a batch at once: a word's
+hash is the sum of a table value of each byte times a power of its place.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-#: Entries after which a worker's table of word hashes is emptied.
-MEMO_ENTRIES = 1_000_000
-#: The odd multiplier of the polynomial over a sequence.
-STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > MEMO_ENTRIES:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+import pyarrow as pa
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,6 +17,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The odd multiplier of the polynomials.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: White space: space and U+0009 to U+000D.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_CASED = mix(np.arange(1, 257, dtype=np.uint64))
+_LOWER = _CASED[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, nulls as empty, and where each row begins and the last ends."""
+    column = column.fill_null("") if column.null_count else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return held, at - at[0]
+
+
+def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string column (A-Z as a-z if ``lower``) and each row's bounds among them."""
+    data, rows = _bytes(column)
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = rows[:-1][rows[:-1] < len(data)]
+    begins[heads] = inside[heads]  # a word never goes on from one row into the next
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
+    used = np.cumsum(inside)
+    first = used[starts] - 1  # among the bytes of words
+    size = np.diff(np.append(first, used[-1]))
+    powers = np.full(int(size.max()), STEP, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    place = np.arange(used[-1]) - np.repeat(first, size)
+    h = mix(np.add.reduceat((_LOWER if lower else _CASED)[data[inside]] * powers[place], first))
+    return h, np.searchsorted(starts, rows)
+
+
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    return hashed_words(pa.array([text], pa.string()), lower)[0]
+
+
 def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive entries of h."""
     if len(h) < n:
@@ -46,6 +73,11 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) > 1 else x
+
+
 def planes(a: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each entry, byte by byte: bytes that hardly change lie together and compress."""
     return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()

@@ -7,15 +7,16 @@ over all documents; it only steers the cost, any order gives the same links.
 
 1. membership: each row's set and its size.
 2. frequency: counts of the elements in the lower half of the hash space, where prefixes lie.
-3. postings: prefix elements with size and position, dealt by element.  Lists are sorted by set
-   size; comparisons stop at the block where the sizes part, and skip entries whose positions
-   leave too few common elements.  Short lists give their pairs, with a count of the shared
-   prefix elements that bounds the overlap.  Long lists give stars: each set against the leader
-   of those with the same least element, and these leaders against the first.
+3. postings: prefix elements with set, size and position, dealt by element.  Lists are sorted by
+   set size; comparisons stop at the block where the sizes part.  Short lists give their pairs;
+   the number of prefix elements that a pair shares, summed over all lists, bounds its overlap.
+   Long lists give stars: per size class the set of the least name leads, and each set is
+   compared with the leaders of its class and the next lower one.
 4. verification of the pairs by the sets themselves, then components.
-5. For long lists only pairs across components remain.  Their answers are derived from the
-   leaders' where these decide: |y & z| <= |x & z| + |y| - |x & y| for a leader x that was
-   compared with both.  What is left is verified as in 4.
+5. In long lists only pairs across components remain.  Of these, positions that leave too few
+   common elements are skipped, and what the leaders' answers decide is not asked again:
+   |y & z| <= min(|x & y|, |x & z|) + min(|y| - |x & y|, |z| - |x & z|) for a leader x that was
+   compared with both.  Where a link stays possible, 4 decides.
 
 So the large groups of near copies cost a star each, no document is dropped, and no list of
 documents or links reaches the driver.  What is broadcast is bounded: at most ``HOT_ELEMENTS``
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, saved, shuffle_width, slices
 from .components import connected
-from .hashing import mix, planes, sequence_hashes, signed, unplaned, word_hashes
+from .hashing import hashed_words, mix, planes, sequence_hashes, signed, sorted_distinct, unplaned
 
 SHINGLE_WORDS = 5
 #: The similarity as a fraction of whole numbers.
@@ -52,12 +53,21 @@ ELEMENT_BYTES = 6
 SHIFT = np.uint64(64 - 8 * ELEMENT_BYTES)
 
 
-def shingles(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; all its words are one if there are fewer than n."""
-    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if len(h) >= n:
-        return np.unique(sequence_hashes(h, n))
-    return mix(sequence_hashes(h, len(h)) + np.uint64(len(h))) if len(h) else h
+def shingle_sets(column: pa.Array, n: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; all its words are one if there are fewer than n."""
+    h, at = hashed_words(column, lower=True)
+    runs = sequence_hashes(h, n)
+    out = []
+    for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+        if b - a >= n:
+            out.append(sorted_distinct(runs[a : b - n + 1]))
+        else:
+            out.append(mix(sequence_hashes(h[a:b], b - a) + np.uint64(b - a)) if a < b else h[:0])
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -87,7 +97,7 @@ def row_key(docs: DataFrame) -> DataFrame:
 def _membership(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sets = shingle_sets(batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(np.array([set_id(s) for s in sets], np.uint64)))],
                 names=["_key", "doc_id", "n", "set"],
@@ -110,8 +120,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
     held: dict[int, np.ndarray] = {}
     elements = 0
     for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            s = shingles(text)
+        for s in shingle_sets(batch.column(0)):
             if len(s) and (name := set_id(s)) not in held:
                 held[name] = s
                 elements += len(s)
@@ -147,16 +156,16 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return e[order], n[order]
 
 
-def _prefix(s: np.ndarray, hot: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set's prefix elements in the common order, and their positions."""
-    e, p = s >> SHIFT, int(prefix_length(len(s)))
+def _prefix(s: np.ndarray, hot: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The set's prefix elements in the common order."""
+    e = s >> SHIFT
     if len(hot):
         at = np.searchsorted(hot, e)
         at[at == len(hot)] = 0
         is_hot = hot[at] == e
         if is_hot.any():
             e = e[np.argsort(np.where(is_hot, often[at], 0), kind="stable")]
-    return e[:p], np.arange(p)
+    return e[: int(prefix_length(len(s)))]
 
 
 PAIRS = "kind int, a long, b long, na long, nb long, c long"
@@ -170,10 +179,11 @@ def _pair_batch(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.
         )
 
 
-def _summed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):
-    """Distinct pairs, the smaller name first, with the number of times each came."""
-    turn = a > b
-    a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+def _summed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, directed: bool = False):
+    """Distinct pairs, the smaller name first unless ``directed``, with the number of times each came."""
+    if not directed:
+        turn = a > b
+        a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
     order = np.lexsort((b, a))
     a, b, na, nb = a[order], b[order], na[order], nb[order]
     new = np.ones(len(a), bool)
@@ -201,7 +211,7 @@ def _near(group: np.ndarray, n: np.ndarray, longest: int, live: np.ndarray, way:
 
 
 def _candidates(rows: DataFrame, width: int) -> DataFrame:
-    """Kind 0: pairs of short lists with their shared prefix elements; 1: pairs of stars; 2: members of long lists (a: set, b: element, na: size, nb: position, c: least element)."""
+    """Kind 0: pairs of short lists with the number of prefix elements they share there; 1: pairs of leader (a) and member (b); 2: members of long lists (a: set, b: element, na: size, nb: position)."""
     hot, often = _frequent(rows, width)
     shared = rows.sparkSession.sparkContext.broadcast((hot, often))
     scale = np.uint64(-(-(1 << (8 * ELEMENT_BYTES)) // width))
@@ -210,41 +220,38 @@ def _candidates(rows: DataFrame, width: int) -> DataFrame:
         hot, often = shared.value
         for sets in _distinct_sets(batches):
             parts = [_prefix(s, hot, often) for s in sets]
-            sizes = [len(p[0]) for p in parts]
-            e = np.concatenate([p[0] for p in parts])
+            sizes = [len(p) for p in parts]
+            e = np.concatenate(parts)
+            pos = np.minimum(np.concatenate([np.arange(k) for k in sizes]), 65535)
             names = np.repeat(np.array([set_id(s) for s in sets], np.uint64), sizes)
             n = np.repeat(np.array([len(s) for s in sets], np.uint64), sizes)
-            low = np.repeat(np.array([s[0] for s in sets], np.uint64) >> np.uint64(48), sizes)
-            pos = np.minimum(np.concatenate([p[1] for p in parts]), 65535)
             # Prefixes lie in the lower part of the hash space; mixed, they deal out evenly.
             spread = (mix(e) >> SHIFT) // scale
             order = np.lexsort((e, spread))
-            yield from _dealt(spread[order], width, [(e[order], ELEMENT_BYTES), (names[order], 8), (n[order], 4), (pos[order], 2), (low[order], 2)])
+            yield from _dealt(spread[order], width, [(e[order], ELEMENT_BYTES), (names[order], 8), (n[order], 4), (pos[order], 2)])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for k, w in enumerate((ELEMENT_BYTES, 8, 4, 2, 2)):
+            for k, w in enumerate((ELEMENT_BYTES, 8, 4, 2)):
                 cols[k] += [unplaned(x, w) for x in batch.column(1 + k).to_pylist()]
         if not cols[0]:
             return
-        e, names, n, pos, low = (np.concatenate(c) for c in cols)
+        e, names, n, pos = (np.concatenate(c) for c in cols)
         del cols
         # Only elements of two sets or more matter.
         order = np.argsort(e, kind="stable")
         e = e[order]
         twice = np.zeros(len(e), bool)
         twice[1:] = e[1:] == e[:-1]
-        twice[:-1] |= twice[1:]
+        twice[:-1] |= twice[1:].copy()
         order = order[twice]
-        e, names, n, pos, low = e[twice], names[order], n[order].astype(np.int64), pos[order].astype(np.int64), low[order]
-        names = signed(names)
+        e, names, n, pos = e[twice], signed(names[order]), n[order].astype(np.int64), pos[order].astype(np.int64)
         order = np.lexsort((names, n, e))
-        e, names, n, pos, low = e[order], names[order], n[order], pos[order], low[order]
-        if len(e) > 1:  # one entry for each set
-            first = np.ones(len(e), bool)
-            first[1:] = (e[1:] != e[:-1]) | (names[1:] != names[:-1]) | (n[1:] != n[:-1])
-            e, names, n, pos, low = e[first], names[first], n[first], pos[first], low[first]
+        e, names, n, pos = e[order], names[order], n[order], pos[order]
+        first = np.ones(len(e), bool)  # one entry for each set
+        first[1:] = (e[1:] != e[:-1]) | (names[1:] != names[:-1]) | (n[1:] != n[:-1])
+        e, names, n, pos = e[first], names[first], n[first], pos[first]
         starts = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else np.zeros(0, int)
         size = np.diff(np.append(starts, len(e)))
         long = np.repeat(size > SHORT_LIST, size)
@@ -253,22 +260,23 @@ def _candidates(rows: DataFrame, width: int) -> DataFrame:
         if found:
             i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             yield from _pair_batch(0, *_summed(names[i], names[j], n[i], n[j]))
-        at = np.flatnonzero(long)
-        if len(at):
-            yield from _pair_batch(2, names[at], e[at], n[at], pos[at], low[at])
-            # The leader of each (list, least element) is its least name; the leader of a list the least of all.
-            order = at[np.lexsort((names[at], low[at], e[at]))]
-            new = np.append(True, (e[order][1:] != e[order][:-1]) | (low[order][1:] != low[order][:-1]))
-            leader = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            head = order[np.flatnonzero(new)]
-            first = np.append(True, e[head][1:] != e[head][:-1])
-            top = head[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            i, j = np.concatenate([leader, top]), np.concatenate([order, head])
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (names[i] != names[j]) & (small >= least_shared(large)) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i] + n[j]))
-            yield from _pair_batch(1, *_summed(names[i[ok]], names[j[ok]], n[i[ok]], n[j[ok]]))
-
-    dealt = mapped(rows.select("text"), deal, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
+        if long.any():
+            e, names, n, pos = e[long], names[long], n[long], pos[long]
+            yield from _pair_batch(2, names, e, n, pos, np.zeros(len(e)))
+            # Sets that may link differ by one size class at most.
+            size_class = np.floor(np.log(n) / np.log(OF / SHARED)).astype(np.int64)
+            order = np.lexsort((names, size_class, e))
+            e, names, n, size_class = e[order], names[order], n[order], size_class[order]
+            new = np.append(True, (e[1:] != e[:-1]) | (size_class[1:] != size_class[:-1]))
+            heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+            lower = np.append(False, (e[heads][1:] == e[heads][:-1]) & (size_class[heads][1:] == size_class[heads][:-1] + 1))
+            down = np.flatnonzero(lower[group])
+            i, j = np.concatenate([heads[group], heads[group[down] - 1]]), np.concatenate([np.arange(len(e)), down])
+            ok = names[i] != names[j]
+            i, j = i[ok], j[ok]
+            yield from _pair_batch(1, *_summed(names[i], names[j], n[i], n[j], directed=True))
+
+    dealt = mapped(rows.select("text"), deal, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
     return saved(mapped(dealt.repartition(width, "bucket"), pair, PAIRS))
 
 
@@ -300,13 +308,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen = np.unpackbits(shared.value).astype(bool)
         sent: set[int] = set()
         for batch in slices(batches):
-            texts = batch.column(0).to_pylist()
-            names = signed(np.array([set_id(shingles(t)) for t in texts], np.uint64))
+            names = signed(np.array([set_id(s) for s in shingle_sets(batch.column(0))], np.uint64))
             hit = seen[places(names)].all(axis=0)
             rows = [k for k in np.flatnonzero(hit).tolist() if names[k] not in sent and not sent.add(names[k])]
             if len(sent) > 1_000_000:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array([texts[k] for k in rows], pa.string())], names=["set", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows]), batch.column(0).take(pa.array(rows, pa.int64()))], names=["set", "text"])
 
     return mapped(docs.select("text"), keep, "set long, text string").groupBy("set").agg(F.first("text").alias("text"))
 
@@ -346,17 +353,13 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(mapped(met, compare, "a long, b long, na long, nb long, o long"))
 
 
-def _across(members: DataFrame, roots: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """Pairs of long lists whose sets lie in different components, with the lists that they share.
+def _across(lists: DataFrame, known: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """Pairs of long lists whose sets lie in different components and that positions and the leaders' answers leave open.
 
-    known: set, leader, o, n of the leader: overlaps already computed, one leader for each set.
+    lists: set, e, n, pos; known: set, leader, o (overlap with the leader), one leader for each set.
     """
-    placed = (
-        members.select(F.col("a").alias("set"), F.col("b").alias("e"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-        .join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-        .join(known, "set", "left")
-        .select("e", "set", "n", "pos", F.coalesce("root", "set").alias("root"), F.coalesce("leader", F.lit(0)).alias("leader"), F.coalesce("o", F.lit(-1)).alias("o"))
-    )
+    placed = lists.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").join(known, "set", "left")
+    placed = placed.select("e", "set", "n", "pos", F.coalesce("root", "set").alias("root"), F.coalesce("leader", F.lit(0)).alias("leader"), F.coalesce("o", F.lit(-1)).alias("o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -383,9 +386,11 @@ def _across(members: DataFrame, roots: DataFrame, known: DataFrame, width: int)
                 ok = root[i] != root[j]
                 if way < 0:  # two outsiders met on the way on
                     ok &= ~outside[j]
+                # The first element that two sets share must leave room for all that they need.
+                want = needed(n[i] + n[j])
+                ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= want
                 told = (leader[i] == leader[j]) & (o[i] >= 0) & (o[j] >= 0)
-                most = np.minimum(o[i] + n[j] - o[j], o[j] + n[i] - o[i])
-                ok &= ~(told & (most < needed(n[i] + n[j])))
+                ok &= ~told | (np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j]) >= want)
                 found.append((name[i[ok]], name[j[ok]], n[i[ok]], n[j[ok]]))
                 count += int(ok.sum())
                 if count > 4_000_000:  # bounds what a task holds
@@ -397,15 +402,20 @@ def _across(members: DataFrame, roots: DataFrame, known: DataFrame, width: int)
     return mapped(placed.repartition(width, "e"), run, PAIRS)
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs whose shared prefix elements leave room for the overlap that they need.
+def _enough(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs of short lists whose shared prefix elements leave room for the overlap that they need.
 
     All common elements up to the end of the prefix that ends first lie in both prefixes, so the
-    overlap is at most their number and what follows in that set.
+    overlap is at most their number and what follows in that set.  Elements of long lists were
+    not counted: each set may share as many of them as it has.
     """
     part = lambda n: F.ceil(F.col(n) * SHARED / OF) - 1  # noqa: E731  what follows the prefix
     summed = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    return summed.where(F.col("c") + F.greatest(part("na"), part("nb")) >= F.ceil((F.col("na") + F.col("nb")) * SHARED / (SHARED + OF)))
+    uncounted = lists.groupBy(F.col("a").alias("set")).agg(F.count("*").alias("k"))
+    for side in "ab":
+        summed = summed.join(uncounted.select(F.col("set").alias(side), F.col("k").alias(f"k{side}")), side, "left")
+    most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(part("na"), part("nb"))
+    return summed.where(most >= F.ceil((F.col("na") + F.col("nb")) * SHARED / (SHARED + OF)))
 
 
 def links(verified: DataFrame) -> DataFrame:
@@ -426,21 +436,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = saved(_membership(row_key(docs)))
     found = _candidates(docs, width)
     small, star, lists = (found.where(F.col("kind") == k) for k in range(3))
-    # A pair that also shares a long list is undercounted here; it comes again below.
-    stars = star.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    stars = stars.where(F.col("c") >= F.least(F.lit(4), F.col("na") - F.ceil(F.col("na") * SHARED / OF) + 1))
-    first = _verified(docs, _enough(small).select("a", "b").unionByName(stars.select("a", "b")))
+    star = star.select(F.col("a").alias("leader"), F.col("b").alias("set"), F.col("na").alias("n_leader"), F.col("nb").alias("n"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = _verified(docs, _enough(small, lists).select("a", "b").unionByName(star.select("a", "b")))
     edges = links(first)
-    if not lists.isEmpty():
+    if not star.isEmpty():
         roots = saved(connected(edges))
-        known = first.select(F.col("a").alias("set"), F.col("b").alias("leader"), "o").unionByName(first.select(F.col("b").alias("set"), F.col("a").alias("leader"), "o"))
-        busiest = known.groupBy("leader").agg(F.count("*").alias("k"))
-        known = known.join(busiest, "leader").groupBy("set").agg(F.max_by(F.struct("leader", "o"), F.struct("k", "leader")).alias("x")).select("set", "x.leader", "x.o")
-        across = saved(_across(lists, roots, known, width))
+        known = star.join(first.select("a", "b", "o"), ["a", "b"]).select("leader", "set", "o")
+        itself = star.select("leader", F.col("leader").alias("set"), F.col("n_leader").alias("o")).distinct()
+        nearest = known.unionByName(itself).groupBy("set").agg(F.max_by(F.struct("leader", "o"), F.struct("o", "leader")).alias("x")).select("set", "x.leader", "x.o")
+        members = lists.select(F.col("a").alias("set"), F.col("b").alias("e"), F.col("na").alias("n"), F.col("nb").alias("pos"))
+        across = saved(_across(members, nearest, roots, width).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
         if not across.isEmpty():
-            asked = across.select("a", "b").distinct()
-            counted = across.unionByName(small.join(asked, ["a", "b"], "left_semi"))
-            edges = edges.unionByName(links(_verified(docs, _enough(counted).select("a", "b"))))
+            edges = edges.unionByName(links(_verified(docs, across)))
     roots = connected(edges)
     full = member.where("n > 0").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     best = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, saved, shuffle_width, slices
-from .hashing import mix, planes, sequence_hashes, signed, unplaned, word_hashes
+from .hashing import hashed_words, mix, planes, sequence_hashes, signed, unplaned
 
 WINDOW = 20
 #: Words at either edge of a window whose symbols may depend on what lies outside: a run that
@@ -50,6 +50,12 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _by_row(column: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each text of a column."""
+    h, at = hashed_words(column)
+    return [h[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
 def symbols(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One round of recompression over word hashes: names of the symbols, and where each begins."""
     n = len(h)
@@ -145,8 +151,7 @@ def _repeated_anchors(rows: DataFrame, window: int, width: int) -> DataFrame:
             yield from _blobs([x + y for x, y in zip(left, right, strict=True)], [c for c, _ in columns])
 
         for batch in slices(batches):
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = word_hashes(tokens(text))
+            for rid, h in zip(batch.column(0).to_pylist(), _by_row(batch.column(1)), strict=True):
                 if len(h) >= window and rid not in seen:
                     seen.add(rid)
                     a = np.unique(anchors(h, window))
@@ -203,20 +208,22 @@ def _removed_windows(marked: DataFrame, window: int, width: int) -> DataFrame:
             gone_rid = rid[k[gone]].view(np.uint64)
             to_gone = _bucket(gone_rid, width)
             right = _cut(np.argsort(to_gone, kind="stable"), to_gone, width, [(gone_rid, 8), (s[gone].astype(np.uint64), 4)])
+            parts = []
             for b in range(width):
                 rows = by[ends[b] : ends[b + 1]]
                 left: list[bytes | None] = [None] * 5
                 if len(rows):
                     used, local = np.unique(k[rows], return_inverse=True)
                     left = [planes(name[rows], 8), planes(local, 4), planes(s[rows], 4), planes(rid[used].view(np.uint64), 8), planes(doc[used].view(np.uint64), 8)]
-                yield from _blobs([[None] * 7] * b + [left + right[b]], [c for c, _ in columns])
+                parts.append(left + right[b])
+            yield from _blobs(parts, [c for c, _ in columns])
 
         for batch in slices(batches):
-            for rid, doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _by_row(batch.column(2)), batch.column(3).to_pylist(), strict=True)
+            for rid, doc, h, places in rows:
                 if rid in seen:
                     continue
                 seen.add(rid)
-                h = word_hashes(tokens(text))
                 a = anchors(h, window)
                 s = np.flatnonzero(np.isin(a, places))
                 held.append((sequence_hashes(h, window)[s], s, context_names(h, window)[a[s] - EDGE], rid, np.iinfo(np.int64).min if doc is None else doc))

@@ -10,8 +10,8 @@ over all documents; it only steers the cost, any order gives the same links.
 3. postings: prefix elements with set, size and position, dealt by element.  Lists are sorted by
    set size; comparisons stop at the block where the sizes part.  Short lists give their pairs;
    the number of prefix elements that a pair shares, summed over all lists, bounds its overlap.
-   Long lists give stars: per size class the set of the least name leads, and each set is
-   compared with the leaders of its class and the next lower one.
+   Long lists give stars: per size class the set with the element at the earliest position
+   leads, and each set is compared with the leaders of its class and the next lower one.
 4. verification of the pairs by the sets themselves, then components.
 5. In long lists only pairs across components remain.  Of these, positions that leave too few
    common elements are skipped, and what the leaders' answers decide is not asked again:
@@ -265,7 +265,8 @@ def _candidates(rows: DataFrame, width: int) -> DataFrame:
             yield from _pair_batch(2, names, e, n, pos, np.zeros(len(e)))
             # Sets that may link differ by one size class at most.
             size_class = np.floor(np.log(n) / np.log(OF / SHARED)).astype(np.int64)
-            order = np.lexsort((names, size_class, e))
+            # A set with few elements of its own has the shared ones early: it lies near the middle of its group.
+            order = np.lexsort((names, pos, size_class, e))
             e, names, n, size_class = e[order], names[order], n[order], size_class[order]
             new = np.append(True, (e[1:] != e[:-1]) | (size_class[1:] != size_class[:-1]))
             heads, group = np.flatnonzero(new), np.cumsum(new) - 1

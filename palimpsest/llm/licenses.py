@@ -76,7 +76,7 @@ STATEMENTS = [
     (40, "{}"),
 ]
 #: Words of a name that do not tell licenses apart and so make poor keywords.
-COMMON = {"the", "and", "public", "version", "to", "do", "what", "you", "want"}
+COMMON = {"by", "nc", "nd", "sa", "the", "and", "public", "version", "to", "do", "what", "you", "want"}
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, "
@@ -104,7 +104,7 @@ def _keywords():
 
     tree = ahocorasick.Automaton()
     for keyword in {r[3] for r in signatures()}:
-        tree.add_word(keyword, keyword)
+        tree.add_word(f" {keyword} ", keyword)  # as a whole word: short ones stand inside many others
     tree.make_automaton()
     return tree
 

@@ -46,7 +46,7 @@ HOT_ELEMENTS = 1 << 20
 #: Longest list whose pairs are all looked at in the first round.
 SHORT_LIST = 8
 #: Elements that a task holds before it deals them out.
-BLOCK_ELEMENTS = 4_000_000
+BLOCK_ELEMENTS = 1_000_000
 BLOOM_BITS = 1 << 26
 #: Bytes of an element's hash that postings carry; the sets themselves are compared by all 8.
 ELEMENT_BYTES = 6

@@ -32,6 +32,11 @@ def skill_route_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES_SQL = "b AS (SELECT o_custkey % 40 AS batch_id, l_partkey AS candidate_id, l_suppkey AS skill_id, max(l_extendedprice) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3)"
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return lines.groupBy((F.col("o_custkey") % 40).alias("batch_id"), F.col("l_partkey").alias("candidate_id"), F.col("l_suppkey").alias("skill_id")).agg(F.max("l_extendedprice").alias("score"))
+
+
 @query(
     "batch_bank_fill",
     f"WITH {BATCHES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, candidate_id ORDER BY score DESC, skill_id) AS n FROM b WHERE candidate_id % 20 = batch_id % 20), "
@@ -39,10 +44,23 @@ BATCHES_SQL = "b AS (SELECT o_custkey % 40 AS batch_id, l_partkey AS candidate_i
     "p AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY sure DESC, score DESC, skill_id) AS place FROM best) SELECT batch_id, skill_id, sure, place FROM p WHERE sure OR place <= 12",
 )
 def batch_bank_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each candidate's best skill is sure of a place, the others fill up to twelve."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    scored = lines.groupBy((F.col("o_custkey") % 40).alias("batch_id"), F.col("l_partkey").alias("candidate_id"), F.col("l_suppkey").alias("skill_id")).agg(F.max("l_extendedprice").alias("score"))
-    return sk.batch_fill(scored.where("candidate_id % 20 = batch_id % 20"), 1, 12)
+    """Each candidate's best skill is sure of a place, the others fill up to twelve; one candidate in twenty (batch_bank_fill_whole takes all)."""
+    return sk.batch_fill(_scored(spark, sf_dir).where("candidate_id % 20 = batch_id % 20"), 1, 12)
+
+
+#: The guarantee that belongs to a bank of twelve (run_skill_bank_pipeline_v2.py 400-405).
+GUARANTEED, BANK = 3, 12
+
+
+@query(
+    "batch_bank_fill_whole",
+    f"WITH {BATCHES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, candidate_id ORDER BY score DESC, skill_id) AS n FROM b), "
+    f"best AS (SELECT batch_id, skill_id, bool_or(n <= {GUARANTEED}) AS sure, max(score) AS score FROM f GROUP BY 1, 2), "
+    f"p AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY sure DESC, score DESC, skill_id) AS place FROM best) SELECT batch_id, skill_id, sure, place FROM p WHERE sure OR place <= {BANK}",
+)
+def batch_bank_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of all batches, each sure of its best three skills."""
+    return sk.batch_fill(_scored(spark, sf_dir), GUARANTEED, BANK)
 
 
 KMEANS_SQL = """cent AS (SELECT label AS cluster, embedding AS c FROM embeddings JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) f USING (vec_id)),

@@ -253,6 +253,21 @@ def run_vs_run_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "user_id", "full_outer").select("user_id", side.alias("side"))
 
 
+@query(
+    "run_vs_run_cases",
+    "WITH cases AS (SELECT DISTINCT event_type, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events), "
+    "a AS (SELECT user_id, k FROM cases WHERE event_type = 'purchase'), b AS (SELECT user_id, k FROM cases WHERE event_type = 'signup') "
+    "SELECT user_id, k, 'shared' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) t UNION ALL "
+    "SELECT user_id, k, 'before_only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) t UNION ALL SELECT user_id, k, 'after_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) t",
+)
+def run_vs_run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases (user and k) of two runs, the purchases and the signups, over all events of both."""
+    seen = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'signup')")
+    sides = seen.groupBy("user_id", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.min("event_type").alias("least"), F.max("event_type").alias("most"))
+    side = F.when(F.col("least") != F.col("most"), "shared").when(F.col("least") == "purchase", "before_only").otherwise("after_only")
+    return sides.select("user_id", "k", side.alias("side"))
+
+
 @query(
     "snapshot_diff",
     "WITH o AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 7 <> 0) "

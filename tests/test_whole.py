@@ -14,3 +14,10 @@ def test_every_candidate_of_a_batch_is_sure_of_three(spark, tmp_path):
     rows = catalog.queries()["batch_bank_fill_whole"](spark, str(tmp_path)).collect()
     assert {r.skill_id for r in rows if r.sure} == {100 * c + k for c in (1, 2, 3, 27) for k in range(3)}
     assert len(rows) == 12
+
+
+def test_runs_are_compared_over_all_ids(spark, tmp_path):
+    events = [(0, 1, "purchase", 5), (5000, 1, "signup", 5), (5001, 2, "purchase", 5), (5002, 1, "signup", 6), (5003, 1, "signup", 6), (9999, 3, "view", 7), (9999, 2, "purchase", 5)]
+    _write(spark, tmp_path, "events", [(i, u, t, f'{{"k": {k}}}') for i, u, t, k in events], "event_id long, user_id long, event_type string, props string")
+    rows = catalog.queries()["run_vs_run_cases"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 5, "shared"), (1, 6, "after_only"), (2, 5, "before_only")]

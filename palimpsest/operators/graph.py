@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint, in the session's folder if it names one."""
+    """``df`` cut from its lineage by a reliable checkpoint, in the session's folder if it names one.
+
+    A checkpoint keeps the size that its plan was estimated at; joins multiply these, and in a loop
+    the number grows until planning takes all memory.  So the rows come back as a plain scan.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(at or "/tmp/checkpoints")
-    return df.checkpoint()
+    held = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(held.toJavaRDD(), held.schema()), spark)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -374,3 +374,13 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans whose write sets meet (here chains of eight), by iterated least labels."""
     return graph.components(table(spark, sf_dir, "events").where("event_id % 8 <> 7").select(F.col("event_id").alias("a"), (F.col("event_id") + 1).alias("b")))
+
+
+@query("write_set_components")
+def write_set_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose write sets (part and supplier of their lines) meet; no SQL, tests hold it against union-find."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), "l_partkey", "l_suppkey")
+    # Each writer of a row is tied to its least writer: as many edges as lines, whatever the group's size.
+    first = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("a").alias("b"))
+    alone = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_orderkey").alias("b"))
+    return graph.components(lines.join(first, ["l_partkey", "l_suppkey"]).select("a", "b").unionByName(alone))

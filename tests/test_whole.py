@@ -1,6 +1,14 @@
 """Queries over whole tables and operators without a bound, on small fixtures with exact values."""
 
+import os
+from collections import Counter
+
+import pytest
+
 from palimpsest import catalog
+from palimpsest.io import table
+
+SF = "/root/testdata/sf0.01"
 
 
 def _write(spark, folder, name, rows, schema):
@@ -21,3 +29,40 @@ def test_runs_are_compared_over_all_ids(spark, tmp_path):
     _write(spark, tmp_path, "events", [(i, u, t, f'{{"k": {k}}}') for i, u, t, k in events], "event_id long, user_id long, event_type string, props string")
     rows = catalog.queries()["run_vs_run_cases"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in rows) == [(1, 5, "shared"), (1, 6, "after_only"), (2, 5, "before_only")]
+
+
+def _union_find(orders, lines):
+    parent = {o: o for o in orders}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    first = {}
+    for o, *row in lines:
+        a, b = sorted((find(o), find(first.setdefault(tuple(row), o))))
+        parent[b] = a
+    return {o: find(o) for o in orders}
+
+
+def test_write_sets_meet_in_a_chain_and_a_hub(spark, tmp_path):
+    chain = [(o, 10 * o + d, 1) for o in range(200, 100, -1) for d in (0, 10)]
+    hub = [(o, 7, 7) for o in range(300, 500)] + [(o, o, 8) for o in range(300, 310)]
+    lines = [*chain, *hub, (600, 1, 1), (601, 1, 2), (601, 1, 2)]
+    orders = [*range(101, 201), *range(300, 500), 600, 601, 602]
+    _write(spark, tmp_path, "orders", [(o,) for o in orders], "o_orderkey long")
+    _write(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long")
+    got = {r.node: r.root for r in catalog.queries()["write_set_components"](spark, str(tmp_path)).collect()}
+    assert got == _union_find(orders, lines)
+    assert Counter(got.values()) == {101: 100, 300: 200, 600: 1, 601: 1, 602: 1}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_write_sets_of_the_tables(spark):
+    orders = [r[0] for r in table(spark, SF, "orders").select("o_orderkey").collect()]
+    lines = [tuple(r) for r in table(spark, SF, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").collect()]
+    got = {r.node: r.root for r in catalog.queries()["write_set_components"](spark, SF).collect()}
+    assert got == _union_find(orders, lines)
+    sizes = Counter(got.values())
+    assert max(sizes.values()) > 8

@@ -7,12 +7,16 @@ Versions of different conversations are independent, so every step joins on conv
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
 
 ACTIONS = ("ADD", "UPDATE", "MERGE", "DELETE", "SKIP")
+#: Rounds of the lineage whose frames are held apart before they become one.
+HELD_ROUNDS = 8
 DIFFED = ("subject", "predicate", "object_text", "content", "world_start", "world_end", "importance", "confidence", "memory_kind")
 
 VERSIONS = (
@@ -161,22 +165,23 @@ def changed_fields(pairs: dict[str, tuple[Column, Column]]) -> Column:
     return F.map_filter(F.map_from_arrays(names, values), lambda _, v: ~v["before"].eqNullSafe(v["after"]))
 
 
-def lineage(direct: DataFrame, parents: DataFrame, max_depth: int = 100) -> DataFrame:
+def lineage(direct: DataFrame, parents: DataFrame) -> DataFrame:
     """version_id, message_id, depth: every message a version rests on, by the shortest chain of parents.
 
     direct: version_id, message_id; parents: version_id, parent_version_id (acyclic).  Each round
-    adds one step and keeps the least depth, until nothing new is found.
+    adds one step and keeps the least depth, until nothing new is found.  As a pair is only ever
+    found once, a cycle ends too.
     """
-    found = direct.select("version_id", "message_id").distinct().withColumn("depth", F.lit(0))
-    edge = found
-    for step in range(1, max_depth + 1):
+    found = edge = direct.select("version_id", "message_id").distinct().withColumn("depth", F.lit(0))
+    for step in itertools.count(1):
         up = edge.withColumnRenamed("version_id", "parent_version_id")
         new = parents.join(up, "parent_version_id").select("version_id", "message_id", F.lit(step).alias("depth")).distinct()
         edge = cut(new.join(found, ["version_id", "message_id"], "left_anti"))
         if edge.isEmpty():
-            break
+            return found
         found = found.unionByName(edge)
-    return found
+        if step % HELD_ROUNDS == 0:  # else each round reads one more frame
+            found = cut(found)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

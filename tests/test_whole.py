@@ -7,6 +7,7 @@ import pytest
 
 from palimpsest import catalog
 from palimpsest.io import table
+from palimpsest.operators import store
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,3 +67,16 @@ def test_write_sets_of_the_tables(spark):
     assert got == _union_find(orders, lines)
     sizes = Counter(got.values())
     assert max(sizes.values()) > 8
+
+
+def test_lineage_has_no_depth_limit(spark):
+    direct = spark.createDataFrame([(0, 7)], "version_id long, message_id long").coalesce(1)
+    parents = spark.createDataFrame([(k + 1, k) for k in range(103)], "version_id long, parent_version_id long").coalesce(1)
+    got = {tuple(r) for r in store.lineage(direct, parents).collect()}
+    assert got == {(k, 7, k) for k in range(104)}
+
+
+def test_lineage_ends_on_a_cycle(spark):
+    direct = spark.createDataFrame([(0, 7)], "version_id long, message_id long")
+    parents = spark.createDataFrame([(1, 0), (2, 1), (0, 2)], "version_id long, parent_version_id long")
+    assert {tuple(r) for r in store.lineage(direct, parents).collect()} == {(0, 7, 0), (1, 7, 1), (2, 7, 2)}

@@ -111,26 +111,42 @@ def find_items(flat: str, items: tuple[Item, ...]) -> list[tuple[int, int, int,
     out = []
     for k, starts in sorted(diagonals.items()):
         item = items[k][1]
-        most, m = budget(len(item)), len(item)
-        taken = -1
-        for start in sorted(starts):
-            a = max(0, start - most)
-            if a < taken:  # inside a place that is already found
-                continue
-            if flat.startswith(item, max(0, start)) and start >= 0:
-                found = (0, start + m)
-            else:
-                best = myers(item, flat[a : start + m + most], most)
-                found = best and (best[0], a + best[1])
-            if found:
-                # From its end backwards, the place's start: the reversed pattern over the reversed text.
-                back = (0, m) if found[0] == 0 else myers(item[::-1], flat[max(0, found[1] - m - most) : found[1]][::-1], found[0])
-                begin = found[1] - (back[1] if back else m)
-                out.append((k, found[0], max(0, begin), found[1]))
-                taken = found[1]
+        out += [(k, *place) for place in _places(flat, item, sorted(starts))]
     return out
 
 
+def _places(flat: str, item: str, starts: list[int]) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of an item's places from the starts of its diagonals; of overlapping ones the least distance stays."""
+    most, m = budget(len(item)), len(item)
+    exact: list[int] = []
+    for start in starts:
+        if start >= 0 and flat.startswith(item, start) and (not exact or start >= exact[-1] + m):
+            exact.append(start)
+    found = {(0, s, s + m) for s in exact}
+    begins: dict[tuple[int, int], int] = {}
+    for start in starts:
+        # A place lies within ``most`` of its diagonal: between these two it must overlap the exact one.
+        near = exact[max(0, bisect.bisect_left(exact, start - m + most) - 1) :][:3]
+        if any(s - m + 2 * most < start < s + m - most for s in near):
+            continue
+        a = max(0, start - most)
+        best = myers(item, flat[a : start + m + most], most)
+        if best is None:
+            continue
+        distance, end = best[0], a + best[1]
+        if (distance, end) not in begins:
+            # From its end backwards, the place's start: the reversed pattern over the reversed text.
+            back = myers(item[::-1], flat[max(0, end - m - most) : end][::-1], distance)
+            begins[distance, end] = max(0, end - (back[1] if back else m))
+        found.add((distance, begins[distance, end], end))
+    kept: list[tuple[int, int, int]] = []
+    for place in sorted(found):
+        at = bisect.bisect(kept, place[1], key=lambda p: p[1])
+        if (not at or kept[at - 1][2] <= place[1]) and (at == len(kept) or place[2] <= kept[at][1]):
+            kept.insert(at, place)
+    return kept
+
+
 def blocks(benchmark: DataFrame) -> Iterator[tuple[Item, ...]]:
     """The normalised items (null and too short ones left out, equal texts once, least id first) in blocks of bounded size."""
     held: list[Item] = []

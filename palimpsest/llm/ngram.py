@@ -424,14 +424,15 @@ def links(verified: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """_key, doc_id, n_shingles, set and component_id of every row of docs (doc_id, text).
+    """_key, doc_id, n_shingles, set, component_id and root of every row of docs (doc_id, text).
 
     Two rows link when their sets' Jaccard similarity is at least SHARED / OF; component_id is
     the least doc_id reachable by links, the row's own included.  Null and empty texts and texts
     without words have an empty set, link with nothing and are their own component.  A null
     doc_id is a component's id only if all of the component's are null.  Repeated rows and equal
     texts are one component.  An empty table gives no rows; other columns only enter _key, the
-    hash that names a row up to its exact repeats.
+    hash that names a row up to its exact repeats.  root is the least set of the component, null
+    for an empty set: other than component_id it tells components apart whose doc_ids repeat.
     """
     width = shuffle_width(docs.sparkSession)
     member = saved(_membership(row_key(docs)))
@@ -452,8 +453,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected(edges)
     full = member.where("n > 0").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     best = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    columns = ["_key", "doc_id", F.col("n").alias("n_shingles"), "set", "component_id"]
-    alone = member.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    columns = ["_key", "doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root"]
+    alone = member.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
     return full.join(best, "root").select(*columns).unionByName(alone.select(*columns))
 
 
@@ -465,8 +466,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))).alias("x")
-    # All rows of a component without any doc_id share the null; their sets still tell them apart.
-    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set")).alias("set")).agg(first).select(F.col("x.key").alias("_key"), F.col("x.id").alias("_id"))
+    chosen = found.groupBy("root").agg(first).select(F.col("x.key").alias("_key"), F.col("x.id").alias("_id"))
     keyed = row_key(docs)
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     same = (F.col("_key") == F.col("_chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import saved, slices
 
 ERROR_PER_MILLE = 80
-#: Items with fewer characters after normalising say too little to accuse a text.
+#: Items with fewer characters after normalising are met exactly and as whole words only.
 MIN_ITEM_CHARS = 20
 BLOCK_BYTES = 4_000_000
 
@@ -43,7 +43,13 @@ def normalised(text: str) -> str:
 
 
 def budget(chars: int) -> int:
-    return chars * ERROR_PER_MILLE // 1000
+    return chars * ERROR_PER_MILLE // 1000 if chars >= MIN_ITEM_CHARS else 0
+
+
+def _whole(flat: str, start: int, end: int) -> bool:
+    """Whether neither edge of a place cuts a word; scripts written without spaces (from U+2E80 on) have no such edges."""
+    edge = lambda at: 0 < at < len(flat) and " " not in flat[at - 1 : at + 1] and max(flat[at - 1 : at + 1]) < "\u2e80"
+    return not edge(start) and not edge(end)
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -120,8 +126,10 @@ def _places(flat: str, item: str, starts: list[int]) -> list[tuple[int, int, int
     most, m = budget(len(item)), len(item)
     exact: list[int] = []
     for start in starts:
-        if start >= 0 and flat.startswith(item, start) and (not exact or start >= exact[-1] + m):
+        if start >= 0 and flat.startswith(item, start) and (not exact or start >= exact[-1] + m) and (m >= MIN_ITEM_CHARS or _whole(flat, start, start + m)):
             exact.append(start)
+    if not most:
+        return [(0, s, s + m) for s in exact]
     found = {(0, s, s + m) for s in exact}
     begins: dict[tuple[int, int], int] = {}
     for start in starts:
@@ -148,13 +156,13 @@ def _places(flat: str, item: str, starts: list[int]) -> list[tuple[int, int, int
 
 
 def blocks(benchmark: DataFrame) -> Iterator[tuple[Item, ...]]:
-    """The normalised items (null and too short ones left out, equal texts once, least id first) in blocks of bounded size."""
+    """The normalised items (null and empty ones left out, equal texts once, least id first) in blocks of bounded size."""
     held: list[Item] = []
     size = 0
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
         flat = normalised(text)
-        if len(flat) < MIN_ITEM_CHARS:
+        if not flat:
             continue
         held.append((item_id, flat))
         size += len(flat.encode())
@@ -183,8 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, item_chars, start and end of every place of an item in a text.
 
     Only rows with a hit are returned.  start and end are code points of the text (whole words).
-    Null and empty texts hold no item; null, empty and very short items (MIN_ITEM_CHARS) match
-    nothing; an item that repeats is reported under each of its ids; repeated rows are searched
+    Null and empty texts hold no item; null and empty items match nothing, very short ones
+    (MIN_ITEM_CHARS) only exactly and as whole words; an item that repeats is reported under each of its ids; repeated rows are searched
     each for itself; empty tables give no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -27,3 +27,12 @@ def test_a_repeated_piece_does_not_hide_an_exact_copy():
             text = "mn " + item + " mn " + item[1:]
             assert [p[0] for p in _found(text, item)] == [0, 1]
             assert (0, 3, 3 + len(item)) in _found(text, item)
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "What is 12 * 7?"), (2, "cat"), (3, "\u6c34\u306e\u5316\u5b66\u5f0f\u306f"), (4, "!?"), (5, None)]
+    docs = [(1, "He asked: what is  12 x 7? no, what is 12 7"), (2, "a concatenated category"), (3, "the Cat!"), (4, "\u554f\u984c\u6c34\u306e\u5316\u5b66\u5f0f\u306f\u4f55"), (5, "what is 12 78")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(frame, bench).collect()} == {(1, 1, 0), (3, 2, 0), (4, 3, 0)}
+    assert {r.doc_id for r in decontaminate.without_items(frame, bench).collect()} == {2, 5}

@@ -103,6 +103,31 @@ def iteration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.iteration_cases(*_runs(spark, sf_dir), ages)
 
 
+#: The same runs over all labels.
+WHOLE_SQL = RUNS_SQL.replace(" WHERE doc_id % 11 <> 0", "")
+
+
+def _whole_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "qa_id")
+    graded = lambda good: F.when(good, "C").otherwise("W").alias("label")
+    return labels.select("qa_id", graded(F.col("quality") == 1)), labels.select("qa_id", graded(F.col("toxic") == 0))
+
+
+@query("run_transition_whole", f"WITH {WHOLE_SQL} SELECT b.label AS label_before, a.label AS label_after, count(*) AS n FROM before b JOIN after a USING (qa_id) GROUP BY 1, 2")
+def run_transition_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.transitions(*_whole_runs(spark, sf_dir))
+
+
+@query(
+    "iteration_cases_whole",
+    f"WITH {WHOLE_SQL}, ages AS (SELECT doc_id AS qa_id, max(doc_id % 3) AS age FROM labels GROUP BY 1) "
+    "SELECT qa_id, b.label || '2' || a.label AS transition, CASE WHEN b.label = 'W' AND a.label = 'W' THEN coalesce(age, 0) + 1 WHEN b.label = 'C' AND a.label = 'W' THEN 1 ELSE 0 END AS failure_age FROM before b JOIN after a USING (qa_id) LEFT JOIN ages USING (qa_id) WHERE NOT (b.label = 'C' AND a.label = 'C')",
+)
+def iteration_cases_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ages = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("qa_id")).agg(F.max(F.col("doc_id") % 3).alias("age"))
+    return ev.iteration_cases(*_whole_runs(spark, sf_dir), ages)
+
+
 @query(
     "coverage_fraction",
     "SELECT l_suppkey AS skill_id, round(avg(CASE WHEN l_discount >= 0.055 THEN 1.0 ELSE 0.0 END), 6) AS coverage, max_by(l_orderkey, l_extendedprice * 1000000 - l_orderkey) AS best FROM lineitem GROUP BY l_suppkey",

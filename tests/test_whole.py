@@ -80,3 +80,10 @@ def test_lineage_ends_on_a_cycle(spark):
     direct = spark.createDataFrame([(0, 7)], "version_id long, message_id long")
     parents = spark.createDataFrame([(1, 0), (2, 1), (0, 2)], "version_id long, parent_version_id long")
     assert {tuple(r) for r in store.lineage(direct, parents).collect()} == {(0, 7, 0), (1, 7, 1), (2, 7, 2)}
+
+
+def test_runs_keep_every_label(spark, tmp_path):
+    _write(spark, tmp_path, "labels", [(k, 0, 1) for k in range(33)], "doc_id long, quality int, toxic int")
+    found = catalog.queries()
+    assert [tuple(r) for r in found["run_transition_whole"](spark, str(tmp_path)).collect()] == [("W", "W", 33)]
+    assert {(r.qa_id, r.failure_age) for r in found["iteration_cases_whole"](spark, str(tmp_path)).collect()} == {(k, k % 3 + 1) for k in range(33)}

@@ -6,17 +6,23 @@ order.  The order used is (frequent elements last, hash), where the frequent one
 over all documents; it only steers the cost, any order gives the same links.
 
 1. membership: each row's set and its size.
-2. frequency: counts of the elements in the lower half of the hash space, where prefixes lie.
-3. postings: prefix elements with set, size and position, dealt by element.  Lists are sorted by
-   set size; comparisons stop at the block where the sizes part.  Short lists give their pairs;
-   the number of prefix elements that a pair shares, summed over all lists, bounds its overlap.
-   Long lists give stars: per size class the set with the element at the earliest position
-   leads, and each set is compared with the leaders of its class and the next lower one.
-4. verification of the pairs by the sets themselves, then components.
-5. In long lists only pairs across components remain.  Of these, positions that leave too few
-   common elements are skipped, and what the leaders' answers decide is not asked again:
-   |y & z| <= min(|x & y|, |x & z|) + min(|y| - |x & y|, |z| - |x & z|) for a leader x that was
-   compared with both.  Where a link stays possible, 4 decides.
+2. frequency: counts of all elements.
+3. postings: prefix elements with set, size and position, dealt by element.  An element's position
+   says how large a partner may be that meets the set there first (``reach``): two sets of a list
+   need a look only if each is within the other's reach.  Entries that no other reaches are
+   skipped with their list.  Short lists give their pairs; the number of prefix elements that a
+   pair shares, summed over all lists, bounds its overlap.  Long lists give stars: per size class
+   the set with the element at the earliest position leads, and each set is compared with the
+   leaders of its class and the next lower one.
+4. verification by the sets themselves: of each pair the set with more partners (a leader, as a
+   rule) is sent once for a block of them.  The answer holds the overlap and, as bit tables, what
+   the partner lacks of the leader and has beside it.  Then components.
+5. In long lists only pairs across components remain.  A list is dealt out in blocks of outsiders
+   (sets outside its largest component) and members.  Within one, members lie in blocks by size
+   and reach, and blocks out of an outsider's reach are skipped as a whole.  For the rest the
+   answers of y and z against their leader x give the answer of y against z:
+   |y & z| <= |x| - |(x - y) | (x - z)| + |(y - x) & (z - x)|, both terms bounded by the bit tables.
+   Only where a link stays possible, 4 decides.
 
 So the large groups of near copies cost a star each, no document is dropped, and no list of
 documents or links reaches the driver.  What is broadcast is bounded: at most ``HOT_ELEMENTS``
@@ -48,6 +54,14 @@ SHORT_LIST = 8
 #: Elements that a task holds before it deals them out.
 BLOCK_ELEMENTS = 1_000_000
 BLOOM_BITS = 1 << 26
+#: Partners that are compared with one sending of a leader, outsiders and members of a list that meet in one task.
+HUB_BLOCK = 1024
+OUTSIDERS, MEMBERS = 2048, 65536
+#: Entries of a list that are skipped together, and pairs that a task looks at at once.
+SKIP_BLOCK = 64
+LOOK = 1 << 17
+#: Bits of the table of what a set has beside its leader, and of that of what it lacks.
+DIFF_BITS = 256
 #: Bytes of an element's hash that postings carry; the sets themselves are compared by all 8.
 ELEMENT_BYTES = 6
 SHIFT = np.uint64(64 - 8 * ELEMENT_BYTES)
@@ -89,6 +103,11 @@ def needed(total):
     return -(-SHARED * total // (SHARED + OF))
 
 
+def reach(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The largest size of a set that may link with one of n elements and meets it first at position pos."""
+    return (SHARED + OF) * (n - pos) // SHARED - n
+
+
 def row_key(docs: DataFrame) -> DataFrame:
     """docs with a hash of all their columns, which with doc_id names a row up to its exact repeats."""
     return docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes]))
@@ -133,13 +152,11 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
 
 def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent elements (as postings carry them), in order, and their counts."""
-    half = np.uint64(1 << (8 * ELEMENT_BYTES - 1))
-    scale = np.uint64(-(-(1 << (8 * ELEMENT_BYTES - 1)) // width))
+    scale = np.uint64(-(-(1 << (8 * ELEMENT_BYTES)) // width))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches):
-            e = np.concatenate(sets) >> SHIFT
-            e = np.sort(e[e < half])
+            e = np.sort(np.concatenate(sets) >> SHIFT)
             yield from _dealt(e // scale, width, [(e, ELEMENT_BYTES)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,26 +209,28 @@ def _summed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, direct
     return a[at], b[at], na[at], nb[at], np.diff(np.append(at, len(a)))
 
 
-def _near(group: np.ndarray, n: np.ndarray, longest: int, live: np.ndarray, way: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i from live, j) within one list (equal group, sorted by n) whose sizes allow a link.
-
-    Step d compares each entry with the one d places on (way 1) or back (way -1).  An entry whose
-    partner's size is out of reach is done with its list: the sizes further on part even more.
-    """
+def _near(group: np.ndarray, n: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within one list (equal group, sorted by n, at most ``longest`` entries) whose sizes allow a link."""
+    live = np.arange(len(group))
     for d in range(1, longest):
-        at = live + way * d
-        ok = (at >= 0) & (at < len(group))
-        live, at = live[ok], at[ok]
-        small, large = (live, at) if way > 0 else (at, live)
-        ok = (group[live] == group[at]) & (n[small] >= least_shared(n[large]))
-        live, at = live[ok], at[ok]
+        live = live[live + d < len(group)]
+        live = live[(group[live] == group[live + d]) & (n[live] >= least_shared(n[live + d]))]
         if not len(live):
             return
-        yield live, at
+        yield live, live + d
+
+
+def _reached(e: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """For each entry of lists (sorted by e and n) whether an entry within its reach reaches it."""
+    group = (np.cumsum(np.append(True, e[1:] != e[:-1])) - 1) << 34
+    far = group + reach(n, pos)
+    up_to = np.searchsorted(group + n, far, side="right")
+    best = np.append(-1, np.maximum.accumulate(far))  # groups rise, so what lies in an earlier list never counts
+    return best[up_to] >= group + n
 
 
 def _candidates(rows: DataFrame, width: int) -> DataFrame:
-    """Kind 0: pairs of short lists with the number of prefix elements they share there; 1: pairs of leader (a) and member (b); 2: members of long lists (a: set, b: element, na: size, nb: position)."""
+    """Kind 0: pairs of short lists with the number of prefix elements they share there; 1: pairs of leader (a) and member (b); 2: members of long lists (a: set, b: element, na: size, nb: position); 3: entries of a set (a) in long lists (c)."""
     hot, often = _frequent(rows, width)
     shared = rows.sparkSession.sparkContext.broadcast((hot, often))
     scale = np.uint64(-(-(1 << (8 * ELEMENT_BYTES)) // width))
@@ -255,8 +274,18 @@ def _candidates(rows: DataFrame, width: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else np.zeros(0, int)
         size = np.diff(np.append(starts, len(e)))
         long = np.repeat(size > SHORT_LIST, size)
+        if long.any():
+            entries = np.unique(names[long], return_counts=True)
+            none = np.zeros(len(entries[0]))
+            yield from _pair_batch(3, entries[0], none, none, none, entries[1])
+            kept = ~long
+            kept[long] = _reached(e[long], n[long], pos[long])
+            e, names, n, pos = e[kept], names[kept], n[kept], pos[kept]
+            starts = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else np.zeros(0, int)
+            size = np.diff(np.append(starts, len(e)))
+            long = np.repeat(size > SHORT_LIST, size)
         short = np.flatnonzero(~long)
-        found = [(short[i], short[j]) for i, j in _near(e[short], n[short], SHORT_LIST, np.arange(len(short)))]
+        found = [(short[i], short[j]) for i, j in _near(e[short], n[short], SHORT_LIST)]
         if found:
             i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             yield from _pair_batch(0, *_summed(names[i], names[j], n[i], n[j]))
@@ -319,11 +348,23 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mapped(docs.select("text"), keep, "set long, text string").groupBy("set").agg(F.first("text").alias("text"))
 
 
+def _bits(elements: np.ndarray) -> bytes:
+    held = np.zeros(DIFF_BITS, bool)
+    held[(elements & np.uint64(DIFF_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, na, nb, o (their overlap) of distinct pairs of sets (a, b)."""
+    """hub, spoke, na, nb (their sizes), o (overlap), more, less (bit tables of spoke - hub and hub - spoke) of distinct pairs of sets (a, b)."""
     width = shuffle_width(docs.sparkSession)
     pairs = saved(pairs.select("a", "b").distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set"), "a", "b")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("k"))
+    sides = pairs.join(degree.select(F.col("set").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("set").alias("b"), F.col("k").alias("kb")), "b")
+    a_leads = (F.col("ka") > F.col("kb")) | (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b"))
+    sides = sides.select(F.when(a_leads, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_leads, F.col("b")).otherwise(F.col("a")).alias("set"), F.greatest("ka", "kb").alias("k"))
+    spokes = saved(sides.select("hub", "set", F.pmod(F.xxhash64("set"), F.ceil(F.col("k") / HUB_BLOCK)).alias("part")))
+    hubs = spokes.select("hub", F.col("hub").alias("set"), "part").distinct()
+    asked = hubs.withColumn("side", F.lit(0)).unionByName(spokes.withColumn("side", F.lit(1)))
     texts = _texts(docs, asked.select("set").distinct())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,76 +375,139 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 if name != last:
                     last, blob = name, shingles(text).tobytes()
                 blobs.append(blob)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(blobs, pa.binary())], names=["a", "b", "blob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(blobs, pa.binary())], names=["hub", "part", "side", "set", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        x = np.zeros(0, np.uint64)
         for batch in slices(batches):
             out = []
-            for a, b, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[:2] == (a, b):
-                    x, y = np.frombuffer(held[2], np.uint64), np.frombuffer(blob, np.uint64)
-                    out.append((a, b, len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-                    held = None
-                else:
-                    held = (a, b, blob)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["a", "b", "na", "nb", "o"])
-
-    sent = mapped(texts.join(asked, "set").select("set", "text", "a", "b"), send, "a long, b long, blob binary")
-    met = sent.repartition(width, "a", "b").sortWithinPartitions("a", "b")
-    return saved(mapped(met, compare, "a long, b long, na long, nb long, o long"))
+            for hub, _, side, name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                y = np.frombuffer(blob, np.uint64)
+                if not side:
+                    x = y
+                    continue
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                hit = x[at] == y
+                lacks = np.ones(len(x), bool)
+                lacks[at[hit]] = False
+                out.append((hub, name, len(x), len(y), int(hit.sum()), _bits(y[~hit]), _bits(x[lacks])))
+            columns = [[r[k] for r in out] for k in range(7)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.binary()) for c in columns[5:])], names=["hub", "spoke", "na", "nb", "o", "more", "less"])
+
+    sent = mapped(texts.join(asked, "set").select("set", "text", "hub", "part", "side"), send, "hub long, part long, side int, set long, blob binary")
+    met = sent.repartition(width, "hub", "part").sortWithinPartitions("hub", "part", "side")
+    return saved(mapped(met, compare, "hub long, spoke long, na long, nb long, o long, more binary, less binary"))
+
+
+#: Columns of a list's entries as they meet: the whole numbers, then the bit tables.
+ENTRY = ("e", "part", "block", "side", "set", "n", "far", "root", "outside", "hub", "nx", "o")
+
+
+def _asked_pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Names and sizes of the pairs of outsiders x and members y of one list that nothing rules out."""
+    order = np.lexsort((-y["far"], y["n"]))
+    y = {k: v[order] for k, v in y.items()}
+    starts = np.arange(0, len(order), SKIP_BLOCK)
+    least, most = y["n"][starts], np.maximum.reduceat(y["far"], starts)
+    step = max(1, LOOK // len(order))
+    for at in range(0, len(x["n"]), step):
+        u = {k: v[at : at + step] for k, v in x.items()}
+        # Blocks out of an outsider's reach, or that do not reach it, are skipped as a whole.
+        i, block = np.nonzero((least[None, :] <= u["far"][:, None]) & (most[None, :] >= u["n"][:, None]))
+        j = (starts[block][:, None] + np.arange(SKIP_BLOCK)).ravel()
+        i = np.repeat(i, SKIP_BLOCK)
+        i, j = i[j < len(order)], j[j < len(order)]
+        ok = (y["n"][j] <= u["far"][i]) & (y["far"][j] >= u["n"][i]) & (u["root"][i] != y["root"][j])
+        ok &= (y["outside"][j] == 0) | (u["set"][i] < y["set"][j])  # two outsiders meet twice
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        # What the answers against a common leader tell.
+        oi, oj, ni, nj = u["o"][i], y["o"][j], u["n"][i], y["n"][j]
+        bits = lambda z: np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+        mi, mj = u["more"][i], y["more"][j]
+        common = np.minimum(np.minimum(oi, oj), u["nx"][i] - bits(u["less"][i] | y["less"][j]))
+        beside = np.minimum(ni - oi - bits(mi & ~mj), nj - oj - bits(mj & ~mi))
+        told = (u["hub"][i] == y["hub"][j]) & (oi >= 0) & (oj >= 0)
+        ok = ~told | (common + beside >= needed(ni + nj))
+        yield u["set"][i[ok]], y["set"][j[ok]], ni[ok], nj[ok]
 
 
 def _across(lists: DataFrame, known: DataFrame, roots: DataFrame, width: int) -> DataFrame:
     """Pairs of long lists whose sets lie in different components and that positions and the leaders' answers leave open.
 
-    lists: set, e, n, pos; known: set, leader, o (overlap with the leader), one leader for each set.
+    lists: set, e, n, pos; known: set, hub, nx (its size), o (overlap with it), more, less; one hub for each set.
     """
-    placed = lists.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").join(known, "set", "left")
-    placed = placed.select("e", "set", "n", "pos", F.coalesce("root", "set").alias("root"), F.coalesce("leader", F.lit(0)).alias("leader"), F.coalesce("o", F.lit(-1)).alias("o"))
+    placed = lists.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    placed = placed.withColumn("far", F.expr(f"{SHARED + OF} * (n - pos) div {SHARED} - n"))
+    # Within a list's largest component nothing is left to ask: the sets outside it, if any, ask all others.
+    sizes = placed.groupBy("e", "root").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("e").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("inside")).where("all > inside")
+    main = main.select("e", "main", F.ceil((F.col("all") - F.col("inside")) / OUTSIDERS).alias("parts"), F.ceil(F.col("all") / MEMBERS).alias("blocks"))
+    held = placed.join(main, "e").join(known, "set", "left")
+    none = F.lit(bytes(DIFF_BITS // 8))
+    own = F.xxhash64("set")
+    held = held.select(
+        "e", "set", "n", "far", "root", (F.col("root") != F.col("main")).cast("long").alias("outside"), F.coalesce("hub", F.lit(0)).alias("hub"), F.coalesce("nx", F.lit(0)).alias("nx"),
+        F.coalesce("o", F.lit(-1)).alias("o"), F.coalesce("more", none).alias("more"), F.coalesce("less", none).alias("less"), "parts", "blocks",
+    )
+    outsiders = held.where("outside = 1").withColumn("part", F.pmod(own, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(0).cast("long"))
+    members = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", F.pmod(own, "blocks")).withColumn("side", F.lit(1).cast("long"))
+    columns = [*ENTRY, "more", "less"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
-            return
-        e, name, n, pos, root, leader, o = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(7))
-        order = np.lexsort((name, n, e))
-        e, name, n, pos, root, leader, o = (x[order] for x in (e, name, n, pos, root, leader, o))
-        # Sets outside their list's largest component ask all others; within it nothing is left to ask.
-        by = np.lexsort((root, e))
-        new = np.append(True, (e[by][1:] != e[by][:-1]) | (root[by][1:] != root[by][:-1])) if len(e) else np.zeros(0, bool)
-        run_at = np.flatnonzero(new)
-        run_size = np.diff(np.append(run_at, len(e)))
-        largest = run_at[np.lexsort((run_size, e[by][run_at]))]
-        last = np.append(e[by][largest][1:] != e[by][largest][:-1], True) if len(largest) else np.zeros(0, bool)
-        lists, main = e[by][largest[last]], root[by][largest[last]]
-        outside = root != main[np.searchsorted(lists, e)] if len(e) else np.zeros(0, bool)
-        live = np.flatnonzero(outside)
+        def asked(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+            """Of whole lists (e, part, block)."""
+            batch = pa.Table.from_batches(rows).combine_chunks()
+            x = {c: batch.column(c).to_numpy() for c in ENTRY}
+            for c in ("more", "less"):
+                x[c] = np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, DIFF_BITS // 64)
+            change = np.any([x[c][1:] != x[c][:-1] for c in ("e", "part", "block", "side")], axis=0)
+            ends = np.append(np.flatnonzero(change) + 1, len(x["e"]))
+            for at, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
+                if x["side"][a] == 1 and at and x["side"][a - 1] == 0:
+                    first = int(ends[at - 2]) if at > 1 else 0
+                    if all(x[c][a] == x[c][a - 1] for c in ("e", "part", "block")):
+                        yield from _asked_pairs({k: v[first:a] for k, v in x.items()}, {k: v[a:b] for k, v in x.items()})
+
+        def whole() -> Iterator[list[pa.RecordBatch]]:
+            """Batches cut where a list ends."""
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key = np.stack([batch.column(k).to_numpy() for k in range(3)])
+                ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+                if held:
+                    last = held[-1].slice(held[-1].num_rows - 1)
+                    if any(last.column(k)[0].as_py() != key[k, 0] for k in range(3)):
+                        yield held
+                        held = []
+                if len(ends):
+                    yield [*held, batch.slice(0, int(ends[-1]))]
+                    held = [batch.slice(int(ends[-1]))]
+                else:
+                    held.append(batch)
+            if held:
+                yield held
 
         found: list[tuple] = []
         count = 0
-        for way in (1, -1):
-            for i, j in _near(e, n, len(e) + 1, live, way):
-                ok = root[i] != root[j]
-                if way < 0:  # two outsiders met on the way on
-                    ok &= ~outside[j]
-                # The first element that two sets share must leave room for all that they need.
-                want = needed(n[i] + n[j])
-                ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= want
-                told = (leader[i] == leader[j]) & (o[i] >= 0) & (o[j] >= 0)
-                ok &= ~told | (np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j]) >= want)
-                found.append((name[i[ok]], name[j[ok]], n[i[ok]], n[j[ok]]))
-                count += int(ok.sum())
-                if count > 4_000_000:  # bounds what a task holds
+        for rows in whole():
+            for pair in asked(rows):
+                found.append(pair)
+                count += len(pair[0])
+                if count > 1_000_000:  # bounds what a task holds
                     yield from _pair_batch(0, *_summed(*(np.concatenate([f[k] for f in found]) for k in range(4))))
                     found, count = [], 0
         if count:
             yield from _pair_batch(0, *_summed(*(np.concatenate([f[k] for f in found]) for k in range(4))))
 
-    return mapped(placed.repartition(width, "e"), run, PAIRS)
+    met = outsiders.select(*columns).unionByName(members.select(*columns)).repartition(width, "e", "part", "block").sortWithinPartitions("e", "part", "block", "side")
+    return mapped(met, run, PAIRS)
 
 
-def _enough(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+def _enough(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs of short lists whose shared prefix elements leave room for the overlap that they need.
 
     All common elements up to the end of the prefix that ends first lie in both prefixes, so the
@@ -412,7 +516,7 @@ def _enough(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """
     part = lambda n: F.ceil(F.col(n) * SHARED / OF) - 1  # noqa: E731  what follows the prefix
     summed = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    uncounted = lists.groupBy(F.col("a").alias("set")).agg(F.count("*").alias("k"))
+    uncounted = entries.groupBy(F.col("a").alias("set")).agg(F.sum("c").alias("k"))
     for side in "ab":
         summed = summed.join(uncounted.select(F.col("set").alias(side), F.col("k").alias(f"k{side}")), side, "left")
     most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(part("na"), part("nb"))
@@ -420,7 +524,7 @@ def _enough(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def links(verified: DataFrame) -> DataFrame:
-    return verified.where(OF * F.col("o") >= SHARED * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    return verified.where(OF * F.col("o") >= SHARED * (F.col("na") + F.col("nb") - F.col("o"))).select(F.col("hub").alias("a"), F.col("spoke").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -437,17 +541,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     width = shuffle_width(docs.sparkSession)
     member = saved(_membership(row_key(docs)))
     found = _candidates(docs, width)
-    small, star, lists = (found.where(F.col("kind") == k) for k in range(3))
-    star = star.select(F.col("a").alias("leader"), F.col("b").alias("set"), F.col("na").alias("n_leader"), F.col("nb").alias("n"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = _verified(docs, _enough(small, lists).select("a", "b").unionByName(star.select("a", "b")))
+    small, star, lists, entries = (found.where(F.col("kind") == k) for k in range(4))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = _verified(docs, _enough(small, entries).select("a", "b").unionByName(star))
     edges = links(first)
-    if not star.isEmpty():
+    members = lists.select(F.col("a").alias("set"), F.col("b").alias("e"), F.col("na").alias("n"), F.col("nb").alias("pos"))
+    if not members.isEmpty():
         roots = saved(connected(edges))
-        known = star.join(first.select("a", "b", "o"), ["a", "b"]).select("leader", "set", "o")
-        itself = star.select("leader", F.col("leader").alias("set"), F.col("n_leader").alias("o")).distinct()
-        nearest = known.unionByName(itself).groupBy("set").agg(F.max_by(F.struct("leader", "o"), F.struct("o", "leader")).alias("x")).select("set", "x.leader", "x.o")
-        members = lists.select(F.col("a").alias("set"), F.col("b").alias("e"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-        across = saved(_across(members, nearest, roots, width).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        # Of a set's hubs the one that most sets have been compared with, so that many share it; a hub is its own.
+        hubs = first.groupBy("hub").agg(F.count("*").alias("k"), F.first("na").alias("nx"))
+        answers = first.select("hub", F.col("spoke").alias("set"), "o", "more", "less").join(hubs, "hub")
+        none = F.lit(bytes(DIFF_BITS // 8))
+        answers = answers.unionByName(hubs.select("hub", F.col("hub").alias("set"), F.col("nx").alias("o"), none.alias("more"), none.alias("less"), "k", "nx"))
+        known = answers.groupBy("set").agg(F.max_by(F.struct("hub", "nx", "o", "more", "less"), F.struct("k", "hub")).alias("x")).select("set", "x.*")
+        asked = _across(members, known, roots, width).select("a", "b").distinct()
+        told = first.select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"))
+        across = saved(asked.join(told, ["a", "b"], "left_anti"))
         if not across.isEmpty():
             edges = edges.unionByName(links(_verified(docs, across)))
     roots = connected(edges)

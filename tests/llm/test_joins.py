@@ -77,6 +77,62 @@ def test_join_matches_all_pairs(spark, seed, monkeypatch):
     assert got == _components(rows)
 
 
+def _large_group(n, seed=8):
+    """Copies of one text with 0 to 45 per cent of its words changed, and copies of one of the copies."""
+    rnd = random.Random(seed)
+    word = lambda: f"v{rnd.randrange(100_000)}"
+    base = [word() for _ in range(70)]
+    other = [word() if rnd.random() < 0.12 else w for w in base]
+    out = []
+    for k in range(n):
+        t = list(other if k % 4 == 0 else base)
+        for _ in range(rnd.randrange(10)):
+            t[rnd.randrange(len(t))] = word()
+        out.append(" ".join(t[: rnd.choice([70, 70, 70, 66, 60])]))
+    return list(enumerate(out))
+
+
+def _components_at_once(texts):
+    """_components for many texts: all pairs by one product of matrices."""
+    sets = [_shingles(t) for t in texts]
+    at = {s: k for k, s in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [at[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    near = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    root = np.arange(len(sets))
+    while True:
+        now = np.where(near, root[None, :], len(sets)).min(axis=1)
+        if (now == root).all():
+            return Counter((k, len(s), int(root[k])) for k, s in enumerate(sets))
+        root = now
+
+
+@pytest.mark.parametrize("blocks", [(1024, 2048, 65536, 64), (16, 50, 300, 8)])
+def test_join_of_a_large_group(spark, blocks, monkeypatch):
+    for name, value in zip(("HUB_BLOCK", "OUTSIDERS", "MEMBERS", "SKIP_BLOCK"), blocks, strict=True):
+        monkeypatch.setattr(ngram, name, value)
+    if blocks[0] == 16:
+        monkeypatch.setattr(ngram, "HOT_ELEMENTS", 5)  # most common elements stand anywhere in the order
+        monkeypatch.setattr(ngram, "LOOK", 1000)
+    rows = _large_group(2500 if blocks[0] == 1024 else 800)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram.near_duplicates(docs).collect())
+    assert got == _components_at_once([t for _, t in rows])
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 60), st.integers(0, 20)), min_size=1, max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_entries_out_of_reach(entries):
+    entries = sorted((e, n, min(p, n - int(ngram.least_shared(n)))) for e, n, p in entries)
+    e, n, pos = (np.array(x) for x in zip(*entries, strict=True))
+    far = ngram.reach(n, pos)
+    assert all(f == max(m for m in range(400) if ngram.needed(a + m) <= a - p) for f, a, p in zip(far.tolist(), n.tolist(), pos.tolist(), strict=True))
+    want = [any(e[i] == e[j] and n[j] <= far[i] and n[i] <= far[j] for j in range(len(e))) for i in range(len(e))]
+    assert ngram._reached(e, n, pos).tolist() == want
+
+
 def test_join_on_awkward_rows(spark):
     docs = corpus.frame(spark)
     rows = [(r[0], r[1]) for r in corpus.rows()]

@@ -97,7 +97,8 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    length = F.array(F.greatest(norm(v), F.lit(1e-12)))  # taken once, not for each place
+    return F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def dot(a: Column, b: Column) -> Column:

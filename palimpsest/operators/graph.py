@@ -16,6 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder of one machine would lose checkpoints with its executor")
         sc.setCheckpointDir(at or "/tmp/checkpoints")
     held = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.createDataFrame(held.toJavaRDD(), held.schema()), spark)

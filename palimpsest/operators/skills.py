@@ -9,9 +9,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPERATIONS = ("ADD_SKILL", "REVISE_SKILL", "APPEND_CONTENT", "REPLACE_CONTENT", "REMOVE_CONTENT", "MERGE_SKILLS", "RETIRE_SKILL", "NO_CHANGE")
+# The operations, the weights of scores and vectors, the bounds of a payload and its wording.
+OPERATIONS = ("add_skill", "rename_skill", "update_description", "add_content", "update_content", "delete_content", "move_content", "delete_skill")
 SEMANTIC_SHARE, LEXICAL_SHARE = 0.70, 0.30
+DESCRIPTION_SHARE, CONTENT_SHARE, WORDS_SHARE = 0.50, 0.30, 0.20
+DESCRIPTION_WEIGHT, CONTENT_WEIGHT, SOLVES_WEIGHT = 0.45, 0.35, 0.20
+PER_CANDIDATE, GUARANTEED, BANK_CONTEXT, COVERED = 5, 2, 25, 0.55
 MAX_ITERATIONS = 50
+BROADCAST_CENTROIDS = 10_000
+#: Points that one task clusters, and parts that a larger bucket is dealt to in a round.
+GROUP_POINTS, PARTS = 4000, 16
+NAME_CHARS, DESCRIPTION_CHARS, CONTENT_CHARS, ITEM_CHARS, MAX_ITEMS = 60, 200, 600, 200, 3
+SYSTEM_IDS = r"(?i)(mem_\w+_v\d+|conv\d+_s\d+_m\d+|msg_\w+|cand_\w+|failure_\w+|skill_\w+|sk_\w+_v\d+)"
+NARRATIVE = ("the question asked", "the user said", "the answer should have been", "this specific case")
+TRIGGERS = ("when", "if", "use", "apply", "before", "during")
+UNSUPPORTED_KIND = r"(?i)(?:memory_kind|memory kind|memories? of type)\s*[=:]?\s*['\"]?(metric|attribute|fact|intention)\b"
+ORDERED_ANSWER = r"\b(?:return|answer|output|respond(?: with)?)\b[^.\n]{0,60}"
+GUESSED_PLACE = r"(?i)\b(all plausible (?:locations|options)|automatically determine (?:its |the )?(?:typical )?geographic location)\b"
 
 
 def route(ranked: DataFrame, top_k: int, disclose_k: int, min_score: float, min_semantic: float, margin: float) -> DataFrame:
@@ -30,6 +44,96 @@ def route(ranked: DataFrame, top_k: int, disclose_k: int, min_score: float, min_
     return led.join(best, "query_id", "left_semi").where(F.col("place") <= top_k + disclose_k).select("query_id", "skill_id", F.col("place").alias("rank"), band.alias("band"))
 
 
+def embedding_text(name: Column, description: Column) -> Column:
+    return F.concat(name, F.lit(". "), description)
+
+
+def ranked_skills(skills: DataFrame, segments: DataFrame, tokens) -> DataFrame:
+    """query_id, skill_id, score, semantic, lexical of every skill of a query's side.
+
+    skills: side, skill_id, name, description, v; segments: side, query_id, part, text, v.  Only
+    name and description count, since they say when a skill applies.  Semantic is the largest
+    cosine, lexical the largest bounded BM25 over the segments; the bank of a side is the stated
+    side of the pairs.  A query without segments has no rows.
+    """
+    from ..functions.scalars import cosine
+    from . import retrieval as rt
+
+    docs = skills.select(F.col("side").alias("scope"), F.col("skill_id").alias("doc_id"), tokens(embedding_text(F.col("name"), F.col("description"))).alias("t"))
+    asked = segments.select(F.col("side").alias("scope"), F.struct("query_id", "part").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("q"))
+    words = rt.bm25(docs, asked, F.col("t"), F.col("q"), distinct_query=True).join(asked.select("scope", "query_id", F.size("q").alias("n")), ["scope", "query_id"])
+    lexical = rt.bounded_bm25(words, F.col("n")).groupBy(F.col("scope").alias("side"), F.col("query_id.query_id").alias("query_id"), F.col("doc_id").alias("skill_id")).agg(F.max("score").alias("lexical"))
+    pairs = segments.select("side", "query_id", F.col("v").alias("q")).join(skills.select("side", "skill_id", "v"), "side")
+    semantic = pairs.groupBy("side", "query_id", "skill_id").agg(F.max(cosine(F.col("q"), F.col("v"))).alias("semantic"))
+    both = semantic.join(lexical, ["side", "query_id", "skill_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    return both.select("query_id", "skill_id", (SEMANTIC_SHARE * F.col("semantic") + LEXICAL_SHARE * F.col("lexical")).alias("score"), "semantic", "lexical")
+
+
+def first_stage(ranked: DataFrame, candidate_k: int, top_k: int, disclose_k: int) -> DataFrame:
+    """The ``max(candidate_k, top_k + disclose_k)`` best skills of each query with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "skill_id")
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(candidate_k, top_k + disclose_k))
+
+
+def reranked(shown: DataFrame, verdicts: DataFrame, most: int, side: str) -> DataFrame:
+    """query_id, place, skill_id, reason of a reranker's valid choices, at most ``most``; none for a query without any.
+
+    shown: query_id, skill_id; verdicts: query_id, seq, skill_id, reason, trigger_evidence,
+    unresolved_gap.  A choice counts if it was shown, comes for the first time, gives its reason
+    and trigger (on the access side also the gap) and does not argue against itself.
+    """
+    said = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("reason", "trigger_evidence", "unresolved_gap")])
+    given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    valid = given("reason") & given("trigger_evidence") & (given("unresolved_gap") if side == "access" else F.lit(True))
+    valid = valid & ~said.rlike(r"(?i)\b(?:does not|doesn't|not applicable|no gap|already complete|fully supports)\b")
+    ok = verdicts.where(valid).join(shown.select("query_id", "skill_id").distinct(), ["query_id", "skill_id"], "left_semi")
+    first = ok.groupBy("query_id", "skill_id").agg(F.min_by(F.struct("seq", "reason"), "seq").alias("x"))
+    w = Window.partitionBy("query_id").orderBy("x.seq", "skill_id")
+    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query_id", "place", "skill_id", "x.reason")
+
+
+def batch_scores(candidates: DataFrame, skills: DataFrame, tokens) -> DataFrame:
+    """batch_id, candidate_id, skill_id, description, content, lexical, score of all skills for each candidate of a batch.
+
+    candidates: side, batch_id, candidate_id, words, description_v, content_v; skills: side,
+    skill_id, words, description_v, content_v.  Cosines lie within -1 and 1, lexical is BM25 over
+    the candidate's best.
+    """
+    from ..functions.scalars import cosine
+    from . import retrieval as rt
+
+    docs = skills.select(F.col("side").alias("scope"), F.col("skill_id").alias("doc_id"), tokens(F.col("words")).alias("t"))
+    key = F.struct("batch_id", "candidate_id")
+    asked = candidates.select(F.col("side").alias("scope"), key.alias("query_id"), tokens(F.col("words")).alias("q"))
+    lexical = rt.row_max_bm25(rt.bm25(docs, asked, F.col("t"), F.col("q"), distinct_query=True)).select(F.col("query_id").alias("key"), F.col("doc_id").alias("skill_id"), F.col("score").alias("lexical"))
+    own = candidates.select("side", key.alias("key"), F.col("description_v").alias("d"), F.col("content_v").alias("c"))
+    pairs = own.join(skills.select("side", "skill_id", "description_v", "content_v"), "side")
+    pairs = pairs.select("key", "skill_id", cosine(F.col("d"), F.col("description_v")).alias("description"), cosine(F.col("c"), F.col("content_v")).alias("content"))
+    both = pairs.join(lexical, ["key", "skill_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    score = DESCRIPTION_SHARE * F.col("description") + CONTENT_SHARE * F.col("content") + WORDS_SHARE * F.col("lexical")
+    return both.select("key.*", "skill_id", "description", "content", "lexical", F.round(score, 9).alias("score"))
+
+
+def batch_relations(scored: DataFrame, forced: DataFrame, guaranteed: int = GUARANTEED, per_candidate: int = PER_CANDIDATE, total: int = BANK_CONTEXT) -> DataFrame:
+    """The scores of the skills that a batch shows, with the rank for the candidate and whether it asked for the skill itself.
+
+    scored: batch_id, candidate_id, skill_id, score (more columns pass through); forced: batch_id,
+    candidate_id, skill_id.  Sure are each candidate's ``guaranteed`` best and the forced ones;
+    the best of each candidate's ``per_candidate`` fill up to ``total``.  Of more than ``total``
+    sure ones those stay that most candidates score at 0.55 or more.
+    """
+    own = Window.partitionBy("batch_id", "candidate_id").orderBy(F.col("score").desc(), "skill_id")
+    asked = forced.select("batch_id", "candidate_id", "skill_id").distinct().withColumn("forced", F.lit(True))
+    every = scored.join(asked, ["batch_id", "candidate_id", "skill_id"], "left").withColumn("forced", F.coalesce("forced", F.lit(False))).withColumn("rank", F.row_number().over(own))
+    sure = F.max((F.col("rank") <= guaranteed) | F.col("forced"))
+    by_skill = every.groupBy("batch_id", "skill_id").agg(sure.alias("sure"), F.max(F.when(F.col("rank") <= per_candidate, F.col("score"))).alias("extra"), F.avg((F.col("score") >= COVERED).cast("double")).alias("coverage"))
+    crowd = F.count_if("sure").over(Window.partitionBy("batch_id"))
+    fill = Window.partitionBy("batch_id").orderBy(F.col("sure").desc(), F.when(F.col("sure") & (F.col("crowd") > total), F.col("coverage")).desc(), F.when(~F.col("sure"), F.col("extra")).desc(), F.when(F.col("sure"), F.col("skill_id")).asc(), F.col("skill_id").desc())
+    shown = by_skill.where("sure OR extra IS NOT NULL").withColumn("crowd", crowd).withColumn("place", F.row_number().over(fill)).where(F.col("place") <= total)
+    kept = every.join(shown.select("batch_id", "skill_id"), ["batch_id", "skill_id"])
+    return kept.withColumn("rank", F.row_number().over(own))
+
+
 def batch_fill(scored: DataFrame, guaranteed: int, total: int, forced: DataFrame | None = None) -> DataFrame:
     """Skills of a batch: each candidate's ``guaranteed`` best and the forced ones, then the best of the rest up to ``total``.
 
@@ -45,21 +149,63 @@ def batch_fill(scored: DataFrame, guaranteed: int, total: int, forced: DataFrame
     return best.withColumn("place", F.row_number().over(fill)).where(F.col("sure") | (F.col("place") <= total)).select("batch_id", "skill_id", "sure", "place")
 
 
-def violations(name: Column, description: Column, content: Column, forbidden: str = r"(?i)\b(answer is|the answer)\b") -> Column:
-    """Messages of the payload rules that a skill breaks; empty if it is valid."""
+def violations(
+    name: Column, description: Column, content: Column, side: Column | None = None, reference: Column | None = None, entities: Column | None = None, gold: Column | None = None
+) -> Column:
+    """Messages of the payload rules that a skill breaks, in order; empty if it is valid.
+
+    content is an array of items; side, the reference answer, the question's entities and the gold
+    message ids are optional (null: not asked).
+    """
+    name, description = F.coalesce(name, F.lit("")), F.coalesce(description, F.lit(""))
+    content = F.coalesce(content, F.array().cast("array<string>"))
+    text = F.array_join(content, "\n")
+    combined = F.concat_ws(" ", name, description, text)
+    side = F.lower(F.coalesce(side, F.lit(""))) if side is not None else F.lit("")
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9\u3400-\u9fff]+", " "))
+    answer = F.lower(F.trim(F.coalesce(reference, F.lit("")))) if reference is not None else F.lit("")
+    direct = F.exists(F.concat(F.array(name, description), content), lambda x: plain(x) == plain(answer))
+    quoted = F.concat(F.lit(ORDERED_ANSWER + r"\Q"), F.replace(answer, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    ordered = F.regexp_like(F.lower(combined), quoted)
+    entities = F.coalesce(entities, F.array().cast("array<string>")) if entities is not None else F.array().cast("array<string>")
+    gold = F.coalesce(gold, F.array().cast("array<string>")) if gold is not None else F.array().cast("array<string>")
     rules = [
-        (F.length(F.trim(name)) < 3, "name too short"), (F.length(name) > 80, "name too long"), (F.length(F.trim(description)) < 10, "description too short"),
-        (F.length(description) > 400, "description too long"), (F.size(content) < 1, "no content"), (F.size(content) > 8, "too many items"),
-        (F.exists(content, lambda x: F.length(F.trim(x)) == 0), "empty item"), (F.exists(content, lambda x: x.rlike(forbidden)), "answer leak"), (description.rlike(forbidden), "answer leak in description"),
+        (F.trim(name) == "", "name is empty"), (F.trim(description) == "", "description is empty"), (F.size(content) == 0, "content is empty"),
+        (F.length(name) > NAME_CHARS, "name too long"), (F.length(description) > DESCRIPTION_CHARS, "description too long"), (F.length(text) > CONTENT_CHARS, "content too long"),
+        (F.size(content) > MAX_ITEMS, "too many items"), (F.exists(content, lambda x: F.length(x) > ITEM_CHARS), "item too long"), (combined.rlike(SYSTEM_IDS), "system ids"),
+        ((answer != "") & (direct | (F.length(answer) > 3) & ordered), "reference answer"), (F.exists(entities, lambda e: (F.length(e) > 3) & F.contains(F.lower(combined), F.lower(e))), "question entity"),
+        (F.exists(gold, lambda g: F.contains(combined, g)), "gold message id"), *[(F.contains(F.lower(text), F.lit(m)), f"case narrative: {m}") for m in NARRATIVE],
+        (~F.greatest(*[F.contains(F.lower(description), F.lit(w)) for w in TRIGGERS]), "no trigger wording"), ((side == "construction") & combined.rlike(UNSUPPORTED_KIND), "unsupported memory kind"),
+        ((side == "construction") & combined.rlike(GUESSED_PLACE), "guessed place"),
     ]
-    return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in rules]))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in rules]))
+
+
+def composed(description: Column, content: Column, solves: Column) -> Column:
+    """The normalised weighted sum of three normalised vectors."""
+    from ..functions.scalars import normalized
+
+    weighted = lambda v, w: F.transform(normalized(v), lambda x: x * w)
+    parts = [weighted(v, w) for v, w in ((description, DESCRIPTION_WEIGHT), (content, CONTENT_WEIGHT), (solves, SOLVES_WEIGHT))]
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    return normalized(add(add(parts[0], parts[1]), parts[2]))
+
+
+def bucket(side: Column, failure_mode: Column) -> Column:
+    """The hard boundary of clusters: the side, and on the access side the upper-cased failure mode."""
+    return F.concat_ws("/", side, F.when(side == "access", F.upper(F.trim(F.coalesce(failure_mode, F.lit(""))))))
 
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """point_id, cluster of the largest dot product (the smaller cluster of equals); centroids are few and broadcast."""
+    """point_id, cluster of the largest dot product (the smaller cluster of equals).
+
+    The centroids are the stated side; up to BROADCAST_CENTROIDS of them (counted first) are
+    broadcast, more take an ordinary join.
+    """
     from ..functions.scalars import dot
 
-    pairs = points.join(F.broadcast(centroids)).select("point_id", "cluster", F.round(dot(F.col("v"), F.col("c")), 9).alias("s"))
+    few = centroids.limit(BROADCAST_CENTROIDS + 1).count() <= BROADCAST_CENTROIDS
+    pairs = points.join(F.broadcast(centroids) if few else centroids).select("point_id", "cluster", F.round(dot(F.col("v"), F.col("c")), 9).alias("s"))
     return pairs.groupBy("point_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
 
 
@@ -92,80 +238,196 @@ def spherical_kmeans(vectors: np.ndarray, k: int, iterations: int = MAX_ITERATIO
 
 
 def cluster(points: DataFrame, target: int = 8, most: int = 25) -> DataFrame:
-    """bucket, point_id, cluster: each bucket (a hard boundary of bounded size) clustered on its own, groups above ``most`` split again.
+    """bucket, point_id, cluster: each bucket (a hard boundary) clustered on its own, groups above ``most`` split again.
 
-    points: bucket, point_id, v.  Groups of identical vectors are cut by id.
+    points: bucket, point_id, v.  Groups of identical vectors are cut by id.  A bucket of more
+    than GROUP_POINTS points is first parted by Spark rounds of spherical k-means until every part
+    fits a task; clusters are numbered by size, then by least id.
     """
+    from .graph import cut
+
+    parts = cut(points.select("bucket", "point_id", F.col("v").cast("array<double>").alias("v")).withColumn("part", F.lit("")))
+    done = None
+    while True:
+        sizes = parts.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > GROUP_POINTS)
+        small = parts.join(large.select("bucket", "part"), ["bucket", "part"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            break
+        parts = cut(_parted(parts.join(large, ["bucket", "part"])))
 
     def split(ids: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
         if len(ids) <= most:
             return [ids]
         labels = spherical_kmeans(v, -(-len(ids) // target))
-        parts = [np.flatnonzero(labels == c) for c in np.unique(labels)]
-        if len(parts) == 1:
+        pieces = [np.flatnonzero(labels == c) for c in np.unique(labels)]
+        if len(pieces) == 1:
             return [ids[k : k + most] for k in range(0, len(ids), most)]
-        return [g for p in parts for g in split(ids[p], v[p])]
+        return [g for p in pieces for g in split(ids[p], v[p])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         v = np.stack(pdf["v"].to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        groups = sorted(split(pdf["point_id"].to_numpy(), v), key=lambda g: (-len(g), g.min()))
-        return pd.DataFrame([(pdf["bucket"].iloc[0], i, k) for k, g in enumerate(groups) for i in g], columns=["bucket", "point_id", "cluster"])
+        groups = split(pdf["point_id"].to_numpy(), v)
+        return pd.DataFrame([(pdf["bucket"].iloc[0], i, len(g), g.min()) for g in groups for i in g], columns=["bucket", "point_id", "size", "least"])
 
-    return points.groupBy("bucket").applyInPandas(run, "bucket string, point_id long, cluster int")
+    found = done.groupBy("bucket", "part").applyInPandas(run, "bucket string, point_id long, size int, least long")
+    groups = found.select("bucket", "size", "least").distinct()
+    order = Window.partitionBy("bucket").orderBy(F.desc("size"), "least")
+    numbered = groups.withColumn("cluster", F.row_number().over(order) - 1)
+    return found.join(numbered, ["bucket", "size", "least"]).select("bucket", "point_id", "cluster")
 
 
-def apply_operations(skills: DataFrame, operations: DataFrame) -> DataFrame:
-    """Skills of each bank after its ordered operations; the whole bank stays as it was if one of them fails.
+def _parted(parts: DataFrame) -> DataFrame:
+    """Each (bucket, part) dealt to PARTS parts around its points of least hash; identical vectors by hash alone."""
+    from ..functions.scalars import dot, normalized
 
-    skills: bank, skill_id, version, status, content; operations: bank, seq, operation, skill_id,
-    expected_version, position, expected_content, new_content.  Later operations see earlier ones.
-    Adds a column ``error``.
-    """
-    columns = ["bank", "skill_id", "version", "status", "content", "error"]
+    own = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("point_id"))
+    seeds = parts.withColumn("k", F.row_number().over(own)).where(F.col("k") <= PARTS).select("bucket", "part", "k", normalized(F.col("v")).alias("c"))
+    pairs = parts.join(seeds, ["bucket", "part"]).select("bucket", "part", "point_id", "v", "k", F.round(dot(F.col("v"), F.col("c")), 9).alias("s"))
+    near = pairs.groupBy("bucket", "part", "point_id").agg(F.first("v").alias("v"), F.max_by("k", F.struct("s", -F.col("k"))).alias("k"))
+    same = near.groupBy("bucket", "part").agg(F.countDistinct("k").alias("n"))
+    chosen = F.when(F.col("n") == 1, F.pmod(F.xxhash64("point_id", "part"), F.lit(PARTS))).otherwise(F.col("k"))
+    return near.join(same, ["bucket", "part"]).select("bucket", "point_id", "v", F.concat_ws(".", "part", chosen.cast("string")).alias("part"))
 
-    def run(key: tuple, state: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        old = {r.skill_id: (int(r.version), r.status, list(r.content)) for r in state.itertuples()}
-        new, error = dict(old), None
-        for op in ops.sort_values("seq").itertuples():
-            if op.operation == "NO_CHANGE":
-                continue
-            if op.operation == "ADD_SKILL":
-                if op.skill_id in new:
-                    error = f"{op.seq}: {op.skill_id} exists"
-                    break
-                new[op.skill_id] = (1, "active", [op.new_content])
+
+def plan_errors(operations: DataFrame, shown: DataFrame, candidates: DataFrame, resolutions: DataFrame, banks: DataFrame) -> DataFrame:
+    """bank, error: why a bank's plan may not be applied, before any of it is.
+
+    operations: bank, seq, operation, skill_id, target_skill_id, side, source_candidate_ids;
+    shown: bank, skill_id; candidates: bank, candidate_id; resolutions: bank, candidate_id; banks:
+    bank, side, base_version, current_version.
+    """
+    stale = banks.where("base_version <> current_version").select("bank", F.lit("the bank has changed since the plan was made").alias("error"))
+    n = resolutions.groupBy("bank", "candidate_id").agg(F.count("*").alias("n"))
+    total = candidates.select("bank", "candidate_id").distinct().withColumn("known", F.lit(True)).join(n, ["bank", "candidate_id"], "full_outer")
+    unresolved = total.where("known IS NULL OR n IS NULL OR n > 1").select("bank", F.concat(F.lit("not resolved once: "), F.col("candidate_id").cast("string")).alias("error"))
+    wrong_side = operations.join(banks.select("bank", F.col("side").alias("_side")), "bank").where("side <> _side").select("bank", F.concat(F.lit("operation of the other side: "), F.col("seq").cast("string")).alias("error"))
+    cited = operations.select("bank", F.explode("source_candidate_ids").alias("candidate_id")).join(candidates.select("bank", "candidate_id"), ["bank", "candidate_id"], "left_anti")
+    unknown = cited.select("bank", F.concat(F.lit("unknown candidate: "), F.col("candidate_id").cast("string")).alias("error"))
+    aims = operations.where("operation <> 'add_skill'").select("bank", "skill_id").unionByName(operations.where("operation = 'move_content'").select("bank", F.col("target_skill_id").alias("skill_id")))
+    unseen = aims.join(shown.select("bank", "skill_id"), ["bank", "skill_id"], "left_anti").select("bank", F.concat(F.lit("skill was not shown: "), F.coalesce("skill_id", F.lit("null"))).alias("error"))
+    kinds = operations.where(~F.col("operation").isin(*OPERATIONS)).select("bank", F.concat(F.lit("unknown operation: "), F.col("operation")).alias("error"))
+    out = stale
+    for part in (unresolved, wrong_side, unknown, unseen, kinds):
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def _edited(state: dict[str, dict], ops: list[dict]) -> tuple[dict[str, dict], set[str], set[str]]:
+    """The working records after ordered operations, and the ids changed and deleted; raises ValueError with the reason."""
+    changed: set[str] = set()
+    deleted: set[str] = set()
+
+    def place(record: dict, op: dict) -> int:
+        items, text, at = record["content"], op["expected_content"], op["content_index"]
+        if text is not None and items.count(text) == 1:
+            return items.index(text)  # earlier operations may have shifted the number
+        if text is not None and items.count(text) > 1:
+            raise ValueError("the expected content is ambiguous")
+        if at is None and len(items) == 1:
+            return 0
+        if at is None or not 0 <= at < len(items):
+            raise ValueError("no such content")
+        if text is not None:
+            raise ValueError("the expected content is gone")
+        return at
+
+    for op in ops:
+        kind, name = op["operation"], op["skill_id"]
+        try:
+            if kind == "add_skill":
+                if not op["name"] or not op["description"]:
+                    raise ValueError("name and description are required")
+                if name in state:
+                    name = f"{name}_{op['seq']}"  # two groups may propose one id
+                state[name] = {"version": 0, "name": op["name"].strip(), "description": op["description"].strip(), "content": [x.strip() for x in op["content"] or [] if x.strip()]}
+                changed.add(name)
                 continue
-            if op.skill_id not in new or new[op.skill_id][1] != "active":
-                error = f"{op.seq}: {op.skill_id} is not active"
-                break
-            version, status, content = new[op.skill_id]
-            if not pd.isna(op.expected_version) and int(op.expected_version) != version:
-                error = f"{op.seq}: {op.skill_id} is at version {version}"
-                break
-            content = list(content)
-            if op.operation == "RETIRE_SKILL":
-                status = "retired"
-            elif op.operation == "APPEND_CONTENT":
-                content.append(op.new_content)
-            elif op.operation in ("REPLACE_CONTENT", "REMOVE_CONTENT"):
-                at = content.index(op.expected_content) if op.expected_content in content else -1 if pd.isna(op.position) else int(op.position)
-                if not 0 <= at < len(content):
-                    error = f"{op.seq}: no such content"
-                    break
-                content[at : at + 1] = [op.new_content] if op.operation == "REPLACE_CONTENT" else []
-            elif op.operation == "REVISE_SKILL":
-                content = [op.new_content]
+            record = state.get(name)
+            if record is None:
+                raise ValueError("not active")
+            if op["expected_version"] is not None and op["expected_version"] != record["version"]:
+                raise ValueError(f"at version {record['version']}")
+            items = record["content"]
+            if kind == "rename_skill":
+                record["name"] = (op["name"] or "").strip()
+            elif kind == "update_description":
+                record["description"] = (op["description"] or "").strip()
+            elif kind == "add_content":
+                for text in op["content"] or [op["new_content"] or ""]:
+                    if text.strip() and text.strip() not in items:
+                        items.append(text.strip())
+            elif kind == "update_content":
+                items[place(record, op)] = (op["new_content"] or "").strip()
+            elif kind == "delete_content":
+                items.pop(place(record, op))
+            elif kind == "move_content":
+                target = state.get(op["target_skill_id"])
+                if target is None:
+                    raise ValueError("no such target")
+                text = items.pop(place(record, op))
+                if text not in target["content"]:
+                    target["content"].append(text)
+                changed.add(op["target_skill_id"])
+            elif kind == "delete_skill":
+                deleted.add(name)
             else:
-                error = f"{op.seq}: unknown operation {op.operation}"
-                break
-            new[op.skill_id] = (version + 1, status, content)
-        rows = [(key[0], k, *v, error) for k, v in sorted((old if error else new).items())]
-        return pd.DataFrame(rows, columns=columns)
-
-    schema = "bank string, skill_id string, version int, status string, content array<string>, error string"
-    return skills.groupBy("bank").cogroup(operations.groupBy("bank")).applyInPandas(run, schema)
+                raise ValueError(f"unknown operation {kind}")
+            changed.add(name)
+        except ValueError as why:
+            raise ValueError(f"{op['seq']}: {name}: {why}") from None
+    return state, changed, deleted
+
+
+def apply_operations(skills: DataFrame, operations: DataFrame) -> DataFrame:
+    """Each bank's records after its ordered operations, with the payload rules they break in ``errors``.
+
+    skills (active ones): bank, side, skill_id, version, name, description, content; operations:
+    bank, seq, operation, skill_id, target_skill_id, expected_version, name, description, content,
+    content_index, expected_content, new_content.  status is active, staged (new or changed, a
+    version on) or deleted.  All or none: where an operation fails or a changed record ends up
+    invalid, the bank's rows are as before, with the reason in ``error``.  Operations are ordered
+    and see earlier ones, so a bank is one group; it holds tens of skills, not documents.
+    """
+    columns = ["bank", "side", "skill_id", "version", "status", "name", "description", "content", "error"]
+    none = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)) else x
+
+    def run(key: tuple, held: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
+        read = lambda: {r.skill_id: {"version": int(r.version), "name": r.name_, "description": r.description, "content": list(r.content)} for r in held.rename(columns={"name": "name_"}).itertuples()}
+        side = held["side"].iloc[0] if len(held) else None
+        before, changed, deleted, error = read(), set(), set(), None
+        after = before
+        if len(ops):
+            rows = [{k: none(v) if k != "content" else (None if v is None else list(v)) for k, v in row.items()} for row in ops.sort_values("seq").to_dict("records")]
+            for row in rows:
+                for k in ("expected_version", "content_index"):
+                    row[k] = None if row[k] is None else int(row[k])
+            try:
+                after, changed, deleted = _edited(read(), rows)
+            except ValueError as why:
+                after, error = before, str(why)
+        out = []
+        for name, r in sorted(after.items()):
+            status = "deleted" if name in deleted else "staged" if name in changed else "active"
+            out.append((key[0], side, name, r["version"] + (status == "staged"), status, r["name"], r["description"], r["content"], error))
+        return pd.DataFrame(out, columns=columns)
+
+    schema = "bank string, side string, skill_id string, version int, status string, name string, description string, content array<string>, error string"
+    edited = skills.groupBy("bank").cogroup(operations.groupBy("bank")).applyInPandas(run, schema)
+    edited = edited.withColumn("side", F.coalesce("side", F.max("side").over(Window.partitionBy("bank"))))
+    checked = edited.withColumn("errors", F.when(F.col("status") == "staged", violations(F.col("name"), F.col("description"), F.col("content"), F.col("side"))).otherwise(F.array().cast("array<string>")))
+    bad = F.max(F.when(F.size("errors") > 0, F.concat(F.lit("invalid: "), "skill_id", F.lit(": "), F.array_join("errors", "; ")))).over(Window.partitionBy("bank"))
+    told = checked.withColumn("_bad", bad)
+    old = skills.select("bank", "skill_id", F.col("version").alias("_v"), F.col("name").alias("_n"), F.col("description").alias("_d"), F.col("content").alias("_c"))
+    both = told.join(old, ["bank", "skill_id"], "left").where("_bad IS NULL OR _v IS NOT NULL")
+    back = F.col("_bad").isNotNull()
+    restore = {"version": "_v", "name": "_n", "description": "_d", "content": "_c"}
+    kept = both.withColumns({k: F.when(back, F.col(v)).otherwise(F.col(k)) for k, v in restore.items()})
+    kept = kept.withColumns({"status": F.when(back, "active").otherwise(F.col("status")), "error": F.coalesce("error", "_bad")})
+    return kept.select(*columns)
 
 
 def publish(active: DataFrame, staged: DataFrame, tombstones: DataFrame, bank_version: int) -> DataFrame:

@@ -130,14 +130,14 @@ def iteration_cases_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "coverage_fraction",
-    "SELECT l_suppkey AS skill_id, round(avg(CASE WHEN l_discount >= 0.055 THEN 1.0 ELSE 0.0 END), 6) AS coverage, max_by(l_orderkey, l_extendedprice * 1000000 - l_orderkey) AS best FROM lineitem GROUP BY l_suppkey",
+    "SELECT l_suppkey AS skill_id, count(*) AS n, count(*) FILTER (WHERE l_discount >= 0.055) AS covered, max_by(l_orderkey, l_extendedprice * 1000000 - l_orderkey) AS best, coalesce(max(l_extendedprice) >= 60000, false) AS linked FROM lineitem GROUP BY l_suppkey",
 )
 def coverage_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of relations at the threshold and the best relation of each skill."""
-    relations = table(spark, sf_dir, "lineitem")
-    return relations.groupBy(F.col("l_suppkey").alias("skill_id")).agg(
-        F.round(F.avg(F.when(F.col("l_discount") >= 0.055, 1.0).otherwise(0.0)), 6).alias("coverage"), F.max_by("l_orderkey", F.col("l_extendedprice") * 1000000 - F.col("l_orderkey")).alias("best")
-    )
+    """Relations at the threshold of all, and the best relation of each skill, linked if it reaches the gate."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("skill_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_discount") >= 0.055).alias("covered"), F.max_by("l_orderkey", F.col("l_extendedprice") * 1000000 - F.col("l_orderkey")).alias("best"),
+        F.coalesce(F.max("l_extendedprice") >= 60000, F.lit(False)).alias("linked"),
+    )
 
 
 @query(

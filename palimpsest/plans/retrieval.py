@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.scalars import dot
 from ..io import table
 from ..operators import retrieval as rt
+from ..operators import search
 from .views import MESSAGES_SQL, VERSIONS_SQL, messages, versions
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[a-z0-9_]+|[\x{{3400}}-\x{{9fff}}]')"
@@ -56,12 +57,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bm25_bounded",
-    f"WITH {BM25_SQL}, qn AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1) SELECT query_id, max(round(1 - exp(-plain / greatest(n, 1)), 6)) AS score FROM bm JOIN qn USING (query_id) GROUP BY query_id",
+    f"WITH {BM25_SQL}, qn AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), s AS (SELECT query_id, doc_id, 1 - exp(-plain / greatest(n, 1)) AS score FROM bm JOIN qn USING (query_id)) "
+    "SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS n FROM s) t WHERE n <= 10",
 )
 def bm25_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores between 0 and 1 that compare across items; the ten best of each."""
     sizes = _items(spark, sf_dir).select("query_id", F.size(F.array_distinct("qt")).alias("n"))
     scored = rt.bounded_bm25(_bm25(spark, sf_dir, distinct_query=True).join(sizes, "query_id"), F.col("n"))
-    return scored.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("score"))
+    return _rounded(rt.ranked(scored, 10, ["scope", "query_id"]), "query_id", "doc_id")
 
 
 @query("bm25_rowmax", f"WITH {BM25_SQL} SELECT query_id, count(*) AS n, round(sum(s), 4) AS mass FROM (SELECT query_id, plain / greatest(max(plain) OVER (PARTITION BY query_id), 1e-12) AS s FROM bm) t GROUP BY query_id")
@@ -80,10 +83,9 @@ def tokenise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.lower(F.regexp_extract("text", r"^\w+ \w+", 0))  # ASCII words, as in the tokens
-    asked = _items(spark, sf_dir).select("scope", "query_id", F.array_distinct("qt").alias("qt"), F.filter(F.array(phrase), lambda p: p != "").alias("phrases"))
-    held = _docs(spark, sf_dir).select("scope", "doc_id", "text", F.array_distinct("toks").alias("dt"))
-    score = rt.keyword_score(F.col("phrases"), F.col("text"), F.col("qt"), F.col("dt"))
-    return held.join(asked, "scope").select("scope", "query_id", "doc_id", score.alias("score")).where("score > 0")
+    asked = _items(spark, sf_dir).select("scope", "query_id", F.array_distinct("qt").alias("tokens"), F.filter(F.array(phrase), lambda p: p != "").alias("phrases"))
+    held = _docs(spark, sf_dir).select("scope", "doc_id", "text", F.array_distinct("toks").alias("tokens"))
+    return search.keyword_scores(held, asked)
 
 
 @query("keyword_route", f"WITH {BM25_SQL}, {KEYWORD_SQL} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM kwr WHERE rank <= 5")
@@ -103,24 +105,6 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.array_join("matched_paths", ",").alias("paths"))
 
 
-@query(
-    "hybrid_topk",
-    f"WITH {BM25_SQL}, {KEYWORD_SQL}, f AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, doc_id, 0.30 / (60 + rank) AS s FROM bmr WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, 0.15 / (60 + rank) FROM kwr WHERE rank <= 30) t GROUP BY 1, 2), "
-    "d AS (SELECT *, doc_id // 1000 AS memory, row_number() OVER (PARTITION BY query_id, doc_id // 1000 ORDER BY round(score, 9) DESC, doc_id) AS n FROM f), "
-    "m AS (SELECT query_id, doc_id, score * CASE WHEN memory % 2 = 0 THEN 1.10 ELSE 1 END * CASE WHEN doc_id % 1000 = 0 THEN 1.05 ELSE 1 END AS score FROM d WHERE n = 1) "
-    "SELECT query_id, doc_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM m) t WHERE rank <= 8",
-)
-def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes, fusion, one hit per memory (conversation), multipliers, then the eight best."""
-    lexical = rt.ranked(_bm25(spark, sf_dir), rt.CANDIDATES, ["scope", "query_id"])
-    exact = rt.ranked(_keyword(spark, sf_dir), rt.CANDIDATES, ["scope", "query_id"])
-    hits = rt.fused([("bm25", lexical, rt.WEIGHTS["bm25"]), ("keyword", exact, rt.WEIGHTS["keyword"])]).withColumn("memory", F.floor(F.col("doc_id") / 1000))
-    best = rt.deduplicated(hits, "memory")
-    score = rt.multiplied(F.col("score"), F.col("memory") % 2 == 0, F.lit("current"), F.lit(None).cast("string"), F.col("doc_id") % 1000 == 0, F.lit(True))
-    top = rt.ranked(best.withColumn("score", score), rt.RESULTS, ["scope", "query_id"])
-    return top.select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
-
-
 TIMES_SQL = f"""{VERSIONS_SQL}, w AS (SELECT version_id, system_to, strftime(ts, '%Y-%m-%d') AS ws, CASE WHEN version_id % 4 = 0 THEN NULL ELSE strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d') END AS we FROM versions),
 modes AS (SELECT * FROM (VALUES ('none', NULL, NULL), ('current', NULL, NULL), ('point', '2024-01-10', NULL), ('before', '2024-01-10', NULL), ('after', '2024-01-10', NULL), ('range', '2024-01-08', '2024-01'), ('point', NULL, NULL)) t(mode, target, target_end)),
 v AS (SELECT mode, target, version_id, CASE WHEN mode = 'none' THEN true WHEN mode = 'current' THEN system_to IS NULL WHEN coalesce(target, '') = '' THEN true WHEN mode = 'point' THEN ws <= target AND target < coalesce(we, 'z')
@@ -157,18 +141,17 @@ def structured_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOT_SQL = "pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)"
 
 
-def _vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    docs = v.select(F.lit(0).alias("scope"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    asked = v.where("vec_id % 100 = 0").select(F.lit(0).alias("scope"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return rt.semantic(docs, asked)
+    docs = v.select(F.lit(0).alias("scope"), F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = v.where("vec_id % 100 = 0").select(F.lit(0).alias("scope"), F.col("vec_id").alias("query_id"), F.lit(0).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
+    return search.semantic(docs, asked, k)
 
 
 @query("dot_topk", f"WITH {DOT_SQL} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM pairs) t WHERE rank <= 10")
 def dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact vector search: every hundredth vector asks all."""
-    top = rt.ranked(_vector_pairs(spark, sf_dir), 10, ["scope", "query_id"])
-    return top.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _nearest(spark, sf_dir, 10).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(
@@ -177,7 +160,7 @@ def dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two expansions of a question, each ranked, fused with weight 1."""
-    top = rt.ranked(_vector_pairs(spark, sf_dir), rt.CANDIDATES, ["scope", "query_id"])
+    top = _nearest(spark, sf_dir, rt.CANDIDATES)
     return rt.fused([("semantic:q", top.withColumn("query_id", F.floor(F.col("query_id") / 200)), 1.0)]).select(F.col("query_id").alias("question"), "doc_id", F.round("score", 9).alias("score"))
 
 
@@ -227,12 +210,13 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "query_profile",
-    f"SELECT item_id, array_to_string(list_slice(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))), 1, 0), ',') AS none, "
-    f"least(12, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))))) AS n_keywords FROM benchmark",
+    f"""WITH t AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL})) AS k, regexp_extract_all(text, '\\b[A-Z][A-Za-z0-9''-]+') AS e FROM benchmark)
+SELECT item_id, array_to_string(list_slice(list_filter(k, lambda x, i: list_position(k, x) = i), 1, 12), ' ') AS keywords, array_to_string(list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 8), ' ') AS entities FROM t""",
 )
 def query_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve distinct keywords and eight capitalised words of every item, in order."""
     p = rt.query_profile(F.col("text"), tx.STOP_WORDS, "[A-Za-z0-9]+")
-    return table(spark, sf_dir, "benchmark").select("item_id", p.alias("p")).select("item_id", F.lit("").alias("none"), F.size("p.keywords").cast("long").alias("n_keywords"))
+    return table(spark, sf_dir, "benchmark").select("item_id", p.alias("p")).select("item_id", F.array_join("p.keywords", " ").alias("keywords"), F.array_join("p.entities", " ").alias("entities"))
 
 
 @query(
@@ -261,10 +245,7 @@ def source_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("evidence_id"), "rank", F.round("score", 6).alias("score"))
 
 
-@query("dot_self_check", f"WITH {DOT_SQL} SELECT query_id, round(max(score), 5) AS best FROM pairs GROUP BY query_id")
+@query("dot_self_check", "SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS self FROM embeddings")
 def dot_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A unit vector is its own nearest neighbour at 1."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.join(q).groupBy("query_id").agg(F.round(F.max(dot(F.col("q"), F.col("embedding"))), 5).alias("best"))
-
+    """Every vector's product with itself: 1 where it is normalised."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("self"))

@@ -18,6 +18,8 @@ VERSIONS_SQL = f"""versions AS (
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version_no,
     event_id AS system_from, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS system_to
   FROM events)"""
+#: Order lines with a mode made of their discount.
+LINES_SQL = "(SELECT *, CASE WHEN l_discount > 0.05 THEN 'AIR' WHEN l_discount > 0.02 THEN 'RAIL' ELSE 'SHIP' END AS l_mode FROM lineitem) lineitem"
 MESSAGES_SQL = "messages AS (SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, role, text FROM conversations)"
 
 
@@ -39,3 +41,8 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "conv_id", "turn", "role", "text")
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.when(F.col("l_discount") > 0.05, "AIR").when(F.col("l_discount") > 0.02, "RAIL").otherwise("SHIP")
+    return table(spark, sf_dir, "lineitem").withColumn("l_mode", mode)

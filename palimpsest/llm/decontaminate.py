@@ -3,8 +3,10 @@
 Texts and items are normalised (lower case, letters and digits, one space between words).  An
 item of n characters may be met with k = ERROR_PER_MILLE * n / 1000 edits; it is cut into k + 1
 pieces, so wherever it stands with at most k edits, one piece stands unchanged.  One Aho-Corasick
-pass over a text finds all piece hits; hits on close diagonals are one place, and Myers'
-bit-parallel distance, on whole-number bit vectors of any length, verifies each place.
+pass over a text finds all piece hits.  Each hit opens the window in which its item may stand;
+windows that meet become one, and one run of Myers' bit-parallel distance over it, on whole-number
+bit vectors of any length, gives every end with at most k edits.  So a text costs its length for
+each item that it shares a piece with, however often the piece repeats.
 
 Plan: scan -> mapInArrow, no exchange.  The items are a stated query set against all rows: they
 reach the tasks in blocks of at most ``BLOCK_BYTES``, one pass over the documents for each block.
@@ -59,22 +61,19 @@ def pieces(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the best place of the pattern in the text with at most ``most`` edits, the first of equals.
+def _column_scores(pattern: str, text: str) -> Iterator[int]:
+    """The least distance of the pattern to a part of the text that ends there, for each end from 1 on.
 
     Bit j of the vectors is row j + 1 of the distance matrix; a column costs a few operations on
     whole numbers.
     """
     m = len(pattern)
-    if not m:
-        return (0, 0)
     at: dict[str, int] = {}
     for j, ch in enumerate(pattern):
         at[ch] = at.get(ch, 0) | 1 << j
     full, high = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
-    best = (m, 0) if m <= most else None
-    for end, ch in enumerate(text, 1):
+    for ch in text:
         eq = at.get(ch, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
@@ -87,9 +86,36 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
         plus, minus = plus << 1 & full, minus << 1 & full
         up = minus | ~(xv | plus) & full
         down = plus & xv
-        if score <= most and (best is None or score < best[0]):
+        yield score
+
+
+def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
+    """(distance, end) of the best place of the pattern in the text with at most ``most`` edits, the first of equals."""
+    if not pattern:
+        return (0, 0)
+    best = (len(pattern), 0)
+    for end, score in enumerate(_column_scores(pattern, text), 1):
+        if score < best[0]:
             best = (score, end)
-    return best
+    return best if best[0] <= most else None
+
+
+def ends(pattern: str, text: str, most: int) -> list[tuple[int, int]]:
+    """(distance, end) of every end with at most ``most`` edits that no neighbouring end betters; of a flat stretch the first."""
+    out: list[tuple[int, int]] = []
+    before = len(pattern) + 1
+    held: tuple[int, int] | None = None
+    for end, score in enumerate(_column_scores(pattern, text), 1):
+        if score < before:
+            held = (score, end) if score <= most else None
+        elif score > before:
+            if held:
+                out.append(held)
+            held = None
+        before = score
+    if held:
+        out.append(held)
+    return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -122,36 +148,39 @@ def find_items(flat: str, items: tuple[Item, ...]) -> list[tuple[int, int, int,
 
 
 def _places(flat: str, item: str, starts: list[int]) -> list[tuple[int, int, int]]:
-    """(distance, start, end) of an item's places from the starts of its diagonals; of overlapping ones the least distance stays."""
+    """(distance, start, end) of an item's places from the starts of its diagonals; of overlapping ones the least distance stays, then the first."""
     most, m = budget(len(item)), len(item)
-    exact: list[int] = []
-    for start in starts:
-        if start >= 0 and flat.startswith(item, start) and (not exact or start >= exact[-1] + m) and (m >= MIN_ITEM_CHARS or _whole(flat, start, start + m)):
-            exact.append(start)
     if not most:
+        exact: list[int] = []
+        for start in starts:
+            if start >= 0 and flat.startswith(item, start) and (not exact or start >= exact[-1] + m) and (m >= MIN_ITEM_CHARS or _whole(flat, start, start + m)):
+                exact.append(start)
         return [(0, s, s + m) for s in exact]
-    found = {(0, s, s + m) for s in exact}
-    begins: dict[tuple[int, int], int] = {}
-    for start in starts:
-        # A place lies within ``most`` of its diagonal: between these two it must overlap the exact one.
-        near = exact[max(0, bisect.bisect_left(exact, start - m + most) - 1) :][:3]
-        if any(s - m + 2 * most < start < s + m - most for s in near):
+    found: list[tuple[int, int]] = []
+    k = 0
+    while k < len(starts):
+        a, b, alone = starts[k] - most, starts[k] + m + most, starts[k]
+        k += 1
+        while k < len(starts) and starts[k] - most <= b:
+            b, alone = starts[k] + m + most, -1
+            k += 1
+        if alone >= 0 and flat.startswith(item, alone):
+            found.append((0, alone + m))
             continue
-        a = max(0, start - most)
-        best = myers(item, flat[a : start + m + most], most)
-        if best is None:
+        a = max(0, a)
+        found += [(distance, a + end) for distance, end in ends(item, flat[a:b], most)]
+    kept: list[tuple[int, int, int]] = []
+    for distance, end in sorted(found):
+        at = bisect.bisect_left(kept, end, key=lambda p: p[1])  # kept places that begin before this end
+        if at and kept[at - 1][2] > end - (m - distance):  # it begins there at the latest: they overlap
             continue
-        distance, end = best[0], a + best[1]
-        if (distance, end) not in begins:
+        start = end - m
+        if distance:
             # From its end backwards, the place's start: the reversed pattern over the reversed text.
-            back = myers(item[::-1], flat[max(0, end - m - most) : end][::-1], distance)
-            begins[distance, end] = max(0, end - (back[1] if back else m))
-        found.add((distance, begins[distance, end], end))
-    kept: list[tuple[int, int, int]] = []
-    for place in sorted(found):
-        at = bisect.bisect(kept, place[1], key=lambda p: p[1])
-        if (not at or kept[at - 1][2] <= place[1]) and (at == len(kept) or place[2] <= kept[at][1]):
-            kept.insert(at, place)
+            back = myers(item[::-1], flat[max(0, end - m - distance) : end][::-1], distance)
+            start = max(0, end - (back[1] if back else m))
+        if not at or kept[at - 1][2] <= start:
+            kept.insert(at, (distance, start, end))
     return kept
 
 
@@ -215,7 +244,11 @@ def _report(batches: Iterator[pa.RecordBatch], items: tuple[Item, ...]) -> Itera
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no item."""
+    """The rows of docs, with all columns, whose text holds no item.
+
+    Null and empty texts hold none and stay; null, empty and repeated items change nothing; each
+    of repeated rows is judged for itself; without items or rows docs comes back as it is.
+    """
     at = docs.columns.index("text")
     for items in blocks(benchmark):
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm import components, decontaminate, hashing, ngram, substrings
+from palimpsest.llm import components, decontaminate, hashing, ngram, secrets, substrings
 
 from . import corpus
 
@@ -133,6 +133,16 @@ def test_entries_out_of_reach(entries):
     assert ngram._reached(e, n, pos).tolist() == want
 
 
+def test_columns_of_ones_own_never_clash(spark):
+    names = ["_key", "__key", "_chosen", "_id", "_spans", "_row_no", "_row", "_statuses"]
+    rows = [(k, f"one two three four five six {k // 2} token = abcdef{k // 2}", "s", *[f"{n}{k}" for n in names]) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for out in (ngram.one_of_each(docs), secrets.mask_live(docs)):
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    assert {r.doc_id for r in ngram.one_of_each(docs).collect()} == {0, 2, 4}
+
+
 def test_join_on_awkward_rows(spark):
     docs = corpus.frame(spark)
     rows = [(r[0], r[1]) for r in corpus.rows()]
@@ -182,6 +192,66 @@ def test_myers(pattern, text, most):
     assert decontaminate.myers(pattern, text, most) == (best if best[0] <= most else None)
 
 
+@given(st.text("ab ", min_size=20, max_size=70), st.lists(st.text("abc ", max_size=40), max_size=4), st.lists(st.integers(0, 69), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_items_are_met_within_their_budget(item, around, edits):
+    item = decontaminate.normalised(item)
+    if len(item) < decontaminate.MIN_ITEM_CHARS:
+        return
+    copy = list(item)
+    for k in edits[: decontaminate.budget(len(item)) + 1]:
+        copy[k % len(copy)] = "x"
+    text = decontaminate.normalised(" ".join(around[:2] + ["".join(copy)] + around[2:] + [item][: len(around) % 2]))
+    found = decontaminate.find_items(text, ((7, item),))
+    best = _distance(item, text)[0]
+    if best > decontaminate.budget(len(item)):
+        assert not found
+        return
+    assert min(f[1] for f in found) == best
+    places = sorted(f[2:] for f in found)
+    assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+    for _, distance, start, end in found:
+        assert _distance(item, text[start:end])[0] <= distance
+
+
+def test_periodic_texts_cost_their_length():
+    import time
+
+    item = decontaminate.normalised("alpha beta gamma " * 33)
+    text = decontaminate.normalised("alpha beta delta " * 1200)
+    mixed = decontaminate.normalised(("alpha beta gamma " * 30 + "alpha beta delta ") * 40)
+    began = time.perf_counter()
+    assert decontaminate.find_items(text, ((1, item),)) == []
+    places = decontaminate.find_items(mixed, ((1, item),))
+    assert time.perf_counter() - began < 2
+    assert len(places) > 20
+
+
+def test_every_text_against_every_item(spark):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randrange(2, 7)))
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(5, 14)))) for k in range(8)]
+    docs = []
+    for k in range(40):
+        body = [word() for _ in range(rnd.randrange(0, 25))]
+        copy = list(rnd.choice(items)[1])
+        for _ in range(rnd.randrange(0, 8)):  # within and beyond the budget
+            at = rnd.randrange(len(copy))
+            copy[at : at + 1] = rnd.choice(["", "z", copy[at] + "q"])
+        body[len(body) // 2 : len(body) // 2] = "".join(copy).split()
+        docs.append((k, " ".join(body)))
+    want = set()
+    for d, t in docs:
+        for i, item in items:
+            flat = decontaminate.normalised(item)
+            best = _distance(flat, decontaminate.normalised(t))[0]
+            if best <= decontaminate.budget(len(flat)):
+                want.add((d, i, best))
+    found = decontaminate.digest(decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == want
+    assert len(want) > 10
+
+
 def test_planted_items_are_found_and_others_left(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))

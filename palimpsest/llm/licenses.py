@@ -1,9 +1,11 @@
 """License scans: ordered signature rules on the words of a text.
 
-Some hundreds of regexes, made of the names and the statements below, run over the normalised
-words (lower-cased, one space between).  A rule runs only in texts that hold its keyword, which
-one Aho-Corasick pass finds.  Detections are taken by priority; one that lies inside a taken one
-is suppressed, so "gnu lesser general public license" does not also count as the plain one.
+Some hundreds of regexes run over the normalised words (lower-cased, one space between): the
+licences' own sentences, and the names with the statements that go round them.  A rule runs only
+in texts that hold its keyword, which one Aho-Corasick pass finds.  Detections are taken by
+priority; one that lies inside a taken one is suppressed, so "gnu lesser general public license"
+does not also count as the plain one.  A tree of prefix maxima over the starts answers whether a
+taken one holds a hit, so n hits cost n log n.
 The base phrases are counted apart from that and always stay.
 
 Plan: scan -> mapInArrow, no exchange.
@@ -11,6 +13,7 @@ Plan: scan -> mapInArrow, no exchange.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -57,12 +60,20 @@ NAMES = {
     "cc-by-nd-4.0": ["creative commons attribution noderivatives 4 0", "cc by nd 4 0"],
     "cc-by-nc-sa-4.0": ["creative commons attribution noncommercial sharealike 4 0", "cc by nc sa 4 0"],
     "cc-by-nc-nd-4.0": ["creative commons attribution noncommercial noderivatives 4 0", "cc by nc nd 4 0"],
-    "artistic-2.0": ["artistic license (?:version |v)?2 0", "artistic license"],
+    "artistic-2.0": ["artistic license (?:version |v)?2 0"],
+    "artistic-1.0": ["artistic license (?:version |v)?1 0"],
+    "artistic": ["artistic license"],
     "boost-1.0": ["boost software license"],
     "ofl-1.1": ["sil open font license"],
     "psf-2.0": ["python software foundation license", "psf license"],
     "eupl-1.2": ["european union public licence", "eupl"],
-    "proprietary": ["all rights reserved"],
+    "ecl-2.0": ["educational community license (?:version |v)?2 0"],
+    "ms-pl": ["microsoft public license", "ms pl"],
+    "odbl-1.0": ["open database license", "odbl"],
+    "gfdl": ["gnu free documentation license", "gfdl"],
+    "sspl-1.0": ["server side public license"],
+    "busl-1.1": ["business source license"],
+    "openrail": ["responsible ai license", "openrail"],
 }
 # Statements around a name, from the most to the least telling, with their priority.
 STATEMENTS = [
@@ -75,6 +86,93 @@ STATEMENTS = [
     (50, "see (?:the )?{}"),
     (40, "{}"),
 ]
+# Sentences of the licences themselves and of their notices (label, priority, keyword, regex on normalised words).
+GAP = "(?:\\S+ ){0,12}"
+SENTENCES = [
+    ("mit", 88, "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (?:the )?software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", 85, "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 60, "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 50, "noninfringement", "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit-0", 89, "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (?:the )?software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("boost-1.0", 87, "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("boost-1.0", 55, "solely", "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("isc", 86, "fee", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", 55, "disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("0bsd", 84, "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", 80, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", 55, "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 55, "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", 82, "endorse", f"neither the names? of {GAP}nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", 83, "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by"),
+    ("bsd", 50, "merchantability", "any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("apache-2.0", 88, "compliance", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", 70, "writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", 65, "governing", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", 80, "reproduction", "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"),
+    ("apache-2.0", 75, "irrevocable", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-1.1", 82, "acknowledgment", "the end user documentation included with the redistribution if any must include the following acknowledgment this product includes software developed by the apache software foundation"),
+    ("gpl-2.0-or-later", 90, "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", 90, "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", 89, "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 (?:only )?as published by the free software foundation"),
+    ("gpl", 86, "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 60, "hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", 60, "received", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl-3.0", 80, "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2.0", 78, "intended", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom"),
+    ("gpl", 60, "everyone", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("lgpl-2.1-or-later", 90, "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0-or-later", 90, "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", 86, "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", 60, "received", "you should have received a copy of the gnu (?:lesser|library) general public license along with this library"),
+    ("lgpl-3.0", 70, "incorporates", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl-3.0-or-later", 90, "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", 80, "affero", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("agpl-3.0", 60, "affero", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("mpl-2.0", 88, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 70, "obtain", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", 88, "mozilla", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license"),
+    ("epl-1.0", 86, "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", 86, "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0"),
+    ("epl-1.0", 70, "constitutes", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl-1.0", 86, "development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", 84, "liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", 70, "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 65, "plainly", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", 88, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 70, "compile", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
+    ("wtfpl", 88, "fuck", "you just do what the fuck you want to"),
+    ("cc0-1.0", 86, "waived", f"to the extent possible under law {GAP}(?:has|have) waived all copyright and related or neighboring rights to"),
+    ("cc0-1.0", 80, "dedicated", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-4.0", 88, "commons", "this work is licensed under (?:a |the )?creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", 88, "commons", "this work is licensed under (?:a |the )?creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", 88, "commons", "this work is licensed under (?:a |the )?creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa-4.0", 88, "commons", "this work is licensed under (?:a |the )?creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd-4.0", 88, "commons", "this work is licensed under (?:a |the )?creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-sa-3.0", 88, "commons", "(?:text is|content is) available under the creative commons attribution sharealike license"),
+    ("ofl-1.1", 88, "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", 75, "font", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("psf-2.0", 80, "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce"),
+    ("artistic-2.0", 78, "standard", "you are permitted to use the standard version and create and use modified versions for any purpose without restriction"),
+    ("artistic-1.0", 78, "artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("eupl-1.2", 82, "european", "licensed under the eupl (?:version 1 2 )?or as soon they will be approved by the european commission subsequent versions of the eupl"),
+    ("ms-pl", 80, "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("gfdl", 86, "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("odbl-1.0", 84, "database", "this (?:database|data) is made available under the open database license"),
+    ("postgresql", 84, "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ntp", 82, "fee", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies"),
+    ("x11", 80, "dealings", f"except as contained in this notice the names? of {GAP}shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("curl", 80, "fee", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is without warranty of any kind"),
+    ("openssl", 82, "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php-3.01", 82, "php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("json", 82, "evil", "the software shall be used for good not evil"),
+    ("beerware", 82, "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("sspl-1.0", 84, "service", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("busl-1.1", 84, "change", "effective on the change date or the fourth anniversary of the first publicly available distribution of a specific version of the licensed work under this license"),
+    ("public-domain", 80, "domain", "this (?:file|work|software|code|program) (?:is|has been) (?:hereby )?(?:placed |released |dedicated )?(?:in|into|to) the public domain"),
+    ("proprietary", 84, "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 82, "confidential", "proprietary and confidential"),
+    ("proprietary", 80, "proprietary", "this software is (?:the )?(?:confidential and )?proprietary (?:information )?of"),
+]
 #: Words of a name that do not tell licenses apart and so make poor keywords.
 COMMON = {"by", "nc", "nd", "sa", "the", "and", "public", "version", "to", "do", "what", "you", "want"}
 
@@ -87,7 +185,7 @@ SCHEMA = (
 @functools.lru_cache(maxsize=1)
 def signatures() -> list[tuple[int, str, re.Pattern, str]]:
     """(priority, label, pattern, keyword) of every rule, highest priority first."""
-    rules = []
+    rules = [(1000 * priority + 10 * len(text.split()), label, re.compile(f"(?<= ){text}(?= )"), keyword) for label, priority, keyword, text in SENTENCES]
     for label, names in NAMES.items():
         for name in names:
             plain = re.sub(r"\(\?:.*?\)\??|\W\?", " ", name).split()
@@ -132,16 +230,31 @@ def places(flat: str, phrase: str) -> list[int]:
 
 
 def detections(flat: str) -> list[tuple[str, int, int, int]]:
-    """(label, priority, first word, words) of the rules' hits that no hit of higher priority contains."""
+    """(label, priority, first word, words) of the rules' hits that no hit of higher priority contains; of equal places the first rule's."""
     present = {k for _, k in _keywords().iter(flat)}
-    taken: list[tuple[int, int, str, int]] = []
-    if present:
-        for priority, label, pattern, keyword in signatures():
-            if keyword in present:
-                for m in pattern.finditer(flat):
-                    if not any(a <= m.start() and m.end() <= b for a, b, *_ in taken):
-                        taken.append((m.start(), m.end(), label, priority))
-    return [(label, priority, flat.count(" ", 0, a) - 1, flat.count(" ", a, b) + 1) for a, b, label, priority in sorted(taken)]
+    if not present:
+        return []
+    hits = [(m.start(), m.end(), label, priority) for priority, label, pattern, keyword in signatures() if keyword in present for m in pattern.finditer(flat)]
+    if not hits:
+        return []
+    starts = sorted({h[0] for h in hits})
+    far = [0] * (len(starts) + 1)  # over the taken hits, a Fenwick tree of the largest end up to each start
+    taken = []
+    for hit in hits:
+        place = at = bisect.bisect_right(starts, hit[0])
+        reach = 0
+        while at:
+            reach = max(reach, far[at])
+            at &= at - 1
+        if reach >= hit[1]:
+            continue
+        taken.append(hit)
+        while place < len(far):
+            far[place] = max(far[place], hit[1])
+            place += place & -place
+    spaces = [m.start() for m in re.finditer(" ", flat)]
+    before = lambda at: bisect.bisect_left(spaces, at)
+    return [(label, priority, before(a) - 1, before(b) - before(a) + 1) for a, b, label, priority in sorted(taken)]
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

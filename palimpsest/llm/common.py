@@ -30,16 +30,26 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names of one's own that clash with none of df's, whatever those are."""
+    mark = "_"
+    while any(c.lower() in {(mark + n).lower() for n in names} for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) does a folder of its own take its place.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and Spark runs
+    on one machine (tests) does a folder of its own take its place.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder of one machine would lose checkpoints with its executor")
         sc.setCheckpointDir(at or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
 

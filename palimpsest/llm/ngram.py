@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, saved, shuffle_width, slices
+from .common import fresh, mapped, saved, shuffle_width, slices
 from .components import connected
 from .hashing import hashed_words, mix, planes, sequence_hashes, signed, sorted_distinct, unplaned
 
@@ -108,9 +108,9 @@ def reach(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (SHARED + OF) * (n - pos) // SHARED - n
 
 
-def row_key(docs: DataFrame) -> DataFrame:
+def row_key(docs: DataFrame, name: str = "_key") -> DataFrame:
     """docs with a hash of all their columns, which with doc_id names a row up to its exact repeats."""
-    return docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes]))
+    return docs.withColumn(name, F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes]))
 
 
 def _membership(rows: DataFrame) -> DataFrame:
@@ -539,7 +539,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for an empty set: other than component_id it tells components apart whose doc_ids repeat.
     """
     width = shuffle_width(docs.sparkSession)
-    member = saved(_membership(row_key(docs)))
+    (key,) = fresh(docs, "key")
+    rows = row_key(docs, key).select(F.col(key).alias("_key"), "doc_id", "text")
+    docs = docs.select("text")
+    member = saved(_membership(rows))
     found = _candidates(docs, width)
     small, star, lists, entries = (found.where(F.col("kind") == k) for k in range(4))
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -574,10 +577,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows with an empty set all stay.
     """
     found = near_duplicates(docs).where("n_shingles > 0")
+    key, chosen, own = fresh(docs, "key", "chosen", "id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))).alias("x")
-    chosen = found.groupBy("root").agg(first).select(F.col("x.key").alias("_key"), F.col("x.id").alias("_id"))
-    keyed = row_key(docs)
+    kept_ids = found.groupBy("root").agg(first).select(F.col("x.key").alias(chosen), F.col("x.id").alias(own))
+    keyed = row_key(docs, key)
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = (F.col("_key") == F.col("_chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = keyed.where(~wordless).join(chosen.withColumnRenamed("_key", "_chosen"), same, "left_semi")
-    return kept.dropDuplicates(["_key", "doc_id"]).drop("_key").unionByName(keyed.where(wordless).drop("_key"))
+    same = (F.col(key) == F.col(chosen)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own))
+    kept = keyed.where(~wordless).join(kept_ids, same, "left_semi")
+    return kept.dropDuplicates([key, "doc_id"]).drop(key).unionByName(keyed.where(wordless).drop(key))

@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 One pass finds the spans; a value's hash is then counted over the distinct owners and
-repositories (an owner's documents) of the whole corpus.  A value that several owners carry is a copied example, one that stays with
-few owners looks live.
+repositories (an owner's documents) of the whole corpus.  A value that several owners carry, or
+that one strews over very many repositories, is a copied example; one that stays with few owners
+and repositories looks live.
 
 Plan: scan -> project (spans only) -> checkpoint -> explode -> aggregate by (hash, owner) and
 then by hash, so a value in a third of all rows is one row per task before any exchange -> join
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty
+from .common import fresh, saved, text_or_empty
 from .native import let
 
 # The patterns and lengths of the base.
@@ -24,16 +25,24 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_ASSIGN = 6
 KINDS = ("assign", "access", "hex")
-
-#: A value that more owners than this carry is an example.
+# What the method adds, by the prefixes that services give their keys.
+VENDOR = (
+    r"(?:gh[opsru]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{16,}"
+    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+)
+#: Texts without any of these hold no span; one scan tells.
+MAYBE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|gh[opsru]_|github_pat_|xox[abprs]-|AIza|[sr]k_live_|eyJ|-----BEGIN "
+
+#: A value that more owners, or more repositories, than this carry is an example.
 MAX_LIVE_OWNERS = 2
+MAX_LIVE_REPOSITORIES = 50
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, rank, end, kind, value_start, value>> of a pattern's leftmost non-overlapping matches."""
 
     def placed(hits: Column, values: Column, gaps: Column) -> Column:
-        empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value_start:int,value:string>>)")
+        empty = _no_spans()
 
         def step(acc: Column, i: Column) -> Column:
             start = acc["pos"] + F.length(F.get(gaps, i))
@@ -48,28 +57,31 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"), F.split(text, pattern).alias("gaps")),
         lambda m: placed(m["hits"], m["values"], m["gaps"]),
     )
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value_start:int,value:string>>)")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), found).otherwise(_no_spans())
+
+
+def _no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value_start:int,value:string>>)")
 
 
 def all_spans(text: Column) -> Column:
-    """Spans of all kinds by start, then in the order of the kinds; offsets in code points, end exclusive."""
-    return F.array_sort(
-        F.concat(_spans(text, "assign", 0, ASSIGN, 2, MIN_ASSIGN), _spans(text, "access", 1, ACCESS, 0, 20), _spans(text, "hex", 2, HEX, 0, 24))
-    )
+    """Spans of all kinds by start, then in the order of the kinds (the method's last); offsets in code points, end exclusive."""
+    found = F.concat(_spans(text, "assign", 0, ASSIGN, 2, MIN_ASSIGN), _spans(text, "access", 1, ACCESS, 0, 20), _spans(text, "hex", 2, HEX, 0, 24), _spans(text, "vendor", 3, VENDOR, 0, 1))
+    return F.when(text.rlike(MAYBE), F.array_sort(found)).otherwise(_no_spans())
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _statuses(base: DataFrame, max_live_owners: int) -> DataFrame:
-    """row_no and, for each span of it in order, how far its value is spread; base: row_no, owner, spans."""
-    found = base.where(F.size("spans") > 0).select("row_no", "owner", F.posexplode("spans").alias("k", "span")).withColumn("hash", F.sha2(F.col("span.value"), 256))
-    by_repository = found.groupBy("hash", "owner", "row_no").agg(F.count("*").alias("n"))
+def _statuses(base: DataFrame, max_live_owners: int, max_live_repositories: int) -> DataFrame:
+    """row_no and, for each span of it in order, how far its value is spread; base: row_no, owner, repository, spans."""
+    found = base.where(F.size("spans") > 0).select("row_no", "owner", "repository", F.posexplode("spans").alias("k", "span")).withColumn("hash", F.sha2(F.col("span.value"), 256))
+    by_repository = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     corpus = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    status = F.struct("k", "n_owners", "n_repositories", (F.col("n_owners") <= max_live_owners).alias("live"))
+    live = (F.col("n_owners") <= max_live_owners) & (F.col("n_repositories") <= max_live_repositories)
+    status = F.struct("k", "n_owners", "n_repositories", live.alias("live"))
     return found.select("row_no", "k", "hash").join(corpus, "hash").groupBy("row_no").agg(F.array_sort(F.collect_list(status)).alias("statuses"))
 
 
@@ -77,20 +89,26 @@ def _owner(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("\x00")).alias("owner")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS) -> DataFrame:
+def _repository() -> Column:
+    """A document of an owner is a repository; rows without doc_id are one each by their text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\x00"), F.xxhash64(text_or_empty()).cast("string"))).alias("repository")
+
+
+def scan_secrets(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, max_live_repositories: int = MAX_LIVE_REPOSITORIES) -> DataFrame:
     """One row per row of docs (doc_id, text, an owner): row_no, doc_id, spans and statuses.
 
     ``statuses`` holds, for each span in order, n_owners and n_repositories of its value in the
-    whole corpus and whether it looks live (at most ``max_live_owners`` distinct owners).
+    whole corpus and whether it looks live (at most ``max_live_owners`` distinct owners and
+    ``max_live_repositories`` distinct documents; copies of one document count once).
     Null text counts as empty (no spans); a null owner counts as one owner of its own; repeated
     rows are scanned each for itself; an empty table gives no rows; other columns are ignored.
     row_no numbers the rows of this scan, so null and repeated doc_ids stay apart.
     """
     base = saved(
-        docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), _owner(owner), all_spans(text_or_empty()).alias("spans"))
+        docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), _owner(owner), _repository(), all_spans(text_or_empty()).alias("spans"))
     )
     none = F.expr("cast(array() as array<struct<k:int,n_owners:bigint,n_repositories:bigint,live:boolean>>)")
-    return base.join(_statuses(base, max_live_owners), "row_no", "left").select("row_no", "doc_id", "spans", F.coalesce("statuses", none).alias("statuses"))
+    return base.join(_statuses(base, max_live_owners, max_live_repositories), "row_no", "left").select("row_no", "doc_id", "spans", F.coalesce("statuses", none).alias("statuses"))
 
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:
@@ -105,22 +123,24 @@ def _masked(text: Column, spans: Column, mask: str) -> Column:
     return F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
 
 
-def mask_live(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+def mask_live(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, mask: str = "[SECRET]", max_live_repositories: int = MAX_LIVE_REPOSITORIES) -> DataFrame:
     """docs, all rows and columns, with the values that look live replaced by ``mask``; n_chars, if there, follows.
 
-    Rows without a span pass unchanged (a null text stays null) and are never shuffled.  The
-    cases are those of scan_secrets.
+    Rows without a span pass unchanged (a null text stays null) and are never shuffled; one cheap
+    pattern lets most of them by.  The cases are those of scan_secrets; columns of any name stay.
     """
     columns = docs.columns
-    spotted = docs.withColumn("_spans", all_spans(text_or_empty()))
-    hit = saved(spotted.where(F.size("_spans") > 0).withColumn("_row_no", F.monotonically_increasing_id()))
-    judged = _statuses(hit.select(F.col("_row_no").alias("row_no"), _owner(owner), F.col("_spans").alias("spans")), max_live_owners)
-    both = hit.join(judged.select(F.col("row_no").alias("_row_no"), F.col("statuses").alias("_statuses")), "_row_no")
-    live = F.filter("_spans", lambda s, k: F.get(F.col("_statuses"), k)["live"])
+    own, row_no, found, told = fresh(docs, "spans", "row_no", "row", "statuses")
+    spotted = docs.withColumn(own, all_spans(text_or_empty()))
+    hit = saved(spotted.where(F.size(own) > 0).withColumn(row_no, F.monotonically_increasing_id()))
+    judged = _statuses(hit.select(F.col(row_no).alias("row_no"), _owner(owner), _repository(), F.col(own).alias("spans")), max_live_owners, max_live_repositories)
+    both = hit.join(judged.select(F.col("row_no").alias(found), F.col("statuses").alias(told)), F.col(row_no) == F.col(found))
+    live = F.filter(own, lambda s, k: F.get(F.col(told), k)["live"])
     masked = both.withColumn("text", F.when(F.size(live) > 0, _masked(F.col("text"), live, mask)).otherwise(F.col("text")))
     if "n_chars" in columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return spotted.where(F.size("_spans") == 0).select(*columns).unionByName(masked.select(*columns))
+    quoted = [f"`{c}`" for c in columns]
+    return spotted.where(F.size(own) == 0).select(*quoted).unionByName(masked.select(*quoted))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -129,7 +149,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id",
         *[count(k) for k in KINDS],
-        F.sha2(joined(F.col("spans")), 256).alias("base_sha256"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "vendor")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.size(F.filter("statuses", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("statuses", lambda s: ~s["live"])).cast("long").alias("n_example"),

@@ -224,3 +224,55 @@ def test_quality_measures_and_cascade(spark):
     sets = [{r.doc_id for r in docs.where(quality.verdict(quality.text_or_empty(), rules, o)).collect()} for o in orders]
     assert sets[0] == sets[1] == kept
     assert quality.quality_report(corpus.empty(spark)).count() == 0
+
+
+def _fragments():
+    names = [name for _, _, name, _ in ((r[0], r[1], re.sub(r"\(\?:[^)]*\)\??|\(\?[<=][^)]*\)|\\S\+|\W\?|\{0,12\}", " ", r[2].pattern), r[3]) for r in licenses.signatures())]
+    return [" ".join(n.split()) for n in names]
+
+
+def _plain_detections(flat):
+    hits = [(m.start(), m.end(), label, priority) for priority, label, pattern, _ in licenses.signatures() for m in pattern.finditer(flat)]
+    taken = []
+    for hit in hits:
+        if not any(a <= hit[0] and hit[1] <= b for a, b, *_ in taken):
+            taken.append(hit)
+    return [(label, priority, flat[:a].count(" ") - 1, flat[a:b].count(" ") + 1) for a, b, label, priority in sorted(taken)]
+
+
+def test_detections_match_every_rule_on_every_text():
+    rnd = random.Random(4)
+    fragments = _fragments()
+    whole = [licenses.normalised(text)[0].strip() for *_, text in licenses.SENTENCES if "(" not in text]
+    found = set()
+    for _ in range(60):
+        words = []
+        for _ in range(rnd.randrange(1, 8)):
+            words += [rnd.choice(["see", "under the", "licensed under the", "filler", "gnu", "2 0", ""]), rnd.choice(fragments), rnd.choice(whole) if rnd.random() < 0.3 else "text"]
+        flat = licenses.normalised(" ".join(words))[0]
+        assert licenses.detections(flat) == _plain_detections(flat)
+        found |= {d[0] for d in licenses.detections(flat)}
+    assert len(found) > 30
+    for label, _, _, text in licenses.SENTENCES:
+        if "(" not in text and "?" not in text:
+            assert label in {d[0] for d in _plain_detections(f" x {text} y ")} or any(text in other for *_, other in licenses.SENTENCES if other != text), text
+
+
+def test_many_license_lines_cost_little():
+    import time
+
+    flat = licenses.normalised("Released under the MIT License. See the Apache License 2.0. " * 4000)[0]
+    began = time.perf_counter()
+    assert len(licenses.detections(flat)) == 8000
+    assert time.perf_counter() - began < 3
+
+
+def test_secrets_spread_over_repositories_are_examples(spark):
+    value = "token = zz" + "9a" * 8
+    rows = [(k, value, "one") for k in range(60)] + [(100 + k % 3, "token = live99value", "one") for k in range(60)] + [(500, "ghp_" + "a1B2" * 6 + " -----BEGIN RSA PRIVATE KEY-----", "two"), (None, value, None)]
+    scanned = secrets.digest(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    by = {r.doc_id: r for r in scanned}
+    assert (by[3].n_live, by[3].n_example) == (0, 1)
+    assert (by[101].n_live, by[101].n_example) == (1, 0)
+    assert by[500].spans == "vendor:0:28,vendor:29:60"
+    assert by[500].base_sha256 == hashlib.sha256(b"").hexdigest()

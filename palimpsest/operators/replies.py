@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_list, optional_text
+from ..functions.scalars import EXTERNAL_PREFIX, clean_list, optional_text
 from .candidates import KINDS
 
 # The caps and enumerations of replies.
@@ -66,16 +66,16 @@ def external_query(query: Column, expansions: Column, keywords: Column, entities
     return F.array_join(F.array_distinct(F.filter(lines, lambda x: x.isNotNull() & (x != ""))), "\n")
 
 
-def external_hits(rows: DataFrame, prefix: str = "mem0:") -> DataFrame:
-    """External search rows (rank, id, memory_id, memory, data, score, created_at, categories, metadata map) as the store's hits."""
+def external_hits(rows: DataFrame, prefix: str = EXTERNAL_PREFIX, sources_key: str = "source_message_ids", time_key: str = "session_time") -> DataFrame:
+    """External search rows (rank, id, memory_id, memory, data, score, created_at, categories, metadata map) as the store's hits; the keys name two entries of the metadata."""
     filled = lambda *cs: F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in cs])
     meta = lambda k: F.col("metadata")[k]
     own = F.coalesce(filled(F.col("id"), F.col("memory_id")), F.concat(F.lit("rank-"), F.col("rank").cast("string")))
-    raw = meta("mim_source_message_ids")
+    raw = meta(sources_key)
     ids = F.when(raw.isNull() | (raw == ""), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(raw, "array<string>"), F.array(raw)))
     return rows.select(
         *[c for c in rows.columns if c not in ("id", "memory_id", "memory", "data", "score", "created_at", "categories", "metadata")], F.concat(F.lit(prefix), own).alias("version_id"), own.alias("memory_id"), F.coalesce(filled(F.col("memory"), F.col("data")), F.lit("")).alias("content"),
-        F.coalesce(filled(meta("memory_kind")), F.lit("fact")).alias("memory_kind"), F.coalesce(filled(meta("subject")), F.lit("")).alias("subject"), filled(meta("world_start"), meta("mim_session_time"), F.col("created_at")).alias("world_start"),
+        F.coalesce(filled(meta("memory_kind")), F.lit("fact")).alias("memory_kind"), F.coalesce(filled(meta("subject")), F.lit("")).alias("subject"), filled(meta("world_start"), meta(time_key), F.col("created_at")).alias("world_start"),
         F.coalesce("categories", F.array().cast("array<string>")).alias("entities"), ids.alias("source_message_ids"), F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.coalesce("score", F.lit(0.0)) != 0, F.col("score")).otherwise(0.5).alias("confidence"),
     )
 

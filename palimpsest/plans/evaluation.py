@@ -38,15 +38,22 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("qa_id", F.size("p").cast("long").alias("n_p"), F.size("r").cast("long").alias("n_r"), F.round(tx.token_f1(F.col("p"), F.col("r")), 6).alias("f1"))
 
 
+def _parts_sql(column: str) -> str:
+    return f"list_transform(string_split({column}, ','), lambda y: {_norm_sql('y')})"
+
+
+_MULTI = f"list_avg(list_transform(rs, lambda r: list_max(list_transform(ps, lambda p: {_f1_sql('p', 'r')}))))"
+
+
 @query(
     "category_f1",
-    f"WITH {ANSWERS_SQL}, n AS (SELECT qa_id, category, prediction, {_norm_sql('prediction')} AS p, {_norm_sql('''CASE WHEN category = 3 THEN trim(string_split(reference, ';')[1]) ELSE reference END''')} AS r FROM answers WHERE category <> 1) "
-    f"SELECT qa_id, category, round(CASE WHEN category = 5 THEN CASE WHEN contains(lower(prediction), 'no information available') OR contains(lower(prediction), 'not mentioned') THEN 1.0 ELSE 0.0 END ELSE {_f1_sql('p', 'r')} END, 6) AS f1 FROM n",
+    f"WITH {ANSWERS_SQL}, n AS (SELECT qa_id, category, prediction, {_norm_sql('prediction')} AS p, {_norm_sql("CASE WHEN category = 3 THEN trim(string_split(reference, ';')[1]) ELSE reference END")} AS r, {_parts_sql('prediction')} AS ps, {_parts_sql('reference')} AS rs FROM answers) "
+    f"SELECT qa_id, category, round(CASE WHEN category = 5 THEN CASE WHEN contains(lower(prediction), 'no information available') OR contains(lower(prediction), 'not mentioned') THEN 1.0 ELSE 0.0 END WHEN category = 1 THEN {_MULTI} ELSE {_f1_sql('p', 'r')} END, 6) AS f1 FROM n",
 )
 def category_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category-aware scores without stems; the multi-hop category is its own query."""
+    """Category-aware scores of all categories, without stems."""
     scored = tx.answer_f1(F.col("prediction"), F.col("reference"), F.col("category"), stem=False)
-    return _answers(spark, sf_dir).where("category <> 1").select("qa_id", "category", F.round(scored, 6).alias("f1"))
+    return _answers(spark, sf_dir).select("qa_id", "category", F.round(scored, 6).alias("f1"))
 
 
 @query("stemmed_f1")
@@ -79,13 +86,13 @@ def pivot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.label_counts(_labelled(spark, sf_dir), "category")
 
 
-RUNS_SQL = "before AS (SELECT doc_id AS qa_id, CASE WHEN quality = 1 THEN 'C' ELSE 'W' END AS label FROM labels), after AS (SELECT doc_id AS qa_id, CASE WHEN toxic = 0 THEN 'C' ELSE 'W' END AS label FROM labels WHERE doc_id % 11 <> 0)"
+RUNS_SQL = "before AS (SELECT doc_id AS qa_id, CASE WHEN quality = 1 THEN 'C' ELSE 'W' END AS label FROM labels), after AS (SELECT doc_id AS qa_id, CASE WHEN toxic = 0 THEN 'C' ELSE 'W' END AS label FROM labels)"
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "qa_id")
     graded = lambda good: F.when(good, "C").otherwise("W").alias("label")
-    return labels.select("qa_id", graded(F.col("quality") == 1)), labels.where("qa_id % 11 <> 0").select("qa_id", graded(F.col("toxic") == 0))
+    return labels.select("qa_id", graded(F.col("quality") == 1)), labels.select("qa_id", graded(F.col("toxic") == 0))
 
 
 @query("run_transition_matrix", f"WITH {RUNS_SQL} SELECT b.label AS label_before, a.label AS label_after, count(*) AS n FROM before b JOIN after a USING (qa_id) GROUP BY 1, 2")
@@ -95,37 +102,12 @@ def run_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "iteration_cases",
-    f"WITH {RUNS_SQL}, ages AS (SELECT doc_id AS qa_id, max(doc_id % 3) AS age FROM labels WHERE doc_id % 2 = 0 GROUP BY 1) "
+    f"WITH {RUNS_SQL}, ages AS (SELECT doc_id AS qa_id, max(doc_id % 3) AS age FROM labels GROUP BY 1) "
     "SELECT qa_id, b.label || '2' || a.label AS transition, CASE WHEN b.label = 'W' AND a.label = 'W' THEN coalesce(age, 0) + 1 WHEN b.label = 'C' AND a.label = 'W' THEN 1 ELSE 0 END AS failure_age FROM before b JOIN after a USING (qa_id) LEFT JOIN ages USING (qa_id) WHERE NOT (b.label = 'C' AND a.label = 'C')",
 )
 def iteration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ages = table(spark, sf_dir, "labels").where("doc_id % 2 = 0").groupBy(F.col("doc_id").alias("qa_id")).agg(F.max(F.col("doc_id") % 3).alias("age"))
-    return ev.iteration_cases(*_runs(spark, sf_dir), ages)
-
-
-#: The same runs over all labels.
-WHOLE_SQL = RUNS_SQL.replace(" WHERE doc_id % 11 <> 0", "")
-
-
-def _whole_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "qa_id")
-    graded = lambda good: F.when(good, "C").otherwise("W").alias("label")
-    return labels.select("qa_id", graded(F.col("quality") == 1)), labels.select("qa_id", graded(F.col("toxic") == 0))
-
-
-@query("run_transition_whole", f"WITH {WHOLE_SQL} SELECT b.label AS label_before, a.label AS label_after, count(*) AS n FROM before b JOIN after a USING (qa_id) GROUP BY 1, 2")
-def run_transition_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.transitions(*_whole_runs(spark, sf_dir))
-
-
-@query(
-    "iteration_cases_whole",
-    f"WITH {WHOLE_SQL}, ages AS (SELECT doc_id AS qa_id, max(doc_id % 3) AS age FROM labels GROUP BY 1) "
-    "SELECT qa_id, b.label || '2' || a.label AS transition, CASE WHEN b.label = 'W' AND a.label = 'W' THEN coalesce(age, 0) + 1 WHEN b.label = 'C' AND a.label = 'W' THEN 1 ELSE 0 END AS failure_age FROM before b JOIN after a USING (qa_id) LEFT JOIN ages USING (qa_id) WHERE NOT (b.label = 'C' AND a.label = 'C')",
-)
-def iteration_cases_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     ages = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("qa_id")).agg(F.max(F.col("doc_id") % 3).alias("age"))
-    return ev.iteration_cases(*_whole_runs(spark, sf_dir), ages)
+    return ev.iteration_cases(*_runs(spark, sf_dir), ages)
 
 
 @query(
@@ -194,3 +176,117 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units dealt to three sets so that sizes and categories come closest to the shares; every allocation is looked at."""
     counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("unit"), (F.col("user_id") % 4).alias("category")).agg(F.count("*").alias("n"))
     return ev.balanced_split(counts, SPLIT_SIZES)
+
+
+#: Answers of runs, made of orders: run, conversation, category, score, rating, error, tokens, steps.
+RESULTS_SQL = """res AS (SELECT o_orderkey AS qa_id, 'run' || o_orderstatus AS run, o_custkey % 10 AS conversation_id, CASE WHEN o_custkey % 6 > 0 THEN o_custkey % 6 END AS category, round(o_totalprice / 500000, 6) AS f1, CAST(floor(o_totalprice / 100000) AS BIGINT) % 5 + 1 AS rating,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'failed' END AS error, o_orderkey % 900 AS tokens, o_orderkey % 4 + 1 AS steps FROM orders)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("qa_id"), F.concat(F.lit("run"), "o_orderstatus").alias("run"), (c % 10).alias("conversation_id"), F.when(c % 6 > 0, c % 6).alias("category"), F.round(F.col("o_totalprice") / 500000, 6).alias("f1"),
+        (F.floor(F.col("o_totalprice") / 100000) % 5 + 1).alias("rating"), F.when(F.col("o_orderpriority") == "5-LOW", "failed").alias("error"), (k % 900).alias("tokens"), (k % 4 + 1).alias("steps"),
+    )
+
+
+_REPORT = "count(*) AS n, count(error) AS errors, sum(tokens) AS tokens, round(avg(steps), 6) AS mean_steps, round(avg(f1), 6) AS mean_f1"
+
+
+@query("eval_report", f"WITH {RESULTS_SQL} SELECT run, NULL AS category, {_REPORT} FROM res GROUP BY 1 UNION ALL SELECT run, category, {_REPORT} FROM res WHERE category IS NOT NULL GROUP BY 1, 2")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, errors, tokens, steps and scores of each run, over all and by category; answers without a category count in the total only."""
+    return ev.report(_results(spark, sf_dir), "run", "category")
+
+
+@query("run_summary", f"WITH {RESULTS_SQL} SELECT conversation_id, NULL AS category, {_REPORT} FROM res GROUP BY 1 UNION ALL SELECT conversation_id, category, {_REPORT} FROM res WHERE category IS NOT NULL GROUP BY 1, 2")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.report(_results(spark, sf_dir), "conversation_id", "category")
+
+
+@query(
+    "baseline_table",
+    f"WITH {RESULTS_SQL} SELECT run, " + ", ".join(f"coalesce(printf('%.1f%%', 100 * avg(f1) FILTER (WHERE category = {c})), 'n/a') AS c{c}" for c in (1, 2, 4, 3, 5)) + " FROM res GROUP BY run",
+)
+def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category means as percentages, the categories in their customary order."""
+    return ev.category_table(_results(spark, sf_dir), "run")
+
+
+@query(
+    "rating_distribution",
+    f"WITH {RESULTS_SQL} SELECT run, category, count(*) AS n, round(avg(rating), 3) AS mean, " + ", ".join(f"count(*) FILTER (WHERE rating = {r}) AS r{r}" for r in (5, 4, 3, 2, 1)) + " FROM res WHERE category IS NOT NULL GROUP BY 1, 2",
+)
+def rating_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the ratings, five first, and their mean."""
+    return ev.ratings(_results(spark, sf_dir).where("category IS NOT NULL"), ["run", "category"])
+
+
+_RATE = "round(100.0 * count(*) FILTER (WHERE rating {0}) / count(*), 1)"
+
+
+@query("label_rates", f"WITH {RESULTS_SQL} SELECT run, category, count(*) AS n, {_RATE.format('>= 4')} AS c, {_RATE.format('= 3')} AS p, {_RATE.format('<= 2')} AS i, {_RATE.format('>= 3')} AS cp FROM res WHERE category IS NOT NULL GROUP BY 1, 2")
+def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of correct, partial and incorrect answers, and of correct or partial ones."""
+    judged = _results(spark, sf_dir).where("category IS NOT NULL").withColumn("label", scalars.score_label(F.col("rating")))
+    return ev.rates(judged, ["run", "category"])
+
+
+@query(
+    "bundle_metrics",
+    f"WITH {RESULTS_SQL}, j AS (SELECT *, CASE WHEN rating >= 4 THEN 1.0 ELSE 0.0 END AS c, CASE WHEN rating >= 4 THEN 1.0 WHEN rating = 3 THEN 0.5 ELSE 0.0 END AS p FROM res) "
+    "SELECT conversation_id, category, grouping(conversation_id, category) AS level, count(*) AS n, round(avg(c), 6) AS strict, round(avg(p), 6) AS partial, count(error) AS errors, sum(tokens) AS tokens, round(avg(steps), 6) AS mean_steps FROM j GROUP BY GROUPING SETS ((conversation_id, category), (conversation_id), (category), ())",
+)
+def bundle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict and partial-aware scores, errors, tokens and steps for every grouping of conversation and category."""
+    judged = _results(spark, sf_dir).withColumn("label", scalars.score_label(F.col("rating")))
+    found = ev.summary(judged, usage=True)
+    return found.select("conversation_id", "category", "level", "n", F.round("strict", 6).alias("strict"), F.round("partial", 6).alias("partial"), "errors", "tokens", F.round("mean_steps", 6).alias("mean_steps"))
+
+
+@query(
+    "data_quality_counts",
+    "WITH j AS (SELECT l_orderkey AS qa_id, l_suppkey % 10 AS conversation_id, CASE l_returnflag WHEN 'A' THEN 'C' WHEN 'N' THEN 'P' ELSE '?' END AS label FROM lineitem), e AS (SELECT o_orderkey AS qa_id, o_custkey % 10 AS conversation_id FROM orders WHERE o_orderstatus <> 'P') "
+    "SELECT 'duplicates' AS kind, count(*) AS n FROM (SELECT qa_id FROM j GROUP BY 1 HAVING count(*) > 1) t UNION ALL SELECT 'invalid_labels', count(*) FROM j WHERE label NOT IN ('C', 'P', 'I') UNION ALL SELECT 'missing', count(*) FROM e WHERE qa_id NOT IN (SELECT qa_id FROM j) "
+    "UNION ALL SELECT 'extras', count(DISTINCT qa_id) FROM j WHERE qa_id NOT IN (SELECT qa_id FROM e) UNION ALL SELECT 'wrong_conversation', count(*) FROM j JOIN e USING (qa_id) WHERE j.conversation_id <> e.conversation_id",
+)
+def data_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "N", "P").otherwise("?")
+    judged = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qa_id"), (F.col("l_suppkey") % 10).alias("conversation_id"), label.alias("label"))
+    expected = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("qa_id"), (F.col("o_custkey") % 10).alias("conversation_id"))
+    return ev.quality_counts(judged, expected)
+
+
+@query("embedding_kinds", "SELECT len(embedding) AS dim, label, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def embedding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimensions that are stored, as the compatibility probe sees them."""
+    return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dim"), "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    "bank_filter_report",
+    "SELECT s_nationkey % 2 = 0 AS access, count(*) AS n, count(*) FILTER (WHERE u) AS kept, count(*) FILTER (WHERE NOT u) AS dropped, coalesce(100 * count(*) FILTER (WHERE NOT u) // nullif(count(*), 0), 0) AS percent FROM (SELECT *, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AS u FROM supplier) t GROUP BY 1",
+)
+def bank_filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of a bank's sides when unused skills go, in whole per cent."""
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("skill_id"))
+    held = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("skill_id"), (F.col("s_nationkey") % 2 == 0).alias("access"))
+    return ev.filter_report(held, used, "access")
+
+
+@query(
+    "pipeline_summary",
+    "SELECT side, count(*) FILTER (WHERE k = 'candidate') AS candidates, count(DISTINCT CASE WHEN k = 'cluster' THEN id END) AS clusters, count(*) FILTER (WHERE k = 'draft') AS drafts, count(*) FILTER (WHERE k = 'rejected') AS rejected, count(*) FILTER (WHERE k = 'official') AS official FROM "
+    "(SELECT CASE WHEN l_linestatus = 'F' THEN 'access' ELSE 'construction' END AS side, ['candidate', 'cluster', 'draft', 'rejected', 'official'][l_linenumber % 5 + 1] AS k, l_partkey AS id FROM lineitem) t GROUP BY side",
+)
+def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*[F.lit(k) for k in ("candidate", "cluster", "draft", "rejected", "official")]), (F.col("l_linenumber") % 5).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linestatus") == "F", "access").otherwise("construction").alias("side"), kind.alias("kind"), F.col("l_partkey").alias("id"))
+    return ev.pipeline_summary(rows)
+
+
+@query("outcome_counts", "SELECT user_id % 10 AS conversation_id, count(*) FILTER (WHERE event_type = 'click') AS ok, count(*) FILTER (WHERE event_type = 'view') AS no_change, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'error')) AS no_problem FROM events GROUP BY 1")
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "view", "no_change").when(F.col("event_type") == "error", "error").otherwise("no_problem")
+    return ev.outcomes(table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("conversation_id"), status.alias("status")), "conversation_id")

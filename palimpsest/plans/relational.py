@@ -11,12 +11,17 @@ from ..io import table
 from ..operators import graph, store
 from .views import MESSAGES_SQL, SCOPES, VERSIONS_SQL, messages, versions
 
-AS_OF = 5000
+#: The commit at half of the history, and the one after all.
+AS_OF_SQL, NEXT_SQL = "(SELECT max(event_id) // 2 FROM events)", "(SELECT max(event_id) + 1 FROM events)"
 
 
-@query("snapshot_asof", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no, kind FROM versions WHERE system_from <= {AS_OF} AND (system_to IS NULL OR system_to > {AS_OF})")
+def as_of(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
+
+
+@query("snapshot_asof", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no, kind FROM versions WHERE system_from <= {AS_OF_SQL} AND (system_to IS NULL OR system_to > {AS_OF_SQL})")
 def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.snapshot(versions(spark, sf_dir), None, AS_OF).select("version_id", "memory_id", "version_no", "kind")
+    return store.snapshot(versions(spark, sf_dir), None, as_of(spark, sf_dir)).select("version_id", "memory_id", "version_no", "kind")
 
 
 @query("snapshot_current", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no FROM versions WHERE system_to IS NULL")
@@ -24,9 +29,9 @@ def snapshot_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.snapshot(versions(spark, sf_dir)).select("version_id", "memory_id", "version_no")
 
 
-@query("snapshot_history", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no FROM versions WHERE system_from <= {AS_OF}")
+@query("snapshot_history", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no FROM versions WHERE system_from <= {AS_OF_SQL}")
 def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.snapshot(versions(spark, sf_dir), None, AS_OF, include_history=True).select("version_id", "memory_id", "version_no")
+    return store.snapshot(versions(spark, sf_dir), None, as_of(spark, sf_dir), include_history=True).select("version_id", "memory_id", "version_no")
 
 
 @query("version_intervals", f"WITH {VERSIONS_SQL} SELECT memory_id, version_no, system_from, system_to, system_to - system_from AS span FROM versions")
@@ -36,13 +41,13 @@ def version_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "uncovered_messages",
-    f"WITH {MESSAGES_SQL}, edges AS (SELECT DISTINCT user_id * 1000 + event_id % 5 AS message_id FROM events WHERE event_id <= {AS_OF}) "
+    f"WITH {MESSAGES_SQL}, edges AS (SELECT DISTINCT user_id * 1000 + event_id % 5 AS message_id FROM events WHERE event_id <= {AS_OF_SQL}) "
     "SELECT DISTINCT m.message_id, m.conv_id, m.turn FROM messages m JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') c USING (conv_id) "
     "WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.message_id = m.message_id)",
 )
 def uncovered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of processed sessions that no candidate up to a commit cites."""
-    cited = table(spark, sf_dir, "events").where(F.col("event_id") <= AS_OF).select((F.col("user_id") * 1000 + F.col("event_id") % 5).alias("message_id"))
+    cited = table(spark, sf_dir, "events").where(F.col("event_id") <= as_of(spark, sf_dir)).select((F.col("user_id") * 1000 + F.col("event_id") % 5).alias("message_id"))
     processed = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id")
     return messages(spark, sf_dir).join(processed, "conv_id", "left_semi").join(cited, "message_id", "left_anti").select("message_id", "conv_id", "turn").distinct()
 
@@ -145,14 +150,14 @@ def field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scd2_close",
-    f"WITH {VERSIONS_SQL}, hit AS (SELECT DISTINCT user_id AS memory_id FROM events WHERE event_type = 'error' AND event_id > {AS_OF}) "
-    f"SELECT version_id, CASE WHEN system_to IS NULL AND h.memory_id IS NOT NULL THEN 20000 ELSE system_to END AS system_to, CASE WHEN system_to IS NULL AND h.memory_id IS NOT NULL THEN 'retracted' WHEN system_to IS NOT NULL THEN 'superseded' END AS end_reason FROM versions LEFT JOIN hit h USING (memory_id)",
+    f"WITH {VERSIONS_SQL}, hit AS (SELECT DISTINCT user_id AS memory_id FROM events WHERE event_type = 'error' AND event_id > {AS_OF_SQL}) "
+    f"SELECT version_id, CASE WHEN system_to IS NULL AND h.memory_id IS NOT NULL THEN {NEXT_SQL} ELSE system_to END AS system_to, CASE WHEN system_to IS NULL AND h.memory_id IS NOT NULL THEN 'retracted' WHEN system_to IS NOT NULL THEN 'superseded' END AS end_reason FROM versions LEFT JOIN hit h USING (memory_id)",
 )
 def scd2_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = table(spark, sf_dir, "events").where(f"event_type = 'error' AND event_id > {AS_OF}").select(F.col("user_id").alias("memory_id")).distinct().withColumn("hit", F.lit(True))
+    hit = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (F.col("event_id") > as_of(spark, sf_dir))).select(F.col("user_id").alias("memory_id")).distinct().withColumn("hit", F.lit(True))
     closed = F.col("system_to").isNull() & F.coalesce("hit", F.lit(False))
     return versions(spark, sf_dir).join(hit, "memory_id", "left").select(
-        "version_id", F.when(closed, F.lit(20000).cast("long")).otherwise(F.col("system_to")).alias("system_to"),
+        "version_id", F.when(closed, F.lit(table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0]).cast("long")).otherwise(F.col("system_to")).alias("system_to"),
         F.when(closed, "retracted").when(F.col("system_to").isNotNull(), "superseded").alias("end_reason"),
     )
 
@@ -213,7 +218,8 @@ def upsert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later batches replace earlier rows of a key."""
     events = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("key"), "event_id", "event_type")
     last = lambda df: store.latest(df, ["key"], F.desc("event_id"))
-    return store.upsert(last(events.where(f"event_id < {AS_OF}")), last(events.where(f"event_id >= {AS_OF}")), ["key"])
+    half = as_of(spark, sf_dir)
+    return store.upsert(last(events.where(F.col("event_id") < half)), last(events.where(F.col("event_id") >= half)), ["key"])
 
 
 @query("insert_if_absent", "SELECT user_id AS conv_id, 'events' AS origin FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)) t UNION ALL SELECT DISTINCT conv_id, 'conversations' FROM conversations")
@@ -231,10 +237,21 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT candidate, memory, route FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY route, memory) AS n FROM best) t WHERE n <= 8",
 )
 def related_routes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates and related memories over several routes, the first route of each pair kept, a bounded number each."""
-    cand = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate"), "c_nationkey", "c_mktsegment")
-    same = cand.join(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"]).where("c_custkey <> candidate").select("candidate", F.col("c_custkey").alias("memory"), F.lit(1).alias("route"))
-    near = cand.join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select("candidate", F.col("s_suppkey").alias("memory"), F.lit(2).alias("route"))
+    """Candidates and related memories over several routes, the first route of each pair kept, a bounded number each.
+
+    A group's nine smallest memories (one may be the candidate itself) are all that can be among
+    the first eight, so they are found before the join.
+    """
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    cand = customer.select(F.col("c_custkey").alias("candidate"), "c_nationkey", "c_mktsegment")
+
+    def smallest(df: DataFrame, keys: list[str], memory: str, n: int) -> DataFrame:
+        own = Window.partitionBy(*keys).orderBy(memory)
+        return df.select(*keys, F.col(memory).alias("memory"), F.row_number().over(own).alias("n")).where(F.col("n") <= n).drop("n")
+
+    same = cand.join(smallest(customer, ["c_nationkey", "c_mktsegment"], "c_custkey", 9), ["c_nationkey", "c_mktsegment"]).where("memory <> candidate").select("candidate", "memory", F.lit(1).alias("route"))
+    # Eight of the other route may be taken already: sixteen hold eight new ones.
+    near = cand.join(smallest(supplier.withColumnRenamed("s_nationkey", "c_nationkey"), ["c_nationkey"], "s_suppkey", 16), "c_nationkey").select("candidate", "memory", F.lit(2).alias("route"))
     best = same.unionByName(near).groupBy("candidate", "memory").agg(F.min("route").alias("route"))
     w = Window.partitionBy("candidate").orderBy("route", "memory")
     return best.withColumn("n", F.row_number().over(w)).where("n <= 8").drop("n")
@@ -243,14 +260,14 @@ def related_routes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "run_vs_run_sets",
     "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'before_only' WHEN a.user_id IS NULL THEN 'after_only' ELSE 'shared' END AS side FROM "
-    "(SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id < 600) a FULL OUTER JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id >= 9400) b ON a.user_id = b.user_id",
+    f"(SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id <= {AS_OF_SQL}) a FULL OUTER JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id > {AS_OF_SQL}) b ON a.user_id = b.user_id",
 )
 def run_vs_run_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    a = bought.where("event_id < 600").select("user_id").distinct().withColumn("a", F.lit(1))
-    b = bought.where("event_id >= 9400").select("user_id").distinct().withColumn("b", F.lit(1))
-    side = F.when(F.col("b").isNull(), "before_only").when(F.col("a").isNull(), "after_only").otherwise("shared")
-    return a.join(b, "user_id", "full_outer").select("user_id", side.alias("side"))
+    """Buyers of the first half of the history, of the second, and of both."""
+    late = F.col("event_id") > as_of(spark, sf_dir)
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min(late).alias("first"), F.max(late).alias("last"))
+    side = F.when(F.col("first") != F.col("last"), "shared").when(F.col("last"), "after_only").otherwise("before_only")
+    return bought.select("user_id", side.alias("side"))
 
 
 @query(
@@ -270,13 +287,14 @@ def run_vs_run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snapshot_diff",
-    "WITH o AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 7 <> 0) "
+    "WITH o AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_mktsegment <> 'MACHINERY') "
     "SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'tombstone' WHEN o.id IS NULL THEN 'new' ELSE 'changed' END AS state FROM o FULL OUTER JOIN n ON o.id = n.id WHERE o.v IS DISTINCT FROM n.v OR o.id IS NULL OR n.id IS NULL",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as two snapshots: one segment new, one gone, some nations changed."""
     c = table(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    new = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("v"))
+    old = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    new = c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") < 5, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("v"))
     return graph.snapshot_diff(old, new, "id", ["v"])
 
 
@@ -368,12 +386,13 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "connected_components",
-    "WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 1 AS b FROM events WHERE event_id % 8 <> 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
-    "walk AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, w.root FROM walk w JOIN u ON u.a = w.node) SELECT node, min(root) AS root FROM walk GROUP BY node",
+    "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) t WHERE n > 1",
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans whose write sets meet (here chains of eight), by iterated least labels."""
-    return graph.components(table(spark, sf_dir, "events").where("event_id % 8 <> 7").select(F.col("event_id").alias("a"), (F.col("event_id") + 1).alias("b")))
+    """Each order is tied to its customer's next: the components are the customers' chains."""
+    own = Window.partitionBy("o_custkey").orderBy(F.xxhash64("o_orderkey"))
+    following = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(own).alias("b"))
+    return graph.components(following.where("b IS NOT NULL"))
 
 
 @query("write_set_components")

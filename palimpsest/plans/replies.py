@@ -69,7 +69,7 @@ def external_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an external search, with their fallbacks, as hits."""
     k, none = F.col("event_id"), F.lit(None).cast("string")
     meta = F.create_map(
-        F.lit("memory_kind"), F.when(k % 3 == 0, "plan"), F.lit("mim_session_time"), F.when(k % 3 == 1, "2024"), F.lit("mim_source_message_ids"), F.when(k % 5 == 0, '["m1","m2"]').when(k % 5 == 1, "plain")
+        F.lit("memory_kind"), F.when(k % 3 == 0, "plan"), F.lit("session_time"), F.when(k % 3 == 1, "2024"), F.lit("source_message_ids"), F.when(k % 5 == 0, '["m1","m2"]').when(k % 5 == 1, "plain")
     )
     rows = table(spark, sf_dir, "events").select(
         "event_id", k.alias("rank"), F.when(k % 4 != 0, k.cast("string")).alias("id"), none.alias("memory_id"), none.alias("memory"), F.when(k % 2 == 0, F.col("event_type")).alias("data"), F.when(k % 2 == 1, 0.25).alias("score"), F.col("user_id").cast("string").alias("created_at"),

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sinks
 
@@ -55,7 +56,7 @@ def scoped(memories: DataFrame, namespace: str, conversation: Column, most: int
 def sessions_held(sessions: DataFrame, memories: DataFrame, namespace: str) -> DataFrame:
     """The sessions (conversation_id, session_id) of which an external memory exists; memories: scope_id, session_id."""
     scope = F.concat_ws(":", F.nullif(F.lit(namespace), F.lit("")), "conversation_id")
-    return sessions.withColumn("scope_id", scope).join(memories.select("scope_id", "session_id").distinct(), ["scope_id", "session_id"], "left_semi").drop("scope_id")
+    return sessions.withColumn("scope_id", scope).join(memories.select("scope_id", "session_id").distinct(), ["scope_id", "session_id"], "left_semi").select(*sessions.columns)
 
 
 def bank(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -123,13 +124,13 @@ def manifest(spark: SparkSession, run: str, inputs: dict[str, str], state: str,
     return spark.createDataFrame([(run, state, at, inputs)], "run string, state string, at string, inputs map<string,string>")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encoded(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decoded(blob: pd.Series) -> pd.Series:
     return blob.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
 

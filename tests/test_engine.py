@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import porter, scalars
 from palimpsest.functions import text as tx
-from palimpsest.operators import candidates, evaluation, retrieval, skills, store
-from palimpsest.sources import datasets, sinks
+from palimpsest.operators import candidates, evaluation, records, replies, retrieval, search, skills, store
+from palimpsest.sources import artifacts, datasets, sinks
 from palimpsest.streaming import ingest
 
 
@@ -152,18 +152,62 @@ def test_fusion_keeps_the_order_of_routes(spark):
     assert fused[7].score == pytest.approx(0.4 / 61 + 0.3 / 62)
 
 
+SKILLS = "bank string, side string, skill_id string, version int, name string, description string, content array<string>"
+EDITS = (
+    "bank string, seq int, operation string, skill_id string, target_skill_id string, expected_version double, name string, description string, content array<string>, content_index double, "
+    "expected_content string, new_content string"
+)
+
+
+def _edits(spark, *rows):
+    names = [f.split()[0] for f in EDITS.split(", ")]
+    return spark.createDataFrame([tuple({"seq": k, **r}.get(n) for n in names) for k, r in enumerate(rows)], EDITS)
+
+
 def test_skill_edits_are_all_or_none(spark):
-    held = spark.createDataFrame([("b1", "s", 1, "active", ["x", "y"]), ("b2", "s", 3, "active", ["x"])], "bank string, skill_id string, version int, status string, content array<string>")
-    ops = spark.createDataFrame(
-        [
-            ("b1", 0, "REPLACE_CONTENT", "s", 1.0, None, "y", "z"), ("b1", 1, "APPEND_CONTENT", "s", 2.0, None, None, "w"), ("b1", 2, "ADD_SKILL", "t", None, None, None, "new"),
-            ("b2", 0, "APPEND_CONTENT", "s", 3.0, None, None, "w"), ("b2", 1, "RETIRE_SKILL", "s", 3.0, None, None, None),
-        ],
-        "bank string, seq int, operation string, skill_id string, expected_version double, position double, expected_content string, new_content string",
+    when = "Use when dates are asked"
+    held = spark.createDataFrame(
+        [("b1", "access", "s", 1, "S", when, ["x", "y"]), ("b1", "access", "t", 4, "T", when, ["k"]), ("b1", "access", "u", 1, "U", when, ["a", "a"]), ("b2", "access", "s", 3, "S", when, ["x"]), ("b3", "access", "s", 2, "S", when, ["x"]), ("b4", "access", "s", 2, "S", when, ["x"])],
+        SKILLS,
+    )
+    ops = _edits(
+        spark,
+        {"bank": "b1", "operation": "update_content", "skill_id": "s", "expected_version": 1.0, "expected_content": "y", "content_index": 9.0, "new_content": " z "},
+        {"bank": "b1", "operation": "add_content", "skill_id": "s", "content": ["x", "w "]}, {"bank": "b1", "operation": "move_content", "skill_id": "s", "target_skill_id": "t", "expected_content": "x"},
+        {"bank": "b1", "operation": "rename_skill", "skill_id": "t", "name": " T two "}, {"bank": "b1", "operation": "update_description", "skill_id": "t", "description": "Apply before answering"},
+        {"bank": "b1", "operation": "add_skill", "skill_id": "s", "name": "N", "description": "Use if asked", "content": ["new "]}, {"bank": "b1", "operation": "delete_content", "skill_id": "u", "content_index": 1.0},
+        {"bank": "b1", "operation": "delete_skill", "skill_id": "u"},
+        {"bank": "b2", "operation": "add_content", "skill_id": "s", "expected_version": 3.0, "new_content": "w"}, {"bank": "b2", "operation": "delete_skill", "skill_id": "s", "expected_version": 9.0},
+        {"bank": "b3", "operation": "update_description", "skill_id": "s", "description": "no trigger here"},
+        {"bank": "b4", "operation": "delete_content", "skill_id": "s", "expected_content": "gone", "content_index": 0.0},
     )
     rows = {(r.bank, r.skill_id): r for r in skills.apply_operations(held, ops).collect()}
-    assert (rows["b1", "s"].version, rows["b1", "s"].content, rows["b1", "t"].version) == (3, ["x", "z", "w"], 1)
-    assert (rows["b2", "s"].version, rows["b2", "s"].content) == (3, ["x"]) and rows["b2", "s"].error
+    assert (rows["b1", "s"].version, rows["b1", "s"].status, rows["b1", "s"].content) == (2, "staged", ["z", "w"])
+    assert (rows["b1", "t"].version, rows["b1", "t"].name, rows["b1", "t"].description, rows["b1", "t"].content) == (5, "T two", "Apply before answering", ["k", "x"])
+    assert (rows["b1", "s_5"].version, rows["b1", "s_5"].content, rows["b1", "s_5"].side) == (1, ["new"], "access")
+    assert rows["b1", "u"].status == "deleted" and all(r.error is None for (b, _), r in rows.items() if b == "b1")
+    for bank, version, why in (("b2", 3, "at version 3"), ("b3", 2, "no trigger wording"), ("b4", 2, "gone")):
+        r = rows[bank, "s"]
+        assert (r.version, r.status, r.content, r.description) == (version, "active", ["x"], when) and why in r.error
+
+
+def test_payload_rules(spark):
+    def broken(name="N", description="Use when asked", content=("do it",), **asked):
+        row = {"n": name, "d": description, "c": list(content), "s": asked.get("side"), "r": asked.get("reference"), "e": asked.get("entities"), "g": asked.get("gold")}
+        df = spark.createDataFrame([tuple(row.values())], "n string, d string, c array<string>, s string, r string, e array<string>, g array<string>")
+        return df.select(skills.violations(*map(F.col, "ndcsreg")).alias("x")).first().x
+
+    assert broken() == []
+    assert broken(" ", "", []) == ["name is empty", "description is empty", "content is empty", "no trigger wording"]
+    assert broken("n" * 61, "when " + "d" * 200, ["x" * 201] * 4) == ["name too long", "description too long", "content too long", "too many items", "item too long"]
+    assert broken(content=["see mem_c_0001_v2"]) == ["system ids"]
+    assert broken(content=["answer only with Paris (a+b"], reference="paris (a+b") == ["reference answer"]
+    assert broken(content=["answer first. Then visit paris"], reference="Paris") == []
+    assert broken(name="Paris!", reference="paris") == ["reference answer"]
+    assert broken(content=["ask Melanie"], entities=["Mel", "melanie"]) == ["question entity"]
+    assert broken(content=["The user said so", "m17"], gold=["m17"]) == ["gold message id", "case narrative: the user said"]
+    assert broken(content=["write memory_kind = fact"], side="Construction") == ["unsupported memory kind"]
+    assert broken(content=["write memory_kind = fact"], side="access") == []
 
 
 def test_clusters_are_bounded_and_stay_in_their_bucket(spark):
@@ -275,3 +319,222 @@ def test_stream_ingest_takes_each_commit_once(spark, tmp_path):
         ingest.ingest(spark.readStream.schema(batch.schema).parquet(source), apply, str(tmp_path / f"cp{run}")).awaitTermination()
     rows = ingest.closed_intervals(spark.read.parquet(target), ["conversation"]).collect()
     assert {(r.conversation, r.version_no, r.system_from, r.system_to) for r in rows} == {("c", 1, 1, 2), ("c", 2, 2, None), ("d", 1, 1, None)}
+
+
+def test_update_keeps_what_it_does_not_name(spark):
+    plan = _decisions(spark, {"action": "UPDATE", "target_memory_id": "mem_c_0002", "content": "has two cats", "confidence": 0.5}, {"action": "SKIP", "candidate_id": "s"})
+    state = _state(spark)
+    before = {r.version_id: r for r in state.collect()}["mem_c_0002_v1"]
+    out = store.apply_plan(state, plan, "c", commit=2)["versions"]
+    rows = {r.version_id: r for r in out.collect()}
+    new, old = rows["mem_c_0002_v2"], rows["mem_c_0002_v1"]
+    assert (old.system_to, old.end_reason) == (2, "superseded")
+    assert (new.content, new.confidence, new.version_no, new.parent_version_id, new.update_type, new.system_to) == ("has two cats", 0.5, 2, "mem_c_0002_v1", "update", None)
+    assert (new.subject, new.memory_kind, new.entities, new.world_start) == (before.subject, before.memory_kind, before.entities, before.world_start)
+    assert len(rows) == len(before_ids := {r.version_id for r in state.collect()}) + 1 and before_ids < set(rows)
+
+
+def test_a_commit_records_everything_or_nothing(spark):
+    plan = _decisions(spark, {"action": "UPDATE", "candidate_id": "a", "target_memory_id": "mem_c_0002", "content": "x"}, {"action": "SKIP", "candidate_id": "b"}).withColumn(
+        "relations", F.when(F.col("candidate_id") == "b", F.expr("array(named_struct('relation_type', 'DUPLICATE_OF', 'target_version_id', 'mem_c_0002_v1'), named_struct('relation_type', 'unrelated', 'target_version_id', 'v'))"))
+    )
+    facts = spark.createDataFrame([("a", ["m1", "m1", "m2"]), ("b", ["m3"])], "candidate_id string, source_message_ids array<string>")
+    inputs = spark.createDataFrame([("m1",), ("m2",), ("m3",), ("m3",)], "message_id string")
+    out = records.commit_plan(_state(spark), plan, facts, inputs, "c", 2)
+    rows = lambda k, *cs: sorted(tuple(r[c] for c in cs) for r in out[k].collect())
+    assert rows("decisions", "decision_id", "candidate_id", "action") == [("decision_2_000", "a", "UPDATE"), ("decision_2_001", "b", "SKIP")]
+    assert rows("relations", "candidate_id", "version_id", "relation") == [("b", "mem_c_0002_v1", "duplicate_of")]
+    assert rows("version_edges", "version_id", "message_id") == [("mem_c_0002_v2", "m1"), ("mem_c_0002_v2", "m2")]
+    assert rows("candidate_edges", "candidate_id", "message_id") == [("a", "m1"), ("a", "m2"), ("b", "m3")]
+    assert rows("inputs", "message_id") == [("m1",), ("m2",), ("m3",)] and rows("commit", "commit_id", "status") == [(2, "committed")]
+    with pytest.raises(store.PlanError):
+        records.commit_plan(_state(spark), plan, facts, inputs, "c", 2, base_commit=0, current_commit=1)
+
+
+def test_joins_that_raise(spark):
+    p = spark.createDataFrame([("q1", "c", None), ("q2", "c", None)], "qa_id string, conversation_id string, error string")
+    j = lambda *rows: spark.createDataFrame(rows, "qa_id string, label string, reason string")
+    q = spark.createDataFrame([("q1", "?")], "qa_id string, question string")
+    assert records.judged(p, j(("q1", "C", ""), ("q2", "P", ""))).count() == 2
+    for bad in (j(("q1", "C", "")), j(("q1", "C", ""), ("q2", "P", ""), ("q2", "P", "")), j(("q1", "C", ""), ("q2", "P", ""), ("q3", "I", ""))):
+        with pytest.raises(ValueError, match="not judged once"):
+            records.judged(p, bad)
+    assert [r.qa_id for r in records.work_items(p, j(("q1", "I", ""), ("q2", "C", "")), q).collect()] == ["q1"]
+    with pytest.raises(ValueError, match="no such question"):
+        records.work_items(p, j(("q2", "I", "")), q)
+    with pytest.raises(ValueError, match="repeated item"):
+        records.work_items(p.unionByName(p), j(("q1", "I", "")), q)
+    packages = lambda *rows: spark.createDataFrame(rows, "chain string, qa_id string, direction string, side string")
+    for bad in (packages(("x", "q", "C2W", "access"), ("x", "q", "W2C", "construction")), packages(("x", "q", "C2W", "access"), ("x", "q", "C2W", "access"))):
+        with pytest.raises(ValueError, match="inconsistent case"):
+            records.contrastive_cases(bad)
+    items = spark.createDataFrame([("c", "q1"), ("c", "q2")], "conversation_id string, qa_id string")
+    done = spark.createDataFrame([("c", "q1", "COMPLETED"), ("c", "q2", "running")], "conversation_id string, qa_id string, status string")
+    with pytest.raises(ValueError, match="1 items not attempted"):
+        replies.gate_phase(items, done, ["conversation_id", "qa_id"])
+    replies.gate_phase(items.limit(1), done, ["conversation_id", "qa_id"])
+    with pytest.raises(ValueError, match="unknown id"):
+        replies.required_ids(items, items.limit(0), "qa_id")
+    with pytest.raises(ValueError, match="unknown commit"):
+        replies.construction_history(spark.createDataFrame([("q", True)], "qa_id string, problem boolean"), spark.createDataFrame([("q", 1)], "qa_id string, commit_id int"), spark.createDataFrame([("q", 2)], "qa_id string, commit_id int"))
+
+
+def test_helpers_of_replies(spark):
+    assert one(spark, scalars.bare_id(F.lit("source:m1"))) == "m1" and one(spark, scalars.bare_id(F.lit("v1"))) == "v1"
+    assert one(spark, scalars.conversation_of(F.lit("conv-1_qa_0003"))) == "conv-1"
+    assert one(spark, scalars.without_version(F.lit("sk_a_v12"))) == "sk_a"
+    assert one(spark, scalars.clipped(F.lit("  a \n b " + "x" * 400))) == "a b " + "x" * 316
+    assert one(spark, scalars.parsed_label(F.lit(" c "), ("C", "P"))) == "C"
+    with pytest.raises(Exception, match="unknown label"):
+        one(spark, scalars.parsed_label(F.lit("Z"), ("C", "P")))
+    assert one(spark, scalars.normalized(F.expr("array(3.0D, 4.0D)"))) == [0.6, 0.8]
+    answer, evidence = candidates.answered(F.lit("  "), F.expr("array('a', 'b')"), F.expr("array('b', 'c')"))
+    assert (one(spark, answer), one(spark, evidence)) == ("No information available.", ["b"])
+    claims = lambda *c: F.array(*[F.struct(F.lit(x).alias("coverage"), F.expr(f"array_repeat('v', {n})").alias("support"), F.lit(z).alias("contradicted")) for x, n, z in c])
+    assert one(spark, candidates.sufficient(claims(("FULL", 1, False)))) and not one(spark, candidates.sufficient(claims(("FULL", 1, False), ("PARTIAL", 1, False)))) and not one(spark, candidates.sufficient(claims(("FULL", 0, False))))
+    replies_of = spark.createDataFrame([("s1",), ("s2",)], "session_id string")
+    assert [r.session_id for r in candidates.rejected_sessions(replies_of, replies_of.limit(1)).collect()] == [r.session_id for r in replies_of.collect()[1:]]
+    assert one(spark, replies.keys_anywhere(F.lit('{"skill_id": "a", "x": [{"skill_id":"b \\" c"}, {"skill_id": 3}], "skill_id2": "no"}'))) == ["3", 'b " c', "a"] or one(spark, replies.keys_anywhere(F.lit('{"skill_id": "a", "x": [{"skill_id":"b"}, {"skill_id": 3}], "skill_id2": "no"}'))) == ["3", "a", "b"]
+
+
+def test_hybrid_with_stems_matches_loops(spark):
+    """BM25 with field boosts and stems, alone (no vectors, no keywords), against plain loops."""
+    import math
+    from collections import Counter
+
+    memories = [(0, k, k // 2, t, s, p, o, kw, en, None, None, k % 2 == 1) for k, (t, s, p, o, kw, en) in enumerate([
+        ("Adopted a puppy named Rex", "Ann", "adopted", "puppy", ["dogs"], ["Ann", "Rex"]), ("Running in the parks", "Bob", "runs", "park", [], []), ("The agency was adopting dogs", "Ann", "works", "agency", ["adoption"], []), ("Nothing of note", "Cy", None, None, None, None),
+    ])]
+    schema = "scope int, doc_id int, memory_id int, content string, subject string, predicate string, object_text string, keywords array<string>, entities array<string>, world_start string, world_end string, current boolean"
+    asked = [(0, 1, "Who adopts dogs and runs?", None, None, None, "none", None, None, "1"), (0, 2, "agencies", None, None, None, "none", None, None, "1"), (0, 3, "", None, None, None, "none", None, None, "1")]
+    queries = spark.createDataFrame(asked, "scope int, query_id int, query string, expansions array<string>, keywords array<string>, entities array<string>, time_mode string, target string, target_end string, depth string")
+    vectors = spark.createDataFrame([], "scope int, doc_id int, v array<double>")
+    found = search.routes(spark.createDataFrame(memories, schema), None, queries, vectors, spark.createDataFrame([], "scope int, query_id int, part int, v array<double>"), search.stemmed_lexical, only=("bm25",))["bm25"]
+
+    def tokens(text):
+        import re
+
+        return [porter.stem(t) if t.isalpha() else t for t in re.findall(r"[a-z0-9]+(?:['_-][a-z0-9]+)*", (text or "").lower()) if t not in tx.STOP_WORDS]
+
+    docs = [[*tokens(m[3]), *tokens(m[5]) * 2, *tokens(m[6]) * 2, *tokens(" ".join(m[7] or [])) * 2, *tokens(m[4]), *tokens(" ".join(m[8] or []))] for m in memories]
+    df = Counter(t for d in docs for t in set(d))
+    average = sum(map(len, docs)) / len(docs)
+    want = {}
+    for _, q, text, *_ in asked:
+        for k, d in enumerate(docs):
+            s = sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / average)) * (1 + math.log(n)) for t, n in Counter(tokens(text)).items() if t in d)
+            if s:
+                want[q, k] = round(s, 9)
+    assert {(r.query_id, r.doc_id): round(r.score, 9) for r in found.collect()} == want and len(want) == 4
+
+
+def test_semantic_search_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    d, q = rng.normal(size=(200, 6)), rng.normal(size=(9, 6))
+    monkeypatch.setattr(search, "VECTOR_VALUES", 18)  # three queries a block
+    docs = spark.createDataFrame([(k % 2, k, v.tolist()) for k, v in enumerate(d)] + [(0, 999, None)], "scope int, doc_id int, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(k % 2, k, 0, v.tolist()) for k, v in enumerate(q)], "scope int, query_id int, part int, v array<double>")
+    got = {(r.query_id, r.rank): r.doc_id for r in search.semantic(docs, asked, 5).collect()}
+    for k in range(9):
+        own = [j for j in range(200) if j % 2 == k % 2]
+        best = sorted(own, key=lambda j: (-round(float(d[j] @ q[k]), 9), j))[:5]
+        assert [got[k, r + 1] for r in range(5)] == best
+    assert search.semantic(docs, asked.limit(0), 5).count() == 0
+
+
+def test_phrases_and_keywords(spark):
+    docs = spark.createDataFrame([(0, 1, "The big cat sat."), (0, 2, "a bigcatalogue"), (0, 3, "cat big"), (0, 4, None)], "scope int, doc_id int, text string").withColumn("tokens", F.array_distinct(tx.simple_tokens(F.col("text"))))
+    asked = spark.createDataFrame([(0, 1, ["Big Cat"], ["big", "cat"]), (0, 2, ["gca"], [])], "scope int, query_id int, phrases array<string>, tokens array<string>")
+    got = {(r.query_id, r.doc_id): r.score for r in search.keyword_scores(docs, asked).collect()}
+    assert got == {(1, 1): 2.5 + 1.0, (1, 3): 1.0, (2, 2): 2.25}
+    found = search.phrase_search(docs.select("scope", "doc_id", "text"), spark.createDataFrame([(0, 7, "big CAT"), (0, 8, "sat big")], "scope int, query_id int, text string"), tx.simple_tokens, 3)
+    assert [(r.query_id, r.doc_id, r.n) for r in found.collect()] == [(7, 1, 1)]
+
+
+def test_artifacts(spark, tmp_path):
+    rows = {"a/conv-1": 2, "a/conv-2": 1}
+    for folder, n in rows.items():
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "p.jsonl").write_text('{"qa_id": "q"}\n' * n)
+    got = artifacts.run_rows(spark, str(tmp_path), "a", "p.jsonl", "qa_id string")
+    assert sorted((r.folder, r.qa_id) for r in got.collect()) == [("conv-1", "q"), ("conv-1", "q"), ("conv-2", "q")]
+    (tmp_path / "b_conv-9").mkdir()
+    (tmp_path / "b_conv-9" / "p.jsonl").write_text('{"qa_id": "z"}\n')
+    assert [r.folder for r in artifacts.run_rows(spark, str(tmp_path), "b", "p.jsonl", "qa_id string").collect()] == ["b_conv-9"]
+    with pytest.raises(FileNotFoundError):
+        artifacts.run_rows(spark, str(tmp_path), "none", "p.jsonl", "qa_id string")
+    bank = tmp_path / "bank"
+    bank.mkdir()
+    schema = "side string, skill_id string, bank_version int"
+    (bank / "access_v1.json").write_text('{"side": "access", "skill_id": "a", "bank_version": 1}\n')
+    with pytest.raises(ValueError, match="0 files of the construction"):
+        artifacts.bank(spark, str(bank), schema)
+    (bank / "construction_v1.json").write_text('{"side": "construction", "skill_id": "b", "bank_version": 1}\n')
+    assert artifacts.bank(spark, str(bank), schema).count() == 2
+    (bank / "construction_v1.json").write_text('{"side": "access", "skill_id": "b", "bank_version": 1}\n')
+    with pytest.raises(ValueError, match="other side"):
+        artifacts.bank(spark, str(bank), schema)
+    assert artifacts.substituted({"a": ["${X}/y", 3]}, {"X": "1"}) == {"a": ["1/y", 3]}
+    with pytest.raises(KeyError):
+        artifacts.substituted("${NOPE}", {})
+    v = spark.createDataFrame([([1.5, -2.25, 0.0],), ([],)], "v array<float>")
+    assert [r.x for r in v.select(artifacts.decoded(artifacts.encoded("v")).alias("x")).collect()] == [[1.5, -2.25, 0.0], []]
+    cache = spark.createDataFrame([("v1", "f", "m", 2, [1.0, 2.0]), ("v2", "old", "m", 2, [1.0, 2.0]), ("v3", "f", "m", 2, [1.0])], "version_id string, fingerprint string, model string, dim int, v array<double>")
+    have, todo = artifacts.fresh_vectors(cache, spark.createDataFrame([("v1", "f"), ("v2", "f"), ("v3", "f")], "version_id string, fingerprint string"), "m", 2)
+    assert ([r.version_id for r in have.collect()], sorted(r.version_id for r in todo.collect())) == (["v1"], ["v2", "v3"])
+    artifacts.compatible(cache, "m", 2)
+    with pytest.raises(ValueError, match="stored vectors"):
+        artifacts.compatible(cache, "other", 2)
+    skills_of = spark.createDataFrame([("access", "a", 1), ("construction", "b", 1)], schema)
+    for _ in range(2):  # the second time does nothing
+        artifacts.publish_bank(skills_of, str(tmp_path / "published"), 1, "t1")
+    assert sinks.current_version(spark, str(tmp_path / "published")) == 1
+    assert artifacts.clone(spark, str(tmp_path / "published"), str(tmp_path / "next")) == 1
+    with pytest.raises(FileExistsError):
+        artifacts.clone(spark, str(tmp_path / "published"), str(tmp_path / "next"))
+    new = skills_of.withColumn("bank_version", F.lit(2))
+    assert {k: sorted(r.bank_version for r in df.collect()) for k, df in artifacts.variants(skills_of, new).items()} == {"full": [2, 2], "access-only": [1, 2], "construction-only": [1, 2]}
+    artifacts.export(skills_of, str(tmp_path / "export"))
+    assert spark.read.json(str(tmp_path / "export")).count() == 2
+    reports = spark.createDataFrame([("d1", "done", True, None, "p"), ("d2", "done", False, None, "p"), ("d3", "failed", None, "e", None)], "diagnosis_id string, status string, problem_found boolean, error string, package string")
+    artifacts.publish_reports(reports, str(tmp_path / "reports"))
+    assert [spark.read.json(str(tmp_path / "reports" / k)).count() for k in ("progress", "errors", "packages")] == [3, 1, 1]
+    partial = str(tmp_path / "partial")
+    for q in ("q2", "q1", "q2"):
+        sinks.append(spark.createDataFrame([(q,)], "qa_id string"), partial)
+    with pytest.raises(ValueError, match="missing"):
+        artifacts.publish_checkpoint(spark, partial, spark.createDataFrame([("q1",), ("q2",), ("q3",)], "qa_id string"), str(tmp_path / "final"))
+    artifacts.publish_checkpoint(spark, partial, spark.createDataFrame([("q1",), ("q2",)], "qa_id string"), str(tmp_path / "final"))
+    assert [r.qa_id for r in spark.read.parquet(str(tmp_path / "final")).collect()] == ["q1", "q2"] and not (tmp_path / "partial").exists()
+    hashes = artifacts.file_hashes(spark, str(bank))
+    assert hashes.count() == 2 and artifacts.directory_hash(hashes) == artifacts.directory_hash(hashes.orderBy(F.desc("path")))
+    assert artifacts.manifest(spark, "r", {"a": "h"}, "created").first().inputs == {"a": "h"}
+    log = spark.createDataFrame([("c", 1, "x"), ("c", 2, "y"), ("d", 1, "z")], "candidate_id string, seq int, text string")
+    assert sorted((r.candidate_id, r.text, r.revisions) for r in artifacts.revised(log).collect()) == [("c", "y", 2), ("d", "z", 1)]
+    banks = spark.createDataFrame([(1, "s", 1), (2, "s", 1), (3, "s", 2)], "bank_version int, skill_id string, version int")
+    assert [tuple(r) for r in artifacts.holding(banks, spark.createDataFrame([("s", 1)], "skill_id string, version int")).collect()] == [("s", 1, 2)]
+    memories = spark.createDataFrame([("ns:c", 1, "s1"), ("c", 2, "s1"), ("ns:d", 3, "s1")], "scope_id string, id int, session_id string")
+    assert [r.id for r in artifacts.scoped(memories, "ns", F.lit("c")).collect()] == [1] and [r.id for r in artifacts.scoped(memories, "", F.lit("c")).collect()] == [2]
+    sessions = spark.createDataFrame([("c", "s1"), ("c", "s2"), ("e", "s1")], "conversation_id string, session_id string")
+    assert [tuple(r) for r in artifacts.sessions_held(sessions, memories, "ns").collect()] == [("c", "s1")]
+
+
+def test_retries_and_sessions_of_activity(spark):
+    work = spark.createDataFrame([("a",), ("b",), ("c",)], "qa_id string")
+    attempts = spark.createDataFrame([("a", 1, "error"), ("a", 2, "done"), ("b", 1, "done"), ("b", 2, "error")], "qa_id string, at int, status string")
+    assert sorted(r.qa_id for r in ingest.retryable(work, attempts, ["qa_id"], "at", ("done",)).collect()) == ["b", "c"]
+    events = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:20:00", 2.0), (1, "2024-01-01 02:00:00", 4.0)], "user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted((r.n, r.value) for r in ingest.session_activity(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_large_buckets_are_parted_before_they_are_clustered(spark, monkeypatch):
+    monkeypatch.setattr(skills, "GROUP_POINTS", 60)
+    monkeypatch.setattr(skills, "PARTS", 3)
+    rng = np.random.default_rng(1)
+    points = [("p", j, rng.normal(size=4).tolist()) for j in range(200)] + [("q", 500 + j, [1.0, 0.0, 0.0, 0.0]) for j in range(150)]
+    rows = skills.cluster(spark.createDataFrame(points, "bucket string, point_id long, v array<double>"), target=8, most=10).collect()
+    assert sorted(r.point_id for r in rows) == sorted(p[1] for p in points)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault((r.bucket, r.cluster), []).append(r.point_id)
+    assert max(map(len, sizes.values())) <= 10

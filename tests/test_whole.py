@@ -20,7 +20,7 @@ def test_every_candidate_of_a_batch_is_sure_of_three(spark, tmp_path):
     lines = [(c, 100 * c + k, 10.0 * c - k) for c in (1, 2, 3, 27) for k in range(5)]
     _write(spark, tmp_path, "orders", [(1, 40)], "o_orderkey long, o_custkey long")
     _write(spark, tmp_path, "lineitem", [(1, *x) for x in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double")
-    rows = catalog.queries()["batch_bank_fill_whole"](spark, str(tmp_path)).collect()
+    rows = catalog.queries()["batch_bank_fill"](spark, str(tmp_path)).collect()
     assert {r.skill_id for r in rows if r.sure} == {100 * c + k for c in (1, 2, 3, 27) for k in range(3)}
     assert len(rows) == 12
 
@@ -85,5 +85,5 @@ def test_lineage_ends_on_a_cycle(spark):
 def test_runs_keep_every_label(spark, tmp_path):
     _write(spark, tmp_path, "labels", [(k, 0, 1) for k in range(33)], "doc_id long, quality int, toxic int")
     found = catalog.queries()
-    assert [tuple(r) for r in found["run_transition_whole"](spark, str(tmp_path)).collect()] == [("W", "W", 33)]
-    assert {(r.qa_id, r.failure_age) for r in found["iteration_cases_whole"](spark, str(tmp_path)).collect()} == {(k, k % 3 + 1) for k in range(33)}
+    assert [tuple(r) for r in found["run_transition_matrix"](spark, str(tmp_path)).collect()] == [("W", "W", 33)]
+    assert {(r.qa_id, r.failure_age) for r in found["iteration_cases"](spark, str(tmp_path)).collect()} == {(k, k % 3 + 1) for k in range(33)}

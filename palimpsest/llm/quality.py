@@ -23,7 +23,7 @@ from .native import SPACE, let, words
 SYMBOLS = "[#*$%&|<>]"
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 400
-SAMPLE_PARTS, ROUNDS = 4, 8
+SAMPLE_PARTS, ROUNDS = 4, 3
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # per cent of the words that stand in repeated 3-word windows

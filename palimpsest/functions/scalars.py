@@ -14,6 +14,17 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def stable_hash(fields: dict[str, Column]) -> Column:
+    """A digest of a record that does not depend on the order of its fields."""
+    return content_hash(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields.items())])))
+
+
+def reference_answer(reference: Column, answer: Column) -> Column:
+    """The reference unless it is empty, else the answer, else the empty reference; a row with neither raises."""
+    chosen = F.coalesce(F.nullif(F.trim(reference), F.lit("")), answer, reference)
+    return F.when(chosen.isNull(), F.raise_error(F.lit("neither reference nor answer")).cast("string")).otherwise(chosen)
+
+
 def message_id(conversation: Column, session: Column, turn: Column) -> Column:
     return F.format_string("%s_s%02d_m%03d", conversation.cast("string"), session.cast("long"), turn.cast("long"))
 

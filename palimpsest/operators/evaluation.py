@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("C", "P", "I")
@@ -111,12 +113,24 @@ def outcomes(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "no_change", "error", "no_problem")])
 
 
+def histogram(rows: DataFrame, key: str, category: str) -> DataFrame:
+    """key, category, n and the category's total over all keys."""
+    counted = rows.groupBy(key, category).agg(F.count("*").alias("n"))
+    return counted.withColumn("total", F.sum("n").over(Window.partitionBy(category)))
+
+
+def completed(rows: DataFrame, key: str) -> DataFrame:
+    """key, rows, completed (ids with a row without an error) and whole (no row has an error)."""
+    good = F.col("error").isNull()
+    return rows.groupBy(key).agg(F.count("*").alias("rows"), F.count_distinct(F.when(good, F.col("qa_id"))).alias("completed"), F.min(good).alias("whole"))
+
+
 def balanced_split(counts: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
     """set, unit: the allocation of units to (train, validation, test) whose counts per category come closest to the sizes.
 
     counts: unit, category, n for a few units (a dozen at most: every allocation is looked at).
     The objective is the squared error of the sets' shares of all items plus the mean over the
-    categories of theirs; of equal ones the least allocation in the order of the units wins.
+    categories of theirs; of equal ones the least SHA-256 of the allocation's sorted JSON wins.
     """
     spark = counts.sparkSession
     units = [r[0] for r in counts.select("unit").distinct().orderBy("unit").limit(17).collect()]
@@ -127,9 +141,11 @@ def balanced_split(counts: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
     for first in combinations(range(len(units)), sizes[0]):
         rest = [k for k in range(len(units)) if k not in first]
         for second in combinations(rest, sizes[1]):
-            plans.append((len(plans), [0 if k in first else 1 if k in second else 2 for k in range(len(units))]))
+            sets = [0 if k in first else 1 if k in second else 2 for k in range(len(units))]
+            listed = json.dumps({name: [str(u) for u, s in zip(units, sets, strict=True) if s == k] for k, name in enumerate(names)}, sort_keys=True)
+            plans.append((hashlib.sha256(listed.encode()).hexdigest(), sets))
     share = F.create_map(*[x for k, s in enumerate(sizes) for x in (F.lit(k), F.lit(s / len(units)))])
-    placed = spark.createDataFrame(plans, "plan int, sets array<int>").select("plan", F.posexplode("sets").alias("k", "set"))
+    placed = spark.createDataFrame(plans, "plan string, sets array<int>").select("plan", F.posexplode("sets").alias("k", "set"))
     index = spark.createDataFrame([(k, u) for k, u in enumerate(units)], "k int, unit " + dict(counts.dtypes)["unit"])
     items = placed.join(index, "k").join(counts, "unit").groupBy("plan", "category", "set").agg(F.sum("n").alias("n"))
     total = counts.groupBy("category").agg(F.sum("n").alias("total"))

@@ -265,3 +265,15 @@ def contrastive_cases(packages: DataFrame) -> DataFrame:
 
 def case_order(direction: Column) -> Column:
     return F.when(direction == "C2W", 0).when(direction == "W2W", 1).when(direction == "W2C", 2).otherwise(3)
+
+
+def within_budget(actions: DataFrame, budgets: dict[str, int]) -> DataFrame:
+    """The recorded actions of each run up to the budget of their kind; actions: run_id, step, action, more."""
+    limit = F.create_map(*[x for k, n in budgets.items() for x in (F.lit(k), F.lit(n))])
+    w = Window.partitionBy("run_id", "action").orderBy("step")
+    return actions.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.coalesce(limit[F.col("action")], F.lit(0))).drop("_n")
+
+
+def first_seen(actions: DataFrame) -> DataFrame:
+    """run_id, version_id, first_step: every returned hit once, at its first step; actions: run_id, step, returned."""
+    return actions.select("run_id", "step", F.explode("returned").alias("version_id")).groupBy("run_id", "version_id").agg(F.min("step").alias("first_step"))

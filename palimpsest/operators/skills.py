@@ -430,6 +430,30 @@ def apply_operations(skills: DataFrame, operations: DataFrame) -> DataFrame:
     return kept.select(*columns)
 
 
+def publication_gate(sources: DataFrame, valid: DataFrame, least: int, closed: bool = False) -> DataFrame:
+    """op, support, published: operations with ``least`` candidates or more and a valid payload.
+
+    sources: op, candidate; valid: op.  An operation that shares a candidate with a rejected one is
+    rejected too; with ``closed`` that goes on until nothing changes, so a group of operations that
+    candidates tie together stands or falls as one.
+    """
+    from . import graph
+
+    own = sources.select("op", "candidate").distinct()
+    judged = own.groupBy("op").agg(F.count("*").alias("support")).join(valid.select("op").distinct().withColumn("_ok", F.lit(True)), "op", "left")
+    judged = judged.withColumn("_bad", (F.col("support") < least) | F.col("_ok").isNull())
+    if closed:
+        first = own.groupBy("candidate").agg(F.min("op").alias("b"))
+        tied = own.join(first, "candidate").select(F.col("op").alias("a"), "b")
+        group = graph.components(tied).select(F.col("node").alias("op"), F.col("root").alias("_group"))
+        fate = judged.join(group, "op").groupBy("_group").agg(F.max("_bad").alias("_lost"))
+        lost = group.join(fate, "_group").select("op", "_lost")
+    else:
+        fate = own.join(judged.select("op", "_bad"), "op").groupBy("candidate").agg(F.max("_bad").alias("_lost"))
+        lost = own.join(fate, "candidate").groupBy("op").agg(F.max("_lost").alias("_lost"))
+    return judged.join(lost, "op").select("op", "support", (~F.col("_bad") & ~F.col("_lost")).alias("published"))
+
+
 def publish(active: DataFrame, staged: DataFrame, tombstones: DataFrame, bank_version: int) -> DataFrame:
     """The next snapshot: active skills without tombstones, staged ones in place of their older versions."""
     kept = active.join(tombstones.select("skill_id"), "skill_id", "left_anti").join(staged.select("skill_id"), "skill_id", "left_anti")

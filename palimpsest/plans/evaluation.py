@@ -169,7 +169,7 @@ SPLIT_SIZES = (3, 1, 1)
     "sets AS (SELECT v, t, s.set, s.share FROM plans, (VALUES ('train', 0.6), ('validation', 0.2), ('test', 0.2)) s(set, share)), "
     "g AS (SELECT v, t, set, share, category, total, coalesce((SELECT sum(n) FROM c WHERE c.category = tot.category AND CASE WHEN c.unit = v THEN 'validation' WHEN c.unit = t THEN 'test' ELSE 'train' END = set), 0) AS n FROM sets, tot), "
     "o AS (SELECT v, t, round(sum(e), 12) AS objective FROM (SELECT v, t, set, power(sum(n) / sum(total) - any_value(share), 2) + avg(power(n / total - share, 2)) AS e FROM g GROUP BY v, t, set) x GROUP BY v, t), "
-    "best AS (SELECT * FROM o ORDER BY objective, (SELECT string_agg(unit, ',' ORDER BY unit) FROM u WHERE unit NOT IN (v, t)), v LIMIT 1) "
+    "best AS (SELECT * FROM o ORDER BY objective, sha256('{\"test\": [\"' || t || '\"], \"train\": [' || (SELECT string_agg('\"' || unit || '\"', ', ' ORDER BY unit) FROM u WHERE unit NOT IN (v, t)) || '], \"validation\": [\"' || v || '\"]}') LIMIT 1) "
     "SELECT CASE WHEN unit = v THEN 'validation' WHEN unit = t THEN 'test' ELSE 'train' END AS set, unit, round(objective, 9) AS objective FROM u, best",
 )
 def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,3 +290,22 @@ def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "view", "no_change").when(F.col("event_type") == "error", "error").otherwise("no_problem")
     return ev.outcomes(table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("conversation_id"), status.alias("status")), "conversation_id")
+
+
+@query("category_histogram", f"WITH {RESULTS_SQL} SELECT conversation_id, category, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY category) AS BIGINT) AS total FROM res GROUP BY 1, 2")
+def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of each category by conversation, and over all conversations."""
+    return ev.histogram(_results(spark, sf_dir), "conversation_id", "category")
+
+
+@query("qa_whitelist", f"WITH {RESULTS_SQL} SELECT qa_id, run FROM res WHERE qa_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def qa_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions that a list names."""
+    listed = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("qa_id"))
+    return _results(spark, sf_dir).join(listed, "qa_id", "left_semi").select("qa_id", "run")
+
+
+@query("completed_items", f"WITH {RESULTS_SQL} SELECT run, count(*) AS rows, count(DISTINCT qa_id) FILTER (WHERE error IS NULL) AS completed, bool_and(error IS NULL) AS whole FROM res GROUP BY 1")
+def completed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a checkpoint holds: rows, the ids that need no second run, and whether nothing is left."""
+    return ev.completed(_results(spark, sf_dir), "run")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..io import table
-from ..operators import store
+from ..operators import skills, store
 from .views import VERSIONS_SQL, versions
 
 
@@ -109,18 +109,32 @@ def example_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("wanted", F.coalesce("same", "near", "every").alias("example"), rung.alias("rung"))
 
 
+#: Operations (orders) with their candidates (parts of their returned lines) and whether their payload is valid.
+GATE_SQL = "c AS (SELECT DISTINCT l_orderkey AS op, l_partkey // 20 AS candidate FROM lineitem WHERE l_returnflag = 'R'), o AS (SELECT op, count(DISTINCT candidate) AS support, op IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AS valid FROM c GROUP BY op)"
+
+
 @query(
     "publication_gate",
-    "WITH c AS (SELECT l_orderkey AS op, l_suppkey AS candidate FROM lineitem WHERE l_returnflag = 'N'), weak AS (SELECT candidate FROM c GROUP BY 1 HAVING count(DISTINCT op) < (SELECT count(DISTINCT op) / 100.0 FROM c)) "
-    "SELECT op, count(DISTINCT candidate) AS support, count(DISTINCT candidate) >= 2 AND bool_and(candidate NOT IN (SELECT candidate FROM weak)) AS published FROM c GROUP BY op",
+    f"WITH {GATE_SQL}, bad AS (SELECT op FROM o WHERE support < 2 OR NOT valid), lost AS (SELECT DISTINCT candidate FROM c WHERE op IN (SELECT op FROM bad)) "
+    "SELECT op, support, op NOT IN (SELECT op FROM bad) AND op NOT IN (SELECT op FROM c WHERE candidate IN (SELECT candidate FROM lost)) AS published FROM o",
 )
 def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations with enough support of which no candidate is rejected elsewhere."""
-    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("op"), F.col("l_suppkey").alias("candidate"))
-    least = c.agg((F.countDistinct("op") / 100.0).alias("least"))
-    weak = c.groupBy("candidate").agg(F.countDistinct("op").alias("n")).join(least).where("n < least").select("candidate", F.lit(True).alias("weak"))
-    judged = c.join(weak, "candidate", "left").groupBy("op").agg(F.countDistinct("candidate").alias("support"), F.bool_or(F.coalesce("weak", F.lit(False))).alias("weak"))
-    return judged.select("op", "support", ((F.col("support") >= 2) & ~F.col("weak")).alias("published"))
+    """Operations with enough support and a valid payload; one that shares a candidate with a rejected one falls with it."""
+    return skills.publication_gate(*_gate(spark, sf_dir), least=2)
+
+
+@query(
+    "publication_closure",
+    f"""WITH RECURSIVE {GATE_SQL}, lost AS (SELECT op FROM o WHERE support < 2 OR NOT valid UNION SELECT b.op FROM lost JOIN c a USING (op) JOIN c b USING (candidate)) SELECT op, support, op NOT IN (SELECT op FROM lost) AS published FROM o""",
+)
+def publication_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, the rejection going on from candidate to operation until nothing changes."""
+    return skills.publication_gate(*_gate(spark, sf_dir), least=2, closed=True)
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("op"), F.floor(F.col("l_partkey") / 20).alias("candidate"))
+    return c, table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("op"))
 
 
 @query(

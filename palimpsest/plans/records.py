@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import scalars
 from ..io import table
 from ..operators import candidates as cd
 from ..operators import records as rc
 from ..operators import store
+from ..sources import artifacts
 from .views import LINES_SQL, MESSAGES_SQL, VERSIONS_SQL, messages, order_lines, versions
 
 NOTE = "candidate_id string, action string"
@@ -388,3 +390,60 @@ def evidence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = lines.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").cast("string").alias("memory_id"), own.alias("version_id"), F.lit(0).alias("step_index"), F.col("l_linenumber").alias("rank"))
     cited = F.when(F.col("l_returnflag") == "A", F.col("l_partkey").cast("string")).when(F.col("l_returnflag") == "N", own).otherwise("none")
     return cd.repaired(lines.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("position"), cited.alias("evidence_id")), hits)
+
+
+@query("existence_lookup", f"WITH {MESSAGES_SQL} SELECT event_id, event_id IN (SELECT message_id FROM messages) AS known, user_id IN (SELECT conv_id FROM conversations) AS in_scope FROM events")
+def existence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a message is stored, and whether its conversation is."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("message_id"), F.col("user_id").alias("conv_id"))
+    known = messages(spark, sf_dir).select("message_id").distinct().withColumn("known", F.lit(True))
+    scope = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("in_scope", F.lit(True))
+    out = e.join(known, "message_id", "left").join(scope, "conv_id", "left")
+    return out.select("event_id", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
+
+
+@query("sanitized_memories", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, kind FROM versions")
+def sanitized_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with the shown fields only."""
+    held = versions(spark, sf_dir).select(F.struct("version_id", "memory_id", "kind", "props", "value").alias("m"))
+    return held.select(rc.sanitized(F.col("m"), ("version_id", "memory_id", "kind")).alias("m")).select("m.*")
+
+
+@query("snapshot_vectors", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, len(embedding) AS dim FROM versions JOIN embeddings ON vec_id = version_id % 500 WHERE system_to IS NULL")
+def snapshot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the versions in force."""
+    held = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return store.snapshot(versions(spark, sf_dir)).select("version_id", "memory_id", (F.col("version_id") % 500).alias("vec_id")).join(held, "vec_id").select("version_id", "memory_id", F.size("v").alias("dim"))
+
+
+@query("payload_scan", "SELECT vec_id AS point_id, label FROM embeddings")
+def payload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload of a vector store; the scan never reads a vector."""
+    return artifacts.payloads(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "point_id"), ["label"])
+
+
+@query("keep_first_failures", "SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_type <> 'view' GROUP BY 1, 2")
+def keep_first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append log in which the first row of a failure stays."""
+    log = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    return store.latest(log, ["user_id", "event_type"], F.col("event_id")).select("user_id", "event_type", "event_id")
+
+
+@query(
+    "interactive_budget",
+    "WITH a AS (SELECT user_id AS run_id, event_id AS step, CASE event_type WHEN 'click' THEN 'search' WHEN 'view' THEN 'inspect' ELSE 'answer' END AS action, event_id % 13 AS version_id FROM events), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY run_id, action ORDER BY step) AS n FROM a), k AS (SELECT * FROM n WHERE n <= CASE action WHEN 'search' THEN 4 WHEN 'inspect' THEN 3 ELSE 1 END) "
+    "SELECT run_id, version_id, min(step) AS first_step FROM k WHERE action <> 'answer' GROUP BY 1, 2",
+)
+def interactive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded actions within their budgets (four searches, three inspections) and the hits as first seen."""
+    kind = F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "view", "inspect").otherwise("answer")
+    actions = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), kind.alias("action"), F.array(F.col("event_id") % 13).alias("returned"))
+    return rc.first_seen(rc.within_budget(actions, {"search": 4, "inspect": 3, "answer": 1}).where("action <> 'answer'"))
+
+
+@query("stable_hashes", """SELECT event_id, substr(sha256('{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}'), 1, 16) AS digest FROM events""")
+def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of records by their sorted JSON."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", scalars.stable_hash({"type": F.col("event_type"), "k": F.get_json_object("props", "$.k").cast("long")}).alias("digest"))

@@ -221,7 +221,7 @@ sh AS (SELECT batch_id, skill_id FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query(
     "batch_retrieval",
-    f"WITH {BATCH_SQL} SELECT batch_id, candidate_id, skill_id, round(description, 6) AS description, round(content, 6) AS content, round(lexical, 6) AS lexical, round(score, 6) AS score, forced, row_number() OVER (PARTITION BY batch_id, candidate_id ORDER BY score DESC, skill_id) AS rank FROM ev JOIN sh USING (batch_id, skill_id)",
+    f"WITH {BATCH_SQL} SELECT batch_id, candidate_id, skill_id, round(description, 6) AS description, round(content, 6) AS content, round(lexical, 6) AS lexical, score, forced, row_number() OVER (PARTITION BY batch_id, candidate_id ORDER BY score DESC, skill_id) AS rank FROM ev JOIN sh USING (batch_id, skill_id)",
 )
 def batch_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations, in batches, against the items as the bank: composite scores, sure and forced skills, fill to 25, the relation table."""
@@ -233,7 +233,7 @@ def batch_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = sk.batch_scores(told.join(v("a", "description_v"), "a").join(v("b", "content_v"), "b"), bank.join(v("a", "description_v"), "a").join(v("b", "content_v"), "b"), tx.simple_tokens)
     wanted = said.where("role = 'system'").select((F.col("conv_id") % 20).alias("batch_id"), F.col("conv_id").alias("candidate_id"), (F.col("conv_id") % 40).alias("skill_id"))
     shown = sk.batch_relations(scored, wanted)
-    return shown.select("batch_id", "candidate_id", "skill_id", *[F.round(c, 6).alias(c) for c in ("description", "content", "lexical", "score")], "forced", "rank")
+    return shown.select("batch_id", "candidate_id", "skill_id", *[F.round(c, 6).alias(c) for c in ("description", "content", "lexical")], "score", "forced", "rank")
 
 
 _UNIT = "list_transform(CAST({0} AS DOUBLE[]), lambda x: x / greatest(sqrt(list_sum(list_transform(CAST({0} AS DOUBLE[]), lambda y: y * y))), 1e-12) * {1})"

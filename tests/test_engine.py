@@ -388,6 +388,10 @@ def test_helpers_of_replies(spark):
     with pytest.raises(Exception, match="unknown label"):
         one(spark, scalars.parsed_label(F.lit("Z"), ("C", "P")))
     assert one(spark, scalars.normalized(F.expr("array(3.0D, 4.0D)"))) == [0.6, 0.8]
+    told = lambda r, a: one(spark, scalars.reference_answer(F.lit(r).cast("string"), F.lit(a).cast("string")))
+    assert (told("r", "a"), told(" ", "a"), told("", None)) == ("r", "a", "")
+    with pytest.raises(Exception, match="neither reference nor answer"):
+        told(None, None)
     answer, evidence = candidates.answered(F.lit("  "), F.expr("array('a', 'b')"), F.expr("array('b', 'c')"))
     assert (one(spark, answer), one(spark, evidence)) == ("No information available.", ["b"])
     claims = lambda *c: F.array(*[F.struct(F.lit(x).alias("coverage"), F.expr(f"array_repeat('v', {n})").alias("support"), F.lit(z).alias("contradicted")) for x, n, z in c])

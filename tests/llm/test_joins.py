@@ -116,7 +116,7 @@ def test_join_of_a_large_group(spark, blocks, monkeypatch):
     if blocks[0] == 16:
         monkeypatch.setattr(ngram, "HOT_ELEMENTS", 5)  # most common elements stand anywhere in the order
         monkeypatch.setattr(ngram, "LOOK", 1000)
-    rows = _large_group(2500 if blocks[0] == 1024 else 800)
+    rows = _large_group(1500 if blocks[0] == 1024 else 400)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram.near_duplicates(docs).collect())
     assert got == _components_at_once([t for _, t in rows])

@@ -564,7 +564,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             edges = edges.unionByName(links(_verified(docs, across)))
     roots = connected(edges)
     full = member.where("n > 0").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    best = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join below has plain exchanges on both sides, whose hot roots Spark can split.
+    best = saved(full.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     columns = ["_key", "doc_id", F.col("n").alias("n_shingles"), "set", "component_id", "root"]
     alone = member.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
     return full.join(best, "root").select(*columns).unionByName(alone.select(*columns))

@@ -95,8 +95,7 @@ def stem(word: str) -> str:
     # 4
     for suffix in sorted(STEP4, key=len, reverse=True):
         if word.endswith(suffix):
-            cut = word[: -(len(suffix) - 1)] if suffix in ("sion", "tion") else word[: -len(suffix)]
-            cut = word[:-3] if suffix in ("sion", "tion") else cut
+            cut = word[:-3] if suffix in ("sion", "tion") else word[: -len(suffix)]  # their first letter stays
             if _measure(cut) > 1:
                 word = cut
             break

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot
-
 # The retrieval defaults.
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -167,14 +165,6 @@ def multiplied(score: Column, entity_hit: Column, mode: Column, target: Column,
     return out * F.when(timed & valid, VALID_MULTIPLIER).when(timed, MISMATCH_MULTIPLIER).otherwise(1.0)
 
 
-def semantic(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact dot products of every query with every document of its scope; docs: scope, doc_id, v; queries: scope, query_id, q.
-
-    The queries are the stated side: each document row meets the queries of its scope only.
-    """
-    return docs.join(queries, "scope").select("scope", "query_id", "doc_id", dot(F.col("v"), F.col("q")).alias("score"))
-
-
 def hash_embedding(docs: DataFrame, tokens: Column, key: str, dim: int = 384) -> DataFrame:
     """key, idx, value: the non-zero places of each text's L2-normalised hash vector.
 

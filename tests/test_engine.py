@@ -27,6 +27,20 @@ def test_stems(word, stem):
     assert porter.stem(word) == stem
 
 
+# The examples of the published algorithm, word by word.
+EXAMPLES = (
+    "feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size tanned tan falling fall hissing hiss fizzed fizz failing fail rational ration "
+    "digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous triplicate triplic formative form formalize formal electrical electr hopeful hope goodness good "
+    "revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend communism commun "
+    "activate activ homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controlling control roll roll vietnamization vietnam predication predic"
+).split()
+
+
+@pytest.mark.parametrize(("word", "stem"), [*zip(EXAMPLES[::2], EXAMPLES[1::2], strict=True)])
+def test_published_stems(word, stem):
+    assert porter.stem(word) == stem
+
+
 def test_answer_scores(spark):
     assert one(spark, tx.normalize_answer(F.lit("The cats, and a dog!"))) == "cats dog"
     score = lambda p, r, c=None: one(spark, tx.answer_f1(F.col("p"), F.col("r"), None if c is None else F.lit(c)), p=p, r=r)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, quality, secrets, substrings
+from . import classifier, decontaminate, hotjoin, licenses, quality, resample, secrets, substrings
 from .common import table
 from .ngram import near_duplicates
 from .pack import pack_documents, with_checksum
@@ -71,6 +71,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hotjoin.digest(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -83,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_quality_classifier": op11_quality_classifier,
+        "op12_hot_key_join": op12_hot_key_join,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -109,5 +124,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < {quality.MIN_WORD_CHARS} * n_words OR word_chars > {quality.MAX_WORD_CHARS} * n_words OR 100 * letters < {quality.MIN_LETTER_SHARE} * word_chars) AS kept FROM b"""
 
 
+#: One row with the table of the byte-wise checksum.
+_CRC_TABLE = "z AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z)"
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, z[(xor(c, b) & 255)::INT + 1])), 4294967295)"
+
+
+def _ascii(text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+
+
+def _joined_side(number: str, amount: str, name: str) -> str:
+    keyed = f"SELECT {number}::BIGINT AS id, client_id, {_crc(_ascii(f'{number}::VARCHAR'))} AS h, {number} || ':' || coalesce(floor(100 * {amount} + 0.5)::BIGINT::VARCHAR, '') AS shown FROM {name}, z"
+    return f"SELECT id, CASE WHEN h % 10 < 2 THEN h // 10 % 3 ELSE client_id END AS client_id, {_crc(_ascii('shown'))} AS crc FROM ({keyed}) t, z"
+
+
+OP12_SQL = f"""WITH {_CRC_TABLE}, c AS ({_joined_side("click_id", "value", "clicks")}), s AS ({_joined_side("sale_id", "total", "sales")}),
+cn AS (SELECT client_id, count(*) AS n, sum(crc) AS crc FROM c GROUP BY client_id), sn AS (SELECT client_id, count(*) AS n, sum(crc) AS crc FROM s GROUP BY client_id),
+a AS (SELECT 'click' AS side, id, c.client_id, coalesce(n, 0) AS n, coalesce(sn.crc, 0) AS p FROM c LEFT JOIN sn ON c.client_id = sn.client_id
+  UNION ALL SELECT 'sale', id, s.client_id, coalesce(n, 0), coalesce(cn.crc, 0) FROM s LEFT JOIN cn ON s.client_id = cn.client_id)
+SELECT side, id, min(client_id) AS client_id, count(*) AS copies, sum(n)::BIGINT AS inner_rows, sum(CASE WHEN side = 'click' THEN greatest(n, 1) ELSE n END)::BIGINT AS left_rows, sum(greatest(n, 1))::BIGINT AS full_rows, sum(p)::BIGINT AS partner_crc
+FROM a GROUP BY side, id"""
+
+_OCTETS = "list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)"
+_RUNS = "list_transform(range(1, len(w) + 1), lambda i: w[i]) || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+_TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP13_SQL = rf"""WITH {_CRC_TABLE}, d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents), b AS (SELECT {_TOKENS} AS w FROM benchmark),
+df AS (SELECT r, unnest({_RUNS}) AS f FROM d), bf AS (SELECT unnest({_RUNS}) AS f FROM b),
+h AS (SELECT f, {_crc(_OCTETS)} % {resample.BUCKETS} AS k FROM (SELECT f FROM df UNION SELECT f FROM bf) x, z),
+s AS (SELECT k, count(*) AS s FROM df JOIN h USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM bf JOIN h USING (f) GROUP BY k),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+g AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + {resample.BUCKETS})) / ((s + 1) * (t_all + {resample.BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (k), n),
+v AS (SELECT r, sum(gain)::BIGINT AS weight FROM df JOIN h USING (f) JOIN g USING (k) GROUP BY r),
+o AS (SELECT d.r, doc_id, len(w) AS n_words, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::BIGINT AS u FROM d LEFT JOIN v ON v.r = d.r),
+q AS (SELECT *, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score, n_words >= {resample.LEAST_WORDS} AS able FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS rank FROM q)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN able AND rank <= (SELECT {resample.PER_CENT} * count(*) FILTER (able) // 100 FROM q) THEN rank END AS rank FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_url_filters": OP3_SQL, "op10_quality_rules": OP10_SQL, "op12_hot_key_join": OP12_SQL, "op13_importance_resampling": OP13_SQL}

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint, in the session's folder if it names one.
+    """``df`` cut from its lineage: written as a table to the session's checkpoint folder and read from there.
 
-    A checkpoint keeps the size that its plan was estimated at; joins multiply these, and in a loop
-    the number grows until planning takes all memory.  So the rows come back as a plain scan.
+    The folder is ``spark.checkpoint.dir``, which a cluster's machines share; only where it is
+    unset and Spark runs on one machine (tests) does a folder of its own take its place.  A scan
+    of files knows its size (a checkpoint keeps the size that its plan was estimated at, which
+    joins in a loop multiply until planning takes all memory), reads only the columns it needs,
+    and is lost with no executor.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: a folder of one machine would lose checkpoints with its executor")
-        sc.setCheckpointDir(at or "/tmp/checkpoints")
-    held = df.checkpoint()._jdf
-    return DataFrame(spark._jsparkSession.createDataFrame(held.toJavaRDD(), held.schema()), spark)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a folder of one machine would lose tables with its executor")
+    path = f"{(at or '/tmp/checkpoints').rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from ..catalog import query
 from ..functions import text as tx
 from ..functions.scalars import dot
 from ..io import table
+from ..operators import lexical, search
 from ..operators import retrieval as rt
-from ..operators import search
 from .views import MESSAGES_SQL, VERSIONS_SQL, messages, versions
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[a-z0-9_]+|[\x{{3400}}-\x{{9fff}}]')"
@@ -52,7 +52,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bmr WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best messages of every item."""
-    return _rounded(rt.ranked(_bm25(spark, sf_dir), 10, ["scope", "query_id"]), "query_id", "doc_id", "rank")
+    return _rounded(lexical.top_k(_docs(spark, sf_dir), _items(spark, sf_dir), F.col("toks"), F.col("qt"), 10), "query_id", "doc_id", "rank")
 
 
 @query(
@@ -62,9 +62,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores between 0 and 1 that compare across items; the ten best of each."""
-    sizes = _items(spark, sf_dir).select("query_id", F.size(F.array_distinct("qt")).alias("n"))
-    scored = rt.bounded_bm25(_bm25(spark, sf_dir, distinct_query=True).join(sizes, "query_id"), F.col("n"))
-    return _rounded(rt.ranked(scored, 10, ["scope", "query_id"]), "query_id", "doc_id")
+    return _rounded(lexical.bounded_top_k(_docs(spark, sf_dir), _items(spark, sf_dir), F.col("toks"), F.col("qt"), 10), "query_id", "doc_id")
 
 
 @query("bm25_rowmax", f"WITH {BM25_SQL} SELECT query_id, count(*) AS n, round(sum(s), 4) AS mass FROM (SELECT query_id, plain / greatest(max(plain) OVER (PARTITION BY query_id), 1e-12) AS s FROM bm) t GROUP BY query_id")
@@ -99,9 +97,9 @@ def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT query_id, doc_id, round(sum(s), 9) AS score, string_agg(path, ',' ORDER BY path) AS paths FROM f GROUP BY 1, 2",
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = rt.ranked(_bm25(spark, sf_dir), rt.CANDIDATES, ["scope", "query_id"])
+    words = lexical.top_k(_docs(spark, sf_dir), _items(spark, sf_dir), F.col("toks"), F.col("qt"), rt.CANDIDATES)
     exact = rt.ranked(_keyword(spark, sf_dir), rt.CANDIDATES, ["scope", "query_id"])
-    found = rt.fused([("bm25", lexical, rt.WEIGHTS["bm25"]), ("keyword", exact, rt.WEIGHTS["keyword"])])
+    found = rt.fused([("bm25", words, rt.WEIGHTS["bm25"]), ("keyword", exact, rt.WEIGHTS["keyword"])])
     return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.array_join("matched_paths", ",").alias("paths"))
 
 
@@ -241,7 +239,7 @@ def source_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over the messages that no memory covers; the filter comes before the statistics."""
     covered = table(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id")
     free = _docs(spark, sf_dir).join(covered, "conv_id", "left_anti")
-    top = rt.ranked(rt.bm25(free, _items(spark, sf_dir), F.col("toks"), F.col("qt")), 3, ["scope", "query_id"])
+    top = lexical.top_k(free, _items(spark, sf_dir), F.col("toks"), F.col("qt"), 3)
     return top.select("query_id", F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("evidence_id"), "rank", F.round("score", 6).alias("score"))
 
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from .graph import cut
 
 ACTIONS = ("ADD", "UPDATE", "MERGE", "DELETE", "SKIP")
-#: Rounds of the lineage whose frames are held apart before they become one.
-HELD_ROUNDS = 8
 DIFFED = ("subject", "predicate", "object_text", "content", "world_start", "world_end", "importance", "confidence", "memory_kind")
 
 VERSIONS = (
@@ -168,20 +166,43 @@ def changed_fields(pairs: dict[str, tuple[Column, Column]]) -> Column:
 def lineage(direct: DataFrame, parents: DataFrame) -> DataFrame:
     """version_id, message_id, depth: every message a version rests on, by the shortest chain of parents.
 
-    direct: version_id, message_id; parents: version_id, parent_version_id (acyclic).  Each round
-    adds one step and keeps the least depth, until nothing new is found.  As a pair is only ever
-    found once, a cycle ends too.
+    direct: version_id, message_id (and depth, else 0); parents: version_id, parent_version_id.
+    Paths double: a round joins what is known within 2^k steps to the ancestors that lie exactly
+    2^k steps away, so a chain of n versions takes about log2(n) rounds.  A round that neither
+    finds a pair nor shortens one is the last, since any shortest chain that is still missing has
+    an end of every length, whose pair that round would have found; so cycles end too.
     """
-    found = edge = direct.select("version_id", "message_id").distinct().withColumn("depth", F.lit(0))
-    for step in itertools.count(1):
-        up = edge.withColumnRenamed("version_id", "parent_version_id")
-        new = parents.join(up, "parent_version_id").select("version_id", "message_id", F.lit(step).alias("depth")).distinct()
-        edge = cut(new.join(found, ["version_id", "message_id"], "left_anti"))
-        if edge.isEmpty():
-            return found
-        found = found.unionByName(edge)
-        if step % HELD_ROUNDS == 0:  # else each round reads one more frame
-            found = cut(found)
+    known = direct if "depth" in direct.columns else direct.withColumn("depth", F.lit(0))
+    least = lambda df: cut(df.groupBy("version_id", "message_id").agg(F.min("depth").cast("int").alias("depth")))
+    mark = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first())
+    known, jump = least(known), parents.select("version_id", "parent_version_id").where("version_id IS NOT NULL AND parent_version_id IS NOT NULL").distinct()
+    before = mark(known)
+    for k in itertools.count():
+        jump = cut(jump)
+        ends = known.select(F.col("version_id").alias("parent_version_id"), "message_id", (F.col("depth") + F.lit(1 << k)).alias("depth"))
+        known = least(known.unionByName(jump.join(ends, "parent_version_id").select("version_id", "message_id", "depth")))
+        after = mark(known)
+        if after == before:
+            return known
+        before = after
+        far = jump.select(F.col("version_id").alias("parent_version_id"), F.col("parent_version_id").alias("far"))
+        jump = jump.join(far, "parent_version_id").select("version_id", F.col("far").alias("parent_version_id")).distinct()
+
+
+def lineage_delta(closure: DataFrame, direct: DataFrame, parents: DataFrame) -> DataFrame:
+    """The rows that a commit adds to a stored closure: those of its own versions, so that the closure never has to be built anew.
+
+    closure: version_id, message_id, depth; direct, parents: of the commit's versions, whose
+    parents are old or new.  Of the closure only the rows of old parents are read, each one step
+    further away; doubling runs over the commit's own versions alone.  An edge that starts at an
+    old version would change rows that are stored and raises.
+    """
+    own = parents.select("version_id", "parent_version_id").distinct()
+    new = own.select("version_id").unionByName(direct.select("version_id")).distinct()
+    _require_none(closure.join(new, "version_id", "left_semi"), "a stored version gains a message or a parent")
+    from_old = own.join(closure.withColumnRenamed("version_id", "parent_version_id"), "parent_version_id").select("version_id", "message_id", F.col("depth") + 1)
+    base = direct.select("version_id", "message_id", F.lit(0).alias("depth")).union(from_old)
+    return lineage(base, own.join(new.withColumnRenamed("version_id", "parent_version_id"), "parent_version_id", "left_semi"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -175,6 +175,21 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lineage(events.select(F.col("event_id").alias("version_id"), F.col("user_id").alias("message_id")), parents)
 
 
+@query(
+    "lineage_delta",
+    "WITH RECURSIVE parents AS (SELECT event_id AS version_id, event_id // 2 AS parent_id FROM events WHERE event_id > 0), "
+    f"walk AS (SELECT event_id AS version_id, event_id AS node, 0 AS depth FROM events WHERE event_id > {AS_OF_SQL} UNION ALL SELECT w.version_id, p.parent_id, w.depth + 1 FROM parents p JOIN walk w ON w.node = p.version_id) "
+    "SELECT version_id, user_id AS message_id, min(depth) AS depth FROM walk JOIN events ON event_id = node GROUP BY 1, 2",
+)
+def lineage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the later half of the history adds to the closure of the earlier half."""
+    events, half = table(spark, sf_dir, "events"), as_of(spark, sf_dir)
+    direct = events.select(F.col("event_id").alias("version_id"), F.col("user_id").alias("message_id"))
+    parents = events.where("event_id > 0").select(F.col("event_id").alias("version_id"), F.floor(F.col("event_id") / 2).alias("parent_version_id"))
+    stored = store.lineage(direct.where(F.col("version_id") <= half), parents.where(F.col("version_id") <= half))
+    return store.lineage_delta(stored, direct.where(F.col("version_id") > half), parents.where(F.col("version_id") > half))
+
+
 @query(
     "prune_unused",
     f"WITH {VERSIONS_SQL} SELECT conversation_id, count(*) AS active, count(*) FILTER (WHERE u.c_custkey IS NOT NULL) AS used, count(*) FILTER (WHERE u.c_custkey IS NULL) AS pruned, max(system_from) + 1 AS close_at FROM versions LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) u ON u.c_custkey = memory_id WHERE system_to IS NULL GROUP BY conversation_id",

@@ -53,6 +53,7 @@ HOT_ELEMENTS = 1 << 20
 SHORT_LIST = 8
 #: Elements that a task holds before it deals them out.
 BLOCK_ELEMENTS = 1_000_000
+SEGMENT_BYTES = 1 << 14
 BLOOM_BITS = 1 << 26
 #: Partners that are compared with one sending of a leader, outsiders and members of a list that meet in one task.
 HUB_BLOCK = 1024
@@ -327,11 +328,23 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen = np.zeros(bits, bool)
         for batch in batches:
             seen[places(batch.column(0).to_numpy().copy()).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
-
-    table = np.zeros(bits // 8, np.uint8)
-    for (part,) in mapped(wanted.select("set").coalesce(4), gather, "bits binary").toLocalIterator():
-        table |= np.frombuffer(bytes(part), np.uint8)
+        parts = np.packbits(seen).reshape(-1, segment)
+        held = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([parts[k].tobytes() for k in held], pa.binary())], names=["segment", "bits"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        joined = np.zeros(segment, np.uint8)
+        for part in group.column("bits").to_pylist():
+            joined |= np.frombuffer(part, np.uint8)
+        return pa.table({"segment": group.column("segment").combine_chunks()[:1], "bits": pa.array([joined.tobytes()], pa.binary())})
+
+    # Each task sends the parts of its table that hold a bit; the parts of all tasks meet by their place.
+    segment = min(bits // 8, SEGMENT_BYTES)
+    table = np.zeros((bits // 8 // segment, segment), np.uint8)
+    found = mapped(wanted.select("set"), gather, "segment int, bits binary").groupBy("segment").applyInArrow(merge, "segment int, bits binary")
+    for k, part in found.toLocalIterator():  # BLOOM_BITS in all
+        table[k] = np.frombuffer(bytes(part), np.uint8)
+    table = table.ravel()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is an expression of the text that is true where the rule rejects.  A bounded sample
-gives each rule's cost (time to evaluate) and selectivity (share rejected); the rules are then
+gives each rule's cost (time to evaluate, read in the tasks) and selectivity (share rejected); the rules are then
 tried in the order of rejection per cost inside one CASE, so a row that an early rule rejects
 never pays for a later one.  The order changes the cost only: a document is kept if no rule
 rejects it, whatever the order.
@@ -11,7 +11,7 @@ Plan: scan -> project -> (filter), no exchange, no Python.
 
 from __future__ import annotations
 
-import time
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,7 @@ from .native import SPACE, let, words
 SYMBOLS = "[#*$%&|<>]"
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 400
-SAMPLE_PARTS, ROUNDS = 4, 3
+SAMPLE_PARTS, ROUNDS = 4, 5
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # per cent of the words that stand in repeated 3-word windows
@@ -108,32 +108,29 @@ BASE_RULES: dict[str, Callable[[Column], Column]] = {
 
 
 def cascade_order(docs: DataFrame, rules: dict[str, Callable[[Column], Column]], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The rules' names by rejections per second, most first, as a sample of about ``sample_rows`` texts tells them.
+    """The rules' names by rejections per cost, most first, as a sample of about ``sample_rows`` texts tells them.
 
-    The sample is drawn from all partitions at the rate that its size needs, so no task and no
-    exchange ever holds more than its share.  A rule is run once to be compiled, then timed over
-    the sample taken ROUNDS times in one job, less what the job takes without a rule.
+    The sample is drawn in every partition of the scan at the rate that its size needs; only the
+    drawn rows are then dealt to few tasks.  A rule's cost is the time between two readings of the
+    clock around it, taken in the task for each text, the least of ROUNDS readings: neither jobs
+    and tasks nor other work on the machine enter it.  Costs count in doublings of the cheapest
+    rule's, so that small differences don't turn the order.
     """
     texts = docs.select(text_or_empty().alias("text"))
     n = texts.count()
     if not n:
         return sorted(rules)
-    sample = saved(texts.sample(min(1.0, sample_rows / n), seed=1).coalesce(SAMPLE_PARTS))
-    many = sample.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
-
-    def timed(df: DataFrame, rejects: Column) -> tuple[float, int, int]:
-        began = time.perf_counter()
-        rows, rejected = df.agg(F.count("text"), F.coalesce(F.sum(rejects.cast("long")), F.lit(0))).first()
-        return time.perf_counter() - began, rows, rejected
-
-    never = F.length("text") < 0
-    timed(many, never)
-    idle = timed(many, never)[0]
-    score = {}
+    sample = saved(texts.sample(min(1.0, sample_rows / n), seed=1).repartition(SAMPLE_PARTS).withColumn("row", F.monotonically_increasing_id()))
+    rounds = sample.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
+    clock = lambda: F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+    rejected, cost, rows = {}, {}, 0
     for name, rule in rules.items():
-        _, rows, rejected = timed(sample, rule(F.col("text")))
-        cost = timed(many, rule(F.col("text")))[0] - idle
-        score[name] = ((rejected + 1) / (rows + 2)) / max(1e-6, cost)
+        read = rounds.select("row", F.struct(clock().alias("a"), F.coalesce(rule(F.col("text")), F.lit(False)).alias("hit"), clock().alias("b")).alias("x"))
+        least = read.groupBy("row").agg(F.min(F.col("x.b") - F.col("x.a")).alias("t"), F.max("x.hit").alias("hit"))
+        rows, rejected[name], cost[name] = least.agg(F.count("*"), F.coalesce(F.count_if("hit"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    cheapest = max(1, min(cost.values()))
+    score = {name: (rejected[name] + 1) / (rows + 2) / 2 ** round(math.log2(max(1.0, cost[name] / cheapest))) for name in rules}
     return sorted(rules, key=lambda name: (-score[name], name))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, saved, text_or_empty
-from .native import let
+from .native import let, running
 
 # The patterns and lengths of the base.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,19 +43,22 @@ MAX_LIVE_REPOSITORIES = 50
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, rank, end, kind, value_start, value>> of a pattern's leftmost non-overlapping matches."""
+    """array<struct<start, rank, end, kind, value, at, to>> of a pattern's leftmost non-overlapping matches: places in code points, and the value's in bytes."""
 
     def placed(hits: Column, values: Column, gaps: Column) -> Column:
-        empty = _no_spans()
+        ends = lambda length: F.transform(hits, lambda h, i: length(F.get(gaps, i)) + length(h))
+        before = lambda length: running(ends(length), F.lit(0), lambda a, x: a + x)
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(hits, i))
-            value = F.get(values, i)
-            span = F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), (end - F.length(value)).alias("value_start"), value.alias("value"))
-            return F.struct(end.alias("pos"), F.when(F.length(value) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        def span(c: Column, b: Column) -> Column:
+            def one(h: Column, i: Column) -> Column:
+                start, value = F.get(c, i) + F.length(F.get(gaps, i)), F.get(values, i)
+                end = start + F.length(h)
+                to = F.get(b, i) + F.octet_length(F.get(gaps, i)) + F.octet_length(h)
+                return F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"), (to - F.octet_length(value)).alias("at"), to.alias("to"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step, lambda acc: acc["spans"])
+            return F.filter(F.transform(hits, one), lambda s: F.length(s["value"]) >= least)
+
+        return let(before(F.length), lambda c: let(before(F.octet_length), lambda b: span(c, b)))
 
     found = let(
         F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"), F.split(text, pattern).alias("gaps")),
@@ -65,7 +68,7 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
 
 
 def _no_spans() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value_start:int,value:string>>)")
+    return F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string,at:int,to:int>>)")
 
 
 def _maybe(text: Column) -> Column:
@@ -122,15 +125,20 @@ def scan_secrets(docs: DataFrame, owner: str = "source", max_live_owners: int =
 
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:
-    """The text with each span's value replaced; values that overlap are replaced together."""
+    """The text with each span's value replaced; values that overlap are replaced together.
+
+    Pieces are cut by bytes, which needs no walk through the text, and joined once.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["to"].alias("to"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin, end, pos = s["value_start"], s["end"], acc["pos"]
-        ahead = F.concat(acc["out"], F.substring(text, pos + 1, begin - pos), F.lit(mask))
-        return F.struct(F.greatest(pos, end).alias("pos"), F.when(begin >= pos, ahead).otherwise(acc["out"]).alias("out"))
+    def pieces(held: Column, s: Column, done: Column) -> Column:
+        piece = lambda a, b: F.substring(held, a + 1, b - a).cast("string")
+        ahead = F.transform(s, lambda x, i: F.when(x["at"] >= F.get(done, i), F.concat(piece(F.get(done, i), x["at"]), F.lit(mask))).otherwise(F.lit("")))
+        last = F.greatest(F.get(done, F.size(done) - 1), F.get(s, F.size(s) - 1)["to"])
+        return F.concat(F.array_join(ahead, ""), piece(last, F.octet_length(held)))
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["value_start"].alias("value_start"), s["end"].alias("end"))))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    done = lambda s: running(F.transform(s, lambda x: x["to"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    return let(text.cast("binary"), lambda held: let(ordered, lambda s: let(done(s), lambda d: pieces(held, s, d))))
 
 
 def mask_live(docs: DataFrame, owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, mask: str = "[SECRET]", max_live_repositories: int = MAX_LIVE_REPOSITORIES) -> DataFrame:

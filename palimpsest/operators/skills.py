@@ -17,8 +17,8 @@ DESCRIPTION_WEIGHT, CONTENT_WEIGHT, SOLVES_WEIGHT = 0.45, 0.35, 0.20
 PER_CANDIDATE, GUARANTEED, BANK_CONTEXT, COVERED = 5, 2, 25, 0.55
 MAX_ITERATIONS = 50
 BROADCAST_CENTROIDS = 10_000
-#: Points that one task clusters, and parts that a larger bucket is dealt to in a round.
-GROUP_POINTS, PARTS = 4000, 16
+#: Points of a group that one task clusters.
+GROUP_POINTS = 4000
 NAME_CHARS, DESCRIPTION_CHARS, CONTENT_CHARS, ITEM_CHARS, MAX_ITEMS = 60, 200, 600, 200, 3
 SYSTEM_IDS = r"(?i)(mem_\w+_v\d+|conv\d+_s\d+_m\d+|msg_\w+|cand_\w+|failure_\w+|skill_\w+|sk_\w+_v\d+)"
 NARRATIVE = ("the question asked", "the user said", "the answer should have been", "this specific case")
@@ -217,16 +217,17 @@ def update(points: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, iterations: int = MAX_ITERATIONS) -> np.ndarray:
-    """Labels of unit vectors: farthest-first start from row 0, an empty cluster keeps its centre."""
+    """Labels of unit vectors: farthest-first start from row 0, an empty cluster keeps its centre; cosines count at twelve decimals."""
+    cosines = lambda centres: np.round(vectors @ centres.T, 12)
     chosen = [0]
-    closest = vectors @ vectors[0]
+    closest = cosines(vectors[0])
     while len(chosen) < k:
         chosen.append(int(np.argmin(closest)))
-        closest = np.maximum(closest, vectors @ vectors[chosen[-1]])
+        closest = np.maximum(closest, cosines(vectors[chosen[-1]]))
     centres = vectors[chosen].copy()
     labels = np.full(len(vectors), -1)
     for _ in range(iterations):
-        new = np.argmax(vectors @ centres.T, axis=1)
+        new = np.argmax(cosines(centres), axis=1)
         if (new == labels).all():
             break
         labels = new
@@ -240,22 +241,30 @@ def spherical_kmeans(vectors: np.ndarray, k: int, iterations: int = MAX_ITERATIO
 def cluster(points: DataFrame, target: int = 8, most: int = 25) -> DataFrame:
     """bucket, point_id, cluster: each bucket (a hard boundary) clustered on its own, groups above ``most`` split again.
 
-    points: bucket, point_id, v.  Groups of identical vectors are cut by id.  A bucket of more
-    than GROUP_POINTS points is first parted by Spark rounds of spherical k-means until every part
-    fits a task; clusters are numbered by size, then by least id.
+    points: bucket, point_id, v.  Groups of identical vectors are cut by id.  Groups of up to
+    GROUP_POINTS points are split to the end in a task each; a larger one takes a step of the same
+    clustering as Spark jobs (``clusters.kmeans``), whose pieces are groups in turn, so the result
+    does not depend on where that bound lies.  Clusters are numbered by size, then by least id.
     """
+    from ..functions.scalars import normalized
+    from . import clusters
     from .graph import cut
 
-    parts = cut(points.select("bucket", "point_id", F.col("v").cast("array<double>").alias("v")).withColumn("part", F.lit("")))
+    parts = cut(points.select(F.col("bucket").cast("string").alias("bucket"), F.lit("").alias("part"), F.col("point_id").cast("long").alias("point_id"), normalized(F.col("v")).alias("v")))
     done = None
     while True:
         sizes = parts.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > GROUP_POINTS)
-        small = parts.join(large.select("bucket", "part"), ["bucket", "part"], "left_anti")
+        large = cut(sizes.where((F.col("n") > GROUP_POINTS) & (F.col("n") > most)).select("bucket", "part"))
+        small = parts.join(large, ["bucket", "part"], "left_anti")
         done = small if done is None else done.unionByName(small)
         if large.isEmpty():
             break
-        parts = cut(_parted(parts.join(large, ["bucket", "part"])))
+        labels = clusters.kmeans(parts.join(large, ["bucket", "part"], "left_semi"), target, MAX_ITERATIONS)
+        whole = labels.groupBy("bucket", "part").agg((F.min("cluster") == F.max("cluster")).alias("whole"))
+        run = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("point_id")) - 1
+        named = labels.join(whole, ["bucket", "part"]).withColumn("name", F.when(F.col("whole"), F.floor(run / most)).otherwise(F.col("cluster")))
+        named = named.select("bucket", "part", "point_id", F.concat_ws(".", "part", "name").alias("next"))
+        parts = cut(parts.join(named, ["bucket", "part", "point_id"]).select("bucket", F.col("next").alias("part"), "point_id", "v"))
 
     def split(ids: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
         if len(ids) <= most:
@@ -269,7 +278,6 @@ def cluster(points: DataFrame, target: int = 8, most: int = 25) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         v = np.stack(pdf["v"].to_numpy()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         groups = split(pdf["point_id"].to_numpy(), v)
         return pd.DataFrame([(pdf["bucket"].iloc[0], i, len(g), g.min()) for g in groups for i in g], columns=["bucket", "point_id", "size", "least"])
 
@@ -280,19 +288,6 @@ def cluster(points: DataFrame, target: int = 8, most: int = 25) -> DataFrame:
     return found.join(numbered, ["bucket", "size", "least"]).select("bucket", "point_id", "cluster")
 
 
-def _parted(parts: DataFrame) -> DataFrame:
-    """Each (bucket, part) dealt to PARTS parts around its points of least hash; identical vectors by hash alone."""
-    from ..functions.scalars import dot, normalized
-
-    own = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("point_id"))
-    seeds = parts.withColumn("k", F.row_number().over(own)).where(F.col("k") <= PARTS).select("bucket", "part", "k", normalized(F.col("v")).alias("c"))
-    pairs = parts.join(seeds, ["bucket", "part"]).select("bucket", "part", "point_id", "v", "k", F.round(dot(F.col("v"), F.col("c")), 9).alias("s"))
-    near = pairs.groupBy("bucket", "part", "point_id").agg(F.first("v").alias("v"), F.max_by("k", F.struct("s", -F.col("k"))).alias("k"))
-    same = near.groupBy("bucket", "part").agg(F.countDistinct("k").alias("n"))
-    chosen = F.when(F.col("n") == 1, F.pmod(F.xxhash64("point_id", "part"), F.lit(PARTS))).otherwise(F.col("k"))
-    return near.join(same, ["bucket", "part"]).select("bucket", "point_id", "v", F.concat_ws(".", "part", chosen.cast("string")).alias("part"))
-
-
 def plan_errors(operations: DataFrame, shown: DataFrame, candidates: DataFrame, resolutions: DataFrame, banks: DataFrame) -> DataFrame:
     """bank, error: why a bank's plan may not be applied, before any of it is.
 
@@ -463,25 +458,42 @@ def publish(active: DataFrame, staged: DataFrame, tombstones: DataFrame, bank_ve
 def segments(messages: DataFrame, most_messages: int = 4, most_chars: int = 1400) -> DataFrame:
     """conversation_id, segment, text: consecutive messages joined while they stay within both bounds; an overlong one stands alone.
 
-    messages: conversation_id, turn, speaker, content.  A conversation is one ordered fold.
+    messages: conversation_id, turn, speaker, content; blank contents are left out, a null or
+    empty speaker is unknown, messages of one turn follow by speaker and content.  Where a segment
+    that begins at a message would end depends on the next ``most_messages`` lengths alone, so
+    every message gets a pointer to the next break at once.  The breaks that are really taken are
+    those the first message leads to: each round follows the pointers of all breaks found so far
+    and then doubles the pointers.  No row ever holds more than a segment.
     """
+    from .graph import cut
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for conversation, turns in zip(pdf["conversation_id"], pdf["turns"], strict=True):
-                held: list[str] = []
-                n = 0
-                for t in turns:
-                    line = f"{t['speaker'] or 'unknown'}: {t['content']}".strip()
-                    if held and (len(held) >= most_messages or sum(map(len, held)) + len(held) + len(line) + 1 > most_chars):
-                        out.append((conversation, n, "\n".join(held)))
-                        held, n = [], n + 1
-                    held.append(line)
-                if held:
-                    out.append((conversation, n, "\n".join(held)))
-            yield pd.DataFrame(out, columns=["conversation_id", "segment", "text"])
-
+    own = Window.partitionBy("conversation_id").orderBy("turn", "speaker", "content")
     said = messages.where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    turns = said.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "content"))).alias("turns"))
-    return turns.mapInPandas(run, "conversation_id long, segment int, text string")
+    speaker = F.coalesce(F.nullif(F.col("speaker"), F.lit("")), F.lit("unknown"))
+    line = F.regexp_replace(F.concat(speaker, F.lit(": "), F.col("content")), r"(?U)^\s+|\s+$", "")
+    ahead = F.collect_list("size").over(own.rowsBetween(0, most_messages - 1))
+    lines = said.select("conversation_id", (F.row_number().over(own) - 1).cast("long").alias("at"), line.alias("line"), "turn", "speaker", "content").withColumn("size", F.length("line") + 1)
+    over = F.aggregate(  # the number of messages of a segment that begins here
+        ahead, F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(False).alias("full")),
+        lambda a, x: F.when(a["full"] | ((a["n"] > 0) & (a["sum"] + x > most_chars)), F.struct(a["n"].alias("n"), a["sum"].alias("sum"), F.lit(True).alias("full"))).otherwise(
+            F.struct((a["n"] + 1).alias("n"), (a["sum"] + x).alias("sum"), F.lit(False).alias("full"))
+        ),
+        lambda a: a["n"],
+    )
+    lines = cut(lines.select("conversation_id", "at", "line", (F.col("at") + over).alias("next")))
+    jump, breaks = lines.select("conversation_id", "at", "next"), cut(lines.where("at = 0").select("conversation_id", "at"))
+    known = breaks.count()
+    while True:
+        step = breaks.join(jump, ["conversation_id", "at"]).select("conversation_id", F.col("next").alias("at"))
+        breaks = cut(breaks.unionByName(step.join(lines.select("conversation_id", "at"), ["conversation_id", "at"], "left_semi")).distinct())
+        found = breaks.count()
+        if found == known:
+            break
+        known = found
+        far = jump.select("conversation_id", F.col("at").alias("next"), F.col("next").alias("far"))
+        jump = cut(jump.join(far, ["conversation_id", "next"]).select("conversation_id", "at", F.col("far").alias("next")))
+    first = breaks.withColumn("begins", F.lit(1))
+    order = Window.partitionBy("conversation_id").orderBy("at")
+    told = lines.join(first, ["conversation_id", "at"], "left").withColumn("segment", F.sum(F.coalesce("begins", F.lit(0))).over(order).cast("int") - 1)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    return told.groupBy("conversation_id", "segment").agg(joined.alias("text"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as tx
-from ..functions.scalars import dot
+from ..functions.scalars import dot, normalized
 from ..io import table
-from ..operators import lexical, search
+from ..operators import lexical, search, vectors
 from ..operators import retrieval as rt
 from .views import MESSAGES_SQL, VERSIONS_SQL, messages, versions
 
@@ -170,13 +170,10 @@ def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cosine_matrix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest bank entries of every candidate."""
-    from ..functions.scalars import cosine
-
-    v = table(spark, sf_dir, "embeddings")
-    c = v.where("vec_id % 100 = 0").select(F.lit(0).alias("scope"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    b = v.select(F.lit(0).alias("scope"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    pairs = b.join(c, "scope").select("scope", "query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score"))
-    return rt.ranked(pairs, 3, ["scope", "query_id"]).select(F.col("query_id").alias("candidate_id"), F.col("doc_id").alias("skill_id"), F.round("score", 5).alias("score"))
+    v = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("scope"), "vec_id", normalized(F.col("embedding")).alias("v"))
+    asked = v.where("vec_id % 100 = 0").select("scope", F.col("vec_id").alias("query_id"), F.lit(0).alias("part"), "v")
+    found = vectors.nearest(v.withColumnRenamed("vec_id", "doc_id"), asked, 3)
+    return found.select(F.col("query_id").alias("candidate_id"), F.col("doc_id").alias("skill_id"), F.round("score", 5).alias("score"))
 
 
 @query(

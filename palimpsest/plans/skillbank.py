@@ -88,9 +88,16 @@ def bounded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.cluster(points)
 
 
-@query("message_segments")
+@query(
+    "message_segments",
+    r"""WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS at_row, regexp_replace(coalesce(nullif(role, ''), 'unknown') || ': ' || text, '^\s+|\s+$', '', 'g') AS line FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+p AS (SELECT conv_id, at_row, line, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY at_row) AS upto FROM l),
+n AS (SELECT a.conv_id, a.at_row, count(b.at_row) + 1 AS many FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND b.at_row > a.at_row AND b.at_row < a.at_row + 4 AND b.upto - a.upto + length(a.line) + 1 <= 1400 GROUP BY 1, 2),
+w AS (SELECT conv_id, 0 AS at_row, 0 AS segment FROM l GROUP BY 1 UNION ALL SELECT w.conv_id, w.at_row + n.many, w.segment + 1 FROM w JOIN n ON n.conv_id = w.conv_id AND n.at_row = w.at_row JOIN l ON l.conv_id = w.conv_id AND l.at_row = w.at_row + n.many)
+SELECT w.conv_id AS conversation_id, w.segment, string_agg(line, chr(10) ORDER BY l.at_row) AS text FROM w JOIN n ON n.conv_id = w.conv_id AND n.at_row = w.at_row JOIN l ON l.conv_id = w.conv_id AND l.at_row >= w.at_row AND l.at_row < w.at_row + n.many GROUP BY 1, 2""",
+)
 def message_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy segments of the conversations (an ordered fold; tests hold it against a plain loop)."""
+    """Greedy segments of the conversations."""
     said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", F.col("role").alias("speaker"), F.col("text").alias("content"))
     return sk.segments(said)
 

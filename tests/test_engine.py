@@ -547,7 +547,6 @@ def test_retries_and_sessions_of_activity(spark):
 
 def test_large_buckets_are_parted_before_they_are_clustered(spark, monkeypatch):
     monkeypatch.setattr(skills, "GROUP_POINTS", 60)
-    monkeypatch.setattr(skills, "PARTS", 3)
     rng = np.random.default_rng(1)
     points = [("p", j, rng.normal(size=4).tolist()) for j in range(200)] + [("q", 500 + j, [1.0, 0.0, 0.0, 0.0]) for j in range(150)]
     rows = skills.cluster(spark.createDataFrame(points, "bucket string, point_id long, v array<double>"), target=8, most=10).collect()

@@ -6,14 +6,14 @@ system are raw messages that no memory covers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as tx
 from ..io import table
 from ..operators import retrieval as rt
-from ..operators import search
+from ..operators import search, textindex
 from ..operators.graph import cut
 
 FIRST_WORDS, NAMES = r"^\w+ \w+", "[A-Z][a-z]+"
@@ -199,3 +199,27 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     first = asked(spark, sf_dir).select("scope", "query_id", F.coalesce(F.get("keywords", F.lit(0)), F.lit("")).alias("text"))
     return search.phrase_search(every, first, words, 10).select("query_id", "rank", "doc_id", "n")
+
+
+HISTORY_SQL = "h AS (SELECT doc_id, conv_id * 10 + turn AS system_from, lead(conv_id * 10 + turn) OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) AS system_to, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM turns), half AS (SELECT max(system_from) // 2 AS half FROM h)"
+
+
+@query(
+    "phrase_search_as_of",
+    rf"""WITH {BASE_SQL}, {HISTORY_SQL}, q AS (SELECT query_id, regexp_extract_all(lower(kw), '[a-z0-9]+') AS q FROM qs),
+p AS (SELECT query_id, doc_id, len(t) AS size, len(list_filter(generate_series(1, len(t)), lambda i: t[i:i + len(q) - 1] = q)) AS n FROM h, q WHERE len(q) > 0 AND len(t) > 0),
+f AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM p WHERE n > 0), s AS (SELECT count(*) AS n_all, avg(len(t)) AS avgdl FROM h),
+b AS (SELECT query_id, doc_id, n, CASE WHEN ln((n_all - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_all - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / avgdl)) AS score FROM f, s)
+SELECT query_id, rank, doc_id, n, round(score, 6) AS score FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b JOIN h USING (doc_id), half WHERE system_from <= half AND (system_to IS NULL OR system_to > half)) t WHERE rank <= 10""",
+)
+def phrase_search_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item's first two words in the turns in force half way through the history; two turns are versions of one memory, and each half of the history is a segment of its own."""
+    own = Window.partitionBy("conv_id", F.floor(F.col("turn") / 2)).orderBy("turn")
+    turn = table(spark, sf_dir, "conversations").withColumn("system_from", F.col("conv_id") * 10 + F.col("turn")).withColumn("system_to", F.lead("system_from").over(own))
+    turn = turn.select(F.lit(0).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "system_from", "system_to")
+    half = turn.agg(F.floor(F.max("system_from") / 2)).first()[0]
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    (early, early_sizes), (late, late_sizes) = (textindex.segment(turn.where(part), words(F.col("text"))) for part in (F.col("system_from") <= half, F.col("system_from") > half))
+    first = asked(spark, sf_dir).select("scope", "query_id", F.coalesce(F.get("keywords", F.lit(0)), F.lit("")).alias("text"))
+    hits = textindex.phrase_hits(cut(early.unionByName(late)), early_sizes.unionByName(late_sizes), turn, first, words(F.col("text")), F.lit(half), 10)
+    return hits.select("query_id", "rank", "doc_id", "n", F.round("score", 6).alias("score"))

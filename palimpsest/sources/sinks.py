@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
+
 
 def create(df: DataFrame, path: str) -> None:
     """Writes a new run; an existing one is never overwritten."""
@@ -16,31 +18,28 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def publish_version(df: DataFrame, path: str, version: int) -> str:
-    """Writes a state as a version folder of its own, then moves the pointer to it; a reader sees the old or the new state."""
+    """Writes a state as a version folder of its own, then publishes it; a reader sees the old or the new state, at every moment one of them.
+
+    What is published is a log: each entry is created under the next free name and none is ever
+    changed or removed, so there is no moment without a current version.
+    """
     spark = df.sparkSession
     at = f"{path}/version={version}"
     df.write.mode("errorifexists").parquet(at)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    staged, pointer = fs_path(f"{path}/_current.tmp"), fs_path(f"{path}/_current")
-    fs = staged.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(staged, True)
-    out.write(bytearray(str(version).encode()))
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(staged, pointer)
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_published")
+    log.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(log)
+    while not commits.put_if_absent(spark, f"{path}/_published/{len(_published(spark, path)):012d}", str(version)):
+        pass  # another writer took the name: the next one
     return at
 
 
+def _published(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in commits._names(spark, f"{path}/_published") if n.isdigit()]
+
+
 def current_version(spark: SparkSession, path: str) -> int | None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    held = fs.open(fs_path)
-    try:
-        return int(spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8"))
-    finally:
-        held.close()
+    found = _published(spark, path)
+    return int(commits._text(spark, f"{path}/_published/{found[-1]}")) if found else None
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:

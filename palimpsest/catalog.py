@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "bm25_topk"
-PLANS = ("relational", "provenance", "retrieval", "memory", "evaluation", "skillbank", "records", "replies")
+PLANS = ("relational", "provenance", "retrieval", "memory", "evaluation", "skillbank", "records", "replies", "streams")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

@@ -6,26 +6,28 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage: written as a table to the session's checkpoint folder and read from there.
-
-    The folder is ``spark.checkpoint.dir``, which a cluster's machines share; only where it is
-    unset and Spark runs on one machine (tests) does a folder of its own take its place.  A scan
-    of files knows its size (a checkpoint keeps the size that its plan was estimated at, which
-    joins in a loop multiply until planning takes all memory), reads only the columns it needs,
-    and is lost with no executor.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine (tests) a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: a folder of one machine would lose tables with its executor")
-    path = f"{(at or '/tmp/checkpoints').rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return (at or "/tmp/checkpoints").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage: written as a table to the shared folder and read from there.
+
+    A scan of files knows its size (a checkpoint keeps the size that its plan was estimated at,
+    which joins in a loop multiply until planning takes all memory), reads only the columns it
+    needs, and is lost with no executor.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

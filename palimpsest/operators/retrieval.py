@@ -62,6 +62,20 @@ def corpus_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.groupBy("scope").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size(tokens)), F.lit(1.0)).alias("avgdl"))
 
 
+def scoped_by_kinds(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs and queries whose scope also names the kinds that a query asks for, so that any route filters by kind before its statistics.
+
+    docs: scope, doc_id, kind; queries: scope, query_id, kinds (array; null or empty: all).  Each
+    distinct set of kinds of a scope sees its own documents; sets are the stated side.  Further
+    columns pass through.
+    """
+    wanted = F.array_sort(F.array_distinct(F.coalesce("kinds", F.array().cast("array<string>"))))
+    asked = queries.withColumn("kinds", wanted).withColumn("scope", F.struct("scope", "kinds"))
+    sets = asked.select("scope").distinct().select(F.col("scope").alias("of"), F.col("scope.scope").alias("scope"))
+    fits = (F.size("of.kinds") == 0) | F.array_contains("of.kinds", F.col("kind"))
+    return docs.join(sets, "scope").where(fits).drop("scope").withColumnRenamed("of", "scope"), asked
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, distinct_query: bool = False) -> DataFrame:
     """scope, query_id, doc_id, score of all pairs that share a term; docs: scope, doc_id; queries: scope, query_id.
 

@@ -27,6 +27,83 @@ UNSUPPORTED_KIND = r"(?i)(?:memory_kind|memory kind|memories? of type)\s*[=:]?\s
 ORDERED_ANSWER = r"\b(?:return|answer|output|respond(?: with)?)\b[^.\n]{0,60}"
 GUESSED_PLACE = r"(?i)\b(all plausible (?:locations|options)|automatically determine (?:its |the )?(?:typical )?geographic location)\b"
 
+# What a skill may not ask for on its side, and which actions an answer made from the evidence at hand cannot take.
+STORAGE_MUTATION = (
+    r"(?i)\b(?:update|merge|delete|overwrite|replace|retract|target)\b[^.\n]{0,80}\b(?:memory|memories|memory_id|version|record|database)\b"
+    r"|\b(?:memory|memories|memory_id|version|record|database)\b[^.\n]{0,80}\b(?:update|merge|delete|overwrite|replace|retract|target)\b"
+)
+AGENT_LOOP = r"(?i)\b(?:repeat|retry|continue|loop)\b[^.\n]{0,60}\b(?:search|retriev|tool|step)\b|\b(?:standalone|separate)\s+(?:llm\s+)?rerank"
+FIXED_RETRIEVAL = (
+    r"(?i)\bA[12]\b|\b(?:increase|raise|change|adjust|set)\b[^.\n]{0,60}\b(?:top[ -]?k|depth|search|retrieval)\b|\b(?:supplemental|additional|extra|another|second)\b[^.\n]{0,30}\b(?:search|retrieval|query)\b"
+    r"|\b(?:search|retrieve|reformulate|rewrite|expand)\b[^.\n]{0,80}\b(?:query|again|memory|memories|terms?)\b"
+)
+EVIDENCE_BYPASS = r"(?i)\bno information available\b|\babstain\b|\b(?:return|respond|say|state)\s+(?:with\s+)?(?:exactly\s+)?(?:the\s+)?(?:answer|response)\b|\b(?:known|expected|reference|gold)\s+answer\b"
+#: Items of construction skills that runs leave out; those of access skills fall under EVIDENCE_BYPASS.
+MUTATING_ITEM = (
+    r"(?i)\b(update|merge|delete|overwrite|replace|retract)\b[^.\n]{0,80}\b(memory|record|database|version|target)\b"
+    r"|\b(memory|record|database|version|target)\b[^.\n]{0,80}\b(update|merge|delete|overwrite|replace|retract)\b"
+)
+RETRIEVAL_ACTIONS = (
+    r"\ba[12]\b",
+    r"\b(?:supplemental|additional|extra|another)\s+(?:search|retrieval)\b",
+    r"\b(?:increase|raise|change|adjust|set)\b[^.]{0,60}\b(?:top[ -]?k|depth)\b",
+    r"\b(?:perform|do|issue|run|conduct)\b[^.]{0,80}\b(?:search|retrieval)\b",
+    r"\b(?:search|retrieve|reformulate|expand)\b[^.]{0,80}\b(?:query|using|with)\b",
+    r"\bsearch\s+again\b",
+    r"\bretrieve\s+both\b",
+)
+#: A reranker's choice whose own words say so does not count.
+SELF_REFUTING = r"(?i)\b(?:does not|doesn't|not applicable|no gap|already complete|fully supports)\b"
+
+
+def usable_content(side: Column, content: Column) -> Column:
+    """The items of a skill that a run of its side may use, in order; a skill without one is not used.  Null content is empty."""
+    held = F.coalesce(content, F.array().cast("array<string>"))
+    return F.filter(held, lambda x: ~F.when(side == "construction", x.rlike(MUTATING_ITEM)).otherwise(x.rlike(EVIDENCE_BYPASS)))
+
+
+def answer_compatible(description: Column, content: Column) -> Column:
+    """Whether a skill can be followed over evidence that is already there: neither its description nor its items ask for a search of their own."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.array_join(F.coalesce(content, F.array().cast("array<string>")), " ")))
+    return ~F.greatest(*[text.rlike(p) for p in RETRIEVAL_ACTIONS])
+
+
+def routed(
+    ranked: DataFrame, skills: DataFrame, side: str, top_k: int = 3, candidate_k: int = 10, disclose_k: int = 5, min_score: float = 0.0, min_semantic: float = 0.0, margin: float = 0.0,
+    answer_only: bool = False, verdicts: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, band, place, skill_id, rank, score, semantic, lexical, reason: the whole route from ranked skills to those selected and those shown beside.
+
+    ranked: query_id, skill_id, score, semantic, lexical; skills: skill_id, description, content.
+    The first stage keeps the best of each query; of those the first ``candidate_k`` that pass the
+    score gates are candidates; with ``answer_only`` access skills that ask for a search leave.
+    Unless the first candidate leads the second of all ranked skills by ``margin``, a query has no
+    candidates.  ``verdicts`` (see ``reranked``) choose among the candidates, else their order
+    does; nearby are the best ranked ones that are not selected.
+    """
+    first = first_stage(ranked, candidate_k, top_k, disclose_k)
+    gate = (F.col("score") >= min_score) & (F.col("semantic") >= min_semantic)
+    order = Window.partitionBy("query_id").orderBy("rank")
+    candidates = first.where(gate).withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidate_k)
+    if answer_only and side == "access":
+        fit = skills.where(answer_compatible(F.col("description"), F.col("content"))).select("skill_id")
+        candidates = candidates.join(fit, "skill_id", "left_semi")
+    candidates = candidates.withColumn("place", F.row_number().over(order))
+    if margin > 0:
+        second = first.where("rank = 2").select("query_id", F.col("score").alias("second"))
+        leads = candidates.where("place = 1").join(second, "query_id", "left").where(F.col("second").isNull() | (F.col("score") - F.col("second") >= margin)).select("query_id")
+        candidates = candidates.join(leads, "query_id", "left_semi")
+    if verdicts is None:
+        chosen = candidates.where(F.col("place") <= top_k).select("query_id", "skill_id", "place", F.lit("").alias("reason"))
+    else:
+        chosen = reranked(candidates, verdicts, top_k, side).select("query_id", "skill_id", "place", "reason")
+    told = first.join(chosen, ["query_id", "skill_id"], "left")
+    beside = told.where("place IS NULL").withColumn("n", F.row_number().over(order)).where(F.col("n") <= disclose_k)
+    columns = ["skill_id", "rank", "score", "semantic", "lexical"]
+    return told.where("place IS NOT NULL").select("query_id", F.lit("selected").alias("band"), "place", *columns, "reason").unionByName(
+        beside.select("query_id", F.lit("nearby").alias("band"), F.col("n").alias("place"), *columns, F.lit("").alias("reason"))
+    )
+
 
 def route(ranked: DataFrame, top_k: int, disclose_k: int, min_score: float, min_semantic: float, margin: float) -> DataFrame:
     """Query, skill, rank and band (selected, nearby) after the gates; a query without a clear best selects nothing.
@@ -85,7 +162,7 @@ def reranked(shown: DataFrame, verdicts: DataFrame, most: int, side: str) -> Dat
     said = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("reason", "trigger_evidence", "unresolved_gap")])
     given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
     valid = given("reason") & given("trigger_evidence") & (given("unresolved_gap") if side == "access" else F.lit(True))
-    valid = valid & ~said.rlike(r"(?i)\b(?:does not|doesn't|not applicable|no gap|already complete|fully supports)\b")
+    valid = valid & ~said.rlike(SELF_REFUTING)
     ok = verdicts.where(valid).join(shown.select("query_id", "skill_id").distinct(), ["query_id", "skill_id"], "left_semi")
     first = ok.groupBy("query_id", "skill_id").agg(F.min_by(F.struct("seq", "reason"), "seq").alias("x"))
     w = Window.partitionBy("query_id").orderBy("x.seq", "skill_id")
@@ -176,7 +253,8 @@ def violations(
         ((answer != "") & (direct | (F.length(answer) > 3) & ordered), "reference answer"), (F.exists(entities, lambda e: (F.length(e) > 3) & F.contains(F.lower(combined), F.lower(e))), "question entity"),
         (F.exists(gold, lambda g: F.contains(combined, g)), "gold message id"), *[(F.contains(F.lower(text), F.lit(m)), f"case narrative: {m}") for m in NARRATIVE],
         (~F.greatest(*[F.contains(F.lower(description), F.lit(w)) for w in TRIGGERS]), "no trigger wording"), ((side == "construction") & combined.rlike(UNSUPPORTED_KIND), "unsupported memory kind"),
-        ((side == "construction") & combined.rlike(GUESSED_PLACE), "guessed place"),
+        ((side == "construction") & combined.rlike(GUESSED_PLACE), "guessed place"), ((side == "construction") & combined.rlike(STORAGE_MUTATION), "storage mutation"),
+        ((side == "access") & combined.rlike(AGENT_LOOP), "agent loop"), ((side == "access") & combined.rlike(FIXED_RETRIEVAL), "fixed retrieval"), ((side == "access") & combined.rlike(EVIDENCE_BYPASS), "evidence bypass"),
     ]
     return F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in rules]))
 

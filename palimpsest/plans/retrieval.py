@@ -240,6 +240,23 @@ def source_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", F.concat(F.lit("source:"), F.col("doc_id").cast("string")).alias("evidence_id"), "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    "kind_filtered_search",
+    rf"""WITH {MESSAGES_SQL}, d AS (SELECT message_id AS doc_id, role, {TOKENS_SQL.format("text")} AS toks FROM messages), w AS (SELECT * FROM (VALUES (0, ['user']), (1, ['assistant', 'system']), (2, ['user', 'assistant', 'system'])) t(k, roles)),
+dk AS (SELECT k, doc_id, toks FROM d JOIN w ON list_contains(roles, role)), st AS (SELECT k, count(*) AS n_docs, greatest(avg(len(toks)), 1.0) AS avgdl FROM dk GROUP BY k),
+tf AS (SELECT k, doc_id, token, count(*) AS tf FROM (SELECT k, doc_id, unnest(toks) AS token FROM dk) t GROUP BY 1, 2, 3), df AS (SELECT k, token, count(*) AS df FROM tf GROUP BY 1, 2),
+q AS (SELECT item_id % 3 AS k, item_id AS query_id, token, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS_SQL.format("text")}) AS token FROM benchmark) t GROUP BY 1, 2, 3),
+b AS (SELECT q.query_id, tf.doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (1 + ln(qf)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))) AS score FROM q JOIN df USING (k, token) JOIN tf USING (k, token) JOIN dk ON dk.k = tf.k AND dk.doc_id = tf.doc_id JOIN st ON st.k = tf.k GROUP BY 1, 2)
+SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) t WHERE rank <= 5""",
+)
+def kind_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item asks the messages of some roles only; the filter comes before the statistics."""
+    kinds = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("user"))).when(F.col("query_id") % 3 == 1, F.array(F.lit("system"), F.lit("assistant")))
+    role = messages(spark, sf_dir).select(F.col("message_id").alias("doc_id"), F.col("role").alias("kind"))
+    docs, asked = rt.scoped_by_kinds(_docs(spark, sf_dir).join(role, "doc_id"), _items(spark, sf_dir).withColumn("kinds", kinds))
+    return _rounded(lexical.top_k(docs, asked, F.col("toks"), F.col("qt"), 5), "query_id", "doc_id", "rank")
+
+
 @query("dot_self_check", "SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS self FROM embeddings")
 def dot_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's product with itself: 1 where it is normalised."""

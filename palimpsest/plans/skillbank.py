@@ -142,6 +142,8 @@ _RULES_SQL = [
     *[(f"contains(lower(txt), '{m}')", f"case narrative: {m}") for m in sk.NARRATIVE],
     ("NOT (" + " OR ".join(f"contains(lower(description), '{w}')" for w in sk.TRIGGERS) + ")", "no trigger wording"),
     ("side = 'construction' AND regexp_matches(combined, '" + sk.UNSUPPORTED_KIND.replace("'", "''") + "')", "unsupported memory kind"), (f"side = 'construction' AND regexp_matches(combined, '{sk.GUESSED_PLACE}')", "guessed place"),
+    (f"side = 'construction' AND regexp_matches(combined, '{sk.STORAGE_MUTATION}')", "storage mutation"), (f"side = 'access' AND regexp_matches(combined, '{sk.AGENT_LOOP}')", "agent loop"),
+    (f"side = 'access' AND regexp_matches(combined, '{sk.FIXED_RETRIEVAL}')", "fixed retrieval"), (f"side = 'access' AND regexp_matches(combined, '{sk.EVIDENCE_BYPASS}')", "evidence bypass"),
 ]
 PAYLOAD_SQL = r"""pay AS (SELECT doc_id, coalesce(regexp_extract(text, '^[^\n]{0,70}'), '') AS name, CASE WHEN lang = 'en' THEN 'Use when ' ELSE '' END || coalesce(regexp_extract(text, '[A-Z][^\n]{0,220}'), '') AS description,
   list_slice(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''), 1, 4) AS content, CASE WHEN lang = 'en' THEN 'construction' ELSE 'access' END AS side,
@@ -165,6 +167,46 @@ def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(found, "; ").alias("errors"))
 
 
+_ACTS = ("update", "merge the", "keep every", "repeat", "set", "search with another", "return the", "abstain from the", "read the", "Run the", "retry each", "state the expected")
+_THINGS = ("memory", "record", "search", "top-k", "answer", "query", "evidence", "database", "step", "A1 reply", "depth", "target version")
+_WISHES_SQL = f"""w AS (SELECT o_orderkey AS skill_id, CASE WHEN o_orderstatus = 'O' THEN 'access' ELSE 'construction' END AS side,
+  'Use when ' || {[*_ACTS]}[o_custkey % {len(_ACTS)} + 1] || ' ' || {[*_THINGS]}[o_orderkey % {len(_THINGS)} + 1] AS description,
+  [{[*_ACTS]}[o_orderkey % {len(_ACTS)} + 1] || ' ' || {[*_THINGS]}[o_custkey % {len(_THINGS)} + 1], {[*_THINGS]}[(o_orderkey + o_custkey) % {len(_THINGS)} + 1] || ' to ' || {[*_ACTS]}[(o_orderkey * 7 + o_custkey) % {len(_ACTS)} + 1]] AS content FROM orders),
+wc AS (SELECT *, concat_ws(' ', 'a skill', description, array_to_string(content, chr(10))) AS combined, list_filter(content, lambda x: NOT CASE WHEN side = 'construction' THEN regexp_matches(x, '{sk.MUTATING_ITEM}') ELSE regexp_matches(x, '{sk.EVIDENCE_BYPASS}') END) AS kept FROM w)"""
+
+
+def _wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skill of each order, whose wording its keys choose."""
+    o = table(spark, sf_dir, "orders")
+    word = lambda words, at: F.get(F.array(*[F.lit(x) for x in words]), (at % len(words)).cast("int"))
+    a, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(
+        a.alias("skill_id"), F.when(F.col("o_orderstatus") == "O", "access").otherwise("construction").alias("side"), F.concat(F.lit("Use when "), word(_ACTS, c), F.lit(" "), word(_THINGS, a)).alias("description"),
+        F.array(F.concat(word(_ACTS, a), F.lit(" "), word(_THINGS, c)), F.concat(word(_THINGS, a + c), F.lit(" to "), word(_ACTS, a * 7 + c))).alias("content"),
+    )
+
+
+@query(
+    "skill_side_rules",
+    f"WITH {_WISHES_SQL} SELECT skill_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {bad} THEN ' + chr(39) + text + chr(39) + ' END' for bad, text in _RULES_SQL[-4:])}], lambda x: x IS NOT NULL), '; ') AS errors FROM wc",
+)
+def skill_side_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What skills may not ask for on their side: changes of the store, loops, another retrieval, answers without evidence."""
+    found = sk.violations(F.lit("a skill"), F.col("description"), F.col("content"), F.col("side"))
+    told = F.filter(found, lambda x: x.isin("storage mutation", "agent loop", "fixed retrieval", "evidence bypass"))
+    return _wishes(spark, sf_dir).select("skill_id", F.array_join(told, "; ").alias("errors"))
+
+
+@query(
+    "skill_content_filters",
+    f"WITH {_WISHES_SQL} SELECT skill_id, array_to_string(kept, '; ') AS kept, len(kept) > 0 AS used, NOT ({' OR '.join(f'regexp_matches(lower(description || chr(32) || array_to_string(content, chr(32))), {chr(39)}{p}{chr(39)})' for p in sk.RETRIEVAL_ACTIONS)}) AS answers FROM wc",
+)
+def skill_content_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that a run may use, whether a skill has any, and whether it fits a single answer."""
+    kept = sk.usable_content(F.col("side"), F.col("content"))
+    return _wishes(spark, sf_dir).select("skill_id", F.array_join(kept, "; ").alias("kept"), (F.size(kept) > 0).alias("used"), sk.answer_compatible(F.col("description"), F.col("content")).alias("answers"))
+
+
 BANK_SQL = rf"""sk AS (SELECT item_id AS skill_id, regexp_extract(text, '^\w+') AS name, text AS description, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
 sg AS (SELECT conv_id AS query_id, turn AS part, text, embedding AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % 500),
 rd AS (SELECT skill_id, {_TOKENS.format("name || '. ' || description")} AS t FROM sk), rs AS (SELECT count(*) AS n_docs, greatest(avg(len(t)), 1.0) AS avgdl FROM rd),
@@ -191,6 +233,23 @@ def skill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "skill_id", "rank", *[F.round(c, 6).alias(c) for c in ("score", "semantic", "lexical")])
 
 
+@query(
+    "skill_routing",
+    rf"""WITH {BANK_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, skill_id) AS rank FROM ranked), k AS (SELECT * FROM f WHERE rank <= 12),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM k WHERE score >= 0.05 AND semantic >= 0.05) t WHERE p <= 12 AND skill_id % 3 <> 0),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c), l AS (SELECT d.query_id FROM d LEFT JOIN k s ON s.query_id = d.query_id AND s.rank = 2 WHERE d.place = 1 AND (s.score IS NULL OR d.score - s.score >= 0.002)),
+t AS (SELECT k.*, place FROM k LEFT JOIN (SELECT query_id, skill_id, place FROM d WHERE place <= 3 AND query_id IN (SELECT query_id FROM l)) x USING (query_id, skill_id))
+SELECT query_id, 'selected' AS band, place, skill_id, rank, round(score, 6) AS score FROM t WHERE place IS NOT NULL
+UNION ALL SELECT query_id, 'nearby', n, skill_id, rank, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM t WHERE place IS NULL) u WHERE n <= 5""",
+)
+def skill_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole route of the conversations to the items as skills; every third item asks for a search of its own and is left out of an answer."""
+    wish = F.when(F.col("item_id") % 3 == 0, "search again").otherwise("read what is there")
+    held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("skill_id"), F.lit("").alias("description"), F.array(wish).alias("content"))
+    found = sk.routed(_ranked(spark, sf_dir), held, "access", 3, 12, 5, 0.05, 0.05, 0.002, answer_only=True)
+    return found.select("query_id", "band", "place", "skill_id", "rank", F.round("score", 6).alias("score"))
+
+
 VERDICTS_SQL = """v AS (SELECT user_id AS query_id, event_id AS seq, event_type AS skill_id, CASE WHEN value > 20 THEN 'r' || event_id ELSE '' END AS reason, CASE WHEN value < 150 THEN 'said' END AS trigger_evidence,
   CASE WHEN event_id % 3 = 0 THEN 'No gap here' WHEN event_id % 3 = 1 THEN 'the date' ELSE ' ' END AS unresolved_gap FROM events)"""
 

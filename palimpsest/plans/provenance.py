@@ -54,13 +54,13 @@ def evidence_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "context_merge",
-    "WITH h AS (SELECT l_orderkey % 200 AS question, l_partkey AS version_id, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS phase, l_orderkey * 10 + l_linenumber AS position FROM lineitem), "
+    "WITH h AS (SELECT l_orderkey // 50 AS question, l_partkey AS version_id, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS phase, l_orderkey * 10 + l_linenumber AS position FROM lineitem), "
     "f AS (SELECT question, version_id, min(phase * 100000000 + position) AS spot FROM h GROUP BY 1, 2) SELECT question, version_id, n FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY spot, version_id) AS n FROM f) t WHERE n <= 32",
 )
 def context_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen hits over the initial and the supplemental searches, at most 32 a question."""
     phase = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
-    hits = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("question"), F.col("l_partkey").alias("version_id"), F.struct(phase.alias("phase"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position")).alias("at"))
+    hits = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 50).alias("question"), F.col("l_partkey").alias("version_id"), F.struct(phase.alias("phase"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position")).alias("at"))
     first = hits.groupBy("question", "version_id").agg(F.min("at").alias("at"))
     w = Window.partitionBy("question").orderBy("at", "version_id")
     return first.select("question", "version_id", F.row_number().over(w).alias("n")).where("n <= 32")

@@ -225,12 +225,12 @@ def qa_gold_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.qa_cases(first, last)[1]
 
 
-@query("skill_traces", "SELECT o_orderkey AS commit_id, o_custkey AS conversation_id FROM orders WHERE o_orderkey <= (SELECT 5000) AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40)")
+@query("skill_traces", "SELECT o_orderkey AS commit_id, o_custkey AS conversation_id FROM orders WHERE o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders) AND o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40)")
 def skill_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commits up to a point that processed one of the (large) parts."""
     commits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("conversation_id"))
     inputs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("message_id"))
-    return rc.skill_traces(commits, inputs, table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("message_id")), 5000)
+    return rc.skill_traces(commits, inputs, table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("message_id")), table(spark, sf_dir, "orders").agg(F.floor(F.max("o_orderkey") / 2)).first()[0])
 
 
 @query(
@@ -409,11 +409,11 @@ def sanitized_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(rc.sanitized(F.col("m"), ("version_id", "memory_id", "kind")).alias("m")).select("m.*")
 
 
-@query("snapshot_vectors", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, len(embedding) AS dim FROM versions JOIN embeddings ON vec_id = version_id % 500 WHERE system_to IS NULL")
+@query("snapshot_vectors", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, len(embedding) AS dim FROM versions JOIN embeddings ON vec_id = version_id % (SELECT count(*) FROM embeddings) WHERE system_to IS NULL")
 def snapshot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of the versions in force."""
     held = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return store.snapshot(versions(spark, sf_dir)).select("version_id", "memory_id", (F.col("version_id") % 500).alias("vec_id")).join(held, "vec_id").select("version_id", "memory_id", F.size("v").alias("dim"))
+    return store.snapshot(versions(spark, sf_dir)).select("version_id", "memory_id", (F.col("version_id") % max(1, held.count())).alias("vec_id")).join(held, "vec_id").select("version_id", "memory_id", F.size("v").alias("dim"))
 
 
 @query("payload_scan", "SELECT vec_id AS point_id, label FROM embeddings")

@@ -227,13 +227,13 @@ def distinct_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "upsert_messages",
-    "SELECT event_id % 500 AS key, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY event_id % 500",
+    f"SELECT event_id % greatest({AS_OF_SQL}, 1) AS key, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1",
 )
 def upsert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later batches replace earlier rows of a key."""
-    events = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("key"), "event_id", "event_type")
-    last = lambda df: store.latest(df, ["key"], F.desc("event_id"))
+    """Later batches replace earlier rows of a key; the later half of the events brings the keys of the earlier half again."""
     half = as_of(spark, sf_dir)
+    events = table(spark, sf_dir, "events").select((F.col("event_id") % max(1, half)).alias("key"), "event_id", "event_type")
+    last = lambda df: store.latest(df, ["key"], F.desc("event_id"))
     return store.upsert(last(events.where(F.col("event_id") < half)), last(events.where(F.col("event_id") >= half)), ["key"])
 
 

@@ -208,7 +208,7 @@ def skill_content_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BANK_SQL = rf"""sk AS (SELECT item_id AS skill_id, regexp_extract(text, '^\w+') AS name, text AS description, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
-sg AS (SELECT conv_id AS query_id, turn AS part, text, embedding AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % 500),
+sg AS (SELECT conv_id AS query_id, turn AS part, text, embedding AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings)),
 rd AS (SELECT skill_id, {_TOKENS.format("name || '. ' || description")} AS t FROM sk), rs AS (SELECT count(*) AS n_docs, greatest(avg(len(t)), 1.0) AS avgdl FROM rd),
 rtf AS (SELECT skill_id, token, count(*) AS tf FROM (SELECT skill_id, unnest(t) AS token FROM rd) x GROUP BY 1, 2), rdf AS (SELECT token, count(*) AS df FROM rtf GROUP BY 1),
 rq AS (SELECT query_id, part, list_distinct({_TOKENS.format("text")}) AS q FROM sg),
@@ -222,7 +222,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     item, said = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
     held = item.join(v, F.col("vec_id") == F.col("item_id")).select(F.lit("access").alias("side"), F.col("item_id").alias("skill_id"), F.regexp_extract("text", r"^\w+", 0).alias("name"), F.col("text").alias("description"), "v")
-    parts = said.join(v, F.col("vec_id") == (F.col("conv_id") * 7 + F.col("turn")) % 500).select(F.lit("access").alias("side"), F.col("conv_id").alias("query_id"), F.col("turn").alias("part"), "text", "v")
+    parts = said.join(v, F.col("vec_id") == (F.col("conv_id") * 7 + F.col("turn")) % max(1, v.count())).select(F.lit("access").alias("side"), F.col("conv_id").alias("query_id"), F.col("turn").alias("part"), "text", "v")
     return sk.ranked_skills(held, parts, tx.simple_tokens)
 
 
@@ -271,7 +271,7 @@ def skill_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BATCH_SQL = rf"""bs AS (SELECT item_id AS skill_id, text AS words, a.embedding AS dv, b.embedding AS cv FROM benchmark JOIN embeddings a ON a.vec_id = item_id JOIN embeddings b ON b.vec_id = item_id + 200),
-bc AS (SELECT conv_id % 20 AS batch_id, conv_id AS candidate_id, string_agg(text, ' ' ORDER BY turn) AS words, any_value(a.embedding) AS dv, any_value(b.embedding) AS cv FROM conversations JOIN embeddings a ON a.vec_id = conv_id % 500 JOIN embeddings b ON b.vec_id = (conv_id * 3 + 1) % 500 GROUP BY 1, 2),
+bc AS (SELECT conv_id % 20 AS batch_id, conv_id AS candidate_id, string_agg(text, ' ' ORDER BY turn) AS words, any_value(a.embedding) AS dv, any_value(b.embedding) AS cv FROM conversations JOIN embeddings a ON a.vec_id = conv_id % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = (conv_id * 3 + 1) % (SELECT count(*) FROM embeddings) GROUP BY 1, 2),
 xd AS (SELECT skill_id, {_TOKENS.format("words")} AS t FROM bs), xs AS (SELECT count(*) AS n_docs, greatest(avg(len(t)), 1.0) AS avgdl FROM xd), xtf AS (SELECT skill_id, token, count(*) AS tf FROM (SELECT skill_id, unnest(t) AS token FROM xd) x GROUP BY 1, 2),
 xdf AS (SELECT token, count(*) AS df FROM xtf GROUP BY 1), xq AS (SELECT candidate_id, unnest(list_distinct({_TOKENS.format("words")})) AS token FROM bc),
 xb AS (SELECT candidate_id, skill_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))) AS s FROM xq JOIN xdf USING (token) JOIN xtf USING (token) JOIN xd USING (skill_id), xs GROUP BY 1, 2),
@@ -294,8 +294,9 @@ def batch_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda key, name: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
     bank = table(spark, sf_dir, "benchmark").select(F.lit("access").alias("side"), F.col("item_id").alias("skill_id"), F.col("text").alias("words"), F.col("item_id").alias("a"), (F.col("item_id") + 200).alias("b"))
     said = table(spark, sf_dir, "conversations")
+    n = max(1, table(spark, sf_dir, "embeddings").count())
     told = said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("words"))
-    told = told.select(F.lit("access").alias("side"), (F.col("conv_id") % 20).alias("batch_id"), F.col("conv_id").alias("candidate_id"), "words", (F.col("conv_id") % 500).alias("a"), ((F.col("conv_id") * 3 + 1) % 500).alias("b"))
+    told = told.select(F.lit("access").alias("side"), (F.col("conv_id") % 20).alias("batch_id"), F.col("conv_id").alias("candidate_id"), "words", (F.col("conv_id") % n).alias("a"), ((F.col("conv_id") * 3 + 1) % n).alias("b"))
     scored = sk.batch_scores(told.join(v("a", "description_v"), "a").join(v("b", "content_v"), "b"), bank.join(v("a", "description_v"), "a").join(v("b", "content_v"), "b"), tx.simple_tokens)
     wanted = said.where("role = 'system'").select((F.col("conv_id") % 20).alias("batch_id"), F.col("conv_id").alias("candidate_id"), (F.col("conv_id") % 40).alias("skill_id"))
     shown = sk.batch_relations(scored, wanted)

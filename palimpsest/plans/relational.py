@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..catalog import query
 from ..functions import scalars
 from ..io import table
 from ..operators import graph, store
+from ..sources import temporal
 from .views import MESSAGES_SQL, SCOPES, VERSIONS_SQL, messages, versions
 
 #: The commit at half of the history, and the one after all.
@@ -19,6 +22,15 @@ def as_of(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
 
 
+@query("snapshot_pruned", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no, kind FROM versions WHERE system_from <= {AS_OF_SQL} // 4 AND (system_to IS NULL OR system_to > {AS_OF_SQL} // 4)")
+def snapshot_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An early snapshot from a layout by eras, of which it opens the folders of its time."""
+    half = as_of(spark, sf_dir)
+    at, span = f"{graph.shared_folder(spark)}/versions-{uuid.uuid4().hex}", max(1, half // 8)
+    temporal.write(versions(spark, sf_dir), at, span)
+    return temporal.snapshot(spark, at, span, half // 4).select("version_id", "memory_id", "version_no", "kind")
+
+
 @query("snapshot_asof", f"WITH {VERSIONS_SQL} SELECT version_id, memory_id, version_no, kind FROM versions WHERE system_from <= {AS_OF_SQL} AND (system_to IS NULL OR system_to > {AS_OF_SQL})")
 def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.snapshot(versions(spark, sf_dir), None, as_of(spark, sf_dir)).select("version_id", "memory_id", "version_no", "kind")

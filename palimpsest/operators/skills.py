@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 # The operations, the weights of scores and vectors, the bounds of a payload and its wording.
 OPERATIONS = ("add_skill", "rename_skill", "update_description", "add_content", "update_content", "delete_content", "move_content", "delete_skill")
 SEMANTIC_SHARE, LEXICAL_SHARE = 0.70, 0.30
@@ -326,7 +328,6 @@ def cluster(points: DataFrame, target: int = 8, most: int = 25) -> DataFrame:
     """
     from ..functions.scalars import normalized
     from . import clusters
-    from .graph import cut
 
     parts = cut(points.select(F.col("bucket").cast("string").alias("bucket"), F.lit("").alias("part"), F.col("point_id").cast("long").alias("point_id"), normalized(F.col("v")).alias("v")))
     done = None
@@ -389,70 +390,90 @@ def plan_errors(operations: DataFrame, shown: DataFrame, candidates: DataFrame,
     return out.distinct()
 
 
-def _edited(state: dict[str, dict], ops: list[dict]) -> tuple[dict[str, dict], set[str], set[str]]:
-    """The working records after ordered operations, and the ids changed and deleted; raises ValueError with the reason."""
-    changed: set[str] = set()
-    deleted: set[str] = set()
-
-    def place(record: dict, op: dict) -> int:
-        items, text, at = record["content"], op["expected_content"], op["content_index"]
-        if text is not None and items.count(text) == 1:
-            return items.index(text)  # earlier operations may have shifted the number
-        if text is not None and items.count(text) > 1:
-            raise ValueError("the expected content is ambiguous")
-        if at is None and len(items) == 1:
-            return 0
-        if at is None or not 0 <= at < len(items):
-            raise ValueError("no such content")
-        if text is not None:
-            raise ValueError("the expected content is gone")
-        return at
-
-    for op in ops:
-        kind, name = op["operation"], op["skill_id"]
-        try:
-            if kind == "add_skill":
-                if not op["name"] or not op["description"]:
-                    raise ValueError("name and description are required")
-                if name in state:
-                    name = f"{name}_{op['seq']}"  # two groups may propose one id
-                state[name] = {"version": 0, "name": op["name"].strip(), "description": op["description"].strip(), "content": [x.strip() for x in op["content"] or [] if x.strip()]}
-                changed.add(name)
-                continue
-            record = state.get(name)
-            if record is None:
-                raise ValueError("not active")
-            if op["expected_version"] is not None and op["expected_version"] != record["version"]:
-                raise ValueError(f"at version {record['version']}")
-            items = record["content"]
-            if kind == "rename_skill":
-                record["name"] = (op["name"] or "").strip()
-            elif kind == "update_description":
-                record["description"] = (op["description"] or "").strip()
-            elif kind == "add_content":
-                for text in op["content"] or [op["new_content"] or ""]:
-                    if text.strip() and text.strip() not in items:
-                        items.append(text.strip())
-            elif kind == "update_content":
-                items[place(record, op)] = (op["new_content"] or "").strip()
-            elif kind == "delete_content":
-                items.pop(place(record, op))
-            elif kind == "move_content":
-                target = state.get(op["target_skill_id"])
-                if target is None:
-                    raise ValueError("no such target")
-                text = items.pop(place(record, op))
-                if text not in target["content"]:
-                    target["content"].append(text)
-                changed.add(op["target_skill_id"])
-            elif kind == "delete_skill":
-                deleted.add(name)
-            else:
-                raise ValueError(f"unknown operation {kind}")
-            changed.add(name)
-        except ValueError as why:
-            raise ValueError(f"{op['seq']}: {name}: {why}") from None
-    return state, changed, deleted
+class _Refused(Exception):
+    """Why an operation cannot take place."""
+
+
+def _spot(items: tuple[str, ...], op: dict) -> int:
+    """Where an operation's item lies: by its text, which outlasts the shifts of earlier operations; else by its number, or as the only one."""
+    text, at = op["expected_content"], op["content_index"]
+    same = [k for k, x in enumerate(items) if text is not None and x == text]
+    if len(same) == 1:
+        return same[0]
+    if same:
+        raise _Refused("the expected content is ambiguous")
+    if at is None and len(items) == 1:
+        return 0
+    if at is None or at not in range(len(items)):
+        raise _Refused("no such content")
+    if text is not None:
+        raise _Refused("the expected content is gone")
+    return at
+
+
+def _joined_items(items: tuple[str, ...], more: Iterable[str | None]) -> tuple[str, ...]:
+    """items with those of more that are new and not blank."""
+    for text in more:
+        text = (text or "").strip()
+        if text and text not in items:
+            items = (*items, text)
+    return items
+
+
+def _replaced(items: tuple[str, ...], op: dict, *by: str) -> tuple[str, ...]:
+    at = _spot(items, op)
+    return (*items[:at], *by, *items[at + 1 :])
+
+
+#: What each operation on one record makes of it.
+_EDITS: dict[str, Callable[[dict, dict], dict]] = {
+    "rename_skill": lambda r, op: r | {"name": (op["name"] or "").strip()},
+    "update_description": lambda r, op: r | {"description": (op["description"] or "").strip()},
+    "add_content": lambda r, op: r | {"content": _joined_items(r["content"], op["content"] or [op["new_content"]])},
+    "update_content": lambda r, op: r | {"content": _replaced(r["content"], op, (op["new_content"] or "").strip())},
+    "delete_content": lambda r, op: r | {"content": _replaced(r["content"], op)},
+    "delete_skill": lambda r, op: r,
+}
+
+
+def _step(held: dict[str, dict], op: dict) -> dict[str, dict]:
+    """The records that one operation changes, by id; held: those of its group."""
+    kind, name = op["operation"], op["skill_id"]
+    if kind == "add_skill":
+        if not (op["name"] and op["description"]):
+            raise _Refused("name and description are required")
+        made = {"version": 0, "name": op["name"].strip(), "description": op["description"].strip(), "content": tuple(x.strip() for x in op["content"] or [] if x.strip()), "status": "staged"}
+        return {name if name not in held else f"{name}_{op['seq']}": made}  # two plans may propose one id
+    if name not in held:
+        raise _Refused("not active")
+    record = held[name]
+    if op["expected_version"] not in (None, record["version"]):
+        raise _Refused(f"at version {record['version']}")
+    status = "deleted" if kind == "delete_skill" or record["status"] == "deleted" else "staged"
+    if kind in _EDITS:
+        return {name: _EDITS[kind](record, op) | {"status": status}}
+    if kind != "move_content":
+        raise _Refused(f"unknown operation {kind}")
+    to = op["target_skill_id"]
+    if to not in held:
+        raise _Refused("no such target")
+    text = record["content"][_spot(record["content"], op)]
+    left = record | {"content": _replaced(record["content"], op), "status": status}
+    target = left if to == name else held[to]
+    gained = {"content": target["content"] if text in target["content"] else (*target["content"], text), "status": "deleted" if target["status"] == "deleted" else "staged"}
+    return {name: left, to: target | gained}
+
+
+def tied_groups(operations: DataFrame) -> DataFrame:
+    """bank, skill_id, _group: skills that operations tie together, by moves and by the name that an added one may get."""
+    from . import graph
+
+    node = lambda c: F.concat_ws("\x1f", F.col("bank"), c)
+    own = F.col("skill_id")
+    other = F.when(F.col("operation") == "move_content", F.coalesce("target_skill_id", own)).when(F.col("operation") == "add_skill", F.concat_ws("_", own, F.col("seq").cast("string"))).otherwise(own)
+    ties = operations.where("skill_id IS NOT NULL").select(node(own).alias("a"), node(other).alias("b"))
+    parts = F.split("node", "\x1f", 2)
+    return graph.components(ties).select(parts[0].alias("bank"), parts[1].alias("skill_id"), F.col("root").alias("_group"))
 
 
 def apply_operations(skills: DataFrame, operations: DataFrame) -> DataFrame:
@@ -461,46 +482,50 @@ def apply_operations(skills: DataFrame, operations: DataFrame) -> DataFrame:
     skills (active ones): bank, side, skill_id, version, name, description, content; operations:
     bank, seq, operation, skill_id, target_skill_id, expected_version, name, description, content,
     content_index, expected_content, new_content.  status is active, staged (new or changed, a
-    version on) or deleted.  All or none: where an operation fails or a changed record ends up
-    invalid, the bank's rows are as before, with the reason in ``error``.  Operations are ordered
-    and see earlier ones, so a bank is one group; it holds tens of skills, not documents.
+    version on, with the version it came from in parent_version_id) or deleted (a tombstone of the
+    last version).  All or none: where an operation fails or a changed record ends up invalid, the
+    bank's rows are as before, with the reason in ``error``.
+
+    Operations see earlier ones only through the skills they touch, so skills that operations tie
+    together are a group of its own and groups run side by side; skills without operations never
+    leave Spark.  A bank fails with the failure of least seq of its groups, which is the one that
+    the operations in a row would meet first.
     """
-    columns = ["bank", "side", "skill_id", "version", "status", "name", "description", "content", "error"]
     none = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)) else x
 
-    def run(key: tuple, held: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        read = lambda: {r.skill_id: {"version": int(r.version), "name": r.name_, "description": r.description, "content": list(r.content)} for r in held.rename(columns={"name": "name_"}).itertuples()}
-        side = held["side"].iloc[0] if len(held) else None
-        before, changed, deleted, error = read(), set(), set(), None
-        after = before
-        if len(ops):
-            rows = [{k: none(v) if k != "content" else (None if v is None else list(v)) for k, v in row.items()} for row in ops.sort_values("seq").to_dict("records")]
-            for row in rows:
-                for k in ("expected_version", "content_index"):
-                    row[k] = None if row[k] is None else int(row[k])
+    def run(key: tuple, own: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
+        held = {r.skill_id: {"version": int(r.version), "name": r.name_, "description": r.description, "content": tuple(r.content), "status": "active"} for r in own.rename(columns={"name": "name_"}).itertuples()}
+        failed, error = None, None
+        for row in ops.sort_values("seq").to_dict("records"):
+            op = {k: none(v) if k != "content" else (None if v is None else list(v)) for k, v in row.items()}
+            op |= {k: None if op[k] is None else int(op[k]) for k in ("expected_version", "content_index")}
             try:
-                after, changed, deleted = _edited(read(), rows)
-            except ValueError as why:
-                after, error = before, str(why)
-        out = []
-        for name, r in sorted(after.items()):
-            status = "deleted" if name in deleted else "staged" if name in changed else "active"
-            out.append((key[0], side, name, r["version"] + (status == "staged"), status, r["name"], r["description"], r["content"], error))
-        return pd.DataFrame(out, columns=columns)
-
-    schema = "bank string, side string, skill_id string, version int, status string, name string, description string, content array<string>, error string"
-    edited = skills.groupBy("bank").cogroup(operations.groupBy("bank")).applyInPandas(run, schema)
-    edited = edited.withColumn("side", F.coalesce("side", F.max("side").over(Window.partitionBy("bank"))))
-    checked = edited.withColumn("errors", F.when(F.col("status") == "staged", violations(F.col("name"), F.col("description"), F.col("content"), F.col("side"))).otherwise(F.array().cast("array<string>")))
-    bad = F.max(F.when(F.size("errors") > 0, F.concat(F.lit("invalid: "), "skill_id", F.lit(": "), F.array_join("errors", "; ")))).over(Window.partitionBy("bank"))
-    told = checked.withColumn("_bad", bad)
-    old = skills.select("bank", "skill_id", F.col("version").alias("_v"), F.col("name").alias("_n"), F.col("description").alias("_d"), F.col("content").alias("_c"))
-    both = told.join(old, ["bank", "skill_id"], "left").where("_bad IS NULL OR _v IS NOT NULL")
-    back = F.col("_bad").isNotNull()
-    restore = {"version": "_v", "name": "_n", "description": "_d", "content": "_c"}
-    kept = both.withColumns({k: F.when(back, F.col(v)).otherwise(F.col(k)) for k, v in restore.items()})
-    kept = kept.withColumns({"status": F.when(back, "active").otherwise(F.col("status")), "error": F.coalesce("error", "_bad")})
-    return kept.select(*columns)
+                held |= _step(held, op)
+            except _Refused as why:
+                failed, error = op["seq"], f"{op['seq']}: {op['skill_id']}: {why}"
+                break
+        out = [(key[0], name, r["version"] + (r["status"] == "staged"), r["status"], r["name"], r["description"], list(r["content"]), failed, error) for name, r in sorted(held.items())]
+        return pd.DataFrame(out or [(key[0], None, None, None, None, None, None, failed, error)], columns=["bank", "skill_id", "version", "status", "name", "description", "content", "failed", "error"])
+
+    group = cut(tied_groups(operations))
+    keys = ["bank", "skill_id"]
+    touched = skills.join(group, keys).select("bank", "_group", "skill_id", "version", "name", "description", "content")
+    dealt = operations.join(group, keys, "left").withColumn("_group", F.coalesce("_group", F.lit("")))
+    schema = "bank string, skill_id string, version int, status string, name string, description string, content array<string>, failed long, error string"
+    edited = touched.groupBy("bank", "_group").cogroup(dealt.groupBy("bank", "_group")).applyInPandas(run, schema)
+    sides = skills.groupBy("bank").agg(F.max("side").alias("side"))
+    staged = F.when(F.col("status") == "staged", violations(F.col("name"), F.col("description"), F.col("content"), F.col("side"))).otherwise(F.array().cast("array<string>"))
+    edited = cut(edited.join(sides, "bank", "left").withColumn("errors", staged))
+
+    broken = F.max(F.when(F.size("errors") > 0, F.concat(F.lit("invalid: "), "skill_id", F.lit(": "), F.array_join("errors", "; "))))
+    verdict = edited.groupBy("bank").agg(F.coalesce(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("failed"))), broken).alias("verdict")).where("verdict IS NOT NULL")
+    old = skills.select(*keys, F.concat_ws("_v", "skill_id", "version").alias("parent"))
+    done = edited.where("skill_id IS NOT NULL").join(verdict, "bank", "left_anti").join(old, keys, "left").select(
+        "bank", "side", "skill_id", "version", "status", "name", "description", "content", F.when(F.col("status") == "staged", F.col("parent")).alias("parent_version_id"), F.lit(None).cast("string").alias("error")
+    )
+    kept = skills.join(verdict, "bank", "left").join(group.join(verdict.select("bank"), "bank", "left_anti"), keys, "left_anti")
+    as_before = kept.select("bank", "side", "skill_id", "version", F.lit("active").alias("status"), "name", "description", "content", F.lit(None).cast("string").alias("parent_version_id"), F.col("verdict").alias("error"))
+    return done.unionByName(as_before)
 
 
 def publication_gate(sources: DataFrame, valid: DataFrame, least: int, closed: bool = False) -> DataFrame:
@@ -543,7 +568,6 @@ def segments(messages: DataFrame, most_messages: int = 4, most_chars: int = 1400
     those the first message leads to: each round follows the pointers of all breaks found so far
     and then doubles the pointers.  No row ever holds more than a segment.
     """
-    from .graph import cut
 
     own = Window.partitionBy("conversation_id").orderBy("turn", "speaker", "content")
     said = messages.where(F.trim(F.coalesce("content", F.lit(""))) != "")

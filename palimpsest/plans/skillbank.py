@@ -104,20 +104,21 @@ def message_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("skill_crud")
 def skill_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered edits of one bank per region, all or none (sequential; a test holds it against a plain loop)."""
-    nation = table(spark, sf_dir, "nation")
-    bank = F.col("n_regionkey").cast("string")
-    held = nation.select(
-        bank.alias("bank"), F.lit("access").alias("side"), F.col("n_name").alias("skill_id"), F.lit(1).alias("version"), F.lower("n_name").alias("name"), F.lit("Use when a place is asked for").alias("description"),
-        F.array(F.lower("n_name"), F.lit("look twice")).alias("content"),
+    """Ordered edits of one bank per nation, all or none; the customers are its skills, each edited once (sequential within tied skills; a test holds it against a plain loop)."""
+    who = table(spark, sf_dir, "customer")
+    bank, key = F.col("c_nationkey").cast("string"), F.col("c_custkey")
+    held = who.select(
+        bank.alias("bank"), F.lit("access").alias("side"), F.col("c_name").alias("skill_id"), F.lit(1).alias("version"), F.lower("c_name").alias("name"), F.lit("Use when a place is asked for").alias("description"),
+        F.array(F.lower("c_name"), F.lit("look twice")).alias("content"),
     )
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    kind = F.get(F.array(*[F.lit(x) for x in sk.OPERATIONS]), (F.col("n_nationkey") % 8).cast("int"))
-    edits = nation.select(
-        bank.alias("bank"), F.col("n_nationkey").cast("int").alias("seq"), kind.alias("operation"), F.when(kind == "add_skill", F.concat(F.lit("new_"), "n_name")).otherwise(F.col("n_name")).alias("skill_id"),
-        F.when(kind == "move_content", F.first("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))).alias("target_skill_id"), F.when(kind == "add_skill", number).otherwise(F.lit(1.0)).alias("expected_version"),
-        F.concat(F.lit("about "), "n_name").alias("name"), F.lit("Use before the second search").alias("description"), F.array(F.concat(F.lit("seen "), "n_name")).alias("content"), number.alias("content_index"),
-        F.when(kind.isin("update_content", "delete_content", "move_content"), F.lit("look twice")).otherwise(text).alias("expected_content"), F.concat(F.lit("read "), "n_name").alias("new_content"),
+    kind = F.get(F.array(*[F.lit(x) for x in sk.OPERATIONS]), (key % 8).cast("int"))
+    near = F.coalesce(F.lag("c_name").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")), F.col("c_name"))
+    edits = who.select(
+        bank.alias("bank"), key.cast("int").alias("seq"), kind.alias("operation"), F.when(kind == "add_skill", F.concat(F.lit("new_"), "c_name")).otherwise(F.col("c_name")).alias("skill_id"),
+        F.when(kind == "move_content", near).alias("target_skill_id"), F.when(kind == "add_skill", number).otherwise(F.lit(1.0)).alias("expected_version"),
+        F.concat(F.lit("about "), "c_name").alias("name"), F.lit("Use before the answer is made").alias("description"), F.array(F.concat(F.lit("seen "), "c_name")).alias("content"), number.alias("content_index"),
+        F.when(kind.isin("update_content", "delete_content", "move_content"), F.lit("look twice")).otherwise(text).alias("expected_content"), F.concat(F.lit("read "), "c_name").alias("new_content"),
     )
     return sk.apply_operations(held, edits)
 

@@ -53,6 +53,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], types[0]), pa.array([r for _, r in found], types[1])], names=["u", "v"])
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one least node, which has none itself: then each star is a whole component."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("b"), F.max("above").alias("a")).where("b > 1 OR (b > 0 AND a > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node) for edges a, b; a node tied to itself alone is its own root.
 
@@ -65,19 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
     kind = edges.schema["a"].dataType.simpleString()
     pairs = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     stars = cut(pairs.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
-    now, before = stars.where("u <> v"), None
-    while True:
+    now = stars.where("u <> v")
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         first = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(first, "u")
-        now = cut(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(first.select("u", F.col("m").alias("v"))).distinct())
-        after = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
-        if after == before:
-            break
-        before = after
+        now = cut(large.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(first.select("u", F.col("m").alias("v"))).distinct())
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     every = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
     return every.join(ends, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import scalars
+from ..functions.scalars import normalized
 from ..io import table
 from ..operators import candidates as cd
 from ..operators import records as rc
-from ..operators import store
+from ..operators import store, vectors
 from ..sources import artifacts
 from .views import LINES_SQL, MESSAGES_SQL, VERSIONS_SQL, messages, order_lines, versions
 
@@ -96,11 +97,11 @@ def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "row_allocation",
-    f"WITH {PLAN_SQL} SELECT candidate_id, CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN 100 + n END AS row_id, CASE WHEN action = 'ADD' THEN printf('mem_c_%04d', 100 + n) END AS opened_memory_id FROM (SELECT *, CAST(sum(CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS n FROM plan) t",
+    f"WITH {PLAN_SQL} SELECT candidate_id, CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN (SELECT count(*) FROM events) + n END AS row_id, CASE WHEN action = 'ADD' THEN printf('mem_c_%04d', (SELECT count(*) FROM events) + n) END AS opened_memory_id FROM (SELECT *, CAST(sum(CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS n FROM plan) t",
 )
 def row_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of inserted versions run over all conversations, so a conversation's memory numbers skip."""
-    return rc.allocated(_plan(spark, sf_dir)[1], "c", F.lit(100)).select("candidate_id", "row_id", "opened_memory_id")
+    """Numbers of inserted versions run over all conversations and go on from the versions that there are (the events), so a conversation's memory numbers skip."""
+    return rc.allocated(_plan(spark, sf_dir)[1], "c", F.lit(table(spark, sf_dir, "events").count())).select("candidate_id", "row_id", "opened_memory_id")
 
 
 RELATIONS_SQL = "rel AS (SELECT l_orderkey AS candidate_id, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS seq, CASE l_returnflag WHEN 'A' THEN 'SKIP' WHEN 'N' THEN 'ADD' ELSE 'skip' END AS action, CASE WHEN l_linestatus = 'F' THEN 'duplicate_of' WHEN l_quantity > 25 THEN 'supports' ELSE 'unrelated' END AS relation, CAST(l_suppkey AS VARCHAR) AS version_id FROM lineitem)"
@@ -279,18 +280,25 @@ def current_search_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", F.array_join(F.transform("returned_version_ids", lambda x: F.split_part(x, F.lit("/"), F.lit(1))), ",").alias("ids"))
 
 
-@query(
-    "related_memories",
-    r"""WITH c AS (SELECT s_suppkey AS candidate_id, substr(sha256(s_name), 1, 16) AS h, 'n' || s_nationkey AS subject, CASE WHEN s_suppkey % 2 = 0 THEN 'near' END AS predicate, lower(lpad(CAST(s_suppkey AS VARCHAR), 4, '0')) AS e FROM supplier),
+RELATED_SQL = r"""c AS (SELECT s_suppkey AS candidate_id, substr(sha256(s_name), 1, 16) AS h, 'n' || s_nationkey AS subject, CASE WHEN s_suppkey % 2 = 0 THEN 'near' END AS predicate, lower(lpad(CAST(s_suppkey AS VARCHAR), 4, '0')) AS e FROM supplier),
 m AS (SELECT c_custkey AS version_id, substr(sha256(replace(c_name, 'Customer', 'Supplier')), 1, 16) AS h, 'n' || c_nationkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'near' ELSE 'far' END AS predicate, lower(c_name) AS low, lower(c_mktsegment) AS e FROM customer),
 r AS (SELECT candidate_id, version_id, 1 AS k, 'hash' AS path, row_number() OVER (PARTITION BY candidate_id ORDER BY version_id) AS n FROM c JOIN m USING (h)
  UNION ALL SELECT candidate_id, version_id, 2, 'slot', row_number() OVER (PARTITION BY candidate_id ORDER BY version_id) FROM c JOIN m ON m.subject = c.subject AND m.predicate = c.predicate
- UNION ALL SELECT candidate_id, version_id, 3, 'entity', row_number() OVER (PARTITION BY candidate_id ORDER BY version_id) FROM c JOIN m ON contains(m.subject || chr(10) || low, c.e) OR m.e = c.e),
+ UNION ALL SELECT candidate_id, version_id, 3, 'entity', row_number() OVER (PARTITION BY candidate_id ORDER BY version_id) FROM c JOIN m ON contains(m.subject || chr(10) || low, c.e) OR m.e = c.e),"""
+
+
+@query(
+    "related_memories",
+    rf"""WITH {RELATED_SQL}
 g AS (SELECT candidate_id, version_id, count(*) AS p, string_agg(path, ',' ORDER BY k) AS paths FROM r WHERE n <= 5 GROUP BY 1, 2)
 SELECT candidate_id, place, version_id, paths FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY p DESC, version_id) AS place FROM g) t WHERE place <= 8""",
 )
 def related_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories (customers) related to candidates (suppliers) by text, slot or entity."""
+    return rc.related(*_related_inputs(spark, sf_dir), 5).select("candidate_id", "place", "version_id", "paths")
+
+
+def _related_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     digest = lambda c: F.substring(F.sha2(c, 256), 1, 16)
     c = table(spark, sf_dir, "supplier").select(
         F.lit(0).alias("scope"), F.col("s_suppkey").alias("candidate_id"), digest(F.col("s_name")).alias("content_hash"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("subject"),
@@ -300,7 +308,27 @@ def related_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("scope"), F.col("c_custkey").alias("version_id"), digest(F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supplier"))).alias("content_hash"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("subject"),
         F.when(F.col("c_custkey") % 3 == 0, "near").otherwise("far").alias("predicate"), F.array("c_mktsegment").alias("entities"), F.col("c_name").alias("content"),
     )
-    return rc.related(c, m, 5).select("candidate_id", "place", "version_id", "paths")
+    return c, m
+
+
+@query(
+    "related_semantic",
+    rf"""WITH {RELATED_SQL}
+v AS (SELECT vec_id, embedding, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
+x AS (SELECT s_suppkey AS candidate_id, c_custkey AS version_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM supplier JOIN v a ON a.vec_id = s_suppkey % a.n, customer JOIN v b ON b.vec_id = c_custkey % b.n),
+e AS (SELECT candidate_id, version_id, k, path, 1.0 AS score FROM r WHERE n <= 5
+ UNION ALL SELECT candidate_id, version_id, 4, 'semantic', score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, version_id) AS n FROM x) t WHERE n <= 5),
+g AS (SELECT candidate_id, version_id, count(*) AS p, string_agg(path, ',' ORDER BY k) AS paths, max(score) AS score FROM e GROUP BY 1, 2)
+SELECT candidate_id, place, version_id, paths, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY p DESC, score DESC, version_id) AS place FROM g) t WHERE place <= 8""",
+)
+def related_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the five memories of the nearest vectors beside the other routes."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("v"))
+    n = max(1, v.count())
+    of = lambda name, key, to: table(spark, sf_dir, name).select(F.col(key).alias(to), (F.col(key) % n).alias("vec_id")).join(v, "vec_id").select(F.lit(0).alias("scope"), to, "v")
+    hits = vectors.nearest(of("customer", "c_custkey", "doc_id"), of("supplier", "s_suppkey", "query_id").withColumn("part", F.lit(0)), 5)
+    near = hits.select(F.col("query_id").alias("candidate_id"), F.col("doc_id").alias("version_id"), F.round("score", 9).alias("score"))
+    return rc.related(*_related_inputs(spark, sf_dir), 5, near).select("candidate_id", "place", "version_id", "paths", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -103,6 +103,37 @@ def clipped(text: Column, chars: int = 320) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, chars)
 
 
+def recovery_query(question: Column, contents: Column) -> Column:
+    """The text that routes after a first search: the question and what its hits say, without ids and scores; blank hits count but are not shown."""
+    shown = F.filter(F.transform(F.coalesce(contents, F.array().cast("array<string>")), lambda x: clipped(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    lines = F.when(F.size(shown) == 0, F.array(F.lit("(none)"))).otherwise(shown)
+    head = F.concat(F.lit("Question: "), F.trim(F.coalesce(question, F.lit(""))), F.lit("\nFirst retrieval returned "), F.coalesce(F.size(contents), F.lit(0)).cast("string"), F.lit(" memories.\nReturned memory contents:\n"))
+    return F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))
+
+
+def session_text(turns: Column) -> Column:
+    """A session's turns (speaker, content), in order, a line each; a missing speaker is unknown."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.coalesce(F.nullif(t["speaker"], F.lit("")), F.lit("unknown")), F.lit(": "), F.coalesce(t["content"], F.lit("")))), "\n")
+
+
+def reference_or_answer(reference: Column, answer: Column) -> Column:
+    """The reference unless it is empty, else the answer, else the empty reference; null if a row has neither, which ``require`` turns into an error."""
+    return F.coalesce(F.nullif(reference, F.lit("")), answer, reference)
+
+
+def require(value: Column, message: str) -> Column:
+    """The value; a null raises when the row is read."""
+    return F.when(value.isNull(), F.raise_error(F.lit(message))).otherwise(value)
+
+
+def first_problem(checks: list[tuple[Column, str]], fine: str = "ok") -> Column:
+    """The name of the first check that holds; an unknown outcome does not hold."""
+    out = F.lit(fine)
+    for bad, name in reversed(checks):
+        out = F.when(bad, F.lit(name)).otherwise(out)
+    return out
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 

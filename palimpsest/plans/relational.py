@@ -371,8 +371,9 @@ def message_id_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older rows name their answer otherwise: the reference unless empty, else the answer."""
     reference = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    held = scalars.require(scalars.reference_or_answer(scalars.optional_text(reference), F.col("source")), "a row has neither reference nor answer")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.coalesce(scalars.optional_text(reference), "source").alias("reference"), F.when(F.col("doc_id") % 2 == 0, "evidence_ids").otherwise("evidence").alias("origin")
+        "doc_id", held.alias("reference"), F.when(F.col("doc_id") % 2 == 0, "evidence_ids").otherwise("evidence").alias("origin")
     )
 
 
@@ -389,15 +390,34 @@ def timestamp_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dq_ladder",
-    "SELECT o.o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'not_in_dataset' WHEN l.n IS NULL THEN 'no_run' WHEN o.o_totalprice > 400000 THEN 'mismatch' WHEN o.o_orderstatus = 'P' THEN 'model_error' ELSE 'ok' END AS quality "
-    "FROM orders o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = o.o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey",
+    """WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE p_partkey IS NULL) AS lost, count(*) FILTER (WHERE l_discount >= 0.1) AS broken FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 50) p ON p_partkey = l_partkey GROUP BY 1)
+SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'not_in_dataset' WHEN n IS NULL THEN 'no_run' WHEN o_totalprice > 400000 THEN 'mismatch' WHEN o_orderpriority = '5-LOW' THEN 'no_commit' WHEN lost > 0 THEN 'gold_missing' WHEN o_orderstatus = 'P' THEN 'model_error'
+  WHEN broken > 0 THEN 'component_error' ELSE 'ok' END AS quality FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c_custkey = o_custkey LEFT JOIN l ON l_orderkey = o_orderkey""",
 )
 def dq_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first data problem of each row, by a ladder of checks."""
-    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known"))
-    runs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rung = F.when(F.col("known").isNull(), "not_in_dataset").when(F.col("n").isNull(), "no_run").when(F.col("o_totalprice") > 400000, "mismatch").when(F.col("o_orderstatus") == "P", "model_error").otherwise("ok")
-    return table(spark, sf_dir, "orders").join(known, "o_custkey", "left").join(runs, "o_orderkey", "left").select("o_orderkey", rung.alias("quality"))
+    """The first data problem of each answer (order): question unknown, no completed run, another prediction, no commit, a gold message (part) that is gone, a model's error, a component's."""
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
+    gold = table(spark, sf_dir, "part").where("p_size < 50").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("there"))
+    runs = table(spark, sf_dir, "lineitem").join(gold, "l_partkey", "left").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("lost"), F.count_if(F.col("l_discount") >= 0.1).alias("broken"))
+    checks = [
+        (F.col("known").isNull(), "not_in_dataset"), (F.col("n").isNull(), "no_run"), (F.col("o_totalprice") > 400000, "mismatch"), (F.col("o_orderpriority") == "5-LOW", "no_commit"), (F.col("lost") > 0, "gold_missing"),
+        (F.col("o_orderstatus") == "P", "model_error"), (F.col("broken") > 0, "component_error"),
+    ]
+    return table(spark, sf_dir, "orders").join(known, "o_custkey", "left").join(runs, "o_orderkey", "left").select("o_orderkey", scalars.first_problem(checks).alias("quality"))
+
+
+@query(
+    "recovery_queries",
+    r"""WITH h AS (SELECT conv_id, turn, role, text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))[:320] AS line FROM conversations),
+s AS (SELECT conv_id, count(*) AS n, string_agg('- ' || line, chr(10) ORDER BY turn) FILTER (WHERE line <> '') AS lines, string_agg(coalesce(nullif(role, ''), 'unknown') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS session FROM h GROUP BY 1)
+SELECT item_id, 'Question: ' || trim(text) || chr(10) || 'First retrieval returned ' || coalesce(n, 0) || ' memories.' || chr(10) || 'Returned memory contents:' || chr(10) || coalesce(lines, '- (none)') AS query, coalesce(session, '') AS session FROM benchmark LEFT JOIN s ON conv_id = item_id""",
+)
+def recovery_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with the turns of the conversation of its number: as the hits of a first search, and as a session."""
+    turn = F.struct("turn", F.col("role").alias("speaker"), F.col("text").alias("content"))
+    told = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("item_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    both = table(spark, sf_dir, "benchmark").join(told, "item_id", "left")
+    return both.select("item_id", scalars.recovery_query(F.col("text"), F.col("turns.content")).alias("query"), F.coalesce(scalars.session_text(F.col("turns")), F.lit("")).alias("session"))
 
 
 @query(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, hotjoin, licenses, quality, resample, secrets, substrings
+from . import classifier, decontaminate, hotjoin, licenses, quality, resample, secrets, shards, substrings
 from .common import table
 from .ngram import near_duplicates
 from .pack import pack_documents, with_checksum
@@ -165,5 +165,29 @@ p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN able AND rank <= (SELECT {resample.PER_CENT} * count(*) FILTER (able) // 100 FROM q) THEN rank END AS rank FROM p"""
 
 
+_BYTES = "flatten(list_transform(string_split(t, ''), lambda c: list_transform(range(strlen(c)), lambda i: ('0x' || substr(hex(encode(c)), 2 * i + 1, 2))::BIGINT)))"
+OP8_SQL = f"""WITH {_CRC_TABLE}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, strlen(t) + {shards.ROW_BYTES} AS size, {_crc(_BYTES)} AS text_crc32 FROM d, z), r AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST) AS ends, sum(size) OVER () AS total FROM s),
+p AS (SELECT *, least({shards.SHARDS - 1}, (2 * ends - size) * {shards.SHARDS} // (2 * total))::INT AS shard FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM p"""
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    found = f"SELECT doc_id, owner, regexp_extract_all(t, {quoted}, 0) AS hits, regexp_extract_all(t, {quoted}, {group}) AS vals, string_split_regex(t, {quoted}) AS gaps FROM d WHERE regexp_matches(t, {quoted})"
+    at = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_prepend(0, list_transform(hits[1:i - 1], lambda x: length(x))))"
+    return f"SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, ({at})::BIGINT AS start, ({at} + length(hits[i]))::BIGINT AS stop, vals[i] AS value FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({found}) f) g WHERE length(vals[i]) >= {least}"
+
+
+_ALL_SPANS = " UNION ALL ".join(
+    _spans_sql(*x) for x in (("assign", 0, secrets.ASSIGN, 2, secrets.MIN_ASSIGN), ("access", 1, secrets.ACCESS, 0, 20), ("hex", 2, secrets.HEX, 0, 24), ("vendor", 3, secrets.VENDOR, 0, 1))
+)
+OP5_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents), s AS ({_ALL_SPANS}),
+c AS (SELECT value, count(DISTINCT owner) <= {secrets.MAX_LIVE_OWNERS} AND count(DISTINCT (owner, doc_id)) <= {secrets.MAX_LIVE_REPOSITORIES} AS live FROM s GROUP BY 1),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'vendor') AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM s JOIN c USING (value) GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op10_quality_rules": OP10_SQL, "op12_hot_key_join": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op3_url_filters": OP3_SQL, "op5_secret_scans": OP5_SQL, "op8_sharding": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_hot_key_join": OP12_SQL, "op13_importance_resampling": OP13_SQL}

@@ -165,6 +165,20 @@ p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN able AND rank <= (SELECT {resample.PER_CENT} * count(*) FILTER (able) // 100 FROM q) THEN rank END AS rank FROM p"""
 
 
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAP}+'), lambda x: x <> '')"
+OP4_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT node, b FROM r JOIN e ON a = reached)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reached) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
+OP9_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d) t), l AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM x) t WHERE k > 1),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at_word FROM d),
+c AS (SELECT p.*, max(l.i) OVER (PARTITION BY p.doc_id ORDER BY at_word ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.i = at_word),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY at_word) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 _BYTES = "flatten(list_transform(string_split(t, ''), lambda c: list_transform(range(strlen(c)), lambda i: ('0x' || substr(hex(encode(c)), 2 * i + 1, 2))::BIGINT)))"
 OP8_SQL = f"""WITH {_CRC_TABLE}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, strlen(t) + {shards.ROW_BYTES} AS size, {_crc(_BYTES)} AS text_crc32 FROM d, z), r AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST) AS ends, sum(size) OVER () AS total FROM s),
@@ -190,4 +204,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op5_secret_scans": OP5_SQL, "op8_sharding": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_hot_key_join": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op3_url_filters": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_secret_scans": OP5_SQL, "op8_sharding": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op12_hot_key_join": OP12_SQL, "op13_importance_resampling": OP13_SQL}

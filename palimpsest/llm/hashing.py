@@ -23,6 +23,9 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _CASED = mix(np.arange(1, 257, dtype=np.uint64))
 _LOWER = _CASED[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
+#: Byte values and multiplier of a second hash of words, which shares nothing with the first.
+_AGAIN = mix(np.arange(1001, 1257, dtype=np.uint64))
+AGAIN_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,8 +39,8 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column (A-Z as a-z if ``lower``) and each row's bounds among them."""
+def hashed_words(column: pa.Array, lower: bool = False, again: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string column (A-Z as a-z if ``lower``) and each row's bounds among them; ``again``: the second hash, of words as they are."""
     data, rows = _bytes(column)
     inside = ~_SPACE[data]
     begins = inside.copy()
@@ -50,11 +53,11 @@ def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.
     used = np.cumsum(inside)
     first = used[starts] - 1  # among the bytes of words
     size = np.diff(np.append(first, used[-1]))
-    powers = np.full(int(size.max()), STEP, np.uint64)
+    powers = np.full(int(size.max()), AGAIN_STEP if again else STEP, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers)
     place = np.arange(used[-1]) - np.repeat(first, size)
-    h = mix(np.add.reduceat((_LOWER if lower else _CASED)[data[inside]] * powers[place], first))
+    h = mix(np.add.reduceat((_AGAIN if again else _LOWER if lower else _CASED)[data[inside]] * powers[place], first))
     return h, np.searchsorted(starts, rows)
 
 
@@ -62,13 +65,13 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     return hashed_words(pa.array([text], pa.string()), lower)[0]
 
 
-def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
+def sequence_hashes(h: np.ndarray, n: int, step: np.uint64 = STEP) -> np.ndarray:
     """Hash of each n consecutive entries of h."""
     if len(h) < n:
         return h[:0]
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
-        out *= STEP
+        out *= step
         out += h[k : len(h) - n + 1 + k]
     return mix(out)
 

@@ -13,13 +13,15 @@ dictionary; the Spark rounds bring equal names together.
   every window it anchors.  Names met twice reveal the long repeats.
 * Round 2 takes only the documents with such anchors and, of each of their windows under such an
   anchor, the name of the whole window; the first of equal ones in the order (doc_id, start)
-  stays, all others are removed.
+  stays, all others are removed.  Here equal means equal by two hashes of 64 bits that share
+  neither byte values nor multipliers, so what a first name reveals is verified by the second.
 
 Equal names within a task are settled there: only one entry of each goes to the exchange, so a
 passage that a third of all rows share costs one entry per task and never gathers in one place.
 
 Plan: scan -> blobs by name -> exchange -> anchors by row -> join with the texts -> blobs by name
--> exchange -> removals by row -> join with the texts.  Nothing reaches the driver.
+-> exchange -> removals by row -> join with the texts.  Both joins go by row in one query, so the
+texts are exchanged once and that exchange is read twice.  Nothing reaches the driver.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, saved, shuffle_width, slices
-from .hashing import hashed_words, mix, planes, sequence_hashes, signed, unplaned
+from .common import mapped, shuffle_width, slices
+from .hashing import AGAIN_STEP, hashed_words, mix, planes, sequence_hashes, signed, unplaned
 
 WINDOW = 20
 #: Words at either edge of a window whose symbols may depend on what lies outside: a run that
@@ -42,6 +44,8 @@ EDGE = 3
 #: Words that a task holds before it deals them out.
 BLOCK_WORDS = 2_000_000
 RUN, LEFT, RIGHT, RANK = (np.uint64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+#: Stands for a null doc_id, which comes before all others.
+NO_DOC = np.iinfo(np.int64).min
 NAME_BYTES = 6
 NAME_SHIFT = np.uint64(64 - 8 * NAME_BYTES)
 
@@ -50,9 +54,9 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _by_row(column: pa.Array) -> list[np.ndarray]:
+def _by_row(column: pa.Array, again: bool = False) -> list[np.ndarray]:
     """The word hashes of each text of a column."""
-    h, at = hashed_words(column)
+    h, at = hashed_words(column, again=again)
     return [h[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
@@ -179,54 +183,66 @@ def _repeated_anchors(rows: DataFrame, window: int, width: int) -> DataFrame:
     return mapped(mapped(rows.select("_rid", "text"), deal, schema).repartition(width, "bucket"), meet, "_rid long, a int")
 
 
+def _runs(rid: np.ndarray, doc: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+    """rid, doc, first, last of each run of consecutive starts of a row."""
+    if not len(s):
+        return [rid, doc, s, s]
+    order = np.lexsort((s, doc, rid))
+    rid, doc, s = rid[order], doc[order], s[order]
+    at = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + 1)))
+    return [rid[at], doc[at], s[at], s[np.append(at[1:], len(s)) - 1]]
+
+
 def _removed_windows(marked: DataFrame, window: int, width: int) -> DataFrame:
-    """_rid, first, last: intervals of starts of windows that also start earlier; marked: _rid, doc_id, text, places."""
-    columns = [("name", 8), ("k", 4), ("s", 4), ("rid", 8), ("doc", 8), ("gone_rid", 8), ("gone_s", 4)]
+    """_rid, doc, first, last: intervals of starts of windows that also start earlier; marked: _rid, doc_id, text, places."""
+    columns = [("name", 8), ("other", 8), ("k", 4), ("s", 4), ("rid", 8), ("doc", 8), ("gone_rid", 8), ("gone_doc", 8), ("gone_first", 4), ("gone_last", 4)]
+
+    def heads(name: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """For each of the sorted windows the first that equals it."""
+        first = np.append(True, (name[1:] != name[:-1]) | (other[1:] != other[:-1]))
+        return np.flatnonzero(first)[np.cumsum(first) - 1]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]] = []
         seen: set[int] = set()
         words = 0
 
         def dealt() -> Iterator[pa.RecordBatch]:
             sizes = [len(x[0]) for x in held]
-            name, s, home = (np.concatenate([x[j] for x in held]) for j in (0, 1, 2))
-            rid, doc = np.array([x[3] for x in held], np.int64), np.array([x[4] for x in held], np.int64)
+            name, other, s, home = (np.concatenate([x[j] for x in held]) for j in range(4))
+            rid, doc = np.array([x[4] for x in held], np.int64), np.array([x[5] for x in held], np.int64)
             k = np.repeat(np.arange(len(held)), sizes)
-            order = np.lexsort((s, doc[k], name))
-            name, s, k, home = name[order], s[order], k[order], home[order]
-            first = np.append(True, name[1:] != name[:-1])
-            head = np.flatnonzero(first)[np.cumsum(first) - 1]
+            order = np.lexsort((s, doc[k], other, name))
+            name, other, s, k, home = name[order], other[order], s[order], k[order], home[order]
+            head = heads(name, other) if len(name) else np.zeros(0, np.int64)
             # Later than the block's first of its name: removed for sure.  The first ones go on to be compared.
-            gone = np.flatnonzero((doc[k] > doc[k[head]]) | (s > s[head]) & (doc[k] == doc[k[head]]))
-            stay = np.ones(len(name), bool)
-            stay[gone] = False
-            stay = np.flatnonzero(stay)
+            later = (doc[k] > doc[k[head]]) | (s > s[head]) & (doc[k] == doc[k[head]])
+            gone, stay = np.flatnonzero(later), np.flatnonzero(~later)
             to = _bucket(home, width)
             by = stay[np.argsort(to[stay], kind="stable")]
             ends = np.searchsorted(to[by], np.arange(width + 1))
-            gone_rid = rid[k[gone]].view(np.uint64)
+            gone_rid, gone_doc, first, last = _runs(rid[k[gone]].view(np.uint64), doc[k[gone]], s[gone])
             to_gone = _bucket(gone_rid, width)
-            right = _cut(np.argsort(to_gone, kind="stable"), to_gone, width, [(gone_rid, 8), (s[gone].astype(np.uint64), 4)])
+            right = _cut(np.argsort(to_gone, kind="stable"), to_gone, width, [(gone_rid, 8), (gone_doc.view(np.uint64), 8), (first.astype(np.uint64), 4), (last.astype(np.uint64), 4)])
             parts = []
             for b in range(width):
                 rows = by[ends[b] : ends[b + 1]]
-                left: list[bytes | None] = [None] * 5
+                left: list[bytes | None] = [None] * 6
                 if len(rows):
                     used, local = np.unique(k[rows], return_inverse=True)
-                    left = [planes(name[rows], 8), planes(local, 4), planes(s[rows], 4), planes(rid[used].view(np.uint64), 8), planes(doc[used].view(np.uint64), 8)]
+                    left = [planes(name[rows], 8), planes(other[rows], 8), planes(local, 4), planes(s[rows], 4), planes(rid[used].view(np.uint64), 8), planes(doc[used].view(np.uint64), 8)]
                 parts.append(left + right[b])
             yield from _blobs(parts, [c for c, _ in columns])
 
         for batch in slices(batches):
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _by_row(batch.column(2)), batch.column(3).to_pylist(), strict=True)
-            for rid, doc, h, places in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _by_row(batch.column(2)), _by_row(batch.column(2), again=True), batch.column(3).to_pylist(), strict=True)
+            for rid, doc, h, h2, places in rows:
                 if rid in seen:
                     continue
                 seen.add(rid)
                 a = anchors(h, window)
                 s = np.flatnonzero(np.isin(a, places))
-                held.append((sequence_hashes(h, window)[s], s, context_names(h, window)[a[s] - EDGE], rid, np.iinfo(np.int64).min if doc is None else doc))
+                held.append((sequence_hashes(h, window)[s], sequence_hashes(h2, window, AGAIN_STEP)[s], s, context_names(h, window)[a[s] - EDGE], rid, NO_DOC if doc is None else doc))
                 words += len(s)
             if words >= BLOCK_WORDS:
                 yield from dealt()
@@ -236,41 +252,35 @@ def _removed_windows(marked: DataFrame, window: int, width: int) -> DataFrame:
             yield from dealt()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
-        gone_rid, gone_s = [], []
+        got: list[list[np.ndarray]] = [[], [], [], [], []]
+        gone: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
             for row in range(batch.num_rows):
-                name, k, s, rid, doc, g_rid, g_s = _read([batch.slice(row, 1)], columns)
+                name, other, k, s, rid, doc, g_rid, g_doc, g_first, g_last = _read([batch.slice(row, 1)], columns)
                 k = k.astype(np.int64)
-                for to, x in zip(got, (name, s.astype(np.int64), rid[k], doc[k].view(np.int64)), strict=True):
+                for to, x in zip(got, (name, other, s.astype(np.int64), rid[k], doc[k].view(np.int64)), strict=True):
+                    to.append(x)
+                for to, x in zip(gone, (g_rid, g_doc.view(np.int64), g_first.astype(np.int64), g_last.astype(np.int64)), strict=True):
                     to.append(x)
-                gone_rid.append(g_rid)
-                gone_s.append(g_s.astype(np.int64))
-        if not gone_rid:
+        if not got[0]:
             return
-        name, s, rid, doc = (np.concatenate(x) for x in got)
-        order = np.lexsort((s, doc, name))
-        name, s, rid, doc = name[order], s[order], rid[order], doc[order]
+        name, other, s, rid, doc = (np.concatenate(x) for x in got)
         if len(name):
-            first = np.append(True, name[1:] != name[:-1])
-            head = np.flatnonzero(first)[np.cumsum(first) - 1]
+            order = np.lexsort((s, doc, other, name))
+            name, other, s, rid, doc = name[order], other[order], s[order], rid[order], doc[order]
+            head = heads(name, other)
             later = (doc > doc[head]) | ((doc == doc[head]) & (s > s[head]))
-            gone_rid.append(rid[later])
-            gone_s.append(s[later])
-        rid, s = np.concatenate(gone_rid), np.concatenate(gone_s)
-        if not len(rid):
-            return
-        order = np.lexsort((s, rid))
-        rid, s = rid[order], s[order]
-        new = np.append(True, (rid[1:] != rid[:-1]) | (s[1:] > s[:-1] + 1))
-        at = np.flatnonzero(new)
-        rid, first, last = signed(rid[at]), s[at], s[np.append(at[1:], len(s)) - 1]
+            for to, x in zip(gone, _runs(rid[later], doc[later], s[later]), strict=True):
+                to.append(x)
+        rid, doc, first, last = (np.concatenate(x) for x in gone)
         for x in range(0, len(rid), 200_000):
             y = slice(x, x + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[y]), pa.array(first[y].astype(np.int32)), pa.array(last[y].astype(np.int32))], names=["_rid", "first", "last"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(rid[y])), pa.array(doc[y]), pa.array(first[y].astype(np.int32)), pa.array(last[y].astype(np.int32))], names=["_rid", "doc", "first", "last"]
+            )
 
     schema = "bucket int, " + ", ".join(f"{c} binary" for c, _ in columns)
-    return mapped(mapped(marked.select("_rid", "doc_id", "text", "places"), deal, schema).repartition(width, "bucket"), meet, "_rid long, first int, last int")
+    return mapped(mapped(marked.select("_rid", "doc_id", "text", "places"), deal, schema).repartition(width, "bucket"), meet, "_rid long, doc long, first int, last int")
 
 
 def keep_mask(n: int, intervals: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
@@ -298,17 +308,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = row_id(docs)
     places = _repeated_anchors(rows, window, width).groupBy("_rid").agg(F.collect_set("a").alias("places"))
     marked = rows.join(places, "_rid")
-    gone = _removed_windows(marked, window, width).groupBy("_rid").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    gone = saved(gone)
+    gone = _removed_windows(marked, window, width).groupBy("_rid").agg(F.collect_list(F.struct("doc", "first", "last")).alias("gone"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
-            for text, intervals in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text, intervals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = tokens(text)
                 n_words.append(len(words))
                 if intervals:
-                    mask = keep_mask(len(words), [(x["first"], x["last"]) for x in intervals], window)
+                    # Rows that agree in _rid alone differ in doc_id.
+                    own = [(x["first"], x["last"]) for x in intervals if x["doc"] == (NO_DOC if doc is None else doc)]
+                    mask = keep_mask(len(words), own, window)
                     words = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))

@@ -327,3 +327,14 @@ def test_substring_dedup(spark, window, block, monkeypatch):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(substrings.dedup_substrings(docs, window)).collect())
     assert got == _removed(rows, window)
     assert substrings.dedup_substrings(docs.limit(0), window).count() == 0
+
+
+def test_second_word_hash_shares_nothing_with_the_first():
+    words = [f"w{k}" for k in range(5000)] + ["ab", "ba", "a\u00e9", "aa", "aaa"]
+    column = pa.array([" ".join(words), None, "w1 W1", ""])
+    one, at = hashing.hashed_words(column)
+    two, also = hashing.hashed_words(column, again=True)
+    assert at.tolist() == also.tolist() == [0, len(words), len(words), len(words) + 2, len(words) + 2]
+    assert two[1] == two[len(words)] and two[1] != two[len(words) + 1]
+    assert len(set(one[: len(words)].tolist())) == len(set(two[: len(words)].tolist())) == len(words)
+    assert abs(np.corrcoef(one.astype(float), two.astype(float))[0, 1]) < 0.1

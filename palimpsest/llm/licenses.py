@@ -6,6 +6,8 @@ in texts that hold its keyword, which one Aho-Corasick pass finds.  Detections a
 priority; one that lies inside a taken one is suppressed, so "gnu lesser general public license"
 does not also count as the plain one.  A tree of prefix maxima over the starts answers whether a
 taken one holds a hit, so n hits cost n log n.
+Denials ("not released under the ...", "rather than the ...") are rules of the highest priority
+without a label of their own: they hold the name that they deny, which is thereby suppressed.
 The base phrases are counted apart from that and always stay.
 
 Plan: scan -> mapInArrow, no exchange.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -86,6 +89,15 @@ STATEMENTS = [
     (50, "see (?:the )?{}"),
     (40, "{}"),
 ]
+#: Priority of denials, above every statement, and the label that stands for none.
+DENIED, NO_LABEL = 99, ""
+# Wordings around a name that say that the license does not apply ("or not" leaves it open).
+DENIALS = [
+    "(?<! or )(?:not|never|nor|neither|longer|isn t|aren t|wasn t|weren t|hasn t been|won t be) "
+    "(?:be |been |being |to be |itself |yet |currently )?(?:licensed|released|distributed|made available|available|published|provided|offered|covered|governed) (?:under|by) (?:the terms of )?(?:the |a |an |any )?{}",
+    "(?<! or )(?:not|neither|nor) (?:use |using |choose |accept |mean )?(?:under )?(?:the terms of )?(?:the |a |an )?{}",
+    "(?:rather than|instead of|other than|unlike|incompatible with|not compatible with|not subject to|no longer) (?:under )?(?:the terms of )?(?:the |a |an )?{}",
+]
 # Sentences of the licences themselves and of their notices (label, priority, keyword, regex on normalised words).
 GAP = "(?:\\S+ ){0,12}"
 SENTENCES = [
@@ -190,9 +202,9 @@ def signatures() -> list[tuple[int, str, re.Pattern, str]]:
         for name in names:
             plain = re.sub(r"\(\?:.*?\)\??|\W\?", " ", name).split()
             keyword = max((w for w in plain if w not in COMMON), key=lambda w: (len(w), w))
-            for priority, statement in STATEMENTS:
+            for priority, statement in [*STATEMENTS, *((DENIED, denial) for denial in DENIALS)]:
                 # The longer name counts as the more specific rule.
-                rules.append((1000 * priority + 10 * len(plain), label, re.compile(f"(?<= ){statement.format(f'(?:{name})')}(?= )"), keyword))
+                rules.append((1000 * priority + 10 * len(plain), NO_LABEL if priority == DENIED else label, re.compile(f"(?<= ){statement.format(f'(?:{name})')}(?= )"), keyword))
     return sorted(rules, key=lambda r: (-r[0], r[1], r[2].pattern))
 
 
@@ -230,7 +242,10 @@ def places(flat: str, phrase: str) -> list[int]:
 
 
 def detections(flat: str) -> list[tuple[str, int, int, int]]:
-    """(label, priority, first word, words) of the rules' hits that no hit of higher priority contains; of equal places the first rule's."""
+    """(label, priority, first word, words) of the rules' hits that no hit of higher priority contains; of equal places the first rule's.
+
+    Denials are among them, with an empty label.
+    """
     present = {k for _, k in _keywords().iter(flat)}
     if not present:
         return []
@@ -257,11 +272,18 @@ def detections(flat: str) -> list[tuple[str, int, int, int]]:
     return [(label, priority, before(a) - 1, before(b) - before(a) + 1) for a, b, label, priority in sorted(taken)]
 
 
+def _inside(place: int, firsts: list[int], reach: list[int]) -> bool:
+    """Whether a word lies in a span; firsts: where the spans begin, sorted; reach: the largest end up to each."""
+    at = bisect.bisect_right(firsts, place) - 1
+    return at >= 0 and place < reach[at]
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Word count, base places, labels, detections and a score for every row of docs (doc_id, text).
 
     ``score`` is the weight of the strongest detection (priority of its statement, 0 to 1), 0
-    without any; a base phrase alone scores at least 0.4.  Null and empty texts have no words,
+    without any; a base phrase alone scores at least 0.4, or 0.1 if all its places are denied.  A
+    name that the text denies gives no label, but base labels stay.  Null and empty texts have no words,
     places or labels; repeated rows are scanned each for itself; other columns are ignored; an
     empty table gives no rows.
     """
@@ -274,8 +296,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 base = {label: places(flat, phrase) for phrase, label in BASE.items() if f" {phrase} " in flat}
                 hits = detections(flat)
                 starts = [p for ps in base.values() for p in ps]
+                denials = [(a, a + k) for label, _, a, k in hits if label == NO_LABEL]
+                firsts, reach = [a for a, _ in denials], [*itertools.accumulate((b for _, b in denials), max)]
+                hits = [h for h in hits if h[0] != NO_LABEL]
                 labels = sorted({*base, *(h[0] for h in hits)})
-                score = max([0.4 * bool(base), *(h[1] // 1000 / 100 for h in hits)])
+                meant = any(not _inside(p, firsts, reach) for p in starts)
+                score = max([0.4 if meant else 0.1 * bool(base), *(h[1] // 1000 / 100 for h in hits)])
                 rows.append(
                     {
                         "doc_id": doc_id, "n_words": n, "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": sorted(base), "labels": labels,

@@ -258,6 +258,26 @@ def test_detections_match_every_rule_on_every_text():
             assert label in {d[0] for d in _plain_detections(f" x {text} y ")} or any(text in other for *_, other in licenses.SENTENCES if other != text), text
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("This project is not released under the MIT license.", ["mit"], 0.1),
+        ("This project is released under the MIT license.", ["mit"], 0.8),
+        ("It isn't licensed under the GNU General Public License version 3, nor the MPL 2.0.", ["gpl"], 0.1),
+        ("Licensed under the Apache License 2.0, not the MIT license.", ["apache", "apache-2.0", "mit"], 0.8),
+        ("Licensed under the zlib license rather than the artistic license.", ["zlib"], 0.8),
+        ("No longer distributed under the terms of the Eclipse Public License 2.0", [], 0.0),
+        ("whether or not the ISC license applies", ["isc"], 0.4),
+        ("Not released under the MIT license. Released under the MIT license.", ["mit"], 0.8),
+        ("You may not use this file except in compliance with the License. See the BSD license.", ["bsd"], 0.5),
+    ],
+)
+def test_denied_licenses_are_suppressed(spark, text, labels, score):
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.labels, got.score) == (labels, score)
+    assert all(d["label"] for d in got.detections)
+
+
 def test_many_license_lines_cost_little():
     import time
 

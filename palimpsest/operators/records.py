@@ -18,17 +18,19 @@ def edges(rows: DataFrame, key: str, messages: str = "source_message_ids") -> Da
     return rows.select(key, F.explode(messages).alias("message_id")).dropDuplicates().withColumn("relation", F.lit(DIRECT))
 
 
-def allocated(decisions: DataFrame, conversation: str, highest_row: Column) -> DataFrame:
+def allocated(decisions: DataFrame, conversation: str, highest_row: Column, own_highest: Column | None = None) -> DataFrame:
     """decisions with row_id (of those that insert a version) and the memory id that an ADD opens.
 
-    Rows are numbered over all conversations, one for each inserted version in the order of seq,
-    so the numbers of one conversation's memories skip.  A plan holds a session's candidates,
-    thirty at most, so its numbering is one small group.
+    Rows are numbered over all conversations, one for each inserted version in the order of seq;
+    memories go on from the conversation's own highest row (``highest_row`` unless given), one for
+    each ADD, so the numbers of one conversation's memories skip between plans.  A plan holds a
+    session's candidates, thirty at most, so its numbering is one small group.
     """
-    inserts = F.col("action").isin("ADD", "UPDATE", "MERGE")
-    place = F.sum(inserts.cast("long")).over(Window.partitionBy(F.lit(conversation)).orderBy("seq"))
-    numbered = decisions.withColumn("row_id", F.when(inserts, F.coalesce(highest_row, F.lit(0)) + place))
-    return numbered.withColumn("opened_memory_id", F.when(F.col("action") == "ADD", F.format_string("mem_%s_%04d", F.lit(conversation), F.col("row_id"))))
+    inserts, adds = F.col("action").isin("ADD", "UPDATE", "MERGE"), F.col("action") == "ADD"
+    so_far = lambda kind: F.sum(kind.cast("long")).over(Window.partitionBy(F.lit(conversation)).orderBy("seq"))
+    numbered = decisions.withColumn("row_id", F.when(inserts, F.coalesce(highest_row, F.lit(0)) + so_far(inserts)))
+    number = F.coalesce(highest_row if own_highest is None else own_highest, F.lit(0)) + so_far(adds)
+    return numbered.withColumn("opened_memory_id", F.when(adds, F.format_string("mem_%s_%04d", F.lit(conversation), number)))
 
 
 def decision_records(decisions: DataFrame, commit: Column) -> DataFrame:

@@ -87,11 +87,20 @@ def apply_plan(versions: DataFrame, decisions: DataFrame, conversation: str, com
     becomes the new world_start unless set); UPDATE closes the current version and opens the next
     with missing fields inherited; MERGE also unites entities and keywords and keeps the larger
     importance and confidence; DELETE closes; SKIP only records.
+
+    Where ``versions`` have a row_id (long, numbered over all conversations in the order of
+    insertion), new versions go on from the highest in the order of seq, and an ADD's memory is
+    numbered on from the conversation's own highest row, so its numbers skip what others inserted.
+    Without that column the number in the conversation's highest memory id takes its place.  A
+    plan holds a session's candidates, thirty at most, so its numbering is one small group.
     """
     check_plan(versions, decisions, conversation, base_commit, current_commit)
     d = decisions.alias("d")
     active = snapshot(versions, conversation)
-    highest = versions.where(F.col("conversation_id") == conversation).select(F.coalesce(F.max(F.regexp_extract("memory_id", r"(\d+)$", 1).cast("int")), F.lit(0)).alias("m"))
+    numbered = "row_id" in versions.columns
+    own = F.col("row_id") if numbered else F.regexp_extract("memory_id", r"(\d+)$", 1).cast("long")
+    here = F.col("conversation_id") == conversation
+    highest = versions.where(here).select(F.coalesce(F.max(own), F.lit(0)).alias("m"))
 
     added = d.where("d.action = 'ADD'").withColumn("_k", F.row_number().over(Window.orderBy("seq"))).crossJoin(highest)
     memory = F.format_string(f"mem_{conversation}_%04d", F.col("m") + F.col("_k"))
@@ -149,6 +158,10 @@ def apply_plan(versions: DataFrame, decisions: DataFrame, conversation: str, com
         F.lit(commit).cast("long").alias("commit_id"), "candidate_id", "version_id", "parent_version_id", "update_type",
         F.when(F.col("before").isNotNull(), changed_fields({c: (F.col(f"before.{c}"), F.col(c)) for c in DIFFED})).alias("changed"),
     )
+    if numbered:
+        inserts = decisions.where("action IN ('ADD', 'UPDATE', 'MERGE')").select("candidate_id", F.row_number().over(Window.orderBy("seq")).alias("_k"))
+        last = versions.select(F.coalesce(F.max("row_id"), F.lit(0)).alias("_last"))
+        fresh = fresh.join(inserts.crossJoin(last).select("candidate_id", (F.col("_last") + F.col("_k")).alias("row_id")), "candidate_id")
     return {
         "versions": kept.unionByName(fresh.drop("candidate_id").select(*kept.columns)),
         "events": events,

@@ -97,13 +97,33 @@ def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "row_allocation",
-    f"WITH {PLAN_SQL} SELECT candidate_id, CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN (SELECT count(*) FROM events) + n END AS row_id, CASE WHEN action = 'ADD' THEN printf('mem_c_%04d', (SELECT count(*) FROM events) + n) END AS opened_memory_id FROM (SELECT *, CAST(sum(CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS n FROM plan) t",
+    f"WITH {PLAN_SQL} SELECT candidate_id, CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN (SELECT count(*) FROM events) + n END AS row_id, CASE WHEN action = 'ADD' THEN printf('mem_c_%04d', (SELECT count(*) FROM events) + a) END AS opened_memory_id FROM (SELECT *, CAST(sum(CASE WHEN action IN ('ADD', 'UPDATE', 'MERGE') THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS n, CAST(sum(CASE WHEN action = 'ADD' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS a FROM plan) t",
 )
 def row_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of inserted versions run over all conversations and go on from the versions that there are (the events), so a conversation's memory numbers skip."""
     return rc.allocated(_plan(spark, sf_dir)[1], "c", F.lit(table(spark, sf_dir, "events").count())).select("candidate_id", "row_id", "opened_memory_id")
 
 
+@query(
+    "stored_row_ids",
+    f"""WITH {PLAN_SQL}, last AS (SELECT (SELECT max(c_custkey) FROM customer) + (SELECT max(s_suppkey) FROM supplier) AS r),
+n AS (SELECT candidate_id, row_number() OVER (ORDER BY seq) AS k FROM plan WHERE action IN ('ADD', 'UPDATE', 'MERGE'))
+SELECT 'c' AS conversation_id, memory_id, 1 AS version_no, CAST(right(memory_id, length(memory_id) - 6) AS BIGINT) AS row_id FROM held
+UNION ALL SELECT 'd', printf('mem_d_%04d', s_suppkey), 1, (SELECT max(c_custkey) FROM customer) + s_suppkey FROM supplier
+UNION ALL SELECT 'c', memory_id, version_no, r + k FROM fresh JOIN n USING (candidate_id), last""",
+)
+def stored_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan applied to a store of two conversations with row ids: c holds the customers, d the suppliers, inserted later."""
+    held, plan = _plan(spark, sf_dir)
+    first = held.withColumn("row_id", F.regexp_extract("memory_id", r"(\d+)$", 1).cast("long"))
+    s = table(spark, sf_dir, "supplier").crossJoin(first.select(F.max("row_id").alias("_last")))
+    memory = F.format_string("mem_d_%04d", F.col("s_suppkey").cast("long"))
+    told = {"version_id": F.concat(memory, F.lit("_v1")), "memory_id": memory, "conversation_id": F.lit("d"), "version_no": F.lit(1), "content": F.col("s_name"), "system_from": F.lit(1), "row_id": F.col("_last") + F.col("s_suppkey")}
+    second = s.select(*[told.get(n, F.lit(None)).cast(t).alias(n) for n, t in first.dtypes])
+    out = store.apply_plan(first.unionByName(second), plan, "c", commit=2)["versions"]
+    return out.select("conversation_id", "memory_id", "version_no", "row_id")
+
+
 RELATIONS_SQL = "rel AS (SELECT l_orderkey AS candidate_id, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS seq, CASE l_returnflag WHEN 'A' THEN 'SKIP' WHEN 'N' THEN 'ADD' ELSE 'skip' END AS action, CASE WHEN l_linestatus = 'F' THEN 'duplicate_of' WHEN l_quantity > 25 THEN 'supports' ELSE 'unrelated' END AS relation, CAST(l_suppkey AS VARCHAR) AS version_id FROM lineitem)"
 
 

@@ -142,6 +142,18 @@ def test_failed_plan_raises(spark, bad):
         store.apply_plan(_state(spark), _decisions(spark, {"action": "SKIP"}), "c", commit=2, base_commit=1, current_commit=2)
 
 
+def test_row_ids_go_on_from_the_store(spark):
+    """Rows are numbered over all conversations, memories on from the conversation's own highest row."""
+    other = spark.createDataFrame([{"version_id": "mem_d_0003_v1", "memory_id": "mem_d_0003", "conversation_id": "d", "version_no": 1, "content": "x", "content_hash": "x", "system_from": 1}], store.VERSIONS)
+    held = _state(spark).unionByName(other).withColumn("row_id", F.when(F.col("memory_id") == "mem_d_0003", 7).otherwise(F.substring("memory_id", -1, 1).cast("int") + 3).cast("long"))
+    plan = _decisions(spark, {"action": "UPDATE", "target_memory_id": "mem_c_0002", "content": "two cats"}, {"action": "ADD", "content": "a"}, {"action": "SKIP"}, {"action": "ADD", "content": "b"})
+    out = store.apply_plan(held, plan, "c", commit=2)["versions"]
+    assert out.columns == held.columns and out.count() == 6
+    assert {(r.memory_id, r.version_no, r.row_id) for r in out.where("row_id > 7").collect()} == {("mem_c_0002", 2, 8), ("mem_c_0006", 1, 9), ("mem_c_0007", 1, 10)}
+    empty = store.apply_plan(held.limit(0), _decisions(spark, {"action": "ADD", "content": "a"}), "c", commit=1)["versions"].collect()
+    assert [(r.memory_id, r.row_id) for r in empty] == [("mem_c_0001", 1)]
+
+
 def test_lineage_takes_the_shortest_way(spark):
     direct = spark.createDataFrame([("a", "m1"), ("c", "m1"), ("b", "m2")], "version_id string, message_id string")
     parents = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "a")], "version_id string, parent_version_id string")

@@ -293,7 +293,9 @@ def inherited_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def current_search_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search steps without the hits that are no longer current."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("k"), F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("string")).alias("version_id"), "l_returnflag")
+    # a hit without a part is none; lines that agree in all that names a hit share its flag, so they stay or go together
+    name = F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("string"), "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL").select(F.col("l_orderkey").alias("run_id"), F.struct(F.col("l_linenumber").isNull().alias("last"), "l_linenumber", "l_partkey").alias("k"), name.alias("version_id"), "l_returnflag")
     held = lines.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "version_id"))), lambda x: F.struct(x["version_id"].alias("version_id"))).alias("returned"))
     steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit(0).alias("step_index")).join(held, "run_id", "left").withColumn("returned", F.coalesce("returned", F.expr("cast(array() as array<struct<version_id:string>>)")))
     found = rc.current_chain(steps, lines.where("l_returnflag <> 'R'").select("run_id", "version_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -347,8 +347,11 @@ def related_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the five memories of the nearest vectors beside the other routes."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("v"))
     n = max(1, v.count())
-    of = lambda name, key, to: table(spark, sf_dir, name).select(F.col(key).alias(to), (F.col(key) % n).alias("vec_id")).join(v, "vec_id").select(F.lit(0).alias("scope"), to, "v")
-    hits = vectors.nearest(of("customer", "c_custkey", "doc_id"), of("supplier", "s_suppkey", "query_id").withColumn("part", F.lit(0)), 5)
+    of = lambda name, key, to: table(spark, sf_dir, name).select(F.col(key).alias(to), (F.col(key) % n).alias("vec_id"))
+    with_vector = lambda rows, to: rows.join(v, "vec_id").select(F.lit(0).alias("scope"), to, "v")
+    own = Window.partitionBy("vec_id").orderBy("doc_id")  # of the memories of one vector the five first outrank the rest
+    held = of("customer", "c_custkey", "doc_id").withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= 5)
+    hits = vectors.nearest(with_vector(held, "doc_id"), with_vector(of("supplier", "s_suppkey", "query_id"), "query_id").withColumn("part", F.lit(0)), 5)
     near = hits.select(F.col("query_id").alias("candidate_id"), F.col("doc_id").alias("version_id"), F.round("score", 9).alias("score"))
     return rc.related(*_related_inputs(spark, sf_dir), 5, near).select("candidate_id", "place", "version_id", "paths", F.round("score", 6).alias("score"))
 

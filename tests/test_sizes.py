@@ -1,8 +1,10 @@
 """Queries on keys and shapes that only larger tables have, against their SQL."""
 
 import duckdb
+import numpy as np
 
 from palimpsest import catalog
+from palimpsest.operators import vectors
 
 
 def _agrees(spark, folder, name, tables):
@@ -23,3 +25,20 @@ def test_a_chain_keeps_its_order_with_keys_above_a_million(spark, tmp_path):
     lines = [(1, 1_500_000, 1, 2.0, "N"), (1, 7, 2, 2.0, "N"), (1, 2_000_001, 3, 2.0, "A"), (1, 5, 4, 2.0, "R"), (1, None, 5, 2.0, "N"), (2, 3, 1, 1.0, "R"), (2, 3, 1, 1.0, "N"), (2, 1_000_009, 0, 1.0, None)]
     tables = {"orders": ([(1,), (2,), (3,)], "o_orderkey long"), "lineitem": (lines, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_returnflag string")}
     assert _agrees(spark, tmp_path, "current_search_chain", tables) == ["(1, '1500000,7,2000001')", "(2, '3')", "(3, '')"]
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """The vectors of 3,000 documents and 600 queries, of which 30 and 20 differ, with ties across vectors; the answers are those of brute force."""
+    rng = np.random.default_rng(3)
+    few, asks = rng.normal(size=(30, 8)), rng.normal(size=(20, 8))
+    few[7], few[8] = few[1], np.append(few[1][:-1], few[1][-1] + 1e-13)
+    d, q = rng.integers(0, 30, 3000), rng.integers(0, 20, 600)
+    seen = []
+    plain = vectors.in_cells
+    monkeypatch.setattr(vectors, "in_cells", lambda docs: (seen.append(docs.count()), plain(docs))[1])
+    docs = spark.createDataFrame([(0, i, few[k].tolist()) for i, k in enumerate(d.tolist())], "scope int, doc_id long, v array<double>")
+    queries = spark.createDataFrame([(0, i, 0, asks[k].tolist()) for i, k in enumerate(q.tolist())], "scope int, query_id long, part int, v array<double>")
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in vectors.nearest(docs, queries, 7).collect())
+    scores = np.round(asks[q] @ few[d].T, 9)
+    assert got == [(i, n + 1, j) for i, s in enumerate(scores) for n, j in enumerate(np.lexsort((np.arange(3000), -s))[:7].tolist())]
+    assert seen and max(seen) <= 30

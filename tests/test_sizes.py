@@ -2,9 +2,10 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from palimpsest import catalog
-from palimpsest.operators import vectors
+from palimpsest.operators import graph, vectors
 
 
 def _agrees(spark, folder, name, tables):
@@ -42,3 +43,14 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch):
     scores = np.round(asks[q] @ few[d].T, 9)
     assert got == [(i, n + 1, j) for i, s in enumerate(scores) for n, j in enumerate(np.lexsort((np.arange(3000), -s))[:7].tolist())]
     assert seen and max(seen) <= 30
+
+
+def test_a_forest_is_handed_on_when_it_is_full(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FOREST_NODES", 100, raising=False)
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(k, k + 50)), "b": list(range(k + 1, k + 51))}) for k in range(0, 2000, 50)]
+    out = list(graph._forest(iter(batches)))
+    assert len(out) > 10 and max(b.num_rows for b in out) <= 200
+    assert list(graph._forest(iter([]))) == []
+    monkeypatch.undo()
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert {r.root for r in graph.components(edges).collect()} == {0}

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from palimpsest import catalog
+from palimpsest.functions import text as tx
 from palimpsest.operators import graph, vectors
 
 
@@ -54,3 +55,11 @@ def test_a_forest_is_handed_on_when_it_is_full(spark, monkeypatch):
     monkeypatch.undo()
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
     assert {r.root for r in graph.components(edges).collect()} == {0}
+
+
+def test_stems_keep_the_lists(spark):
+    """Nulls, empty lists and slices of lists keep their places; a repeated word is stemmed once in a batch."""
+    rows = [["running", "naïve", None, "x1ing"], None, [], ["running", "ponies"]]
+    assert tx.stemmed.func(pa.array(rows, pa.list_(pa.string())).slice(1)).to_pylist() == [[], [], ["run", "poni"]]
+    df = spark.createDataFrame([(r,) for r in rows], "t array<string>").select(tx.stemmed("t").alias("s"))
+    assert [r.s for r in df.collect()] == [["run", "naïve", None, "x1ing"], [], [], ["run", "poni"]]

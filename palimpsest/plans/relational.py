@@ -11,6 +11,7 @@ from ..catalog import query
 from ..functions import scalars
 from ..io import table
 from ..operators import graph, store
+from ..operators.graph import dealt
 from ..sources import temporal
 from .views import MESSAGES_SQL, SCOPES, VERSIONS_SQL, messages, versions
 
@@ -267,21 +268,25 @@ def related_routes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and related memories over several routes, the first route of each pair kept, a bounded number each.
 
     A group's nine smallest memories (one may be the candidate itself) are all that can be among
-    the first eight, so they are found before the join.
+    the first eight, so they are found before the join, as one list a group; a candidate's own
+    eight are chosen within its row, and no pair that falls away is ever a row.
     """
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    cand = customer.select(F.col("c_custkey").alias("candidate"), "c_nationkey", "c_mktsegment")
+    groups = customer.select(F.col("c_custkey").alias("candidate"), "c_nationkey", "c_mktsegment")
 
-    def smallest(df: DataFrame, keys: list[str], memory: str, n: int) -> DataFrame:
-        own = Window.partitionBy(*keys).orderBy(memory)
-        return df.select(*keys, F.col(memory).alias("memory"), F.row_number().over(own).alias("n")).where(F.col("n") <= n).drop("n")
+    def smallest(df: DataFrame, keys: list[str], memory: str, n: int, name: str) -> DataFrame:
+        once = df.select(*keys, F.col(memory).alias("memory")).distinct().withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("memory")))
+        return once.where(F.col("n") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list("memory")).alias(name))
 
-    same = cand.join(smallest(customer, ["c_nationkey", "c_mktsegment"], "c_custkey", 9), ["c_nationkey", "c_mktsegment"]).where("memory <> candidate").select("candidate", "memory", F.lit(1).alias("route"))
     # Eight of the other route may be taken already: sixteen hold eight new ones.
-    near = cand.join(smallest(supplier.withColumnRenamed("s_nationkey", "c_nationkey"), ["c_nationkey"], "s_suppkey", 16), "c_nationkey").select("candidate", "memory", F.lit(2).alias("route"))
-    best = same.unionByName(near).groupBy("candidate", "memory").agg(F.min("route").alias("route"))
-    w = Window.partitionBy("candidate").orderBy("route", "memory")
-    return best.withColumn("n", F.row_number().over(w)).where("n <= 8").drop("n")
+    met = groups.join(smallest(customer, ["c_nationkey", "c_mktsegment"], "c_custkey", 9, "same"), ["c_nationkey", "c_mktsegment"], "left")
+    met = met.join(smallest(supplier.withColumnRenamed("s_nationkey", "c_nationkey"), ["c_nationkey"], "s_suppkey", 16, "near"), "c_nationkey", "left")
+    every = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    own = dealt(met.select("candidate", "same", "near"), customer.count(), "candidate").groupBy("candidate").agg(every("same"), every("near"))  # a repeated candidate has the lists of all its groups
+    same = F.filter("same", lambda m: m != F.col("candidate"))
+    routed = lambda ids, route: F.transform(ids, lambda m: F.struct(m.alias("memory"), F.lit(route).alias("route")))
+    best = F.slice(F.concat(routed(same, 1), routed(F.array_except("near", same), 2)), 1, 8)
+    return own.select("candidate", F.explode(best).alias("hit")).select("candidate", "hit.memory", "hit.route")
 
 
 @query(

@@ -12,6 +12,7 @@ from ..io import table
 from ..operators import candidates as cd
 from ..operators import records as rc
 from ..operators import store, vectors
+from ..operators.graph import dealt
 from ..sources import artifacts
 from .views import LINES_SQL, MESSAGES_SQL, VERSIONS_SQL, messages, order_lines, versions
 
@@ -364,8 +365,9 @@ def related_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def related_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate's best memory first, then the best of all, 24 a batch."""
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("batch_id"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("version_id"), (1 + F.col("l_linenumber") % 3).alias("n_paths"), F.col("l_discount").alias("score"))
-    return rc.pool(r)
+    lines = table(spark, sf_dir, "lineitem")
+    r = lines.select(F.col("l_suppkey").alias("batch_id"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("version_id"), (1 + F.col("l_linenumber") % 3).alias("n_paths"), F.col("l_discount").alias("score"))
+    return rc.pool(dealt(r, lines.count(), "batch_id"))
 
 
 @query("judged_predictions", "SELECT o_orderkey AS qa_id, o_custkey AS conversation_id, CASE WHEN o_totalprice > 150000 THEN 'C' WHEN o_totalprice > 80000 THEN 'P' ELSE 'I' END AS label FROM orders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import EXTERNAL_PREFIX, clean_list, optional_text
 from .candidates import KINDS
+from .graph import cut, dealt
 
 # The caps and enumerations of replies.
 TIME_MODES = ("none", "current", "point", "before", "after", "range")
@@ -195,20 +196,24 @@ def cluster_errors(members: DataFrame, drafts: DataFrame, rejected: DataFrame, s
     members: cluster_id, candidate_id; drafts: cluster_id, draft, candidate_id (a row for each
     source); rejected: cluster_id, candidate_id; sides: cluster_id, side.
     """
-    say = lambda df, text, c="candidate_id": df.select("cluster_id", F.concat(F.lit(text), F.col(c).cast("string")).alias("error"))
     keys = ["cluster_id", "candidate_id"]
-    own = members.select(*keys).distinct()
-    used, out = drafts.select(*keys).distinct(), rejected.select(*keys).distinct()
-    n = drafts.groupBy("cluster_id", "draft").agg(F.count_distinct("candidate_id").alias("n")).join(sides, "cluster_id")
-    many = drafts.groupBy("cluster_id").agg(F.count_distinct("draft").alias("n")).where("n > 5")
-    parts = [
-        say(used.join(own, keys, "left_anti"), "unknown source: "), say(out.join(own, keys, "left_anti"), "unknown rejected: "), say(used.join(out, keys, "left_semi"), "used and rejected: "),
-        say(own.join(used, keys, "left_anti").join(out, keys, "left_anti"), "left out: "), say(n.where("side = 'access' AND n < 2"), "too few sources: ", "draft"), say(many, "too many drafts: ", "n"),
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every
+    rows = members.count()
+    told = {"member": members, "used": drafts, "rejected": rejected}
+    every = None
+    for name, df in told.items():
+        # Null meets nothing, so a null key is only told of by its own table.
+        own = df.select(*keys, *[F.lit(name == n).alias(n) for n in told], F.when(F.col("cluster_id").isNull() | F.col("candidate_id").isNull(), name).alias("alone"))
+        every = own if every is None else every.unionByName(own)
+    once = dealt(every, 3 * rows, *keys).groupBy(*keys, "alone").agg(*[F.max(n).alias(n) for n in told])
+    say = lambda when, text, c="candidate_id": F.when(when, F.struct(F.concat(F.lit(text), F.col(c).cast("string")).alias("error")))
+    member, used, out = (F.col(n) for n in told)
+    found = F.array_compact(F.array(say(used & ~member, "unknown source: "), say(out & ~member, "unknown rejected: "), say(used & out, "used and rejected: "), say(member & ~used & ~out, "left out: ")))
+    by_candidate = once.select("cluster_id", F.explode(found).alias("x")).select("cluster_id", "x.error")
+
+    n = cut(dealt(drafts.select("cluster_id", "draft", "candidate_id"), 2 * rows, "cluster_id", "draft").groupBy("cluster_id", "draft").agg(F.count_distinct("candidate_id").alias("n")))
+    few = n.join(sides, "cluster_id").where("side = 'access' AND n < 2").select("cluster_id", F.concat(F.lit("too few sources: "), F.col("draft").cast("string")).alias("error"))
+    many = n.groupBy("cluster_id").agg(F.count("draft").alias("n")).where("n > 5").select("cluster_id", F.concat(F.lit("too many drafts: "), F.col("n").cast("string")).alias("error"))
+    return by_candidate.unionByName(few).unionByName(many)
 
 
 def policy_errors(operations: DataFrame, banks: DataFrame, most: int = MAX_OPERATIONS, adds: int = MAX_ADDS) -> DataFrame:

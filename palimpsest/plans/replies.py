@@ -10,6 +10,7 @@ from ..functions import scalars
 from ..io import table
 from ..operators import candidates as cd
 from ..operators import replies as rp
+from ..operators.graph import dealt
 from ..operators import skills as sk
 from .views import LINES_SQL, order_lines
 
@@ -211,7 +212,9 @@ def cluster_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_linenumber").alias("draft"))
     out = o.where("o_orderstatus = 'P'").select("cluster_id", F.when(F.col("candidate_id") % 50 == 0, F.col("candidate_id") + 1000000000).otherwise(F.col("candidate_id")).alias("candidate_id"))
     sides = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster_id"), F.when(F.col("c_nationkey") < 12, "access").otherwise("construction").alias("side"))
-    return rp.cluster_errors(o, o.join(lines, "candidate_id").select("cluster_id", "draft", "candidate_id"), out, sides).distinct()
+    rows, n = table(spark, sf_dir, "lineitem").count(), o.count()
+    drafts = dealt(o, rows, "candidate_id").join(dealt(lines, rows, "candidate_id"), "candidate_id").select("cluster_id", "draft", "candidate_id")
+    return dealt(rp.cluster_errors(o, drafts, out, sides), n, "cluster_id", "error").distinct()
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..io import table
 from ..operators import skills, store
+from ..operators.graph import dealt
 from .views import VERSIONS_SQL, versions
 
 
@@ -32,13 +33,16 @@ def construction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def access_trace_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits of each action of a run, flagged if the agent kept them in view."""
-    actions = table(spark, sf_dir, "orders").select(
+    orders, lines, parts = (table(spark, sf_dir, name) for name in ("orders", "lineitem", "part"))
+    rows = lines.count()
+    actions = dealt(orders.select("o_custkey", "o_orderkey"), orders.count(), "o_custkey").select(
         F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("action"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("step")
     )
     rank = F.row_number().over(Window.partitionBy("action").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    hits = actions.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("action")).select("run_id", "step", rank.alias("rank"), F.col("l_partkey").alias("version_id"))
-    shown = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("version_id"), F.lit(True).alias("kept"))
-    return hits.join(shown, "version_id", "left").select("run_id", "step", "rank", "version_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    of = dealt(lines.select(F.col("l_orderkey").alias("action"), "l_linenumber", "l_partkey", "l_suppkey"), rows, "action")
+    hits = dealt(actions, rows, "action").join(of, "action").select("run_id", "step", rank.alias("rank"), F.col("l_partkey").alias("version_id"))
+    shown = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("version_id")).distinct().withColumn("kept", F.lit(True))
+    return dealt(hits, rows, "version_id").join(dealt(shown, rows, "version_id"), "version_id", "left").select("run_id", "step", "rank", "version_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 @query(

@@ -64,8 +64,9 @@ def evidence_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen hits over the initial and the supplemental searches, at most 32 a question."""
     phase = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
-    hits = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 50).alias("question"), F.col("l_partkey").alias("version_id"), F.struct(phase.alias("phase"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position")).alias("at"))
-    first = hits.groupBy("question", "version_id").agg(F.min("at").alias("at"))
+    lines = table(spark, sf_dir, "lineitem")
+    hits = lines.select(F.floor(F.col("l_orderkey") / 50).alias("question"), F.col("l_partkey").alias("version_id"), (phase * 100_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    first = dealt(hits, lines.count(), "question").groupBy("question", "version_id").agg(F.min("at").alias("at"))
     w = Window.partitionBy("question").orderBy("at", "version_id")
     return first.select("question", "version_id", F.row_number().over(w).alias("n")).where("n <= 32")
 

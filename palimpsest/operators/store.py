@@ -12,7 +12,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, dealt
 
 ACTIONS = ("ADD", "UPDATE", "MERGE", "DELETE", "SKIP")
 DIFFED = ("subject", "predicate", "object_text", "content", "world_start", "world_end", "importance", "confidence", "memory_kind")
@@ -176,30 +176,52 @@ def changed_fields(pairs: dict[str, tuple[Column, Column]]) -> Column:
     return F.map_filter(F.map_from_arrays(names, values), lambda _, v: ~v["before"].eqNullSafe(v["after"]))
 
 
+#: Rounds of ``lineage`` before it looks for cycles; a chain of 2 ** PLAIN_ROUNDS versions needs no more.
+PLAIN_ROUNDS = 6
+
+
 def lineage(direct: DataFrame, parents: DataFrame) -> DataFrame:
     """version_id, message_id, depth: every message a version rests on, by the shortest chain of parents.
 
     direct: version_id, message_id (and depth, else 0); parents: version_id, parent_version_id.
     Paths double: a round joins what is known within 2^k steps to the ancestors that lie exactly
-    2^k steps away, so a chain of n versions takes about log2(n) rounds.  A round that neither
-    finds a pair nor shortens one is the last, since any shortest chain that is still missing has
-    an end of every length, whose pair that round would have found; so cycles end too.
+    2^k steps away, so a chain of n versions takes about log2(n) rounds, and the last is the one
+    without such ancestors.  A round's rows are set beside the earlier ones; the shortest chains
+    are taken once at the end.  Where chains are longer than 2^PLAIN_ROUNDS there may be a cycle,
+    whose ancestors never end: from there on a round that neither finds a pair nor shortens one is
+    the last, since any shortest chain that is still missing has an end of every length, whose
+    pair that round would have found.  Every step is dealt out by its number of rows.
     """
+    pair = ["version_id", "message_id"]
     known = direct if "depth" in direct.columns else direct.withColumn("depth", F.lit(0))
-    least = lambda df: cut(df.groupBy("version_id", "message_id").agg(F.min("depth").cast("int").alias("depth")))
+    least = lambda df, rows: cut(dealt(df, rows, *pair).groupBy(*pair).agg(F.min("depth").cast("int").alias("depth")))
     mark = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first())
-    known, jump = least(known), parents.select("version_id", "parent_version_id").where("version_id IS NOT NULL AND parent_version_id IS NOT NULL").distinct()
-    before = mark(known)
+    known = cut(known.select(*pair, F.col("depth").cast("int").alias("depth")))
+    known = least(known, known.count())
+    edges = cut(parents.select("version_id", "parent_version_id").where("version_id IS NOT NULL AND parent_version_id IS NOT NULL"))
+    jump = cut(dealt(edges, edges.count(), "version_id", "parent_version_id").distinct())
+    size, ahead, before = known.count(), jump.count(), None
     for k in itertools.count():
-        jump = cut(jump)
         ends = known.select(F.col("version_id").alias("parent_version_id"), "message_id", (F.col("depth") + F.lit(1 << k)).alias("depth"))
-        known = least(known.unionByName(jump.join(ends, "parent_version_id").select("version_id", "message_id", "depth")))
-        after = mark(known)
-        if after == before:
-            return known
-        before = after
+        rows = size + ahead
+        step = dealt(jump, rows, "parent_version_id").join(dealt(ends, rows, "parent_version_id"), "parent_version_id")
+        step = least(step.select(*pair, "depth"), rows)
+        found = step.count()
+        if found == 0:
+            return least(known, size) if k else known
+        known, size = known.unionByName(step), size + found
+        if k >= PLAIN_ROUNDS:
+            known = least(known, size)
+            size, now = known.count(), mark(known)
+            if now == before:
+                return known
+            before = now
         far = jump.select(F.col("version_id").alias("parent_version_id"), F.col("parent_version_id").alias("far"))
-        jump = jump.join(far, "parent_version_id").select("version_id", F.col("far").alias("parent_version_id")).distinct()
+        further = dealt(jump, ahead, "parent_version_id").join(dealt(far, ahead, "parent_version_id"), "parent_version_id").select("version_id", F.col("far").alias("parent_version_id"))
+        jump = cut(dealt(further, ahead, "version_id", "parent_version_id").distinct())
+        ahead = jump.count()
+        if ahead == 0:
+            return least(known, size)
 
 
 def lineage_delta(closure: DataFrame, direct: DataFrame, parents: DataFrame) -> DataFrame:
@@ -210,10 +232,14 @@ def lineage_delta(closure: DataFrame, direct: DataFrame, parents: DataFrame) ->
     further away; doubling runs over the commit's own versions alone.  An edge that starts at an
     old version would change rows that are stored and raises.
     """
-    own = parents.select("version_id", "parent_version_id").distinct()
-    new = own.select("version_id").unionByName(direct.select("version_id")).distinct()
-    _require_none(closure.join(new, "version_id", "left_semi"), "a stored version gains a message or a parent")
-    from_old = own.join(closure.withColumnRenamed("version_id", "parent_version_id"), "parent_version_id").select("version_id", "message_id", F.col("depth") + 1)
+    rows = closure.count()
+    own = cut(dealt(parents.select("version_id", "parent_version_id"), parents.count(), "version_id", "parent_version_id").distinct())
+    new = own.select("version_id").unionByName(direct.select("version_id"))
+    new = cut(dealt(new, new.count(), "version_id").distinct())
+    by = lambda df, key: dealt(df, rows, key)
+    _require_none(by(closure.select("version_id"), "version_id").join(by(new, "version_id"), "version_id", "left_semi"), "a stored version gains a message or a parent")
+    held = closure.select(F.col("version_id").alias("parent_version_id"), "message_id", "depth")
+    from_old = by(own, "parent_version_id").join(by(held, "parent_version_id"), "parent_version_id").select("version_id", "message_id", F.col("depth") + 1)
     base = direct.select("version_id", "message_id", F.lit(0).alias("depth")).union(from_old)
     return lineage(base, own.join(new.withColumnRenamed("version_id", "parent_version_id"), "parent_version_id", "left_semi"))
 

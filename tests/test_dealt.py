@@ -51,3 +51,34 @@ def test_related_memories_of_repeated_customers(spark, tmp_path):
     con.execute(f"COPY (SELECT i AS s_suppkey, CAST(1 + i % 2 AS INTEGER) AS s_nationkey FROM range(50) r(i)) TO '{tmp_path}/supplier.parquet'")
     df = _same(spark, "related_routes_join", str(tmp_path))
     assert "UnionExec" not in _plan(df) and "Union" not in _plan(df)  # no pair of either route is a row
+
+
+def test_lineage_of_long_chains_and_cycles_in_small_tasks(spark, monkeypatch):
+    from palimpsest.operators import store
+
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    edges = {(v, v - 1) for v in range(1, 90)} | {(v, v // 2) for v in range(60, 90)} | {(200, 201), (201, 202), (202, 200), (203, 200)}
+    told = [(v, v % 7) for v in [*range(90), 200, 203, 203]]
+    best = {}
+    for start in {v for v, _ in told} | {v for e in edges for v in e}:
+        seen, now, depth = set(), {start}, 0
+        while now:
+            seen |= now
+            for v, m in told:
+                if v in now:
+                    best.setdefault((start, m), depth)
+            now, depth = {p for v, p in edges if v in now} - seen, depth + 1
+    df = store.lineage(spark.createDataFrame(told, "version_id long, message_id long"), spark.createDataFrame(sorted(edges), "version_id long, parent_version_id long"))
+    assert sorted(tuple(r) for r in df.collect()) == sorted((v, m, d) for (v, m), d in best.items())
+
+
+@pytest.mark.parametrize("name", ["lineage_closure", "lineage_delta"])
+def test_lineage_queries_in_small_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(graph, "TASK_ROWS", 200)
+    _same(spark, name, SF)
+
+
+@pytest.mark.parametrize("name", ["publication_closure", "publication_gate", "connected_components"])
+def test_ties_in_small_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(graph, "TASK_ROWS", 500)
+    _same(spark, name, SF)

@@ -82,3 +82,22 @@ def test_lineage_queries_in_small_tasks(spark, monkeypatch, name):
 def test_ties_in_small_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "TASK_ROWS", 500)
     _same(spark, name, SF)
+
+
+def test_skills_meet_segments_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from palimpsest.functions import text as tx
+    from palimpsest.operators import skills as sk
+
+    monkeypatch.setattr(sk, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 5))
+    segments = [("access", i // 3, i % 3, f"word{i % 4}", v[i].tolist()) for i in range(40)]
+    bank = [("access", i, f"word{i % 3}", "which", v[40 + i].tolist()) for i in range(20)]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(q, s): max(float(unit[i] @ unit[40 + s]) for i in range(40) if i // 3 == q) for q in range(14) for s in range(20)}
+    found = sk.ranked_skills(spark.createDataFrame(bank, "side string, skill_id long, name string, description string, v array<double>"), spark.createDataFrame(segments, "side string, query_id long, part long, text string, v array<double>"), tx.simple_tokens)
+    got = {(x["query_id"], x["skill_id"]): x["semantic"] for x in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "CartesianProduct" not in _plan(found)

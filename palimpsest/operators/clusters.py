@@ -2,10 +2,12 @@
 
 The points of a group lie in blocks of CHUNK; a block meets the group's centres by key and is one
 matrix product.  The farthest-first start keeps each point's largest cosine to the centres so far
-as a column.  A round takes the CANDIDATES points of a group that lie farthest out and lets one
-task choose among them for as long as its choice is surely the group's: cosines only grow, so no
-other point can fall below the last candidate.  Steps of the iteration are products, grouped sums
-and a comparison of labels; a group whose labels stay is done.
+as a column.  A round takes the points that lie farthest out in each block, CANDIDATES of a group,
+and lets one task choose among them for as long as its choice is surely the group's: cosines only
+grow, so no other point can fall below the last candidate of its block.  Steps of the iteration are
+products, grouped sums and a comparison of labels.  A centre is made anew only if its members
+changed; a point whose own centre stayed meets the new centres only.  A group whose labels stay is
+done.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from pyspark.sql import functions as F
 from .graph import cut
 from .search import _matrix
 
-#: Points of a block, centres of a block, and points among which a round chooses.
-CHUNK, CENTRES, CANDIDATES = 4096, 2048, 512
+#: Points of a block, centres of a block, points among which a round chooses, and centres of a product.
+CHUNK, CENTRES, CANDIDATES, PRODUCT = 4096, 16384, 8192, 1024
+#: Clusters whose sums one task adds up.
+BAND = 512
 #: Decimals at which cosines are compared, so that products in another order choose alike.
 DECIMALS = 12
 
 GROUP = ["bucket", "part"]
-_POINTS = "bucket string, part string, block int, point_id long, v array<double>, closest double"
+_POINTS = "bucket string, part string, block int, point_id long, v array<double>, closest double, most int, far boolean, edge boolean"
 
 
 def _take(table: pa.Table, names: list[str], n: int) -> list[pa.Array]:
@@ -37,13 +41,23 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def _drawn_near(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """points with ``closest`` raised to the largest cosine to new centres (bucket, part, c)."""
+    """points with ``closest`` raised to the largest cosine to new centres (bucket, part, c), the ``most`` farthest out of their block marked ``far`` and the last of these ``edge`` if others lie behind it."""
 
     def near(own: pa.Table, new: pa.Table) -> pa.Table:
-        if not own.num_rows or not new.num_rows:
+        if not own.num_rows:
             return own
-        s = np.round(_matrix(own.column("v").combine_chunks()) @ _matrix(new.column("c").combine_chunks()).T, DECIMALS).max(axis=1)
-        return own.set_column(own.schema.get_field_index("closest"), "closest", pa.array(np.maximum(own.column("closest").to_numpy(), s)))
+        closest = own.column("closest").to_numpy().copy()
+        if new.num_rows:
+            v, c = (_matrix(t.column(name).combine_chunks()) for t, name in ((own, "v"), (new, "c")))
+            for k in range(0, len(c), PRODUCT):
+                closest = np.maximum(closest, np.round(v @ c[k : k + PRODUCT].T, DECIMALS).max(axis=1))
+        order, most = np.lexsort((own.column("point_id").to_numpy(), closest)), own.column("most")[0].as_py()
+        far, edge = np.zeros((2, len(order)), bool)
+        far[order[:most]] = True
+        edge[order[most - 1 : most]] = len(order) > most
+        for name, x in (("closest", closest), ("far", far), ("edge", edge)):
+            own = own.set_column(own.schema.get_field_index(name), name, pa.array(x))
+        return own
 
     blocks = points.groupBy(*GROUP).agg((F.max("block") + 1).alias("blocks"))
     spread = centres.join(blocks, GROUP).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*GROUP, "block", "c")
@@ -55,14 +69,14 @@ def _choose(sizes_k: DataFrame, points: DataFrame, chosen: DataFrame) -> DataFra
     """The centres that a round adds: bucket, part, cluster, c."""
     have = chosen.groupBy(*GROUP).agg(F.count("*").alias("have"))
     open_ = sizes_k.join(have, GROUP).where("have < k")
-    far = Window.partitionBy(*GROUP).orderBy("closest", "point_id")
-    held = points.join(open_.select(*GROUP, "n", "k", "have"), GROUP).withColumn("place", F.row_number().over(far)).where(F.col("place") <= CANDIDATES)
+    held = points.where("far").select(*GROUP, "point_id", "v", "closest", "edge").join(open_.select(*GROUP, "k", "have"), GROUP)
 
     def pick(own: pa.Table) -> pa.Table:
         own = own.sort_by([("point_id", "ascending")])
         v, now, ids = _matrix(own.column("v").combine_chunks()), own.column("closest").to_numpy().copy(), own.column("point_id").to_numpy()
-        n, k, have = (own.column(x)[0].as_py() for x in ("n", "k", "have"))
-        last = max(zip(now.tolist(), ids.tolist(), strict=True)) if n > own.num_rows else (np.inf, 0)  # all other points lie behind it
+        k, have = (own.column(x)[0].as_py() for x in ("k", "have"))
+        edge = np.flatnonzero(own.column("edge").to_numpy())
+        last = min(zip(now[edge].tolist(), ids[edge].tolist(), strict=True), default=(np.inf, 0))  # all other points lie behind it
         rows: list[int] = []
         while have + len(rows) < k:
             at = int(np.argmin(now))
@@ -87,49 +101,66 @@ def _first_centres(sizes_k: DataFrame, points: DataFrame) -> DataFrame:
         chosen = cut(chosen.unionByName(new))
 
 
+def _blocked(points: DataFrame) -> DataFrame:
+    """points with block: of CHUNK points of their group about."""
+    counts = points.groupBy(*GROUP).agg(F.ceil(F.count("*") / CHUNK).alias("blocks"))
+    return points.join(counts, GROUP).withColumn("block", F.pmod(F.xxhash64("point_id"), F.col("blocks")).cast("int"))
+
+
 def _labels(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """bucket, part, block, point_id, cluster of the largest cosine, the smaller cluster of equals."""
+    """bucket, part, point_id, cluster of the largest cosine, the smaller cluster of equals, and that cosine s; points: bucket, part, block, blocks, point_id, v."""
 
     def label(own: pa.Table, held: pa.Table) -> pa.Table:
         n = own.num_rows if held.num_rows else 0
         own = own.slice(0, n)
+        cluster, score = np.zeros(n, np.int32), np.full(n, -np.inf)
         if n:
             held = held.sort_by([("cluster", "ascending")])
-            s = np.round(_matrix(own.column("v").combine_chunks()) @ _matrix(held.column("c").combine_chunks()).T, DECIMALS)
-            best = np.argmax(s, axis=1)
-            cluster, score = held.column("cluster").combine_chunks().take(pa.array(best)), pa.array(s[np.arange(n), best])
-        else:
-            cluster, score = pa.array([], pa.int32()), pa.array([], pa.float64())
-        return own.select([*GROUP, "block", "point_id"]).append_column("cluster", cluster).append_column("s", score)
-
-    blocks = points.groupBy(*GROUP).agg((F.max("block") + 1).alias("blocks"))
+            v, c, names = _matrix(own.column("v").combine_chunks()), _matrix(held.column("c").combine_chunks()), held.column("cluster").to_numpy()
+            for k in range(0, len(c), PRODUCT):
+                s = np.round(v @ c[k : k + PRODUCT].T, DECIMALS)
+                best = np.argmax(s, axis=1)
+                s = s[np.arange(n), best]
+                cluster, score = np.where(s > score, names[k + best], cluster), np.maximum(s, score)
+        return own.select([*GROUP, "point_id"]).append_column("cluster", pa.array(cluster, pa.int32())).append_column("s", pa.array(score))
+
+    blocks = points.groupBy(*GROUP).agg(F.max("blocks").alias("blocks"))
     many = centres.groupBy(*GROUP).agg((F.floor(F.max("cluster") / CENTRES) + 1).cast("int").alias("bands"))
-    spread = centres.join(blocks, GROUP).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*GROUP, "block", F.floor(F.col("cluster") / CENTRES).cast("int").alias("band"), "cluster", "c")
+    spread = centres.join(blocks, GROUP).withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(*GROUP, "block", F.floor(F.col("cluster") / CENTRES).cast("int").alias("band"), "cluster", "c")
     own = points.join(many, GROUP).withColumn("band", F.explode(F.sequence(F.lit(0), F.col("bands") - 1))).select(*GROUP, "block", "band", "point_id", "v")
     keys = [*GROUP, "block", "band"]
-    every = own.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(label, "bucket string, part string, block int, point_id long, cluster int, s double")
-    return cut(every.groupBy(*GROUP, "block", "point_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster")))
+    every = own.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(label, "bucket string, part string, point_id long, cluster int, s double")
+    return _best(every)
+
+
+def _best(labels: DataFrame) -> DataFrame:
+    """Each point's largest cosine, the smaller cluster of equals."""
+    top = F.max(F.struct("s", -F.col("cluster"), "cluster")).alias("t")
+    return labels.groupBy(*GROUP, "point_id").agg(top).select(*GROUP, "point_id", "t.cluster", "t.s")
 
 
 def _moved(points: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
-    """The normalised sums of the members as new centres; an empty cluster keeps its own."""
+    """bucket, part, cluster, c of the given centres: the normalised sums of the members; an empty cluster keeps its own.
+
+    points: bucket, part, block, point_id, v.  Sums of a block's members meet by bands of clusters.
+    """
 
-    def sums(own: pa.Table, told: pa.Table) -> pa.Table:
-        n = min(own.num_rows, told.num_rows)
-        v, at = _matrix(own.sort_by([("point_id", "ascending")]).column("v").combine_chunks()), told.sort_by([("point_id", "ascending")]).column("cluster").to_numpy()
+    def sums(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("point_id", "ascending")]) if "point_id" in own.column_names else own
+        v, at = _matrix(own.column("v").combine_chunks()), own.column("cluster").to_numpy()
         names, place = np.unique(at, return_inverse=True)
         total = np.zeros((len(names), v.shape[1]))
-        if n:
-            np.add.at(total, place, v)
-        return pa.table([*_take(own, GROUP, len(names)), pa.array(names, pa.int32()), _lists(total)], names=[*GROUP, "cluster", "sum"])
+        np.add.at(total, place, v)
+        return pa.table([*_take(own, GROUP, len(names)), pa.array(names, pa.int32()), _lists(total)], names=[*GROUP, "cluster", "v"])
 
-    keys = [*GROUP, "block"]
-    parts = points.groupBy(*keys).cogroup(labels.groupBy(*keys)).applyInArrow(sums, "bucket string, part string, cluster int, sum array<double>")
-    own = [*GROUP, "cluster"]
-    places = parts.select(*own, F.posexplode("sum").alias("idx", "x")).groupBy(*own, "idx").agg(F.sum("x").alias("x"))
-    whole = places.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("c"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))  # one number per dimension
-    means = whole.select(*own, F.transform("c", lambda p: p["x"] / F.greatest("length", F.lit(1e-12))).alias("mean"))
-    return cut(centres.join(means, own, "left").select(*own, F.coalesce("mean", "c").alias("c")))
+    own, summed = [*GROUP, "cluster"], "bucket string, part string, cluster int, v array<double>"
+    told = labels.join(centres.select(*own), own, "left_semi").select(*own, "point_id")
+    members = points.join(told, [*GROUP, "point_id"]).select(*GROUP, "block", "point_id", "cluster", "v")
+    parts = members.groupBy(*GROUP, "block").applyInArrow(sums, summed)
+    whole = parts.groupBy(*GROUP, F.floor(F.col("cluster") / BAND)).applyInArrow(sums, summed)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    means = whole.select(*own, F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-12))).alias("mean"))
+    return centres.join(means, own, "left").select(*own, F.coalesce("mean", "c").alias("c"))
 
 
 def kmeans(points: DataFrame, target: int, iterations: int) -> DataFrame:
@@ -139,23 +170,33 @@ def kmeans(points: DataFrame, target: int, iterations: int) -> DataFrame:
     point of least id; a group of identical points gets one label.
     """
     sizes = cut(points.groupBy(*GROUP).agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / target)))
-    block = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("n") / CHUNK)).cast("int")
-    points = cut(points.join(sizes, GROUP).select(*GROUP, block.alias("block"), "point_id", "v", F.lit(-2.0).alias("closest")))
-    centres = _first_centres(sizes, points)
-    done, before = None, None
-    for step in range(iterations):
-        labels = _labels(points, centres)
-        if before is not None:
-            told = before.select(*GROUP, "point_id", F.col("cluster").alias("was"))
-            changed = cut(labels.join(told, [*GROUP, "point_id"]).where("cluster <> was").select(*GROUP).distinct())
-            still = labels.join(changed, GROUP, "left_anti")
-            done = still if done is None else done.unionByName(still)
-            if changed.isEmpty():
-                break
-            points, labels, centres = (x.join(changed, GROUP, "left_semi") for x in (points, labels, centres))
-        before = labels
-        if step + 1 < iterations:
-            centres = _moved(points, labels, centres)
+    points = cut(_blocked(points).select(*GROUP, "block", "blocks", "point_id", "v"))
+    no = F.lit(False)
+    start = points.select(*GROUP, "block", "point_id", "v", F.lit(-2.0).alias("closest"), F.ceil(CANDIDATES / F.col("blocks")).cast("int").alias("most"), no.alias("far"), no.alias("edge"))
+    centres = _first_centres(sizes, start)
+    labels, touched, own = cut(_labels(points, centres)), None, [*GROUP, "cluster"]
+    done = None
+    for _ in range(1, iterations):
+        new = centres if touched is None else centres.join(touched, own, "left_semi")
+        new = cut(_moved(points, labels, new))
+        kept = None if touched is None else centres.join(touched, own, "left_anti")
+        centres = new if kept is None else cut(kept.unionByName(new))
+        if touched is None:
+            fresh = cut(_labels(points, centres))
         else:
-            done = labels if done is None else done.unionByName(labels)
+            loose = points.drop("block", "blocks").join(labels.join(touched, own, "left_semi").select(*GROUP, "point_id"), [*GROUP, "point_id"], "left_semi")
+            still = labels.join(touched, own, "left_anti")
+            bound = points.join(still.select(*GROUP, "point_id"), [*GROUP, "point_id"], "left_semi")
+            fresh = cut(_labels(_blocked(cut(loose)), centres).unionByName(_best(_labels(bound, new).unionByName(still))))
+        was = labels.select(*GROUP, "point_id", F.col("cluster").alias("was"))
+        changed = fresh.join(was, [*GROUP, "point_id"]).where("cluster <> was")
+        touched = cut(changed.select(*GROUP, F.explode(F.array("cluster", "was")).alias("cluster")).distinct())
+        active = touched.select(*GROUP).distinct()
+        ready = fresh.join(active, GROUP, "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        if touched.isEmpty():
+            break
+        labels, centres = cut(fresh.join(active, GROUP, "left_semi")), cut(centres.join(active, GROUP, "left_semi"))
+    else:
+        done = labels if done is None else done.unionByName(labels)
     return done.select(*GROUP, "point_id", "cluster")

@@ -1,6 +1,7 @@
 """Operators of the engine on small fixtures with exact values."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -481,6 +482,29 @@ def test_phrases_and_keywords(spark):
     assert [(r.query_id, r.doc_id, r.n) for r in found.collect()] == [(7, 1, 1)]
 
 
+def test_routes_keep_the_best_of_each_task(spark, monkeypatch):
+    monkeypatch.setattr(search, "PRODUCT_VALUES", 60)
+    monkeypatch.setattr(search, "VECTOR_VALUES", 40)  # several blocks of queries
+    rnd = random.Random(8)
+    words = ["ann", "bob", "sea", "sun", "map", "Rio", "oak"]
+    docs = [(k % 2, k, " ".join(rnd.choices(words, k=5)), rnd.choice(["Ann said", None]), rnd.choice([["Rio"], ["ANN", "oak"], None]), rnd.choice(["2024-01-02", "2024-03-01", None]), None, k % 3 == 0) for k in range(80)]
+    held = spark.createDataFrame(docs, "scope int, doc_id int, content string, subject string, entities array<string>, world_start string, world_end string, current boolean").repartition(2)
+    held = held.withColumn("text", F.col("content")).withColumn("tokens", F.array_distinct(tx.simple_tokens(F.col("text"))))
+    queries = [(k % 2, k, rnd.sample(words, 2), rnd.choice(["none", "current", "point", "before"]), rnd.choice(["2024-02-01", None]), None) for k in range(12)]
+    asked = spark.createDataFrame(queries, "scope int, query_id int, entities array<string>, time_mode string, target string, target_end string")
+    asked = asked.withColumn("phrases", F.array(F.array_join("entities", " "))).withColumn("tokens", F.array_distinct(tx.simple_tokens(F.array_join("entities", " "))))
+    top = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in retrieval.ranked(df, 3, ["scope", "query_id"]).collect())
+    best = search.keyword_best(held, asked, 3)
+    assert top(best) == top(search.keyword_scores(held, asked)) and best.count() <= 3 * 12 * held.rdd.getNumPartitions()
+    q = asked.select("scope", "query_id", F.col("entities").alias("wanted"), F.col("tokens").alias("asked"), "time_mode", "target", "target_end")
+    low = F.transform(F.coalesce("entities", F.array().cast("array<string>")), F.lower)
+    time = F.coalesce(retrieval.time_score(*[F.col(c) for c in ("time_mode", "target", "target_end", "world_start", "world_end", "current")]), F.lit(0.0))
+    plain = retrieval.entity_score(F.col("wanted"), low, F.coalesce("subject", F.lit("")), F.col("content")) + retrieval.overlap_share(F.col("asked"), F.col("tokens")) + time
+    pairs = held.join(q, "scope").select("scope", "query_id", "doc_id", plain.alias("score")).where("score > 0")
+    assert top(search.structured_best(held, asked, asked.select("scope", "query_id", "tokens"), 3)) == top(pairs)
+    assert search.keyword_best(held.limit(0), asked, 3).count() == 0 and search.keyword_best(held, asked.limit(0), 3).count() == 0
+
+
 def test_artifacts(spark, tmp_path):
     rows = {"a/conv-1": 2, "a/conv-2": 1}
     for folder, n in rows.items():

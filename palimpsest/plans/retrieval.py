@@ -79,16 +79,16 @@ def tokenise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("convs"))
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyword(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     phrase = F.lower(F.regexp_extract("text", r"^\w+ \w+", 0))  # ASCII words, as in the tokens
     asked = _items(spark, sf_dir).select("scope", "query_id", F.array_distinct("qt").alias("tokens"), F.filter(F.array(phrase), lambda p: p != "").alias("phrases"))
     held = _docs(spark, sf_dir).select("scope", "doc_id", "text", F.array_distinct("toks").alias("tokens"))
-    return search.keyword_scores(held, asked)
+    return rt.ranked(search.keyword_best(held, asked, k), k, ["scope", "query_id"])
 
 
 @query("keyword_route", f"WITH {BM25_SQL}, {KEYWORD_SQL} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM kwr WHERE rank <= 5")
 def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rt.ranked(_keyword(spark, sf_dir), 5, ["scope", "query_id"]), "query_id", "doc_id", "rank")
+    return _rounded(_keyword(spark, sf_dir, 5), "query_id", "doc_id", "rank")
 
 
 @query(
@@ -98,7 +98,7 @@ def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lexical.top_k(_docs(spark, sf_dir), _items(spark, sf_dir), F.col("toks"), F.col("qt"), rt.CANDIDATES)
-    exact = rt.ranked(_keyword(spark, sf_dir), rt.CANDIDATES, ["scope", "query_id"])
+    exact = _keyword(spark, sf_dir, rt.CANDIDATES)
     found = rt.fused([("bm25", words, rt.WEIGHTS["bm25"]), ("keyword", exact, rt.WEIGHTS["keyword"])])
     return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.array_join("matched_paths", ",").alias("paths"))
 

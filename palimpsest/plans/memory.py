@@ -16,6 +16,8 @@ from ..operators import retrieval as rt
 from ..operators import search, textindex
 from ..operators.graph import cut
 
+#: Turns that a task cuts into fields.
+TEXTS = 5_000
 FIRST_WORDS, NAMES = r"^\w+ \w+", "[A-Z][a-z]+"
 LEXICAL_SQL = r"[A-Za-z0-9]+(?:[''_-][A-Za-z0-9]+)*|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
@@ -91,8 +93,15 @@ weighed AS (SELECT o.query_id, doc_id, memory_id, score * CASE WHEN len(list_int
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM weighed)"""
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations dealt out, so that texts are worked on in as many tasks as they need, however few files or row groups they lie in."""
+    turns = table(spark, sf_dir, "conversations")
+    n = -(-turns.count() // TEXTS)
+    return turns.repartition(n, "conv_id", "turn") if n > 1 else turns
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    said = _turns(spark, sf_dir).where("role <> 'system'")
     return said.select(
         F.lit(0).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), (F.col("conv_id") * 10 + F.floor(F.col("turn") / 2)).alias("memory_id"), F.col("text").alias("content"), F.col("role").alias("subject"),
         F.lit("said").alias("predicate"), F.regexp_extract("text", FIRST_WORDS, 0).alias("object_text"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 3).alias("keywords"),
@@ -102,7 +111,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'system'").select(F.lit(0).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("speaker"), F.col("text").alias("content"))
+    return _turns(spark, sf_dir).where("role = 'system'").select(F.lit(0).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("speaker"), F.col("text").alias("content"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +124,13 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, v: hash vectors as their non-zero places; texts: keys, text."""
-    tokens = F.array_remove(F.split(F.lower("text"), r"[ \t\n\r]+"), "")
-    whole = texts.select(F.struct(*keys).alias("_k"), "text")
-    return rt.hash_embedding(whole, tokens, "_k").groupBy("_k").agg(F.collect_list(F.struct("idx", "value")).alias("v")).select("_k.*", "v")
+    """keys, v: hash vectors as their non-zero places; texts: keys, text (those of one key count as one text)."""
+    once = texts.groupBy(*keys).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    return rt.hash_vectors(once, F.array_remove(F.split(F.lower("text"), r"[ \t\n\r]+"), ""), keys)
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    held, free, queries = memories(spark, sf_dir), sources(spark, sf_dir), asked(spark, sf_dir)
+    held, free, queries = cut(memories(spark, sf_dir)), cut(sources(spark, sf_dir)), asked(spark, sf_dir)  # fields are cut out of the texts once for all routes
     expanded = queries.select("scope", "query_id", F.posexplode(search.semantic_queries()).alias("part", "text"))
     return held, free, queries, _vectors(held.select("scope", "doc_id", F.col("content").alias("text")), ["scope", "doc_id"]), _vectors(expanded, ["scope", "query_id", "part"])
 

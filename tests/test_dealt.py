@@ -101,3 +101,53 @@ def test_skills_meet_segments_in_blocks(spark, monkeypatch):
     got = {(x["query_id"], x["skill_id"]): x["semantic"] for x in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "CartesianProduct" not in _plan(found)
+
+
+def test_turns_of_one_row_group_are_dealt_out(spark, monkeypatch, tmp_path):
+    from palimpsest.plans import memory
+
+    for t in ("conversations", "benchmark"):
+        duckdb.sql(f"COPY (FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    monkeypatch.setattr(memory, "TEXTS", 20, raising=False)
+    held, _, _, vectors, _ = memory._inputs(spark, str(tmp_path))
+    assert memory.memories(spark, str(tmp_path)).rdd.getNumPartitions() == 5 and len(held.inputFiles()) == 5
+    assert "Generate" not in _plan(vectors)  # a text's tokens are not rows
+    _same(spark, "multipliers_rank", str(tmp_path))
+
+
+def test_hash_vectors_are_made_within_their_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import retrieval as rt
+    from palimpsest.plans import memory
+
+    monkeypatch.setattr(rt, "VECTOR_ROWS", 2)
+    texts = [(0, 1, "the cat sat on the mat"), (0, 2, None), (0, 3, "  \n"), (0, 4, "Été 北京 été"), (1, 4, "a b"), (0, 5, "the cat"), (0, 5, "sat")]
+    docs = spark.createDataFrame(texts, "scope int, doc_id int, text string")
+    got = {(r.scope, r.doc_id): {p.idx: p.value for p in r.v} for r in memory._vectors(docs, ["scope", "doc_id"]).collect()}
+    want: dict = {}
+    tokens = F.array_remove(F.split(F.lower("text"), r"\s+"), "")
+    for r in rt.hash_embedding(docs.select(F.struct("scope", "doc_id").alias("k"), "text"), tokens, "k").collect():
+        want.setdefault(tuple(r.k), {})[r.idx] = r.value
+    assert got == want and len(got) == 4
+    assert rt.hash_vectors(docs.where("doc_id IN (2, 3)"), tokens, ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_products_meet_shared_words_only(monkeypatch, most):
+    import numpy as np
+    import pyarrow as pa
+
+    from palimpsest.operators import search
+
+    monkeypatch.setattr(search, "PRODUCT_VALUES", most)
+    r = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(9)]
+    weights = r.integers(0, 3, (9, 4)).astype(float)
+    texts = [[f"w{i}" for i in r.integers(0, 14, n)] for n in (6, 0, 11, 3)] + [None]
+    counts = np.array([[(t or []).count(w) for w in vocabulary] for t in texts], float)
+    words = search._by_word(weights)
+    row, word, n = search._known(pa.array(texts, pa.list_(pa.string())), pa.array(vocabulary))
+    assert np.array_equal(search._product(len(texts), row, word, n, words), counts @ weights)
+    none = search._known(pa.array(texts, pa.list_(pa.string())), pa.array([], pa.string()))
+    assert len(none[0]) == 0 and not search._product(3, *none, search._by_word(np.zeros((0, 2)))).any()

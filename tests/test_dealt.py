@@ -151,3 +151,17 @@ def test_products_meet_shared_words_only(monkeypatch, most):
     assert np.array_equal(search._product(len(texts), row, word, n, words), counts @ weights)
     none = search._known(pa.array(texts, pa.list_(pa.string())), pa.array([], pa.string()))
     assert len(none[0]) == 0 and not search._product(3, *none, search._by_word(np.zeros((0, 2)))).any()
+
+
+def test_stated_queries_take_no_job_for_each_partition(spark, monkeypatch):
+    from palimpsest.operators import search
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries = spark.createDataFrame([(0, k, [("a", 1.0)], [], 0) for k in range(9)], "scope int, query_id int, tokens array<struct<token: string, x: double>>, terms array<struct<term: string, x: double>>, at int").repartition(60, "query_id")
+        spark.sparkContext.setJobGroup("asked", "asked")
+        blocks = list(search._asked_blocks(queries))
+        assert sorted(i for b in blocks for i in b.ids) == list(range(9)) and len(spark.sparkContext.statusTracker().getJobIdsForGroup("asked")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

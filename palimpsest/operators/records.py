@@ -180,7 +180,7 @@ def related(candidates: DataFrame, memories: DataFrame, k: int, semantic: DataFr
     named = memories.select("scope", F.col("version_id").alias("doc_id"), F.explode(F.coalesce("entities", F.array().cast("array<string>"))).alias("term")).withColumn("term", F.lower("term")).withColumn("field", F.lit("entities"))
     inside = held_phrases(memories.withColumnRenamed("version_id", "doc_id"), {"content": F.concat_ws("\n", "subject", "content")}, own)
     w = Window.partitionBy("scope", "term").orderBy("doc_id")
-    few = named.unionByName(inside).select("scope", "term", "doc_id").dropDuplicates().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    few = named.unionByName(inside).select("scope", "term", "doc_id").withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= k).dropDuplicates()  # ranked before equal rows fall, so that Spark cuts before the exchange
     met = own.join(few, ["scope", "term"]).select("candidate_id", F.col("doc_id").alias("version_id")).dropDuplicates()
     mine = Window.partitionBy("candidate_id").orderBy("version_id")
     entity = met.withColumn("_n", F.row_number().over(mine)).where(F.col("_n") <= k).select("candidate_id", "version_id", F.lit("entity").alias("path"), F.lit(1.0).alias("score"))

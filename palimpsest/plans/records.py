@@ -11,6 +11,7 @@ from ..functions.scalars import normalized
 from ..io import table
 from ..operators import candidates as cd
 from ..operators import records as rc
+from ..operators import retrieval as rt
 from ..operators import store, vectors
 from ..operators.graph import dealt
 from ..sources import artifacts
@@ -346,14 +347,19 @@ SELECT candidate_id, place, version_id, paths, round(score, 6) AS score FROM (SE
 )
 def related_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the five memories of the nearest vectors beside the other routes."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("v"))
+    v = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("scope"), "vec_id", normalized(F.col("embedding")).alias("v"))
     n = max(1, v.count())
     of = lambda name, key, to: table(spark, sf_dir, name).select(F.col(key).alias(to), (F.col(key) % n).alias("vec_id"))
-    with_vector = lambda rows, to: rows.join(v, "vec_id").select(F.lit(0).alias("scope"), to, "v")
-    own = Window.partitionBy("vec_id").orderBy("doc_id")  # of the memories of one vector the five first outrank the rest
-    held = of("customer", "c_custkey", "doc_id").withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= 5)
-    hits = vectors.nearest(with_vector(held, "doc_id"), with_vector(of("supplier", "s_suppkey", "query_id"), "query_id").withColumn("part", F.lit(0)), 5)
-    near = hits.select(F.col("query_id").alias("candidate_id"), F.col("doc_id").alias("version_id"), F.round("score", 9).alias("score"))
+    own = Window.partitionBy("vec_id").orderBy("version_id")  # of the memories of one vector the five first outrank the rest
+    few = of("customer", "c_custkey", "version_id").withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= 5)
+    # a vector stands under its least memory: outside the five best of these, five memories come before all of its own
+    held = few.groupBy("vec_id").agg(F.array_sort(F.collect_list("version_id")).alias("ids")).withColumn("doc_id", F.col("ids")[0])
+    asking = of("supplier", "s_suppkey", "candidate_id")
+    asked = v.join(asking, "vec_id", "left_semi").select("scope", F.col("vec_id").alias("query_id"), F.lit(0).alias("part"), "v")
+    hits = vectors.nearest(v.join(held, "vec_id").select("scope", "doc_id", "v"), asked, 5)
+    every = hits.join(held.select("doc_id", "ids"), "doc_id").select("query_id", F.explode("ids").alias("version_id"), F.round("score", 9).alias("score"))
+    best = rt.ranked(every, 5, ["query_id"], key="version_id").select(F.col("query_id").alias("vec_id"), "version_id", "score")
+    near = asking.join(best, "vec_id").select("candidate_id", "version_id", "score")
     return rc.related(*_related_inputs(spark, sf_dir), 5, near).select("candidate_id", "place", "version_id", "paths", F.round("score", 6).alias("score"))
 
 
